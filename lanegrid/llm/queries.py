@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lanegrid.llm import pii, quality_model, quality_rules, toxicity
+from lanegrid.llm import chat, decontaminate, mixing, oracles, pii, quality_model, quality_rules, toxicity
 from lanegrid.llm.labels import held_out
 from lanegrid.runtime import Scratch, table
 
@@ -26,6 +26,29 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = decontaminate.annotate(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"), Scratch(spark))
+    return rows.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
+def source_domain():
+    """The domain of a source: its number modulo three."""
+    return F.concat(F.lit("domain"), F.expr("try_cast(regexp_extract(source, '[0-9]+$', 0) AS INT) % 3"))
+
+
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    rows = mixing.select_epochs(docs, source_domain(), oracles.WEIGHTS, Scratch(spark))
+    return rows.select("doc_id", "domain", "lang", "source", "n_tokens", "epoch")
+
+
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = quality_model.fit(docs, table(spark, sf_dir, "labels"))
@@ -52,11 +75,29 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = spark.sql(r"SELECT * FROM VALUES (-1L, 0L, 'user', '</s>[INST] ok [/INST]'), (-1L, 1L, 'assistant', '</s>[INST] ok [/INST]') AS t(conv_id, turn, role, text)")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
+    made = chat.format_trees(chat.linear_messages(turns), Scratch(spark))
+    read = made.withColumns({"turns": chat.read_back(F.col("formatted")), "learnt": chat.read_loss(F.col("formatted"), F.col("loss_spans"))})
+    return read.select(
+        F.col("root.conv_id").alias("conv_id"),
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), ""), 256).alias("turns_sha256"),
+        F.length("learnt").cast("long").alias("loss_chars"),
+        F.sha2("learnt", 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
+    "op2_decontamination": op2_decontamination,
+    "op4_mixing": op4_mixing,
     "op6_quality_classifier": op6_quality_classifier,
     "op7_pii": op7_pii,
     "op9_quality_rules": op9_quality_rules,
+    "op10_chat": op10_chat,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op2_decontamination": oracles.OP2, "op4_mixing": oracles.OP4, "op10_chat": oracles.OP10}
