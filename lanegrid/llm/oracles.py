@@ -87,3 +87,20 @@ WEIGHTS = {
     "lang": {"en": 6, "de": 2, "fr": 2, "es": 2},
 }
 OP4 = f"WITH {mixing_sql('documents', WEIGHTS, 3, 5, 2, 11)} SELECT doc_id, domain, lang, source, n_tokens, epoch FROM mixture"
+
+OP5_COMPONENTS = f"""
+d AS (SELECT doc_id, {LOWER_WORDS.format(text="text")} AS w FROM {{documents}}),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + k - 1], ' ') AS g
+      FROM (SELECT doc_id, w, least(len(w), 5) AS k, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b USING (g) WHERE a.doc_id < b.doc_id GROUP BY ALL),
+e AS (SELECT x, y FROM p JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * c >= 80 * (nx.n + ny.n - c)),
+e2 AS (SELECT x, y FROM e UNION ALL SELECT y, x FROM e),
+reach AS (SELECT x AS doc_id, x AS other FROM e2 UNION SELECT reach.doc_id, e2.y FROM reach JOIN e2 ON reach.other = e2.x)
+"""
+
+OP5 = f"""
+WITH RECURSIVE {OP5_COMPONENTS.format(documents="documents")}
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, coalesce(least(d.doc_id, r.m), d.doc_id) AS component_id
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT doc_id, min(other) AS m FROM reach GROUP BY doc_id) r USING (doc_id)
+"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lanegrid.llm import chat, decontaminate, mixing, oracles, pii, quality_model, quality_rules, toxicity
+from lanegrid.llm import chat, decontaminate, jaccard, mixing, oracles, pii, quality_model, quality_rules, toxicity
 from lanegrid.llm.labels import held_out
 from lanegrid.runtime import Scratch, table
 
@@ -49,6 +49,10 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "domain", "lang", "source", "n_tokens", "epoch")
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents"), Scratch(spark))
+
+
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = quality_model.fit(docs, table(spark, sf_dir, "labels"))
@@ -94,10 +98,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_decontamination": op2_decontamination,
     "op4_mixing": op4_mixing,
+    "op5_jaccard_join": op5_jaccard_join,
     "op6_quality_classifier": op6_quality_classifier,
     "op7_pii": op7_pii,
     "op9_quality_rules": op9_quality_rules,
     "op10_chat": op10_chat,
 }
 
-ORACLES: dict[str, str] = {"op2_decontamination": oracles.OP2, "op4_mixing": oracles.OP4, "op10_chat": oracles.OP10}
+ORACLES: dict[str, str] = {"op2_decontamination": oracles.OP2, "op4_mixing": oracles.OP4, "op5_jaccard_join": oracles.OP5, "op10_chat": oracles.OP10}
