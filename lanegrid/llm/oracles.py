@@ -104,3 +104,23 @@ WITH RECURSIVE {OP5_COMPONENTS.format(documents="documents")}
 SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, coalesce(least(d.doc_id, r.m), d.doc_id) AS component_id
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT doc_id, min(other) AS m FROM reach GROUP BY doc_id) r USING (doc_id)
 """
+
+#: Lines of ``documents``, the shortest run from each with 20 words, and the lines of later copies.
+OP3_LINES = r"""
+arr AS (SELECT doc_id, string_split(text, chr(10)) AS lines FROM {documents} WHERE text IS NOT NULL),
+ln AS (SELECT doc_id, i, lines[i] AS line, len(regexp_extract_all(lines[i], '[^\x20\x09-\x0D]+')) AS n
+       FROM (SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS i FROM arr)),
+cum AS (SELECT *, sum(n) OVER (PARTITION BY doc_id ORDER BY i) AS upto FROM ln),
+unit AS (SELECT a.doc_id, a.i, min(b.i) AS e FROM cum a JOIN cum b ON a.doc_id = b.doc_id AND b.i >= a.i AND b.upto - a.upto + a.n >= 20 GROUP BY ALL),
+named AS (SELECT doc_id, i, e, row_number() OVER (PARTITION BY array_to_string(lines[i:e], chr(10)), e - i ORDER BY doc_id, i) AS copy FROM unit JOIN arr USING (doc_id)),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, e + 1)) AS i FROM named WHERE copy > 1),
+kept AS (SELECT ln.doc_id, count(*) AS n_lines, count(gone.i) AS n_removed,
+                coalesce(string_agg(line, chr(10) ORDER BY ln.i) FILTER (WHERE gone.i IS NULL), '') AS text
+         FROM ln LEFT JOIN gone ON ln.doc_id = gone.doc_id AND ln.i = gone.i GROUP BY ln.doc_id)
+"""
+
+OP3 = f"""
+WITH {OP3_LINES.format(documents="documents")}
+SELECT doc_id, CAST(coalesce(n_lines, 0) AS INT) AS n_lines, CAST(coalesce(n_removed, 0) AS INT) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM documents LEFT JOIN kept USING (doc_id)
+"""

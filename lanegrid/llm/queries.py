@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lanegrid.llm import chat, decontaminate, jaccard, mixing, oracles, pii, quality_model, quality_rules, toxicity
+from lanegrid.llm import chat, decontaminate, jaccard, line_dedup, mixing, oracles, pii, quality_model, quality_rules, toxicity
 from lanegrid.llm.labels import held_out
 from lanegrid.runtime import Scratch, table
 
@@ -38,6 +38,11 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = line_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), Scratch(spark))
+    return rows.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def source_domain():
     """The domain of a source: its number modulo three."""
     return F.concat(F.lit("domain"), F.expr("try_cast(regexp_extract(source, '[0-9]+$', 0) AS INT) % 3"))
@@ -97,6 +102,7 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_decontamination": op2_decontamination,
+    "op3_line_dedup": op3_line_dedup,
     "op4_mixing": op4_mixing,
     "op5_jaccard_join": op5_jaccard_join,
     "op6_quality_classifier": op6_quality_classifier,
@@ -105,4 +111,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_chat": op10_chat,
 }
 
-ORACLES: dict[str, str] = {"op2_decontamination": oracles.OP2, "op4_mixing": oracles.OP4, "op5_jaccard_join": oracles.OP5, "op10_chat": oracles.OP10}
+ORACLES: dict[str, str] = {"op2_decontamination": oracles.OP2, "op3_line_dedup": oracles.OP3, "op4_mixing": oracles.OP4, "op5_jaccard_join": oracles.OP5, "op10_chat": oracles.OP10}
