@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lanegrid.llm import chat, decontaminate, jaccard, line_dedup, mixing, oracles, pii, quality_model, quality_rules, toxicity
+from lanegrid.llm import chat, decontaminate, exact_substrings, jaccard, line_dedup, mixing, oracles, pii, quality_model, quality_rules, toxicity
 from lanegrid.llm.labels import held_out
 from lanegrid.runtime import Scratch, table
 
@@ -76,6 +76,18 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_exact_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = exact_substrings.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), Scratch(spark))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["stop"] - s["start"])
+    return rows.select(
+        "doc_id",
+        F.coalesce(F.octet_length("text").cast("long"), F.lit(0).cast("long")).alias("n_bytes"),
+        F.coalesce(removed, F.lit(0).cast("long")).alias("n_removed"),
+        F.coalesce(F.size("spans").cast("long"), F.lit(0).cast("long")).alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     stats = quality_rules.with_stats(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "_stats.*")
     stats = Scratch(spark).save(stats, "stats")
@@ -107,8 +119,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_jaccard_join": op5_jaccard_join,
     "op6_quality_classifier": op6_quality_classifier,
     "op7_pii": op7_pii,
+    "op8_exact_substrings": op8_exact_substrings,
     "op9_quality_rules": op9_quality_rules,
     "op10_chat": op10_chat,
 }
 
 ORACLES: dict[str, str] = {"op2_decontamination": oracles.OP2, "op3_line_dedup": oracles.OP3, "op4_mixing": oracles.OP4, "op5_jaccard_join": oracles.OP5, "op10_chat": oracles.OP10}
+
+
+def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline  # it imports this module
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES["pipeline"] = _pipeline
