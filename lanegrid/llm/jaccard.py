@@ -10,7 +10,9 @@ classes that share such a prefix shingle are compared. To spare comparing all pa
 group of copies, classes are first compared with one pivot of every prefix shingle (the class
 with the fewest shingles of its own), links found that way are merged, and then all remaining
 pairs of different components are compared: no link between components is lost, because within
-one component a further link changes nothing.
+one component a further link changes nothing. Of these pairs only those go on whose parity bitmaps
+(1024 bits, each shingle flips one) differ in few enough places: sets differ in at least as many
+shingles as their bitmaps in bits, so no linked pair is dropped.
 
 A comparison is vertical: the global order is cut into fragments, overlaps are counted for each
 fragment apart, and summed per pair.
@@ -40,6 +42,7 @@ K = 5
 PER_CENT = 80
 FIRST_SHARE = 0.35
 FRAGMENTS = 8
+BITMAP_LONGS = 16
 _FIRST = np.uint64(int(FIRST_SHARE * 2**64))
 _FIRST_SIGNED = int(_FIRST) - 2**63
 _SIGN = np.uint64(1 << 63)
@@ -77,6 +80,15 @@ def signatures(own: np.ndarray, hashes: np.ndarray, n: int) -> tuple[np.ndarray,
     return size, flat.mix64(total + size.astype(np.uint64)).view(np.int64)
 
 
+def bitmaps(own: np.ndarray, hashes: np.ndarray, n: int) -> pa.Array:
+    """Parity bitmaps of the sets: every shingle flips one bit."""
+    width = BITMAP_LONGS * 64
+    bit = (flat.mix64(hashes ^ np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - width.bit_length() + 1)).astype(np.int64)
+    flips = np.bincount(own * width + bit, minlength=n * width).astype(np.uint8) & 1
+    longs = np.packbits(flips, bitorder="little").view(np.int64)
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, (n + 1) * BITMAP_LONGS, BITMAP_LONGS, dtype=np.int32)), pa.array(longs))
+
+
 def _prefix(size: np.ndarray) -> np.ndarray:
     return size - (PER_CENT * size + 99) // 100 + 1
 
@@ -93,8 +105,9 @@ def _parts(batches: Iterator[pa.RecordBatch], text: str):
 
 def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in _parts(batches, "text"):
-        size, name = signatures(*shingle_sets(part.column("text")))
-        yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(size), pa.array(name)], ["doc_id", "n_shingles", "name"])
+        own, hashes, n = shingle_sets(part.column("text"))
+        size, name = signatures(own, hashes, n)
+        yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(size), pa.array(name), bitmaps(own, hashes, n)], ["doc_id", "n_shingles", "name", "bits"])
 
 
 def _emitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,7 +145,7 @@ class Join:
     def __init__(self, docs: DataFrame, scratch: Scratch, text: str = "text", key: str = "doc_id"):
         self.docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
         self.scratch = scratch
-        self.named = scratch.save(self.docs.mapInArrow(_named, "doc_id long, n_shingles long, name long"), "named")
+        self.named = scratch.save(self.docs.mapInArrow(_named, "doc_id long, n_shingles long, name long, bits array<long>"), "named")
 
     def prefixes(self) -> DataFrame:
         """(h, name, size, own): prefix shingles that other classes have too; own: the class's number of unshared ones."""
@@ -170,10 +183,13 @@ class Join:
         rows = prefixes.join(labels.withColumnRenamed("node", "name"), "name", "left").withColumn("label", F.coalesce("label", "name"))
         group = Window.partitionBy("h")
         rows = rows.withColumns({"lo": F.min("label").over(group), "hi": F.max("label").over(group)}).where("lo < hi")
-        rows = self.scratch.save(rows.select("h", "name", "size", "label"), "open")
-        a = rows.select("h", F.col("name").alias("a"), F.col("size").alias("size_a"), F.col("label").alias("label_a"))
-        b = rows.select("h", F.col("name").alias("b"), F.col("size").alias("size_b"), F.col("label").alias("label_b"))
-        pairs = self._fitting(a.join(b, "h").where("a < b and label_a <> label_b")).select("a", "b", "size_a", "size_b").distinct()
+        bits = self.named.groupBy("name").agg(F.first("bits").alias("bits"))
+        rows = self.scratch.save(rows.select("h", "name", "size", "label").join(bits, "name"), "open")
+        side = lambda n: rows.select("h", *[F.col(c).alias(to) for c, to in (("name", n), ("size", f"size_{n}"), ("label", f"label_{n}"), ("bits", f"bits_{n}"))])
+        differ = sum((F.bit_count(F.get("bits_a", F.lit(i)).bitwiseXOR(F.get("bits_b", F.lit(i)))) for i in range(BITMAP_LONGS)), F.lit(0))
+        near = (100 + PER_CENT) * differ <= (100 - PER_CENT) * (F.col("size_a") + F.col("size_b"))
+        on = (F.col("l.h") == F.col("r.h")) & (F.col("a") < F.col("b")) & (F.col("label_a") != F.col("label_b"))
+        pairs = self._fitting(side("a").alias("l").join(side("b").alias("r"), on & near)).select("a", "b", "size_a", "size_b").distinct()
         tried = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         return pairs.join(tried, ["a", "b"], "left_anti")
 
