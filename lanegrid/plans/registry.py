@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lanegrid.plans import charge_queries, coverage_queries, document_queries, label_queries, rate_queries, text_queries
+from lanegrid.plans import charge_queries, coverage_queries, document_queries, grid_queries, label_queries, rate_queries, text_queries
 
-FAMILIES = (coverage_queries, rate_queries, charge_queries, document_queries, text_queries, label_queries)
+FAMILIES = (coverage_queries, rate_queries, charge_queries, document_queries, text_queries, label_queries, grid_queries)
 
 
 def queries() -> dict:
