@@ -6,7 +6,9 @@
    with one anchor value are blocks, one per some 170 bytes of text.
 2. Blocks are dealt by anchor value. Blocks with equal bytes are repeats as they stand. Where an
    anchor value has blocks that differ (at the edges of a repeat), or occurs twice within one
-   block, the strings of one block of each kind are compared one by one.
+   block, one block of each kind is sent as bytes to the task of its anchor, which hashes and
+   sorts the strings of its blocks. Anchors with more than MOST_KINDS different blocks are not
+   gathered in one task: their strings are dealt by their own hashes instead.
 3. Bytes covered by a repeated string are removed; overlapping strings merge into spans.
 
 No suffix or string of the corpus is left out: strings are only ever skipped when no other
@@ -34,6 +36,7 @@ from lanegrid.runtime import Scratch
 SPAN = 400
 GRAM = 64
 WIDTH = SPAN - GRAM + 1
+MOST_KINDS = 4096
 _STEP = [np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)]
 
 
@@ -145,39 +148,113 @@ def _emit_strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         )
 
 
+def _emit_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Anchor, document, first start and bytes of the blocks asked for."""
+    for batch in batches:
+        for part in flat.blocks(batch, "text", 2 << 20):
+            anchors, docs, hashes, firsts, texts = [], [], [], [], []
+            ids, own = part.column("doc").to_pylist(), part.column("hash").to_pylist()
+            for i, (text, asked) in enumerate(zip(part.column("text").to_pylist(), part.column("asked").to_pylist(), strict=True)):
+                raw = (text or "").encode()
+                for a in asked:
+                    anchors.append(a["anchor"])
+                    docs.append(ids[i])
+                    hashes.append(own[i])
+                    firsts.append(a["first"])
+                    texts.append(raw[a["first"] : a["first"] + a["count"] + SPAN - 1])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(anchors, pa.int64()), pa.array(docs, part.schema.field("doc").type), pa.array(hashes, pa.int64()), pa.array(firsts, pa.int64()), pa.array(texts, pa.binary())],
+                ["anchor", "doc", "hash", "first", "bytes"],
+            )
+
+
+def compare_blocks(anchor: np.ndarray, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of strings that occur at least twice among the blocks of one anchor: block number, first string, number of strings."""
+    sizes = np.fromiter((len(t) for t in texts), np.int64, len(texts))
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    _, whole = string_hashes(data)
+    count = sizes - SPAN + 1
+    start = np.cumsum(sizes) - sizes
+    block = np.repeat(np.arange(len(sizes)), count)
+    within = np.arange(len(block)) - np.repeat(np.cumsum(count) - count, count)
+    key = flat.mix64(whole[start[block] + within] ^ flat.mix64(anchor.view(np.uint64))[block])
+    order = np.argsort(key, kind="stable")
+    same = key[order[1:]] == key[order[:-1]]
+    twin = np.zeros(len(key), bool)
+    twin[order[1:]] |= same
+    twin[order[:-1]] |= same
+    fresh = twin.copy()
+    fresh[1:] &= ~twin[:-1] | (block[1:] != block[:-1])
+    last = twin.copy()
+    last[:-1] &= ~twin[1:] | (block[1:] != block[:-1])
+    first, stop = np.flatnonzero(fresh), np.flatnonzero(last)
+    return block[first], within[first], stop - first + 1
+
+
+def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Repeated intervals of blocks that come in the order of their anchors; whole anchors are compared at once."""
+
+    def intervals(table: pa.Table) -> pa.RecordBatch:
+        block, first, n = compare_blocks(table["anchor"].to_numpy(), table["bytes"].to_pylist())
+        ids = pa.array(block)
+        start = table["first"].to_numpy()[block] + first
+        columns = [table["doc"].combine_chunks().take(ids), table["hash"].combine_chunks().take(ids), pa.array(start), pa.array(start + n + SPAN - 1)]
+        return pa.RecordBatch.from_arrays(columns, ["doc", "hash", "start", "stop"])
+
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        anchor = batch.column("anchor").to_numpy()
+        cut = int(np.searchsorted(anchor, anchor[-1]))  # the last anchor may go on in the next batch
+        if cut or (held and held[-1].column("anchor")[-1].as_py() != anchor[0]):
+            ready = pa.Table.from_batches([*held, batch.slice(0, cut)], batch.schema)
+            if ready.num_rows:
+                yield intervals(ready)
+            held = []
+        held.append(batch.slice(cut))
+    if held:
+        yield intervals(pa.Table.from_batches(held))
+
+
 def repeats(docs: DataFrame, scratch: Scratch, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(doc, hash, start, stop): byte intervals covered by repeated strings; they may overlap."""
     rows = docs.select(F.col(key).alias("doc"), F.xxhash64(text).alias("hash"), F.col(text).alias("text"))
     kind = dict(rows.dtypes)["doc"]
     found = rows.mapInArrow(_emit_blocks, f"anchor long, content long, doc {kind}, hash long, first long, count int, recurs boolean")
     parts = int(scratch.spark.conf.get("spark.sql.shuffle.partitions"))
-    found = scratch.save(found, "blocks")
-    found = found.repartition(parts, "anchor")
     same = Window.partitionBy("anchor", "content", "count")
     peers = Window.partitionBy("anchor")
-    found = found.withColumns(
+    found = found.repartition(parts, "anchor").withColumns(
         {
             "copies": F.count("*").over(same),
             "nth": F.row_number().over(same.orderBy("doc", "hash", "first")),
             "differ": F.min("content").over(peers) != F.max("content").over(peers),
         }
     )
-    found = scratch.save(found.where("copies > 1 or differ or recurs"), "shared")
-    scratch.drop("blocks")
+    found = found.where("copies > 1 or differ or recurs").withColumn("kinds", F.count(F.when(F.col("nth") == 1, 1)).over(peers))
+    found = scratch.save(found, "shared")
     whole = found.where("copies > 1").select("doc", "hash", F.col("first").alias("start"), (F.col("first") + F.col("count") + SPAN - 1).alias("stop"))
-    asked = found.where("nth = 1 and (differ or recurs)").groupBy("doc", "hash").agg(F.collect_list(F.struct("first", "count")).alias("asked"))
-    asked = scratch.save(asked, "asked")
-    if asked.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        asked = F.broadcast(asked)
-    wanted = asked.withColumnsRenamed({"doc": "_doc", "hash": "_hash"})
-    on = rows["doc"].eqNullSafe(wanted["_doc"]) & (rows["hash"] == wanted["_hash"])
-    single = rows.join(wanted, on).select("doc", "hash", "text", "asked")
-    strings = single.mapInArrow(_emit_strings, f"string long, doc {kind}, hash long, start long")
-    strings = strings.withColumn("n", F.count("*").over(Window.partitionBy("string"))).where("n > 1").select("doc", "hash", "start").distinct()
-    strings = scratch.save(strings, "strings")
-    island = F.col("start") - F.row_number().over(Window.partitionBy("doc", "hash").orderBy("start"))
-    runs = strings.withColumn("island", island).groupBy("doc", "hash", "island").agg(F.min("start").alias("start"), (F.max("start") + SPAN).alias("stop"))
-    return whole.unionByName(runs.drop("island"))
+    single = found.where("nth = 1 and (differ or recurs)")
+
+    def with_text(blocks: DataFrame, name: str) -> DataFrame:
+        asked = scratch.save(blocks.groupBy("doc", "hash").agg(F.collect_list(F.struct("anchor", "first", "count")).alias("asked")), name)
+        small = asked.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+        wanted = (F.broadcast(asked) if small else asked).withColumnsRenamed({"doc": "_doc", "hash": "_hash"})
+        on = rows["doc"].eqNullSafe(wanted["_doc"]) & (rows["hash"] == wanted["_hash"])
+        return rows.join(wanted, on).select("doc", "hash", "text", "asked")
+
+    texts = with_text(single.where(F.col("kinds") <= MOST_KINDS), "asked").mapInArrow(_emit_texts, f"anchor long, doc {kind}, hash long, first long, bytes binary")
+    runs = texts.repartition(parts, "anchor").sortWithinPartitions("anchor").mapInArrow(_compare, f"doc {kind}, hash long, start long, stop long")
+    runs = scratch.save(runs, "runs")
+    hot = single.where(F.col("kinds") > MOST_KINDS)
+    if not hot.isEmpty():
+        strings = with_text(hot, "asked_hot").mapInArrow(_emit_strings, f"string long, doc {kind}, hash long, start long")
+        strings = strings.withColumn("n", F.count("*").over(Window.partitionBy("string"))).where("n > 1").select("doc", "hash", "start").distinct()
+        island = F.col("start") - F.row_number().over(Window.partitionBy("doc", "hash").orderBy("start"))
+        more = strings.withColumn("island", island).groupBy("doc", "hash", "island").agg(F.min("start").alias("start"), (F.max("start") + SPAN).alias("stop"))
+        runs = runs.unionByName(more.drop("island"))
+    return whole.unionByName(runs)
 
 
 def removed_spans(docs: DataFrame, scratch: Scratch, text: str = "text", key: str = "doc_id") -> DataFrame:
