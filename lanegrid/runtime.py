@@ -42,6 +42,14 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Sends at most ``rows`` rows at once to Python workers, so that long texts fit their memory; a smaller setting stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    set_to = int(spark.conf.get(name))
+    if set_to <= 0 or set_to > rows:
+        spark.conf.set(name, str(rows))
+
+
 class Scratch:
     """Tables written in the shared folder to cut lineage.
 
