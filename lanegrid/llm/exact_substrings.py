@@ -30,8 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lanegrid.llm import flat
-from lanegrid.llm.sizes import BROADCAST_ROWS
-from lanegrid.runtime import Scratch
+from lanegrid.runtime import Scratch, small_batches
 
 SPAN = 400
 GRAM = 64
@@ -221,6 +220,7 @@ def repeats(docs: DataFrame, scratch: Scratch, text: str = "text", key: str = "d
     """(doc, hash, start, stop): byte intervals covered by repeated strings; they may overlap."""
     rows = docs.select(F.col(key).alias("doc"), F.xxhash64(text).alias("hash"), F.col(text).alias("text"))
     kind = dict(rows.dtypes)["doc"]
+    small_batches(docs.sparkSession)
     found = rows.mapInArrow(_emit_blocks, f"anchor long, content long, doc {kind}, hash long, first long, count int, recurs boolean")
     parts = int(scratch.spark.conf.get("spark.sql.shuffle.partitions"))
     same = Window.partitionBy("anchor", "content", "count")
@@ -239,8 +239,7 @@ def repeats(docs: DataFrame, scratch: Scratch, text: str = "text", key: str = "d
 
     def with_text(blocks: DataFrame, name: str) -> DataFrame:
         asked = scratch.save(blocks.groupBy("doc", "hash").agg(F.collect_list(F.struct("anchor", "first", "count")).alias("asked")), name)
-        small = asked.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-        wanted = (F.broadcast(asked) if small else asked).withColumnsRenamed({"doc": "_doc", "hash": "_hash"})
+        wanted = asked.withColumnsRenamed({"doc": "_doc", "hash": "_hash"}).hint("merge")  # it grows with the corpus: never broadcast
         on = rows["doc"].eqNullSafe(wanted["_doc"]) & (rows["hash"] == wanted["_hash"])
         return rows.join(wanted, on).select("doc", "hash", "text", "asked")
 
@@ -281,7 +280,8 @@ def removed_spans(docs: DataFrame, scratch: Scratch, text: str = "text", key: st
 
 
 def dedup(docs: DataFrame, scratch: Scratch, text: str = "text", key: str = "doc_id", into: str = "kept") -> DataFrame:
-    """``docs`` with ``spans`` (null where nothing goes) and the bytes that stay in ``into``."""
+    """``docs`` with ``spans`` (null where nothing goes) and the bytes that stay in ``into``; columns of these names are replaced."""
+    docs = docs.drop("spans", into)
     found = scratch.save(removed_spans(docs, scratch, text, key), "spans")
 
     def cut(batches):
@@ -296,6 +296,6 @@ def dedup(docs: DataFrame, scratch: Scratch, text: str = "text", key: str = "doc
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(kept, pa.binary())], [*batch.schema.names, into])
 
     on = docs[key].eqNullSafe(found["doc"]) & (F.xxhash64(docs[text]) == found["hash"])
-    joined = docs.join(found, on, "left").select(*[docs[c] for c in docs.columns], "spans")
+    joined = docs.join(found.hint("merge"), on, "left").select(*[docs[c] for c in docs.columns], found["spans"])
     return joined.mapInArrow(cut, T.StructType(joined.schema.fields + [T.StructField(into, T.BinaryType())]))
 
