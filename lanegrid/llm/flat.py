@@ -80,7 +80,15 @@ def spans(data: np.ndarray, at: np.ndarray, separators: np.ndarray = SPACES) ->
 
 
 def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, limit: int = 1 << 20) -> np.ndarray:
-    """A hash of each span's bytes: sum of byte values times powers of an odd base, finalised with the length."""
+    """A hash of each span's bytes: sum of byte values times powers of an odd base, finalised with the length; 0 for an empty span."""
+    if (some := end > start).all():
+        return _hash_spans(data, start, end, limit)
+    out = np.zeros(len(start), np.uint64)
+    out[some] = _hash_spans(data, start[some], end[some], limit)
+    return out
+
+
+def _hash_spans(data: np.ndarray, start: np.ndarray, end: np.ndarray, limit: int) -> np.ndarray:
     out = np.zeros(len(start), np.uint64)
     i = 0
     while i < len(start):
@@ -100,10 +108,9 @@ def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, limit: int
             first = np.zeros(j - i, np.int64)
             np.cumsum(size[:-1], out=first[1:])
             within = np.arange(total, dtype=np.int64) - np.repeat(first, size)
-            longest = int(size.max()) if len(size) else 0
-            power = np.cumprod(np.full(max(1, longest), _BASE, np.uint64), dtype=np.uint64)
+            power = np.cumprod(np.full(int(size.max()), _BASE, np.uint64), dtype=np.uint64)
             value = BYTE_VALUE[data[np.repeat(start[i:j], size) + within]] * power[within]
-            out[i:j] = np.add.reduceat(value, first) if total else 0
+            out[i:j] = np.add.reduceat(value, first)
         i = j
     return _mix(out ^ (end - start).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 

@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lanegrid.llm.sizes import join_counted
+from lanegrid.llm.sizes import free, join_counted
 from lanegrid.runtime import Scratch
 
 LEVELS = ("domain", "lang", "source")
@@ -133,13 +133,13 @@ def select_epochs(
 
 
 def mix(docs: DataFrame, domain: Column, weights: dict[str, dict[str, int]], scratch: Scratch, text: str = "text", key: str = "doc_id", **options) -> DataFrame:
-    """The mixture's documents with all columns of ``docs``, and their ``domain``, ``n_tokens`` and ``epoch``."""
+    """The mixture's documents with all columns of ``docs``, and their ``domain``, ``n_tokens`` and ``epoch`` (which replace columns of these names)."""
     chosen = select_epochs(docs, domain, weights, scratch, text=text, key=key, **options).select(
         F.col(key).alias("_id"), F.col("text_hash").alias("_hash"), F.col("lang").alias("_lang"), F.col("source").alias("_source"), "domain", "n_tokens", "epoch"
     )
     named = lambda c: F.coalesce(c.cast("string"), F.lit(NONE))
-    rows = docs.withColumns({"_h": F.xxhash64(text), "_l": named(F.col("lang")), "_s": named(F.col("source"))})
-    rows = rows.dropDuplicates([key, "_h", "_l", "_s"])
-    on = rows[key].eqNullSafe(chosen["_id"]) & (rows["_h"] == chosen["_hash"]) & (rows["_l"] == chosen["_lang"]) & (rows["_s"] == chosen["_source"])
-    extra = [c for c in ("domain", "n_tokens", "epoch") if c not in docs.columns]
-    return rows.join(chosen, on).select(*[rows[c] for c in docs.columns], *[chosen[c] for c in extra])
+    h, lang, source = (free(docs.columns, n) for n in ("_h", "_l", "_s"))
+    rows = docs.withColumns({h: F.xxhash64(text), lang: named(F.col("lang")), source: named(F.col("source"))}).dropDuplicates([key, h, lang, source])
+    on = rows[key].eqNullSafe(chosen["_id"]) & (rows[h] == chosen["_hash"]) & (rows[lang] == chosen["_lang"]) & (rows[source] == chosen["_source"])
+    own = [c for c in docs.columns if c not in ("domain", "n_tokens", "epoch")]
+    return rows.join(chosen, on).select(*[rows[c] for c in own], chosen["domain"], chosen["n_tokens"], chosen["epoch"])

@@ -21,6 +21,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lanegrid.runtime import small_batches
+
 BASE_KINDS = ("email", "ip", "card", "phone")
 EXTRA_KINDS = ("credential", "iban", "secret", "identifier")
 _ORDER = {kind: i for i, kind in enumerate(BASE_KINDS + EXTRA_KINDS)}
@@ -39,7 +41,7 @@ _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")  # a match can
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _USER = re.compile(r"[^\s/@:]+:[^\s/@]+@")
-_IBAN = re.compile(r"[\s:=#]{0,4}([A-Za-z]{2}[0-9]{2}(?: ?[A-Za-z0-9]){11,30})(?![A-Za-z0-9])")
+_IBAN = re.compile(r"[\s:=#]{0,4}([A-Za-z]{2}[0-9]{2}(?: ?[A-Za-z0-9]){11,40})")
 _SECRET = re.compile(r"[\"']?\s{0,3}[:=]\s{0,3}[\"']?([A-Za-z0-9_./+=-]{12,})")
 _IDENTIFIER = re.compile(r"(?: (?:number|no\.?|id|#))?\s{0,2}[:=#]?\s{0,2}([A-Za-z]{0,3}[0-9](?:[ -]?[A-Za-z0-9]){5,19})(?![A-Za-z0-9])")
 
@@ -64,9 +66,14 @@ def _digits(text: str) -> str:
     return "".join(c for c in text if "0" <= c <= "9")
 
 
-def _iban_ok(text: str) -> bool:
-    code = text.replace(" ", "").upper()
-    return 15 <= len(code) <= 34 and int("".join(str(int(c, 36)) for c in code[4:] + code[:4])) % 97 == 1
+def _iban(text: str) -> str:
+    """The longest valid account number that starts the text and ends where a group of its characters does."""
+    while text:
+        code = text.replace(" ", "").upper()
+        if 15 <= len(code) <= 34 and int("".join(str(int(c, 36)) for c in code[4:] + code[:4])) % 97 == 1:
+            return text
+        text = text.rpartition(" ")[0]
+    return ""
 
 
 def _numbers(text: str, found: list[tuple[str, int, int]]) -> None:
@@ -108,8 +115,8 @@ def find(text: str | None) -> list[tuple[str, int, int]]:
             if m := _USER.match(text, last + 1):
                 found.append(("credential", last + 1, m.end() - 1))
         elif parser == "iban":
-            if (m := _IBAN.match(text, last + 1)) and _iban_ok(m[1]):
-                found.append(("iban", *m.span(1)))
+            if (m := _IBAN.match(text, last + 1)) and (code := _iban(m[1])):
+                found.append(("iban", m.start(1), m.start(1) + len(code)))
         elif parser == "secret":
             if (m := _SECRET.match(text, last + 1)) and _DIGIT.search(m[1]):
                 found.append(("secret", *m.span(1)))
@@ -128,6 +135,7 @@ def _found(texts: pd.Series) -> pd.Series:
 
 def find_spans(docs: DataFrame, text: str = "text", into: str = "pii") -> DataFrame:
     """``docs`` with an array of spans (kind, start, end in code points), by start, then kind."""
+    small_batches(docs.sparkSession)
     return docs.withColumn(into, F.pandas_udf(_found, "array<struct<kind:string,start:long,end:long>>")(F.col(text)))
 
 

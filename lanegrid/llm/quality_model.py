@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from lanegrid.llm import flat
 from lanegrid.llm.labels import training_rows
+from lanegrid.runtime import small_batches
 
 
 @dataclass
@@ -113,6 +114,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows: in
 
 def score(docs: DataFrame, model: Model, text: str = "text", into: str = "score") -> DataFrame:
     """``docs`` with a score between 0 and 1; the weights travel in one broadcast of fixed size."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")

@@ -1,4 +1,4 @@
-"""Joins that broadcast a side only after its rows were counted."""
+"""Joins that broadcast a side only after its rows were counted, and names for helper columns."""
 
 from __future__ import annotations
 
@@ -19,3 +19,11 @@ def join_counted(big: DataFrame, small: DataFrame, on: list[str], spread: str, h
         return big.join(F.broadcast(small), on, how)
     salted = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     return big.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int")).join(salted, [*on, "_salt"], how).drop("_salt")
+
+
+def free(columns: list[str], name: str) -> str:
+    """``name``, lengthened until no column has it (Spark ignores letter case)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
