@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from lanegrid.functions.charges import parse_number
 from lanegrid.functions.pincodes import is_oda, is_refused, parse_pincode_cell, zone_hint
 from lanegrid.operators.coverage import label_zones
+from lanegrid.operators.rates import money
 from lanegrid.plans import dims
 
 KEY = ["vendor_id", "sheet"]
@@ -83,7 +84,7 @@ def wide_matrix(grid: DataFrame, least_origins: int = 3) -> DataFrame:
     long = label_zones(long, "from").withColumn("origin", F.explode("zones")).drop("zones")
     long = label_zones(long, "to").withColumn("dest", F.explode("zones"))
     close = F.max("rate") - F.min("rate") < 3
-    cells = long.groupBy(*KEY, "origin", "dest").agg(F.round(F.when(close, F.max("rate")).otherwise(F.avg("rate")), 2).alias("rate"))
+    cells = long.groupBy(*KEY, "origin", "dest").agg(money(F.when(close, F.max("rate")).otherwise(F.avg("rate"))).alias("rate"))
     size = F.size(F.collect_set("origin").over(Window.partitionBy(*KEY)))
     return cells.withColumn("_n", size).where(F.col("_n") >= least_origins).drop("_n")
 
@@ -132,7 +133,7 @@ def grounded_matrix(grid: DataFrame, master: DataFrame, least_origins: int = 3)
     rows = grid.join(head, KEY).where("row_idx > header_idx")
     rows = rows.select(*KEY, parse_pincode_cell(cell(F.col("cells"), F.col("first_col") - 1)).alias("pincode"), F.posexplode("cells").alias("col", "value"), "head", "first_col").where("pincode is not null and col >= first_col")
     cells = rows.select(*KEY, "pincode", F.upper(F.get("head", F.col("col"))).alias("origin"), parse_number(F.col("value")).alias("rate")).where(F.col("origin").isin(dims.ZONES) & (F.col("rate") > 0))
-    out = cells.join(master.select("pincode", F.col("zone").alias("dest")), "pincode").groupBy(*KEY, "origin", "dest").agg(F.round(F.median("rate"), 2).alias("rate"))
+    out = cells.join(master.select("pincode", F.col("zone").alias("dest")), "pincode").groupBy(*KEY, "origin", "dest").agg(money(F.median("rate")).alias("rate"))
     return out.withColumn("_n", F.size(F.collect_set("origin").over(Window.partitionBy(*KEY)))).where(F.col("_n") >= least_origins).drop("_n")
 
 

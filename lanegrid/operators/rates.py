@@ -18,6 +18,11 @@ ESTIMATE = {
 }
 
 
+def money(x: Column) -> Column:
+    """Two digits, halves up, with a tolerance of a millionth of the last digit: a half that is not exact in binary goes up too."""
+    return F.floor(x * 100 + 0.500001) / 100
+
+
 def haversine(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     """Great-circle distance in km."""
     h = F.pow(F.sin(F.radians(lat2 - lat1) / 2), 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(F.radians(lon2 - lon1) / 2), 2)
@@ -35,11 +40,11 @@ def pick_rate(samples: DataFrame, threshold: float, inclusive: bool) -> DataFram
     """One rate per cell: the highest sample if they are close, else their mean, to two digits."""
     spread = F.max("rate") - F.min("rate")
     close = spread <= threshold if inclusive else spread < threshold
-    return samples.groupBy(*CELL).agg(F.round(F.when(close, F.max("rate")).otherwise(F.avg("rate")), 2).alias("rate"))
+    return samples.groupBy(*CELL).agg(money(F.when(close, F.max("rate")).otherwise(F.avg("rate"))).alias("rate"))
 
 
 def median_rate(samples: DataFrame) -> DataFrame:
-    return samples.groupBy(*CELL).agg(F.round(F.median("rate"), 2).alias("rate"))
+    return samples.groupBy(*CELL).agg(money(F.median("rate")).alias("rate"))
 
 
 def rate_mode(matrix: DataFrame) -> DataFrame:
@@ -47,7 +52,7 @@ def rate_mode(matrix: DataFrame) -> DataFrame:
     low, high = F.col("min_rate"), F.col("max_rate")
     mode = F.when(low > 60, "air").when(low > 30, "effective").when(high > 200, "mixed").otherwise("road")
     found = matrix.where("rate > 0").groupBy("vendor_id").agg(
-        F.round(F.min("rate"), 2).alias("min_rate"), F.round(F.max("rate"), 2).alias("max_rate"), F.round(F.avg("rate"), 2).alias("avg_rate")
+        money(F.min("rate")).alias("min_rate"), money(F.max("rate")).alias("max_rate"), money(F.avg("rate")).alias("avg_rate")
     )
     vendors = matrix.select("vendor_id").distinct().join(found, "vendor_id", "left")
     return vendors.withColumn("mode", F.when(low.isNull(), "unknown").otherwise(mode))
@@ -123,7 +128,7 @@ def fill_missing_origins(matrix: DataFrame) -> DataFrame:
     near = near.join(dist.toDF("missing", "dest", "km_missing"), ["missing", "dest"]).join(dist.toDF("known", "dest", "km_known"), ["known", "dest"])
     weight = 1 / (F.col("km") + 1)
     scaled = F.col("rate") * _damped(F.col("km_missing"), F.col("km_known"))
-    rate = F.round(F.sum(scaled * weight) / F.sum(weight), 2)
+    rate = money(F.sum(scaled * weight) / F.sum(weight))
     return near.groupBy("vendor_id", F.col("missing").alias("origin"), "dest").agg(rate.alias("rate")).withColumn("estimated", F.lit(True))
 
 
@@ -148,7 +153,7 @@ def fill_dest_gaps(matrix: DataFrame) -> DataFrame:
     best = pairs.groupBy(*key, "to", "lo", "hi", "top", "km").agg(F.min_by(F.struct("rate", "km_ref"), F.struct(F.abs(F.col("km_ref") - F.col("km")).alias("gap"), "dest")).alias("ref"))
     cap = F.when(F.col("to").startswith("X"), F.greatest(F.col("hi") * 2, F.col("top"))).otherwise(F.col("hi"))
     scaled = F.greatest(F.col("lo"), F.least(cap, F.col("ref.rate") * (0.7 + 0.3 * F.col("km") / F.col("ref.km_ref"))))
-    rate = F.round(F.when(F.col("ref.km_ref") > 0, scaled).otherwise(F.col("ref.rate")), 2)
+    rate = money(F.when(F.col("ref.km_ref") > 0, scaled).otherwise(F.col("ref.rate")))
     return best.select(*key, F.col("to").alias("dest"), rate.alias("rate")).withColumn("estimated", F.lit(True))
 
 
@@ -160,8 +165,8 @@ def extrapolate(matrix: DataFrame, base: DataFrame) -> DataFrame:
     limits = full.where("rate > 0").groupBy("vendor_id").agg(F.min("rate").alias("lo"), F.max("rate").alias("hi"))
     dist = zone_distances(spark)
     cells = full.join(dist.toDF("origin", "dest", "km_base"), ["origin", "dest"]).join(dist.toDF("from", "dest", "km_from"), "dest").where("from <> origin").join(limits, "vendor_id")
-    scaled = F.round(F.col("rate") * _damped(F.col("km_from"), F.col("km_base")), 2)
-    rate = F.when(F.col("km_base") < 1, F.round("rate", 2)).otherwise(F.round(F.greatest(F.col("lo") * 0.8, F.least(F.col("hi") * 2.5, scaled)), 2))
+    scaled = money(F.col("rate") * _damped(F.col("km_from"), F.col("km_base")))
+    rate = F.when(F.col("km_base") < 1, money(F.col("rate"))).otherwise(money(F.greatest(F.col("lo") * 0.8, F.least(F.col("hi") * 2.5, scaled))))
     return cells.select("vendor_id", F.col("from").alias("origin"), "dest", rate.alias("rate")).withColumn("estimated", F.lit(True))
 
 
@@ -188,10 +193,10 @@ def quotes(lanes: DataFrame, matrix: DataFrame, master: DataFrame) -> DataFrame:
         "origin",
         "dest",
         status.alias("status"),
-        F.round(base, 2).alias("base"),
-        F.round(base * 0.3, 2).alias("fuel"),
-        F.round(base * 1.3 * 0.18, 2).alias("gst"),
-        F.round(base * 1.3 * 1.18, 2).alias("total"),
+        money(base).alias("base"),
+        money(base * 0.3).alias("fuel"),
+        money(base * 1.3 * 0.18).alias("gst"),
+        money(base * 1.3 * 1.18).alias("total"),
     )
 
 

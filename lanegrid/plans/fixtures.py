@@ -92,6 +92,18 @@ SQL = {
 }
 
 
+def _rounded(text: str) -> str:
+    """Replaces ``round2(x)`` by the library's rounding to two digits."""
+    while (at := text.rfind("round2(")) >= 0:
+        start = end = at + len("round2(")
+        depth = 1
+        while depth:
+            depth += (text[end] == "(") - (text[end] == ")")
+            end += 1
+        text = f"{text[:at]}(floor(({text[start : end - 1]}) * 100 + 0.500001::DOUBLE) / 100){text[end:]}"
+    return text
+
+
 def sql(body: str, **more: str) -> str:
     """``body`` over the views; ``more`` adds further ones."""
-    return "WITH " + ",\n".join(f"{name} AS ({text})" for name, text in {**SQL, **more}.items()) + "\n" + body
+    return _rounded("WITH " + ",\n".join(f"{name} AS ({text})" for name, text in {**SQL, **more}.items()) + "\n" + body)

@@ -60,12 +60,16 @@ def pin_sheet(spark, d):
     return sheet(rows, "pincodes", ["pincode", "claimed_zone"], cells, [["Serviceable pincodes"], ["Pincode", "State", "Zone", "ODA", "Delivery Status"]])
 
 
-@query("detect_long_matrix", "SELECT vendor_id, 'rates' AS sheet, origin, dest, rate FROM matrix WHERE rate > 0", matrix=MATRIX)
+#: Sheets with fewer than three origins are no matrix.
+MANY = "SELECT * FROM matrix WHERE rate > 0 AND vendor_id IN (SELECT vendor_id FROM matrix WHERE rate > 0 GROUP BY vendor_id HAVING count(DISTINCT origin) >= 3)"
+
+
+@query("detect_long_matrix", "SELECT vendor_id, 'rates' AS sheet, origin, dest, rate FROM many", matrix=MATRIX, many=MANY)
 def detect_long_matrix(spark, d):
     return op.long_matrix(long_sheet(spark, d))
 
 
-@query("detect_wide_matrix", "SELECT vendor_id, 'zone matrix' AS sheet, origin, dest, rate FROM matrix WHERE rate > 0", matrix=MATRIX)
+@query("detect_wide_matrix", "SELECT vendor_id, 'zone matrix' AS sheet, origin, dest, rate FROM many", matrix=MATRIX, many=MANY)
 def detect_wide_matrix(spark, d):
     return op.wide_matrix(wide_sheet(spark, d))
 
@@ -80,7 +84,7 @@ def detect_pincode_list(spark, d):
 
 @query(
     "hub_key_join",
-    "SELECT CAST(s_suppkey % 4 AS INT) AS vendor_id, s_suppkey AS supplier, list_extract(z, CAST(s_nationkey % 20 + 1 AS INT)) AS zone FROM supplier, (SELECT list(zone ORDER BY zone_order) AS z FROM zones)",
+    "SELECT CAST(s_suppkey % 4 AS INT) AS vendor_id, s_suppkey AS supplier, list_extract(z, CAST(s_nationkey % 20 + 1 AS INT)) AS zone FROM supplier, (SELECT list(zone ORDER BY zone_order) AS z FROM zones) WHERE s_suppkey % 4 IN (SELECT s_suppkey % 4 FROM supplier GROUP BY ALL HAVING count(DISTINCT s_nationkey) >= 3)",
 )
 def hub_key_join(spark, d):
     """A hub key sheet per vendor, from suppliers' nations; suppliers get their hub's zone."""
@@ -135,7 +139,7 @@ def classify_header_row(spark, d):
 
 @query(
     "pincode_grounded_matrix",
-    "SELECT vendor_id, 'pin rates' AS sheet, origin, m.zone AS dest, round(median(5 + zone_order * 0.5 + pincode % 7), 2) AS rate FROM (SELECT DISTINCT vendor_id, pincode FROM claims) c JOIN master m USING (pincode) CROSS JOIN (SELECT zone AS origin, zone_order FROM zones WHERE zone_order < 4) GROUP BY ALL".replace("GROUP BY ALL", "GROUP BY vendor_id, origin, m.zone"),
+    "SELECT vendor_id, 'pin rates' AS sheet, origin, m.zone AS dest, round2(median(5 + zone_order * 0.5 + pincode % 7)) AS rate FROM (SELECT DISTINCT vendor_id, pincode FROM claims) c JOIN master m USING (pincode) CROSS JOIN (SELECT zone AS origin, zone_order FROM zones WHERE zone_order < 4) GROUP BY ALL".replace("GROUP BY ALL", "GROUP BY vendor_id, origin, m.zone"),
 )
 def pincode_grounded_matrix(spark, d):
     rows = claims(spark, d).select("vendor_id", "pincode").distinct()
@@ -263,7 +267,7 @@ def extract_company_rows(spark, d):
     return wide.where("companyName is not null or contactPhone is not null")
 
 
-@query("sheet_dispatch", "SELECT vendor_id, 'zone matrix' AS sheet, 1 AS detector, origin, dest, rate FROM matrix", matrix=MATRIX)
+@query("sheet_dispatch", "SELECT vendor_id, 'zone matrix' AS sheet, 1 AS detector, origin, dest, rate FROM many", matrix=MATRIX, many=MANY)
 def sheet_dispatch(spark, d):
     wide = op.wide_matrix(wide_sheet(spark, d)).withColumn("detector", F.lit(1))
     return op.dispatch(wide.unionByName(op.long_matrix(long_sheet(spark, d)).withColumn("detector", F.lit(0))))
@@ -308,7 +312,7 @@ def segment_rows(spark, d):
     return op.switch_categories(windows.select(*op.KEY, "window", "category", "confidence"))
 
 
-CITY = """SELECT vendor_id, dest_zone AS dest, round(CASE WHEN max(rate) - min(rate) <= 5 THEN max(rate) ELSE avg(rate) END, 2) AS rate FROM (SELECT CAST(c_custkey % 9 AS INT) AS vendor_id, p.zone AS dest_zone, CAST(5 + c_custkey % 13 AS DOUBLE) AS rate
+CITY = """SELECT vendor_id, dest_zone AS dest, round2(CASE WHEN max(rate) - min(rate) <= 5 THEN max(rate) ELSE avg(rate) END) AS rate FROM (SELECT CAST(c_custkey % 9 AS INT) AS vendor_id, p.zone AS dest_zone, CAST(5 + c_custkey % 13 AS DOUBLE) AS rate
     FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN places p ON p.name = upper(n_name)) GROUP BY vendor_id, dest_zone"""
 
 
@@ -330,7 +334,7 @@ def detect_city_matrix(spark, d):
     return rate_op.drop_air(rate_op.pick_rate(zoned, 5.0, inclusive=True)).where("rate between 0.5 and 500")
 
 
-@query("detect_station_rates", "SELECT vendor_id, dest, round(CASE WHEN max(rate) - min(rate) <= 5 THEN max(rate) ELSE avg(rate) END, 2) AS rate FROM (SELECT c.vendor_id, m.zone AS dest, CAST(2 + c.pincode % 9 AS DOUBLE) AS rate FROM claims c JOIN master m USING (pincode)) GROUP BY vendor_id, dest")
+@query("detect_station_rates", "SELECT vendor_id, dest, round2(CASE WHEN max(rate) - min(rate) <= 5 THEN max(rate) ELSE avg(rate) END) AS rate FROM (SELECT c.vendor_id, m.zone AS dest, CAST(2 + c.pincode % 9 AS DOUBLE) AS rate FROM claims c JOIN master m USING (pincode)) GROUP BY vendor_id, dest")
 def detect_station_rates(spark, d):
     """Pincode and rate rows of one origin: the rate of a zone by the spread of its pincodes' rates."""
     rows = claims(spark, d).join(master(spark, d).select("pincode", F.col("zone").alias("dest")), "pincode")

@@ -21,7 +21,7 @@ def query(name: str, oracle: str | None, **views: str):
     return register
 
 
-PICK = "SELECT vendor_id, origin, dest, round(CASE WHEN count(*) = 1 OR max(rate) - min(rate) {test} THEN max(rate) ELSE avg(rate) END, 2) AS rate FROM rates GROUP BY ALL"
+PICK = "SELECT vendor_id, origin, dest, round2(CASE WHEN count(*) = 1 OR max(rate) - min(rate) {test} THEN max(rate) ELSE avg(rate) END) AS rate FROM rates GROUP BY ALL"
 MATRIX = PICK.format(test="<= 5").replace("GROUP BY ALL", "GROUP BY vendor_id, origin, dest")
 #: A matrix with gaps, for the operators that fill them.
 SPARSE = "SELECT vendor_id, origin, dest, rate FROM matrix WHERE origin NOT IN ('N2', 'E2', 'X3') AND dest NOT IN ('S4', 'W2', 'X1') AND origin <> 'W3' AND dest <> 'W3'"
@@ -49,14 +49,14 @@ def rate_conflict_5(spark, d):
     return _matrix(spark, d)
 
 
-@query("rate_median", "SELECT vendor_id, origin, dest, round(median(rate), 2) AS rate FROM rates GROUP BY vendor_id, origin, dest")
+@query("rate_median", "SELECT vendor_id, origin, dest, round2(median(rate)) AS rate FROM rates GROUP BY vendor_id, origin, dest")
 def rate_median(spark, d):
     return op.median_rate(rates(spark, d))
 
 
 @query(
     "rate_mode",
-    """SELECT vendor_id, round(min(rate), 2) AS min_rate, round(max(rate), 2) AS max_rate, round(avg(rate), 2) AS avg_rate,
+    """SELECT vendor_id, round2(min(rate)) AS min_rate, round2(max(rate)) AS max_rate, round2(avg(rate)) AS avg_rate,
        CASE WHEN min(rate) > 60 THEN 'air' WHEN min(rate) > 30 THEN 'effective' WHEN max(rate) > 200 THEN 'mixed' ELSE 'road' END AS mode FROM scaled GROUP BY vendor_id""",
     scaled="SELECT vendor_id, rate * CASE vendor_id WHEN 1 THEN 7 WHEN 2 THEN 13 WHEN 3 THEN 11 ELSE 1 END - CASE vendor_id WHEN 3 THEN 40 ELSE 0 END AS rate FROM rates",
 )
@@ -152,7 +152,7 @@ def nearest_origins(spark, d):
 
 @query(
     "fill_missing_origins",
-    f"""SELECT n.vendor_id, n.missing AS origin, s.dest, round(sum(s.rate * {DAMPED.format(far='m.km', near='k.km')} / (n.km + 1)) / sum(1 / (n.km + 1)), 2) AS rate, TRUE AS estimated
+    f"""SELECT n.vendor_id, n.missing AS origin, s.dest, round2(sum(s.rate * {DAMPED.format(far='m.km', near='k.km')} / (n.km + 1)) / sum(1 / (n.km + 1))) AS rate, TRUE AS estimated
         FROM nearest n JOIN sparse s ON s.vendor_id = n.vendor_id AND s.origin = n.known JOIN dist m ON m.a = n.missing AND m.b = s.dest JOIN dist k ON k.a = n.known AND k.b = s.dest GROUP BY n.vendor_id, n.missing, s.dest""",
     matrix=MATRIX, sparse=SPARSE, dist=DIST, nearest=NEAREST,
 )
@@ -160,7 +160,7 @@ def fill_missing_origins(spark, d):
     return op.fill_missing_origins(_sparse(spark, d))
 
 
-GAPS = """SELECT vendor_id, origin, dest, round(CASE WHEN ref_km > 0 THEN greatest(lo, least(CASE WHEN starts_with(dest, 'X') THEN greatest(hi * 2, top) ELSE hi END, ref_rate * (0.7 + 0.3 * km / ref_km))) ELSE ref_rate END, 2) AS rate FROM (
+GAPS = """SELECT vendor_id, origin, dest, round2(CASE WHEN ref_km > 0 THEN greatest(lo, least(CASE WHEN starts_with(dest, 'X') THEN greatest(hi * 2, top) ELSE hi END, ref_rate * (0.7 + 0.3 * km / ref_km))) ELSE ref_rate END) AS rate FROM (
     SELECT b.vendor_id, b.origin, t.b AS dest, lo, hi, top, t.km, r.km AS ref_km, s.rate AS ref_rate, row_number() OVER (PARTITION BY b.vendor_id, b.origin, t.b ORDER BY abs(r.km - t.km), s.dest) AS place
     FROM (SELECT vendor_id, origin, coalesce(min(rate) FILTER (WHERE NOT starts_with(dest, 'X')), min(rate)) AS lo, coalesce(max(rate) FILTER (WHERE NOT starts_with(dest, 'X')), max(rate)) AS hi, max(rate) AS top FROM {m} GROUP BY ALL) b
     JOIN dist t ON t.a = b.origin JOIN {m} s ON s.vendor_id = b.vendor_id AND s.origin = b.origin JOIN dist r ON r.a = b.origin AND r.b = s.dest
@@ -174,7 +174,7 @@ def fill_dest_gaps(spark, d):
 
 @query(
     "extrapolate_matrix",
-    f"""SELECT w.vendor_id, f.a AS origin, w.dest, CASE WHEN b.km < 1 THEN round(rate, 2) ELSE round(greatest(lo * 0.8, least(hi * 2.5, round(rate * {DAMPED.format(far='f.km', near='b.km')}, 2))), 2) END AS rate, TRUE AS estimated
+    f"""SELECT w.vendor_id, f.a AS origin, w.dest, CASE WHEN b.km < 1 THEN round2(rate) ELSE round2(greatest(lo * 0.8, least(hi * 2.5, round2(rate * {DAMPED.format(far='f.km', near='b.km')})))) END AS rate, TRUE AS estimated
         FROM whole w JOIN dist b ON b.a = w.origin AND b.b = w.dest JOIN dist f ON f.b = w.dest AND f.a <> w.origin
         JOIN (SELECT vendor_id, min(rate) AS lo, max(rate) AS hi FROM whole GROUP BY vendor_id) l ON l.vendor_id = w.vendor_id""",
     matrix=MATRIX, sparse=SPARSE, dist=DIST, one="SELECT s.* FROM sparse s JOIN (SELECT vendor_id, min(origin) AS origin FROM sparse GROUP BY vendor_id) USING (vendor_id, origin)",
@@ -201,7 +201,7 @@ def estimate_rate(spark, d):
 @query(
     "lane_quote",
     """SELECT l.*, a.zone AS origin, b.zone AS dest, CASE WHEN a.zone IS NULL OR b.zone IS NULL THEN 'unknown_zone' WHEN rate IS NULL THEN 'no_rate' ELSE 'ok' END AS status,
-       round(rate * weight, 2) AS base, round(rate * weight * 0.3, 2) AS fuel, round(rate * weight * 1.3 * 0.18, 2) AS gst, round(rate * weight * 1.3 * 1.18, 2) AS total
+       round2(rate * weight) AS base, round2(rate * weight * 0.3) AS fuel, round2(rate * weight * 1.3 * 0.18) AS gst, round2(rate * weight * 1.3 * 1.18) AS total
        FROM lanes l LEFT JOIN master a ON a.pincode = from_pin LEFT JOIN master b ON b.pincode = to_pin LEFT JOIN matrix m ON m.vendor_id = l.vendor_id AND m.origin = a.zone AND m.dest = b.zone""",
     matrix=MATRIX,
     lanes="SELECT vendor_id, pincode AS from_pin, CAST(CASE WHEN pincode % 10 = 9 THEN pincode - 8 ELSE pincode + 1 END AS INT) AS to_pin, CAST(8 * (1 + pincode % 5) AS DOUBLE) AS weight FROM (SELECT DISTINCT vendor_id, pincode FROM claims)",
