@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lanegrid.functions import charges as fn
+from lanegrid.operators import labels
 
 ALIASES = {"fuelSurcharge": "fuel", "docketCharge": "docketCharges"}
 
@@ -60,3 +61,12 @@ def enabled(merged: DataFrame) -> DataFrame:
 def from_source(candidates: DataFrame) -> DataFrame:
     """(vendor_id, fields): fields for which any source has a value, by their canonical name."""
     return canonical_fields(candidates).where("charge is not null").groupBy("vendor_id").agg(F.array_sort(F.collect_set("field")).alias("fields"))
+
+
+def inline(cells: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """Charges written in one cell, such as ``Fuel Surcharge-20%``: (keys of ``cells``, field, v, f) of labels that the dictionary knows."""
+    pattern = r"^\s*([A-Za-z][A-Za-z .()/]*?)\s*[-:=–]+\s*(.*\d.*)$"
+    parts = cells.withColumns({"label": F.nullif(F.trim(F.regexp_extract("cell", pattern, 1)), F.lit("")), "_rest": F.regexp_extract("cell", pattern, 2)})
+    found = labels.match(parts, dictionary).select("label", F.col("value").alias("field"))
+    pair = parts.join(found, "label").withColumn("_vf", fn.parse_vf(F.col("_rest")))
+    return pair.select(*[c for c in cells.columns if c != "cell"], "field", "_vf.v", "_vf.f")

@@ -228,3 +228,25 @@ def coverage_stats(coverage: DataFrame, master: DataFrame) -> DataFrame:
         .join(total, "region", "left")
         .withColumn("percent", F.round(F.col("served") * 100 / F.col("region_total"), 2))
     )
+
+
+def fullest_blocks(blocks: DataFrame) -> DataFrame:
+    """Of the serviceability blocks (vendor_id, piece, zone, ...) of a vendor the one with most zones; the first of equals."""
+    zones = F.size(F.collect_set("zone").over(Window.partitionBy("vendor_id", "piece")))
+    first = F.dense_rank().over(Window.partitionBy("vendor_id").orderBy(F.desc("_n"), "piece"))
+    return blocks.withColumn("_n", zones).withColumn("_r", first).where("_r = 1").drop("_n", "_r")
+
+
+def normalize_service(rows: DataFrame) -> DataFrame:
+    """Zone entries in either spelling of their fields, in the canonical one; unknown zones are dropped, unknown modes are not served."""
+    table = F.create_map(*[F.lit(x) for pair in dims.MODES.items() for x in pair])
+    mode = F.coalesce(table[F.col("mode")], F.lit("NOT_SERVED"))
+    some = lambda *names: F.coalesce(*[F.when(F.size(n) > 0, F.col(n)) for n in names])
+    return rows.where(F.col("zone").isin(dims.ZONES)).select(
+        "vendor_id",
+        "zone",
+        mode.alias("mode"),
+        F.when(mode == "FULL_MINUS_EXCEPT", some("exceptRanges", "excludedRanges")).alias("except_ranges"),
+        F.when(mode == "ONLY_SERVED", some("servedRanges", "includedRanges")).alias("served_ranges"),
+        F.coalesce("totalInZone", "totalCount", F.lit(0)).alias("total"),
+    )

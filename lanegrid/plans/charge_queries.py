@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lanegrid.functions import charges as fn
 from lanegrid.operators import charges as op
+from lanegrid.operators import labels
 from lanegrid.plans.fixtures import sql
 from lanegrid.runtime import table
 
@@ -238,3 +239,19 @@ def extraction_confidence(spark, d):
     k = F.col("s_suppkey")
     source = F.element_at(F.array(*map(F.lit, fn.SOURCE_CONFIDENCE)), (k % 4 + 1).cast("int"))
     return table(spark, d, "supplier").select("s_suppkey", fn.extraction_confidence(source, k % 17, k % 2 == 1).alias("confidence"))
+
+
+_LABELS = list(labels.CHARGE_LABELS)
+_LABEL_SQL = "[" + ", ".join(f"'{k}'" for k in _LABELS) + "]"
+
+
+@query(
+    "inline_charge",
+    f"""SELECT p_partkey, k.field, CASE WHEN p_partkey % 2 = 0 THEN CAST(p_size AS DOUBLE) END AS v, CASE WHEN p_partkey % 2 = 1 THEN CAST(p_size AS DOUBLE) END AS f
+        FROM part JOIN (SELECT * FROM (VALUES {", ".join(f"('{k}', '{v}')" for k, v in labels.CHARGE_LABELS.items())}) t(known, field)) k ON k.known = {_LABEL_SQL}[p_partkey % {len(_LABELS)} + 1] WHERE p_partkey % 5 <> 0""",
+)
+def inline_charge(spark, d):
+    k, size = F.col("p_partkey"), F.col("p_size")
+    label = F.initcap(F.element_at(F.array(*map(F.lit, _LABELS)), (k % len(_LABELS) + 1).cast("int")))
+    cell = F.when(k % 5 == 0, F.col("p_name")).when(k % 2 == 0, F.concat(label, F.lit("-"), size, F.lit("%"))).otherwise(F.concat(label, F.lit(" : Rs "), size))
+    return op.inline(table(spark, d, "part").select("p_partkey", cell.alias("cell")), labels.dictionary(spark))

@@ -559,3 +559,41 @@ def topk_reports(spark, d):
 def sorted_outputs(spark, d):
     return claims(spark, d).groupBy("vendor_id").agg(F.array_join(F.array_sort(F.collect_set("claimed_zone")), " ").alias("active_zones"))
 
+
+
+@query(
+    "merge_serviceability",
+    """SELECT vendor_id, piece, zone, n FROM (SELECT *, dense_rank() OVER (PARTITION BY vendor_id ORDER BY zones DESC, piece) AS r FROM (SELECT b.*, z.zones FROM blocks b JOIN (SELECT vendor_id, piece, count(DISTINCT zone) AS zones FROM blocks GROUP BY ALL) z
+       ON z.vendor_id = b.vendor_id AND z.piece = b.piece)) WHERE r = 1""",
+    blocks="SELECT vendor_id, CAST(pincode % 3 AS INT) AS piece, claimed_zone AS zone, count(*) AS n FROM claims WHERE NOT (pincode % 3 = 0 AND claimed_zone IN ('N1', 'C1')) GROUP BY ALL",
+)
+def merge_serviceability(spark, d):
+    rows = claims(spark, d).withColumn("piece", F.col("pincode") % 3).where(~((F.col("piece") == 0) & F.col("claimed_zone").isin("N1", "C1")))
+    return cov.fullest_blocks(rows.groupBy("vendor_id", "piece", F.col("claimed_zone").alias("zone")).agg(F.count("*").alias("n")))
+
+
+@query(
+    "normalize_serviceability",
+    """SELECT vendor_id, zone, CASE i % 4 WHEN 0 THEN 'FULL_MINUS_EXCEPT' WHEN 1 THEN 'ONLY_SERVED' WHEN 2 THEN 'ONLY_SERVED' ELSE 'NOT_SERVED' END AS mode, CASE WHEN i % 4 = 0 THEN lo || '-' || hi END AS except_ranges,
+       CASE WHEN i % 4 IN (1, 2) THEN lo || '-' || hi END AS served_ranges, CASE WHEN i % 4 = 2 THEN 0 ELSE hi - lo END AS total FROM entries WHERE zone <> 'Q9'""",
+    entries="SELECT vendor_id, CASE WHEN claimed_zone = 'C2' THEN 'Q9' ELSE claimed_zone END AS zone, min(pincode) % 7 AS i, min(pincode) AS lo, max(pincode) AS hi FROM claims GROUP BY ALL",
+)
+def normalize_serviceability(spark, d):
+    z = F.col("claimed_zone")
+    entries = claims(spark, d).groupBy("vendor_id", F.when(z == "C2", "Q9").otherwise(z).alias("zone")).agg((F.min("pincode") % 7).alias("i"), F.min("pincode").alias("lo"), F.max("pincode").alias("hi"))
+    i = F.col("i") % 4
+    one = F.array(F.struct(F.col("lo").alias("s"), F.col("hi").alias("e")))
+    size = F.col("hi") - F.col("lo")
+    raw = entries.select(
+        "vendor_id",
+        "zone",
+        F.when(i == 0, "EXCLUDING").when(i == 1, "INCLUDING").when(i == 2, "ONLY_SERVED").otherwise("odd").alias("mode"),
+        F.when(i > 3, one).alias("exceptRanges"),
+        F.when(i == 0, one).alias("excludedRanges"),
+        F.when(i == 2, one).alias("servedRanges"),
+        F.when(i == 1, one).alias("includedRanges"),
+        F.when(i == 0, size).alias("totalInZone"),
+        F.when(i.isin(1, 3), size).alias("totalCount"),
+    )
+    text = lambda c: F.array_join(F.transform(c, lambda r: F.concat_ws("-", r["s"], r["e"])), ",").alias(c)
+    return cov.normalize_service(raw).select("vendor_id", "zone", "mode", text("except_ranges"), text("served_ranges"), "total")

@@ -93,7 +93,7 @@ def test_learning_step_promotes_after_three_confirmations():
 
 
 def test_classify_filename(spark):
-    names = {"TCI Freight Proposal.pdf": "company_details", "pincode_list.xlsx": "zone_data", "Book2 cade rate.xlsx": "zone_data", "fuel-surcharge.pdf": "charges", "scan.png": "company_details", "qqq.xlsx": "charges"}
+    names = {"Alpha Freight Proposal.pdf": "company_details", "pincode_list.xlsx": "zone_data", "Book2 cade rate.xlsx": "zone_data", "fuel-surcharge.pdf": "charges", "scan.png": "company_details", "qqq.xlsx": "charges"}
     df = spark.createDataFrame([(n,) for n in names], "n string")
     assert {r["n"]: r["k"] for r in df.select("n", documents.classify_filename(F.col("n")).alias("k")).collect()} == names
 
