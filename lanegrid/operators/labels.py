@@ -50,46 +50,48 @@ def match(labels: DataFrame, known: DataFrame, least: float = 0.6, learned: Data
     """(label, value, confidence, method) of distinct labels by the first layer that matches.
 
     Layers: learned, exact, without noise words, contained (lengths within 0.7), common words
-    (0.7), and similar spelling by a pandas UDF. Each layer sees only what is left. ``known`` is a
-    dictionary of fixed size and is broadcast.
+    (0.7), and similar spelling by a pandas UDF, which sees only what the others leave. ``known``
+    is a dictionary of fixed size, broadcast against the distinct labels in one pass.
     """
-    todo = labels.select("label").where("label is not null").distinct().withColumn("n", normalise(F.col("label"))).withColumn("plain", normalise(strip_noise(F.col("n"))))
-    known = F.broadcast(known)
-    done = []
-
-    def layer(hits: DataFrame, confidence: Column, method: str) -> None:
-        nonlocal todo
-        hits = hits.select("label", "value", confidence.cast("double").alias("confidence"), F.lit(method).alias("method"))
-        done.append(hits)
-        todo = todo.join(hits.select("label"), "label", "left_anti")
-
-    first = lambda rows, order: rows.groupBy("label").agg(F.min_by(F.struct("value", *[c for c in ("score",) if c in rows.columns]), order).alias("b")).select("label", "b.*")
+    asked = labels.select("label").where("label is not null").distinct().withColumn("n", normalise(F.col("label"))).withColumn("plain", normalise(strip_noise(F.col("n"))))
+    asked = asked.withColumn("words", tokens(F.col("n")))
     if learned is not None:
-        layer(todo.join(learned.select(F.lower(F.trim("raw")).alias("raw"), F.col("canonical").alias("value")), F.lower(F.trim("label")) == F.col("raw")), F.lit(1.0), "learned")
-    layer(todo.join(known, F.col("n") == F.col("known")), F.lit(1.0), "exact")
-    layer(todo.join(known, F.col("plain") == F.col("known")), F.lit(0.95), "normalised")
-    shorter, longer = F.least(F.length("n"), F.length("known")), F.greatest(F.length("n"), F.length("known"))
-    inside = todo.join(known, (F.contains("n", "known") | F.contains("known", "n")) & (F.col("n") != "") & (shorter / longer >= 0.7))
-    layer(first(inside, F.col("dim_order")), F.lit(0.85), "substring")
-    a, b = tokens(F.col("n")), tokens(F.col("known"))
-    common = todo.join(known, F.arrays_overlap(a, b)).withColumn("score", F.size(F.array_intersect(a, b)) / F.greatest(F.size(a), F.size(b))).where("score >= 0.7")
-    layer(first(common, F.struct(-F.col("score"), "dim_order")), F.lit(0.75), "token")
+        taught = learned.select(F.lower(F.trim("raw")).alias("raw"), F.col("canonical").alias("taught")).dropDuplicates(["raw"])
+        asked = asked.join(taught, F.lower(F.trim("label")) == F.col("raw"), "left").drop("raw")
+    else:
+        asked = asked.withColumn("taught", F.lit(None).cast("string"))
+    own = tokens(F.col("known"))
+    common = F.size(F.array_intersect("words", own)) / F.greatest(F.size("words"), F.size(own), F.lit(1))
+    close = F.least(F.length("n"), F.length("known")) / F.greatest(F.length("n"), F.length("known"), F.lit(1)) >= 0.7
+    inside = (F.col("n") != "") & (F.contains("n", "known") | F.contains("known", "n")) & close
+    layer = (
+        F.when(F.col("taught").isNotNull(), 0).when(F.col("n") == F.col("known"), 1).when(F.col("plain") == F.col("known"), 2).when(inside, 3).when(common >= 0.7, 4)
+    )
+    pairs = asked.join(F.broadcast(known)).withColumns({"layer": layer, "common": F.when(layer == 4, common).otherwise(0.0)})
+    order = F.struct("layer", -F.col("common"), "dim_order")
+    best = pairs.groupBy("label", "n").agg(F.min_by(F.struct(F.coalesce("taught", "value").alias("value"), "layer"), F.when(F.col("layer").isNotNull(), order)).alias("b"))
+    best = best.select("label", "n", F.when(F.col("b.layer").isNotNull(), F.col("b")).alias("b"))
 
     names = {r["known"]: r["value"] for r in known.collect()}  # the dictionary: a fixed few dozen rows
 
     def closest(batch: pd.Series) -> pd.DataFrame:
         out = []
         for n in batch:
-            near = difflib.get_close_matches(n, list(names), n=1, cutoff=0.6) if len(n) >= 5 else []
+            near = difflib.get_close_matches(n, list(names), n=1, cutoff=0.6) if n and len(n) >= 5 else []
             out.append((names[near[0]], round(difflib.SequenceMatcher(None, n, near[0]).ratio() * 0.9, 3)) if near else (None, None))
         return pd.DataFrame(out, columns=["value", "confidence"])
 
-    similar = todo.withColumn("m", F.pandas_udf(closest, "value string, confidence double")("n")).select("label", "m.value", "m.confidence").where(F.col("confidence") >= least)
-    layer(similar, F.col("confidence"), "fuzzy")
-    out = done[0]
-    for more in done[1:]:
-        out = out.unionByName(more)
-    return out
+    left = F.when(F.col("b").isNull(), F.col("n"))
+    found = best.withColumn("m", F.pandas_udf(closest, "value string, confidence double")(left))
+    at = F.col("b.layer")
+    sure = lambda values: F.get(F.array(*map(F.lit, values)), at)
+    out = found.select(
+        "label",
+        F.coalesce("b.value", "m.value").alias("value"),
+        F.coalesce(sure([1.0, 1.0, 0.95, 0.85, 0.75]), F.col("m.confidence")).alias("confidence"),
+        F.coalesce(sure(["learned", "exact", "normalised", "substring", "token"]), F.lit("fuzzy")).alias("method"),
+    )
+    return out.where(F.col("value").isNotNull() & ((F.col("method") != "fuzzy") | (F.col("confidence") >= least)))
 
 
 def fold_events(events: DataFrame) -> DataFrame:
