@@ -147,7 +147,7 @@ def stream_learning_state(spark, d):
 
 COMPANIES = {"alpha": ["the", "hea"], "beta": ["idiot", "clown"], "gamma": ["der", "die"], "delta": ["los", "que"]}
 _COMPANY = "SELECT * FROM (VALUES " + ", ".join(f"('{c}', {a})" for c, a in COMPANIES.items()) + ") t(company, aliases)"
-FOUND = """SELECT doc_id, arg_min(company, (-score, company)) AS company, max(score) AS score FROM (SELECT doc_id, company, round(least(0.99, len(list_filter(aliases, lambda a: contains(lower(coalesce(text, '')), a))) * 0.4 + CASE WHEN source = 'src1' AND company = 'alpha' THEN 0.3 ELSE 0 END), 2) AS score
+FOUND = """SELECT doc_id, arg_min(company, (-score, company)) AS company, CAST(max(score) AS DOUBLE) AS score FROM (SELECT doc_id, company, round(least(0.99, len(list_filter(aliases, lambda a: contains(lower(coalesce(text, '')), a))) * 0.4 + CASE WHEN source = 'src1' AND company = 'alpha' THEN 0.3 ELSE 0 END), 2) AS score
     FROM documents CROSS JOIN companies) WHERE score > 0 GROUP BY doc_id"""
 
 
@@ -227,7 +227,7 @@ def list_source_files(spark, d):
     return files.list_files(spark, path).groupBy("extension").agg(F.count_distinct(F.regexp_extract("file", r"part=(\d+)", 1)).alias("files"))
 
 
-@query("text_to_grid", r"SELECT doc_id, i AS row_idx, CAST(len(c) AS INT) AS n, c[1] AS first FROM (SELECT doc_id, i, list_filter(list_transform(string_split_regex(line, '\t| {2,}|\|'), lambda x: trim(x)), lambda x: x <> '') AS c FROM (SELECT doc_id, i, l[i + 1] AS line FROM (SELECT doc_id, l, unnest(range(0, len(l))) AS i FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents))) WHERE trim(line) <> '' AND NOT starts_with(trim(line), '---')) WHERE len(c) > 0")
+@query("text_to_grid", r"SELECT doc_id, CAST(i AS INT) AS row_idx, CAST(len(c) AS INT) AS n, c[1] AS first FROM (SELECT doc_id, i, list_filter(list_transform(string_split_regex(line, '\t| {2,}|\|'), lambda x: trim(x)), lambda x: x <> '') AS c FROM (SELECT doc_id, i, l[i + 1] AS line FROM (SELECT doc_id, l, unnest(range(0, len(l))) AS i FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents))) WHERE trim(line) <> '' AND NOT starts_with(trim(line), '---')) WHERE len(c) > 0")
 def text_to_grid(spark, d):
     return files.text_grid(table(spark, d, "documents")).select("doc_id", "row_idx", F.size("cells").alias("n"), F.get("cells", F.lit(0)).alias("first"))
 

@@ -103,7 +103,7 @@ BLOCKS = r"""SELECT doc_id, min(line_no) AS start_line, max(line_no) + 1 AS end_
     FROM (SELECT *, sum(CASE WHEN cut THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line_no) AS block FROM cut) WHERE NOT cut GROUP BY doc_id, block"""
 
 
-@query("segment_text", "SELECT doc_id, start_line, end_line, length(text) AS chars FROM blocks WHERE length(text) >= 40", lines=LINES, cut=CUT, blocks=BLOCKS)
+@query("segment_text", "SELECT doc_id, CAST(start_line AS INT) AS start_line, CAST(end_line AS INT) AS end_line, CAST(length(text) AS INT) AS chars FROM blocks WHERE length(text) >= 40", lines=LINES, cut=CUT, blocks=BLOCKS)
 def segment_text(spark, d):
     return op.segment(table(spark, d, "documents")).select("doc_id", "start_line", "end_line", F.length("text").alias("chars"))
 
