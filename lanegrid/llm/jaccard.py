@@ -107,7 +107,9 @@ def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in _parts(batches, "text"):
         own, hashes, n = shingle_sets(part.column("text"))
         size, name = signatures(own, hashes, n)
-        yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(size), pa.array(name), bitmaps(own, hashes, n)], ["doc_id", "n_shingles", "name", "bits"])
+        yield pa.RecordBatch.from_arrays(
+            [part.column("doc_id"), part.column("text_hash"), pa.array(size), pa.array(name), bitmaps(own, hashes, n)], ["doc_id", "text_hash", "n_shingles", "name", "bits"]
+        )
 
 
 def _emitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,7 +148,8 @@ class Join:
         self.docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
         self.scratch = scratch
         small_batches(docs.sparkSession)
-        self.named = scratch.save(self.docs.mapInArrow(_named, "doc_id long, n_shingles long, name long, bits array<long>"), "named")
+        hashed = self.docs.withColumn("text_hash", F.xxhash64("text"))
+        self.named = scratch.save(hashed.mapInArrow(_named, "doc_id long, text_hash long, n_shingles long, name long, bits array<long>"), "named")
 
     def prefixes(self) -> DataFrame:
         """(h, name, size, own): prefix shingles that other classes have too; own: the class's number of unshared ones."""
@@ -195,14 +198,26 @@ class Join:
         return pairs.join(tried, ["a", "b"], "left_anti")
 
     def fragments(self, pairs: DataFrame, name: str) -> DataFrame:
-        """(name, fragment, shingles) of the classes in ``pairs``, read from one document of each."""
+        """(name, fragment, shingles) of the classes in ``pairs``, each once, read from one document of each.
+
+        A class is read from its least (id, text hash). Only where that row itself is repeated
+        are copies of the text shuffled to keep one.
+        """
         wanted = pairs.select(F.explode(F.array("a", "b")).alias("name")).distinct()
-        ids = self.named.where("doc_id is not null").groupBy("name").agg(F.min("doc_id").alias("doc_id")).join(wanted, "name", "left_semi").select("doc_id")
+        rows = self.named.where("doc_id is not null").join(wanted, "name", "left_semi").groupBy("name", "doc_id", "text_hash").agg(F.count("*").alias("n"))
+        ids = rows.groupBy("name").agg(F.min(F.struct("doc_id", "text_hash", "n")).alias("one")).select("one.*")
         ids = self.scratch.save(ids, f"{name}_ids")
-        if ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-            ids = F.broadcast(ids)
-        cut = self.docs.join(ids, "doc_id").mapInArrow(_cut, "name long, fragment int, shingles array<long>")
-        return self.scratch.save(cut, f"{name}_cut")
+
+        def read(ids: DataFrame) -> DataFrame:
+            few = ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+            ids = ids.select("doc_id", "text_hash")
+            return self.docs.withColumn("text_hash", F.xxhash64("text")).join(F.broadcast(ids) if few else ids, ["doc_id", "text_hash"])
+
+        found = read(ids.where("n = 1"))
+        repeated = ids.where("n > 1")
+        if not repeated.isEmpty():
+            found = found.unionByName(read(repeated).dropDuplicates(["doc_id", "text_hash"]))
+        return self.scratch.save(found.select("text").mapInArrow(_cut, "name long, fragment int, shingles array<long>"), f"{name}_cut")
 
     def linked(self, pairs: DataFrame, name: str) -> DataFrame:
         """The pairs that link: overlaps counted per fragment and summed."""

@@ -129,6 +129,25 @@ def test_jaccard_near_copies_whose_pivot_is_a_copy(spark):
     assert got == brute.jaccard_components(dict(enumerate(texts)))
 
 
+def test_jaccard_links_of_repeated_rows(spark):
+    """Equal rows, and one id with several texts, make no pair more alike than its texts are."""
+    rng = random.Random(11)
+    texts = []
+    for share in (30, 60, 75, 114):  # words of 120 in common with the text before
+        base = prose(rng, 120).split()
+        texts += [" ".join(base), " ".join(base[:share] + prose(rng, 120 - share, "stuvwxyz").split())]
+    rows = [(i // 3, t) for i, t in enumerate(texts)] * 2 + [(90 + i, t) for i, t in enumerate(texts)] + [(0, texts[5])] * 3
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    component = brute.jaccard_components(dict(enumerate(texts)))
+    assert len(set(component.values())) == 7  # only the last two are near copies
+    least = {}
+    for i, t in rows:
+        of = component[texts.index(t)]
+        least[of] = min(i, least.get(of, i))
+    got = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard.join(df, Scratch(spark)).collect())
+    assert got == sorted((i, len(brute.shingles(t)), least[component[texts.index(t)]]) for i, t in rows)
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(40)] + [(100, 200), (300, 100), (7, 7)]
     got = {r["node"]: r["label"] for r in components.components(spark.createDataFrame(chain, "a long, b long"), Scratch(spark), "t").collect()}
