@@ -1,10 +1,11 @@
 """Personal data by anchor expansion.
 
-An Aho-Corasick automaton finds anchors (at-signs, URL schemes, identifier cues); digits and
-plus signs anchor numbers. From each anchor a local parser expands to the left and right and
-validates what it finds: e-mail addresses, IPv4 addresses, payment cards (Luhn), phone numbers,
-and, beyond these four base kinds, credentials in URLs, IBANs (mod 97) and values after cues
-such as ``token =`` or ``passport:``. The base kinds equal a leftmost non-overlapping match of
+An Aho-Corasick automaton finds anchors (at-signs, URL schemes, identifier cues). From each
+anchor a local parser expands to the left and right and validates what it finds: e-mail
+addresses, credentials in URLs, IBANs (mod 97) and values after cues such as ``token =`` or
+``passport:``. The number kinds are not anchored: IPv4 addresses, payment cards (Luhn) and phone
+numbers are found by patterns over the whole text, then validated. These and e-mail addresses
+are the four base kinds, which equal a leftmost non-overlapping match of
 their patterns; a candidate that fails its check is dropped without a retry.
 
 Defined results: a null text is empty and has no spans; offsets count code points; repeated
