@@ -5,6 +5,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,6 +26,17 @@ PIN_NAMES = ["pincode", "pin", "pin code", "postal code", "zip", "zipcode"]
 KV_WORDS = r"(?i)\b(?:dwb|docket|minimum|min|cod|dacc|fod|ngt|volumetric|fuel|handling|rov|fov|oda|insurance|topay|prepaid)\b"
 AIR = r"(?i)\bby\s*air\b|\bair\s*(?:freight|mode|rates?)\b"
 ROAD = r"(?i)\bby\s*(?:road|surface|ground)\b|\bsurface\s*(?:freight|mode|rates?)\b"
+CORNER = r"(?i)^\s*(?:from[/\\]?to|to[/\\]?from|from|to|origin[/\\]?dest(?:ination)?|o(?:rig)?[/\\]d(?:est)?|from\s*station|zone|lanes?|route)\s*$"
+DEST_HEADER = r"(?i)\b(?:destination|dest|to\s*city|city|location|consignee\s*city|deliver(?:y|ing)?\s*(?:city|location)?|hub|station|branch)\b"
+RATE_HEADER = r"(?i)\b(?:rate|rates?|charge|charges?|freight|per\s*kg|rs\.?/kg|pricing|amount|cost)\b"
+STATE_HEADER = r"(?i)\b(?:state|province|region)\b"
+ORIGIN_SIGNAL = r"(?i)\b(?:ex[:\s]+|from[:\s]+|origin[:\s]*|dispatching\s+from[:\s]+|base[:\s]+(?:city|location)[:\s]+)([A-Z][A-Z /&,.-]{2,40})"
+AIR_LABEL = r"(?i)\bby\s+air\b"
+ROAD_LABEL = r"(?i)\bby\s+(?:road|surface|ground|express)\b"
+RATE_UNITS = r"(?i)(?:rs\.?\s*|per\s*kg|/\s*kg)"
+#: Preference of a station sheet's rate columns, highest first: (score, words that the header has, words that it has not).
+STATION_RATES = [(6, ["out card"], []), (6, ["out_card"], []), (5, ["base", "rate"], []), (4, ["freight", "rate"], []), (3, ["surface"], []), (2, ["rate"], ["express", "topay", "to pay"]), (1, ["rate"], [])]
+DEFAULT_STATION = "OKL"
 # ----------------------------------------------------------------------------------------------
 
 
@@ -127,6 +140,138 @@ def place_zones(rows: DataFrame, places: DataFrame, place: str = "place") -> Dat
     return rows.withColumn("_asked", name).join(best, "_asked", "left").drop("_asked")
 
 
+def cell_zones(rows: DataFrame, column: str, places: DataFrame, master: DataFrame, into: str = "zones") -> DataFrame:
+    """Adds the zones of a cell: a zone code or region label, else a city or state of ``places``, else a pincode of ``master``; null for corner labels and others."""
+    asked = rows.select(F.upper(F.trim(column)).alias("_cell")).distinct().where((F.col("_cell") != "") & ~F.col("_cell").rlike(CORNER))
+    labels = F.broadcast(dims.label_zones(rows.sparkSession).select(F.col("label").alias("_cell"), F.col("zones").alias("_known")))
+    pins = master.select(F.lpad(F.col("pincode").cast("string"), 6, "0").alias("_cell"), F.col("zone").alias("_pin_zone")).dropDuplicates(["_cell"])
+    found = place_zones(asked, places, "_cell").join(labels, "_cell", "left").join(pins, "_cell", "left")
+    one = F.coalesce("zone", "_pin_zone")
+    found = found.select("_cell", F.coalesce("_known", F.when(one.isNotNull(), F.array(one))).alias(into)).where(F.col(into).isNotNull())
+    return rows.withColumn("_cell", F.upper(F.trim(column))).join(found, "_cell", "left").drop("_cell")
+
+
+def close_or_mean(samples: DataFrame, by: list[str]) -> DataFrame:
+    """(by, rate): the highest of samples within 5 of each other, else their mean."""
+    return samples.groupBy(*by).agg(money(F.when(F.max("rate") - F.min("rate") <= 5, F.max("rate")).otherwise(F.avg("rate"))).alias("rate"))
+
+
+def city_matrix(grid: DataFrame, places: DataFrame, master: DataFrame, context: list[str] | None = None, air_from: float = 60.0) -> DataFrame:
+    """(KEY, origin, dest, rate) of sheets with places across and down.
+
+    The header is the first of 20 rows with three or more cells that name zones, cities, states
+    or pincodes; origins stand left of its first such cell. A blank origin, or one that names a
+    user, means ``context`` (E1 unless given). Origins whose lowest rate is over ``air_from`` go,
+    unless all of a sheet's are.
+    """
+    top = grid.where("row_idx < 20").select(*KEY, "row_idx", F.posexplode("cells").alias("col", "cell"))
+    named = cell_zones(top, "cell", places, master).where("zones is not null")
+    by_row = named.groupBy(*KEY, "row_idx").agg(F.count("*").alias("n"), F.min("col").alias("first_col"), F.max("col").alias("last_col")).where("n >= 3")
+    head = by_row.groupBy(*KEY).agg(F.min("row_idx").alias("header_idx"), F.min_by("first_col", "row_idx").alias("first_col"), F.min_by("last_col", "row_idx").alias("last_col"))
+    across = named.withColumnsRenamed({"row_idx": "header_idx", "zones": "dests"}).drop("cell").join(head.select(*KEY, "header_idx"), [*KEY, "header_idx"]).drop("header_idx")
+    rows = grid.join(head, KEY).where("row_idx > header_idx and size(cells) > last_col")
+    rows = rows.withColumn("from", F.upper(cell(F.col("cells"), F.greatest(F.col("first_col") - 1, F.lit(0)))))
+    rows = cell_zones(rows, "from", places, master, "origins")
+    unnamed = F.col("from").isin("", "-", "NONE") | F.col("from").contains("USER")
+    rows = rows.withColumn("origins", F.coalesce("origins", F.when(unnamed, F.array(*map(F.lit, context or ["E1"]))))).where("origins is not null")
+    values = rows.select(*KEY, "origins", F.posexplode("cells").alias("col", "value")).join(across, [*KEY, "col"])
+    rate = F.replace(F.trim("value"), F.lit(","), F.lit("")).try_cast("double")
+    samples = values.select(*KEY, "origins", "dests", rate.alias("rate")).where("rate between 0.5 and 500")
+    samples = samples.withColumn("origin", F.explode("origins")).withColumn("dest", F.explode("dests"))
+    matrix = close_or_mean(samples, [*KEY, "origin", "dest"])
+    least = F.min("rate").over(Window.partitionBy(*KEY, "origin"))
+    marked = matrix.withColumn("_air", least > air_from)
+    return marked.withColumn("_all", F.min("_air").over(Window.partitionBy(*KEY))).where("_all or not _air").drop("_air", "_all")
+
+
+def city_rate_card(grid: DataFrame, places: DataFrame, master: DataFrame, air_from: float = 60.0, default_origin: str = "N1") -> DataFrame:
+    """(KEY, origin, dest, rate) of sheets that list destinations and rates from one origin.
+
+    A sheet may have several headers (a destination and a rate column); each begins a section
+    that lasts to the next. A section is by air if the nearest mode label in its header row or the
+    five rows above says so; labels inside switch from their row on. Rows before the first header
+    are a section of their own if the first one looks like data. The origin is named before the
+    first header. A destination without a zone takes its state's. Sheets whose lowest rate
+    outside the special zones is over ``air_from`` are dropped.
+    """
+    text = F.array_join(F.transform("cells", lambda c: F.trim(c)), " ")
+    at = lambda pattern: F.nullif(F.array_position(F.transform("cells", lambda c: F.coalesce(c, F.lit("")).rlike(pattern)), True), F.lit(0)) - 1
+    label = F.when(text.rlike(AIR_LABEL), "air").when(text.rlike(ROAD_LABEL), "road")
+    rows = grid.withColumns({"_d": at(DEST_HEADER), "_r": at(RATE_HEADER), "_s": at(STATE_HEADER), "_label": label, "_text": text})
+    rows = rows.withColumn("_head", F.col("_d").isNotNull() & F.col("_r").isNotNull())
+    ordered = Window.partitionBy(*KEY).orderBy("row_idx")
+    near = F.last("_label", ignorenulls=True).over(ordered.rangeBetween(-5, 0))
+    columns = F.when(F.col("_head"), F.struct("_d", "_r", "_s", F.coalesce(near, F.lit("road")).alias("mode"), F.col("row_idx").alias("section")))
+    rows = rows.withColumn("_columns", columns).withColumn("_in", F.last("_columns", ignorenulls=True).over(ordered.rowsBetween(Window.unboundedPreceding, 0)))
+    # the part before the first header: data if row 0 has a name and a number in its third cell
+    sheet_wide = Window.partitionBy(*KEY)
+    value = lambda i: F.trim(F.get("cells", F.lit(i)))
+    data_first = (F.col("row_idx") == 0) & (value(0) != "") & ~value(0).rlike(RATE_HEADER) & F.replace(value(2), F.lit(","), F.lit("")).rlike(r"^\d+(?:\.\d+)?$")
+    rows = rows.withColumns({"_first": F.min(F.when(F.col("_head"), F.col("row_idx"))).over(sheet_wide), "_data_first": F.max(F.coalesce(data_first, F.lit(False))).over(sheet_wide)})
+    rows = rows.where("_first is not null")
+    place = F.trim(F.regexp_extract("_text", ORIGIN_SIGNAL, 1))
+    signals = rows.where(F.col("row_idx") < F.col("_first")).withColumn("place", place).where("place <> ''")
+    signals = cell_zones(signals.groupBy(*KEY).agg(F.min_by("place", "row_idx").alias("place")), "place", places, master)
+    origins = signals.select(*KEY, F.get("zones", F.lit(0)).alias("_origin"))
+
+    lead = F.struct(F.lit(0).cast("bigint").alias("_d"), F.lit(2).cast("bigint").alias("_r"), F.lit(1).cast("bigint").alias("_s"), F.lit("road").alias("mode"), F.lit(-1).alias("section"))
+    kind = "struct<_d:bigint,_r:bigint,_s:bigint,mode:string,section:int>"
+    body = rows.withColumn("_in", F.coalesce(F.col("_in").cast(kind), F.when(F.col("_data_first"), lead.cast(kind)))).where("_in is not null and not _head and _in.mode = 'road'")
+    inside = Window.partitionBy(*KEY, "_in.section").orderBy("row_idx").rowsBetween(Window.unboundedPreceding, 0)
+    body = body.withColumn("_mode", F.coalesce(F.last("_label", ignorenulls=True).over(inside), F.lit("road"))).where("_label is null and _mode = 'road'")
+    get = lambda c: F.upper(cell(F.col("cells"), F.col(c)))
+    rate = F.trim(F.regexp_replace(F.replace(get("_in._r"), F.lit(","), F.lit("")), RATE_UNITS, "")).try_cast("double")
+    body = body.select(*KEY, get("_in._d").alias("dest_cell"), F.coalesce(get("_in._s"), F.lit("")).alias("state_cell"), rate.alias("rate"))
+    body = body.where(~F.col("dest_cell").isin("", "DESTINATION", "DEST", "CITY") & (F.col("rate") > 0) & (F.col("rate") <= 500))
+    body = cell_zones(cell_zones(body, "dest_cell", places, master, "by_place"), "state_cell", places, master, "by_state")
+    samples = body.withColumn("dest", F.explode(F.coalesce("by_place", "by_state")))
+    card = close_or_mean(samples, [*KEY, "dest"])
+    regular = F.min(F.when(~F.col("dest").startswith("X"), F.col("rate"))).over(sheet_wide)
+    card = card.withColumn("_least", regular).where(F.coalesce(F.col("_least") <= air_from, F.lit(True))).drop("_least")
+    return card.join(origins, KEY, "left").select(*KEY, F.coalesce("_origin", F.lit(default_origin)).alias("origin"), "dest", "rate")
+
+
+def station_rates(grid: DataFrame, places: DataFrame, stations: DataFrame, master: DataFrame, least_rate: float = 0.5, most_rate: float = 150.0, default_origin: str = "N1") -> DataFrame:
+    """(KEY, origin, dest, rate) of sheets with a pincode and a rate from one station per row.
+
+    The header is the first of 12 rows with a pincode column and a rate or distance column. Of the
+    columns in or above it the one whose name is preferred most holds the rate. The origin is the
+    first station among 100 rows, by ``stations`` (code, zone), else as a place; sheets with more
+    than five stations there are none of this kind. A destination is its pincode's zone.
+    """
+    low = F.transform("cells", lambda c: F.lower(F.trim(F.coalesce(c, F.lit("")))))
+    at = lambda test: F.nullif(F.array_position(F.transform("_low", test), True), F.lit(0)) - 1
+    last = lambda test: F.array_max(F.filter(F.transform("_low", lambda c, i: F.when(test(c), i)), lambda i: i.isNotNull()))
+    score = lambda c: F.coalesce(*[F.when(reduce(lambda x, y: x & y, [c.contains(w) for w in has] + [~c.contains(w) for w in hasnt]), F.lit(n)) for n, has, hasnt in STATION_RATES], F.lit(0))
+    top = grid.where("row_idx < 12").withColumn("_low", low)
+    top = top.withColumns(
+        {
+            "pin": at(lambda c: c.contains("pin")),
+            "rate": at(lambda c: c.contains("rate") | c.contains("out card") | c.contains("out_card")),
+            "km": at(lambda c: c.isin("km", "kms", "distance")),
+            "station": last(lambda c: c.contains("from") & (c.contains("station") | (c == "from"))),
+            "scores": F.transform("_low", score),
+        }
+    )
+    head = first_row(top, F.col("pin").isNotNull() & (F.col("rate").isNotNull() | F.col("km").isNotNull()), 12, ["pin", "rate", "station"])
+    scored = top.join(head.select(*KEY, "header_idx"), KEY).where("row_idx <= header_idx").select(*KEY, "row_idx", F.posexplode("scores").alias("col", "score")).where("score > 0")
+    best = scored.groupBy(*KEY).agg(F.max_by("col", F.struct("score", -F.col("row_idx"), -F.col("col"))).alias("best"))
+    head = head.join(best, KEY, "left").withColumn("rate", F.when(F.col("rate").isNotNull(), F.coalesce("best", "rate"))).drop("best")
+    rows = grid.join(head.withColumnsRenamed({"rate": "_rate", "pin": "_pin", "station": "_station"}), KEY).where("row_idx > header_idx")
+    rows = rows.withColumn("_place", F.row_number().over(Window.partitionBy(*KEY).orderBy("row_idx")))
+    named = rows.where("_place <= 100").withColumn("station", F.upper(cell(F.col("cells"), F.col("_station")))).where(~F.col("station").isin("", "NAN", "NONE"))
+    stated = named.groupBy(*KEY).agg(F.count_distinct("station").alias("_n"), F.min_by("station", "row_idx").alias("station"))
+    origins = head.select(*KEY).join(stated, KEY, "left").where("coalesce(_n, 1) <= 5").withColumn("station", F.coalesce("station", F.lit(DEFAULT_STATION)))
+    codes = stations.select(F.col("code").alias("station"), F.col("zone").alias("_by_code"))
+    origins = cell_zones(origins.join(codes, "station", "left"), "station", places, master)
+    origins = origins.select(*KEY, F.coalesce("_by_code", F.get("zones", F.lit(0)), F.lit(default_origin)).alias("origin"))
+    pin = F.trim(F.get("cells", F.col("_pin").cast("int"))).try_cast("double").cast("int")
+    rate = F.replace(cell(F.col("cells"), F.col("_rate")), F.lit(","), F.lit("")).try_cast("double")
+    samples = rows.select(*KEY, pin.alias("pincode"), rate.alias("rate")).where(F.col("pincode").between(100000, 999999) & F.col("rate").between(least_rate, most_rate))
+    samples = samples.join(master.select("pincode", F.col("zone").alias("dest")).dropDuplicates(["pincode"]), "pincode").join(origins, KEY)
+    return close_or_mean(samples, [*KEY, "origin", "dest"])
+
+
 def grounded_matrix(grid: DataFrame, master: DataFrame, least_origins: int = 3) -> DataFrame:
     """Medians of rates in sheets with a pincode per row and an origin zone per column; the row's zone is the master's."""
     head = wide_header(grid)

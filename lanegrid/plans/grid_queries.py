@@ -312,31 +312,144 @@ def segment_rows(spark, d):
     return op.switch_categories(windows.select(*op.KEY, "window", "category", "confidence"))
 
 
-CITY = """SELECT vendor_id, dest_zone AS dest, round2(CASE WHEN max(rate) - min(rate) <= 5 THEN max(rate) ELSE avg(rate) END) AS rate FROM (SELECT CAST(c_custkey % 9 AS INT) AS vendor_id, p.zone AS dest_zone, CAST(5 + c_custkey % 13 AS DOUBLE) AS rate
-    FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN places p ON p.name = upper(n_name)) GROUP BY vendor_id, dest_zone"""
+#: Zones of the distinct cells in ``asked``: codes and labels, else places, else pincodes; corner labels name none.
+CELL_ZONES = r"""SELECT cell, coalesce((SELECT zones FROM labels_dim WHERE label = cell), CASE WHEN z IS NOT NULL THEN [z] END) AS zones FROM (SELECT cell, coalesce(
+        (SELECT arg_min(p.zone, p.dim_order) FROM places p WHERE p.name = cell OR (NOT EXISTS (SELECT 1 FROM places q WHERE q.name = cell) AND length(cell) >= 4 AND length(p.name) >= 4 AND (contains(cell, p.name) OR contains(p.name, cell)))),
+        (SELECT any_value(zone) FROM master WHERE CAST(pincode AS VARCHAR) = cell)) AS z
+    FROM asked WHERE cell <> '' AND NOT regexp_matches(cell, '(?i)^\s*(from[/\\]?to|to[/\\]?from|from|to|origin[/\\]?dest(ination)?|o(rig)?[/\\]d(est)?|from\s*station|zone|lanes?|route)\s*$'))"""
+SPREAD = "round2(CASE WHEN max(rate) - min(rate) <= 5 THEN max(rate) ELSE avg(rate) END)"
+
+#: Per hundred customers a sheet: two head rows, a header of nations, and nations down with rates across.
+CITY_SHEET = """SELECT v AS vendor_id, 0 AS row_idx, ['Rate card'] AS cells FROM (SELECT DISTINCT c_custkey // 100 AS v FROM customer)
+    UNION ALL SELECT v, 1, ['near INDIA city', 'CHINA', 'valid this year'] FROM (SELECT DISTINCT c_custkey // 100 AS v FROM customer)
+    UNION ALL SELECT v, 2, list_concat(['From / To', 'From/To'], (SELECT list(lower(n_name) ORDER BY n_nationkey) FROM nation)) FROM (SELECT DISTINCT c_custkey // 100 AS v FROM customer)
+    UNION ALL SELECT v, CAST(o + 3 AS INT), list_concat(['', CASE o WHEN 3 THEN '-' WHEN 4 THEN 'nowhere' WHEN 5 THEN 'N2' WHEN 7 THEN 'south' ELSE n_name END], list(CASE WHEN rate IS NULL THEN '-' WHEN d = 9 THEN '1,' || CAST(rate + 100 AS VARCHAR) ELSE CAST(rate + CASE o WHEN 6 THEN 70 ELSE 0 END AS VARCHAR) END ORDER BY d))
+        FROM (SELECT v, o, d, max(5 + c_custkey % 13) AS rate FROM (SELECT DISTINCT c_custkey // 100 AS v, c_nationkey AS o FROM customer) CROSS JOIN (SELECT n_nationkey AS d FROM nation) LEFT JOIN customer ON c_custkey // 100 = v AND c_nationkey = o AND c_custkey % 25 IN (d, (d + 7) % 25) GROUP BY v, o, d) JOIN nation ON n_nationkey = o GROUP BY v, o, n_name"""
+
+
+def city_sheet(spark, d):
+    customer, nation = table(spark, d, "customer"), table(spark, d, "nation")
+    number = F.floor(F.col("c_custkey") / 100).cast("int")
+    vendors = customer.select(number.alias("vendor_id")).distinct()
+    names = nation.agg(F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name"))), lambda x: F.lower(x["n_name"])).alias("names"))
+    rates = customer.withColumn("d", F.explode(F.array(F.col("c_custkey") % 25, (F.col("c_custkey") + 18) % 25)))
+    rates = rates.groupBy(number.alias("vendor_id"), F.col("c_nationkey").alias("o"), "d").agg(F.max(5 + F.col("c_custkey") % 13).alias("rate"))
+    wide = rates.groupBy("vendor_id", "o").agg(F.map_from_entries(F.collect_list(F.struct(F.col("d").cast("int"), "rate"))).alias("m"))
+    plain = lambda r: (r + F.when(F.col("o") == 6, 70).otherwise(0)).cast("string")
+    value = lambda i: F.when(F.col("m")[i].isNull(), "-").when(i == 9, F.concat(F.lit("1,"), F.col("m")[i] + 100)).otherwise(plain(F.col("m")[i]))
+    down = F.when(F.col("o") == 3, "-").when(F.col("o") == 4, "nowhere").when(F.col("o") == 5, "N2").when(F.col("o") == 7, "south").otherwise(F.col("n_name"))
+    body = wide.join(nation, F.col("n_nationkey") == F.col("o")).select("vendor_id", (F.col("o") + 3).cast("int").alias("row_idx"), F.concat(F.array(F.lit(""), down), F.transform(F.sequence(F.lit(0), F.lit(24)), value)).alias("cells"))
+    heads = vendors.crossJoin(F.broadcast(names)).select(  # one row
+        "vendor_id",
+        F.posexplode(F.array(F.array(F.lit("Rate card")), F.array(F.lit("near INDIA city"), F.lit("CHINA"), F.lit("valid this year")), F.concat(F.array(F.lit("From / To"), F.lit("From/To")), "names"))).alias("row_idx", "cells"),
+    )
+    return heads.unionByName(body).withColumn("sheet", F.lit("city rates"))
 
 
-@query("detect_city_rate_card", CITY, places=PLACES)
-def detect_city_rate_card(spark, d):
-    """Destination, state and rate rows under an ``EX`` origin: cities to zones, rates of a zone by their spread."""
-    k = F.col("c_custkey")
-    rows = table(spark, d, "customer").join(table(spark, d, "nation"), F.col("n_nationkey") == F.col("c_nationkey")).select((k % 9).cast("int").alias("vendor_id"), F.col("n_name").alias("place"), (5 + k % 13).cast("double").alias("rate"))
-    zoned = op.place_zones(rows, places(spark, d)).where("zone is not null and rate <= 500").select("vendor_id", F.lit("N1").alias("origin"), F.col("zone").alias("dest"), "rate")
-    return rate_op.pick_rate(zoned, 5.0, inclusive=True).drop("origin")
+CITY_CELLS = "SELECT vendor_id, row_idx, i - 1 AS col, len(cells) AS width, upper(trim(cells[i])) AS cell FROM (SELECT *, unnest(range(1, len(cells) + 1)) AS i FROM city_sheet)"
+CITY_HEAD = "SELECT vendor_id, min(row_idx) AS h, arg_min(first_col, row_idx) AS first_col, arg_min(last_col, row_idx) AS last_col FROM (SELECT vendor_id, row_idx, min(col) AS first_col, max(col) AS last_col FROM city_cells JOIN cell_zones USING (cell) WHERE row_idx < 20 AND zones IS NOT NULL GROUP BY vendor_id, row_idx HAVING count(*) >= 3) GROUP BY vendor_id"
+CITY_RATES = f"""SELECT vendor_id, origin, dest, {SPREAD} AS rate FROM (SELECT b.vendor_id, unnest(origins) AS origin, dests, rate FROM (
+        SELECT c.vendor_id, coalesce(zo.zones, CASE WHEN o.cell IN ('', '-', 'NONE') OR contains(o.cell, 'USER') THEN ['E1'] END) AS origins, zd.zones AS dests, TRY_CAST(replace(c.cell, ',', '') AS DOUBLE) AS rate
+        FROM city_cells c JOIN city_head h ON c.vendor_id = h.vendor_id AND c.row_idx > h.h AND c.width > h.last_col
+        JOIN city_cells o ON o.vendor_id = c.vendor_id AND o.row_idx = c.row_idx AND o.col = greatest(h.first_col - 1, 0) LEFT JOIN cell_zones zo ON zo.cell = o.cell
+        JOIN city_cells t ON t.vendor_id = c.vendor_id AND t.row_idx = h.h AND t.col = c.col JOIN cell_zones zd ON zd.cell = t.cell AND zd.zones IS NOT NULL) b WHERE origins IS NOT NULL AND rate BETWEEN 0.5 AND 500) x, unnest(x.dests) AS u(dest) GROUP BY vendor_id, origin, dest"""
 
 
-@query("detect_city_matrix", "SELECT CAST(vendor_id AS INT) AS vendor_id, origin, dest, rate FROM (" + CITY.replace("dest_zone AS dest", "'N1' AS origin, dest_zone AS dest") + ") WHERE rate BETWEEN 0.5 AND 500", places=PLACES)
+@query(
+    "detect_city_matrix",
+    """SELECT vendor_id, origin, dest, rate FROM (SELECT *, bool_and(air) OVER (PARTITION BY vendor_id) AS every FROM (SELECT *, min(rate) OVER (PARTITION BY vendor_id, origin) > 60 AS air FROM city_rates)) WHERE every OR NOT air""",
+    places=PLACES, city_sheet=CITY_SHEET, city_cells=CITY_CELLS, asked="SELECT DISTINCT cell FROM city_cells", cell_zones=CELL_ZONES, city_head=CITY_HEAD, city_rates=CITY_RATES,
+)
 def detect_city_matrix(spark, d):
-    """Cities across the top of each vendor's sheet: the columns' zones come from the place dictionary."""
+    """Sheets with nations across and down: header, origins and rates are found in the cells."""
+    return op.city_matrix(city_sheet(spark, d), places(spark, d), master(spark, d)).select("vendor_id", "origin", "dest", "rate")
+
+
+#: Per hundred customers a sheet of destinations: an origin, a mode, headers, and mode labels among the rows; every third sheet goes on from another page.
+CARD_SHEET = """SELECT v AS vendor_id, i, CASE
+        WHEN v % 3 = 1 AND i < 2 THEN [n_name, n_name, '12', '24 Hrs']
+        WHEN i = 0 THEN ['EX ' || CASE WHEN v % 2 = 0 THEN 'INDIA' ELSE 'NOWHERE' END] WHEN i = 1 THEN ['By Road']
+        WHEN i = 2 THEN ['Destination', 'State', 'Rate (Per Kg)', 'TAT']
+        WHEN i % 10 = 5 THEN ['Rates by Air'] WHEN i % 10 = 7 THEN ['Rates by Road']
+        WHEN i = 58 THEN [CASE WHEN v % 2 = 0 THEN 'By Air only' ELSE 'By Surface only' END] WHEN i = 60 THEN ['TAT', 'City', 'Freight', 'Region']
+        WHEN i > 60 THEN ['2 days', place, CAST(rate AS VARCHAR), n_name] ELSE [place, n_name, 'Rs. ' || CAST(rate AS VARCHAR) || ' per kg', '24 Hrs'] END AS cells
+    FROM (SELECT c_custkey // 100 AS v, CAST(c_custkey % 100 AS INT) AS i, n_name, CASE c_custkey % 7 WHEN 0 THEN 'nowhere' WHEN 1 THEN 'near ' || n_name || ' city' ELSE lower(n_name) END AS place, 5 + c_custkey % 13 + CASE WHEN (c_custkey // 100) % 5 = 4 THEN 80 ELSE 0 END AS rate
+        FROM customer JOIN nation ON n_nationkey = c_nationkey)"""
+
+
+def card_sheet(spark, d):
     k = F.col("c_custkey")
-    rows = table(spark, d, "customer").join(table(spark, d, "nation"), F.col("n_nationkey") == F.col("c_nationkey")).select((k % 9).cast("int").alias("vendor_id"), F.lower("n_name").alias("place"), (5 + k % 13).cast("double").alias("rate"))
-    zoned = op.place_zones(rows, places(spark, d)).where("zone is not null").select("vendor_id", F.lit("N1").alias("origin"), F.col("zone").alias("dest"), "rate")
-    return rate_op.drop_air(rate_op.pick_rate(zoned, 5.0, inclusive=True)).where("rate between 0.5 and 500")
+    rows = table(spark, d, "customer").join(table(spark, d, "nation"), F.col("n_nationkey") == F.col("c_nationkey"))
+    rows = rows.select(F.floor(k / 100).cast("int").alias("vendor_id"), (k % 100).cast("int").alias("row_idx"), F.col("n_name").alias("n"), k)
+    place = F.when(k % 7 == 0, "nowhere").when(k % 7 == 1, F.concat(F.lit("near "), F.col("n"), F.lit(" city"))).otherwise(F.lower("n"))
+    v, i, rate = F.col("vendor_id"), F.col("row_idx"), (5 + k % 13 + F.when(F.col("vendor_id") % 5 == 4, 80).otherwise(0)).cast("string")
+    row = lambda *cells: F.array(*[c if not isinstance(c, str) else F.lit(c) for c in cells])
+    cells = (
+        F.when((v % 3 == 1) & (i < 2), row(F.col("n"), F.col("n"), "12", "24 Hrs"))
+        .when(i == 0, row(F.concat(F.lit("EX "), F.when(v % 2 == 0, "INDIA").otherwise("NOWHERE"))))
+        .when(i == 1, row("By Road"))
+        .when(i == 2, row("Destination", "State", "Rate (Per Kg)", "TAT"))
+        .when(i % 10 == 5, row("Rates by Air"))
+        .when(i % 10 == 7, row("Rates by Road"))
+        .when(i == 58, row(F.when(v % 2 == 0, "By Air only").otherwise("By Surface only")))
+        .when(i == 60, row("TAT", "City", "Freight", "Region"))
+        .when(i > 60, row("2 days", place, rate, F.col("n")))
+        .otherwise(row(place, F.col("n"), F.concat(F.lit("Rs. "), rate, F.lit(" per kg")), "24 Hrs"))
+    )
+    return rows.select("vendor_id", F.lit("city card").alias("sheet"), "row_idx", cells.alias("cells"))
+
 
+CARD_ROWS = r"""SELECT *, list_position(list_transform(cells, lambda c: regexp_matches(c, '(?i)\b(destination|dest|to\s*city|city|location|consignee\s*city|deliver(y|ing)?\s*(city|location)?|hub|station|branch)\b')), true) AS dc,
+        list_position(list_transform(cells, lambda c: regexp_matches(c, '(?i)\b(rates?|charges?|freight|per\s*kg|rs\.?/kg|pricing|amount|cost)\b')), true) AS rc,
+        list_position(list_transform(cells, lambda c: regexp_matches(c, '(?i)\b(state|province|region)\b')), true) AS sc,
+        CASE WHEN regexp_matches(array_to_string(cells, ' '), '(?i)\bby\s+air\b') THEN 'air' WHEN regexp_matches(array_to_string(cells, ' '), '(?i)\bby\s+(road|surface|ground|express)\b') THEN 'road' END AS label FROM card_sheet"""
+CARD_HEADS = "SELECT h.vendor_id, h.i AS h, h.dc, h.rc, h.sc, coalesce((SELECT arg_max(label, i) FROM card_rows n WHERE n.vendor_id = h.vendor_id AND n.i BETWEEN h.i - 5 AND h.i AND label IS NOT NULL), 'road') AS mode FROM card_rows h WHERE dc > 0 AND rc > 0"
+CARD_SECTIONS = r"""SELECT vendor_id, h, dc, rc, sc, mode FROM card_heads UNION ALL SELECT vendor_id, -1, 1, 3, 2, 'road' FROM card_rows JOIN (SELECT vendor_id, min(h) AS first FROM card_heads GROUP BY vendor_id) USING (vendor_id)
+    WHERE i = 0 AND first > 0 AND trim(cells[1]) <> '' AND NOT regexp_matches(cells[1], '(?i)\b(rates?|charges?|freight|per\s*kg|rs\.?/kg|pricing|amount|cost)\b') AND regexp_matches(coalesce(cells[3], ''), '^\d+(\.\d+)?$')"""
+CARD_BODY = r"""SELECT r.vendor_id, upper(trim(cells[s.dc])) AS cell, upper(trim(CASE WHEN s.sc > 0 THEN cells[s.sc] ELSE '' END)) AS state, TRY_CAST(trim(regexp_replace(replace(cells[s.rc], ',', ''), '(?i)(rs\.?\s*|per\s*kg|/\s*kg)', '', 'g')) AS DOUBLE) AS rate
+    FROM card_rows r ASOF JOIN card_sections s ON r.vendor_id = s.vendor_id AND r.i >= s.h WHERE r.i <> s.h AND s.mode = 'road' AND r.label IS NULL
+    AND coalesce((SELECT arg_max(label, i) FROM card_rows n WHERE n.vendor_id = r.vendor_id AND n.i > s.h AND n.i < r.i AND label IS NOT NULL), 'road') = 'road'"""
+CARD_ORIGIN = r"""SELECT vendor_id, arg_min(place, i) AS cell FROM (SELECT r.vendor_id, i, upper(trim(regexp_extract(array_to_string(cells, ' '), '(?i)\b(ex[:\s]+|from[:\s]+|origin[:\s]*|dispatching\s+from[:\s]+|base[:\s]+(city|location)[:\s]+)([A-Z][A-Z /&,.-]{2,40})', 3))) AS place
+    FROM card_rows r JOIN (SELECT vendor_id, min(h) AS first FROM card_heads GROUP BY vendor_id) USING (vendor_id) WHERE i < first) WHERE place <> '' GROUP BY vendor_id"""
 
-@query("detect_station_rates", "SELECT vendor_id, dest, round2(CASE WHEN max(rate) - min(rate) <= 5 THEN max(rate) ELSE avg(rate) END) AS rate FROM (SELECT c.vendor_id, m.zone AS dest, CAST(2 + c.pincode % 9 AS DOUBLE) AS rate FROM claims c JOIN master m USING (pincode)) GROUP BY vendor_id, dest")
+
+@query(
+    "detect_city_rate_card",
+    f"""SELECT vendor_id, coalesce(oz.zones[1], 'N1') AS origin, dest, rate FROM (SELECT *, min(rate) FILTER (WHERE NOT starts_with(dest, 'X')) OVER (PARTITION BY vendor_id) AS least FROM (SELECT vendor_id, dest, {SPREAD} AS rate FROM
+        (SELECT b.vendor_id, b.rate, unnest(coalesce(c.zones, s.zones)) AS dest FROM card_body b LEFT JOIN cell_zones c ON c.cell = b.cell LEFT JOIN cell_zones s ON s.cell = b.state WHERE b.cell NOT IN ('', 'DESTINATION', 'DEST', 'CITY') AND rate > 0 AND rate <= 500) GROUP BY vendor_id, dest))
+       LEFT JOIN card_origin o USING (vendor_id) LEFT JOIN cell_zones oz ON oz.cell = o.cell WHERE coalesce(least <= 60, true)""",
+    places=PLACES, card_sheet=CARD_SHEET, card_rows=CARD_ROWS, card_heads=CARD_HEADS, card_sections=CARD_SECTIONS, card_body=CARD_BODY, card_origin=CARD_ORIGIN,
+    asked="SELECT cell FROM card_body UNION SELECT state FROM card_body UNION SELECT cell FROM card_origin", cell_zones=CELL_ZONES,
+)
+def detect_city_rate_card(spark, d):
+    """Sheets of destinations, states and rates under an ``EX`` origin: sections, modes and zones are found in the cells."""
+    return op.city_rate_card(card_sheet(spark, d), places(spark, d), master(spark, d)).select("vendor_id", "origin", "dest", "rate")
+
+
+#: Per vendor a sheet of pincodes and rates from one station; vendor 3 has many stations.
+STATION_SHEET = """SELECT CAST(vendor_id AS INT) AS vendor_id, 0 AS i, ['Station rates'] AS cells FROM (SELECT DISTINCT vendor_id FROM claims)
+    UNION ALL SELECT CAST(vendor_id AS INT), 1, ['Branch', 'From Station', 'Express Rate', 'Out Card Rate', 'Km', 'PIN Code'] FROM (SELECT DISTINCT vendor_id FROM claims)
+    UNION ALL SELECT CAST(vendor_id AS INT), CAST(1 + row_number() OVER (PARTITION BY vendor_id ORDER BY pincode, state) AS INT), ['b', CASE vendor_id WHEN 0 THEN 'okl' WHEN 1 THEN 'INDIA' WHEN 2 THEN '' ELSE state END, CAST(pincode % 9 * 3 AS VARCHAR), CASE WHEN pincode % 17 = 3 THEN '1,200' WHEN pincode % 17 = 4 THEN 'NA' ELSE CAST(2 + pincode % 9 AS VARCHAR) END, '10', CAST(pincode AS VARCHAR) || CASE WHEN pincode % 3 = 0 THEN '.0' ELSE '' END] FROM claims"""
+STATION_HEAD = """SELECT vendor_id, min(i) AS h, arg_min(list_position(list_transform(cells, lambda c: contains(lower(c), 'pin')), true), i) AS pin, arg_min(list_position(list_transform(cells, lambda c: contains(lower(c), 'from') AND contains(lower(c), 'station')), true), i) AS station,
+        arg_min(list_position(list_transform(cells, lambda c: contains(lower(c), 'out card')), true), i) AS rate
+    FROM station_sheet WHERE i < 12 AND len(list_filter(cells, lambda c: contains(lower(c), 'pin'))) > 0 AND len(list_filter(cells, lambda c: contains(lower(c), 'rate') OR lower(trim(c)) IN ('km', 'kms', 'distance'))) > 0 GROUP BY vendor_id"""
+STATION_ORIGIN = """SELECT h.vendor_id, coalesce(first_station, 'OKL') AS cell FROM station_head h LEFT JOIN (SELECT vendor_id, count(DISTINCT s) AS n, arg_min(s, i) AS first_station FROM (SELECT r.vendor_id, r.i, upper(trim(cells[h.station])) AS s FROM station_sheet r JOIN station_head h ON r.vendor_id = h.vendor_id AND r.i > h.h AND r.i <= h.h + 100) WHERE s NOT IN ('', 'NAN', 'NONE') GROUP BY vendor_id) USING (vendor_id) WHERE coalesce(n, 1) <= 5"""
+
+
+@query(
+    "detect_station_rates",
+    f"""SELECT vendor_id, origin, dest, {SPREAD} AS rate FROM (SELECT r.vendor_id, CASE o.cell WHEN 'OKL' THEN 'E1' ELSE coalesce(z.zones[1], 'N1') END AS origin, m.zone AS dest, TRY_CAST(replace(cells[h.rate], ',', '') AS DOUBLE) AS rate
+        FROM station_sheet r JOIN station_head h ON r.vendor_id = h.vendor_id AND r.i > h.h JOIN station_origin o ON o.vendor_id = r.vendor_id LEFT JOIN cell_zones z ON z.cell = o.cell
+        JOIN master m ON m.pincode = CAST(TRY_CAST(cells[h.pin] AS DOUBLE) AS INT)) WHERE rate BETWEEN 0.5 AND 150 GROUP BY vendor_id, origin, dest""",
+    places=PLACES, station_sheet=STATION_SHEET, station_head=STATION_HEAD, station_origin=STATION_ORIGIN, asked="SELECT DISTINCT cell FROM station_origin", cell_zones=CELL_ZONES,
+)
 def detect_station_rates(spark, d):
-    """Pincode and rate rows of one origin: the rate of a zone by the spread of its pincodes' rates."""
-    rows = claims(spark, d).join(master(spark, d).select("pincode", F.col("zone").alias("dest")), "pincode")
-    rows = rows.select("vendor_id", F.lit("E1").alias("origin"), "dest", (2 + F.col("pincode") % 9).cast("double").alias("rate")).where("rate between 0.5 and 150")
-    return rate_op.pick_rate(rows, 5.0, inclusive=True).drop("origin")
+    """Sheets of pincodes and rates from one station: header, rate column and origin are found in the cells."""
+    k = F.col("pincode")
+    rows = claims(spark, d)
+    station = F.when(F.col("vendor_id") == 0, "okl").when(F.col("vendor_id") == 1, "INDIA").when(F.col("vendor_id") == 2, "").otherwise(F.col("state"))
+    rate = F.when(k % 17 == 3, "1,200").when(k % 17 == 4, "NA").otherwise((2 + k % 9).cast("string"))
+    cells = [F.lit("b"), station, k % 9 * 3, rate, F.lit("10"), F.concat(k, F.when(k % 3 == 0, ".0").otherwise(""))]
+    grid = sheet(rows, "stations", ["pincode", "state"], cells, [["Station rates"], ["Branch", "From Station", "Express Rate", "Out Card Rate", "Km", "PIN Code"]])
+    stations = spark.createDataFrame([("OKL", "E1")], "code string, zone string")
+    return op.station_rates(grid, places(spark, d), stations, master(spark, d)).select("vendor_id", "origin", "dest", "rate")
