@@ -247,16 +247,19 @@ def patch(docs: DataFrame, patches: DataFrame) -> DataFrame:
 def document_ids(docs: DataFrame, order: str) -> DataFrame:
     """Adds ``doc_code`` TRP-00001 ... in the order of a unique key.
 
-    Numbers are counted over buckets of the key's hash order, so no task ranks all documents:
-    each bucket of about a thousand neighbouring keys is ranked alone and offset by the counts before it.
+    Keys are dealt in buckets of a thousand and those in groups of a thousand buckets; each is ranked
+    alone and offset by the counts before it, so no task sees more than a thousand buckets at once
+    until there are a thousand million documents.
     """
-    bucket = F.floor(F.col(order) / 1000)
-    sizes = docs.groupBy(bucket.alias("_b")).agg(F.count("*").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = sizes.withColumn("_o", before).drop("_n")
+    rows = docs.withColumn("_b", F.floor(F.col(order) / 1000)).withColumn("_g", F.floor(F.col("_b") / 1000))
+    sizes = rows.groupBy("_g", "_b").agg(F.count("*").alias("_n"))
+    groups = sizes.groupBy("_g").agg(F.sum("_n").alias("_n"))
+    running = lambda by: F.coalesce(F.sum("_n").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    before_group = groups.select("_g", running(Window.orderBy("_g")).alias("_og"))
+    before = sizes.select("_g", "_b", running(Window.partitionBy("_g").orderBy("_b")).alias("_ob"))
     rank = F.row_number().over(Window.partitionBy("_b").orderBy(order))
-    ranked = docs.withColumn("_b", bucket).join(offsets, "_b").withColumn("_r", rank + F.col("_o"))
-    return ranked.withColumn("doc_code", F.concat(F.lit("TRP-"), F.lpad(F.col("_r").cast("string"), 5, "0"))).drop("_b", "_o", "_r")
+    ranked = rows.join(before, ["_g", "_b"]).join(before_group, "_g").withColumn("_r", rank + F.col("_ob") + F.col("_og"))
+    return ranked.withColumn("doc_code", F.concat(F.lit("TRP-"), F.lpad(F.col("_r").cast("string"), 5, "0"))).drop("_b", "_g", "_ob", "_og", "_r")
 
 
 def _stem(name: Column) -> Column:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 
 from pyspark.sql import functions as F
 
@@ -137,12 +136,9 @@ def stream_learning_state(spark, d):
     source = f"{d}/events.parquet"
     schema = spark.read.parquet(source).schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(source if not source.endswith(".parquet") else f"{d}/event[s].parquet")
-    scratch, name = Scratch(spark), f"learning_{uuid.uuid4().hex}"
-    run = learning.learning_state(learn_events(stream)).writeStream.outputMode("update").format("memory").queryName(name)
-    run = run.option("checkpointLocation", f"{scratch.root}/stream").trigger(availableNow=True).start()
-    run.awaitTermination()
-    last = spark.table(name).groupBy("type", "raw", "canonical").agg(F.max_by(F.struct("confirmations", "corrections", "confidence", "promoted"), "confirmations").alias("s"))
-    return last.select("type", "raw", "canonical", "s.confirmations", "s.corrections", F.round("s.confidence", 9).alias("confidence"), "s.promoted").where("confidence is not null")
+    root = Scratch(spark).root
+    learning.write_states(learn_events(stream), f"{root}/states", f"{root}/stream").awaitTermination()
+    return learning.last_states(spark, f"{root}/states").withColumn("confidence", F.round("confidence", 9))
 
 
 COMPANIES = {"alpha": ["the", "hea"], "beta": ["idiot", "clown"], "gamma": ["der", "die"], "delta": ["los", "que"]}
@@ -244,10 +240,9 @@ def write_documents(spark, d):
 
 @query("stream_rate_ingest", "SELECT CAST(vendor_id AS INT) AS vendor_id, origin, dest, rate FROM matrix", matrix=MATRIX)
 def stream_rate_ingest(spark, d):
-    """Rate samples land as files and are ingested as a stream; the batches' matrices are written."""
+    """Rate samples land as files and are ingested as a stream, two files a batch; the batches' parts are merged."""
     root = Scratch(spark).root
-    rates(spark, d).select("vendor_id", "origin", "dest", "rate").write.parquet(f"{root}/landing")
-    stream = spark.readStream.schema("vendor_id int, origin string, dest string, rate double").parquet(f"{root}/landing")
-    run = learning.ingest(stream, f"{root}/out", lambda batch: rate_op.pick_rate(batch, 5.0, inclusive=True), f"{root}/ingest")
-    run.awaitTermination()
-    return spark.read.parquet(f"{root}/out").select("vendor_id", "origin", "dest", "rate")
+    rates(spark, d).select("vendor_id", "origin", "dest", "rate").repartition(4).write.parquet(f"{root}/landing")
+    stream = spark.readStream.schema("vendor_id int, origin string, dest string, rate double").option("maxFilesPerTrigger", 2).parquet(f"{root}/landing")
+    learning.ingest_rates(stream, f"{root}/out", f"{root}/ingest").awaitTermination()
+    return learning.ingested_matrix(spark, f"{root}/out")

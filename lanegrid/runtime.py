@@ -30,13 +30,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df``, dealt anew if it comes in fewer partitions than there are cores; larger inputs stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``, which all executors reach; a temporary one only where none is set."""
+    """The folder of ``spark.checkpoint.dir``, which all executors reach.
+
+    Where none is set, a session in one JVM gets a temporary one; a cluster must name a shared folder.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", "")
     if not folder:
         checkpoint = spark.sparkContext._jsc.sc().getCheckpointDir()
         folder = checkpoint.get() if checkpoint.isDefined() else ""
     if not folder:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="lanegrid-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder

@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from lanegrid.operators import labels as op
+from lanegrid.operators.rates import money
 
 STATE = "confirmations double, corrections int, confidence double, promoted boolean"
 OUTPUT = f"type string, raw string, canonical string, {STATE}"
@@ -43,15 +45,40 @@ def _fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iter
 
 
 def learning_state(events: DataFrame, late: str = "1 hour") -> DataFrame:
-    """The state of every key after each batch; events later than the watermark are dropped, those of a batch are put in order."""
+    """The state of every key after each batch. Events of a batch are put in order; batches are folded as they arrive."""
     events = events.withColumn("ts", F.col("ts").cast("timestamp"))
     return events.withWatermark("ts", late).groupBy("type", "raw", "canonical").applyInPandasWithState(_fold, OUTPUT, STATE, "update", GroupStateTimeout.NoTimeout)
 
 
-def ingest(rates: DataFrame, target: str, build: Callable[[DataFrame], DataFrame], checkpoint: str):
-    """Starts a stream that, for every batch, runs ``build`` over its rows and writes the vendors touched; a batch that is run again replaces its own files."""
+def _write_batches(rows: DataFrame, target: str, checkpoint: str, mode: str, shape: Callable[[DataFrame], DataFrame]) -> StreamingQuery:
+    """Writes every batch to a folder of its number; a batch that is run again replaces its own files."""
 
     def write(batch: DataFrame, number: int) -> None:
-        build(batch).withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{target}/batch={number}")
+        shape(batch).write.mode("overwrite").parquet(f"{target}/batch={number}")
 
-    return rates.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return rows.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def write_states(events: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
+    """Starts a stream that writes the state of the keys that each batch touched."""
+    return _write_batches(learning_state(events), target, checkpoint, "update", lambda batch: batch)
+
+
+def last_states(spark: SparkSession, target: str) -> DataFrame:
+    """The state of every key after the last batch that touched it."""
+    rows = spark.read.parquet(target)
+    state = F.struct("confirmations", "corrections", "confidence", "promoted")
+    return rows.groupBy("type", "raw", "canonical").agg(F.max_by(state, "batch").alias("s")).select("type", "raw", "canonical", "s.*").where("confidence is not null")
+
+
+def ingest_rates(rates: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
+    """Starts a stream that writes, for every batch, what its samples add to each cell (vendor_id, origin, dest): number, sum, least and greatest."""
+    parts = [F.count("rate").alias("n"), F.sum("rate").alias("total"), F.min("rate").alias("least"), F.max("rate").alias("most")]
+    return _write_batches(rates, target, checkpoint, "append", lambda batch: batch.groupBy("vendor_id", "origin", "dest").agg(*parts))
+
+
+def ingested_matrix(spark: SparkSession, target: str, threshold: float = 5.0) -> DataFrame:
+    """One rate per cell over all batches: the highest sample if they are within ``threshold`` of each other, else their mean."""
+    cells = spark.read.parquet(target).groupBy("vendor_id", "origin", "dest")
+    close = F.max("most") - F.min("least") <= threshold
+    return cells.agg(money(F.when(close, F.max("most")).otherwise(F.sum("total") / F.sum("n"))).alias("rate"))
