@@ -88,7 +88,7 @@ def expand_label(label: Column) -> Column:
 
 def label_zones(rows: DataFrame, label: str) -> DataFrame:
     """Adds ``zones``: of the label itself, else the union of its parts in order, else of its first word."""
-    table = {**{k: v.split() for k, v in dims.LABEL_ZONES.items()}, **{z: [z] for z in dims.ZONES}}
+    table = {**dims.LABEL_ZONES, **{z: [z] for z in dims.ZONES}}
     look = F.create_map(*[x for k, v in table.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
     whole = F.upper(F.trim(F.col(label)))
     clean = F.upper(F.trim(F.regexp_replace(F.col(label), "[-_]", " ")))

@@ -17,10 +17,10 @@ MANUAL_FIELDS = {
 }
 REVIEW_RANGES = {"docketCharges": (50, 500), "fuel": (10, 50), "minCharges": (100, 2000), "divisor": (2000, 8000), "gst": (5, 28), "daccCharges": (50, 1000), "greenTax": (0, 200)}
 FILE_WORDS = {
-    "company_details": "company vendor transporter profile info details contact gst pan cin registration address about overview kyc onboard proposal agreement contract letter quotation quote certificate incorporation license approval kyc",
-    "charges": "charge charges price pricing tariff fuel docket oda rov insurance handling surcharge fee fees cost invoice billing",
-    "zone_data": "zone zones pincode pincodes serviceability service coverage matrix area delivery served network lane lanes route region reach rate_card rate_sheet cade_rate out_card rate_book ratebook ratecard ratesheet",
-}
+    "company_details": ["company", "vendor", "transporter", "profile", "info", "details", "contact", "gst", "pan", "cin", "registration", "address", "about", "overview", "kyc", "onboard", "proposal", "agreement", "contract", "letter", "quotation", "quote", "certificate", "incorporation", "license", "approval", "kyc"],
+    "charges": ["charge", "charges", "price", "pricing", "tariff", "fuel", "docket", "oda", "rov", "insurance", "handling", "surcharge", "fee", "fees", "cost", "invoice", "billing"],
+    "zone_data": ["zone", "zones", "pincode", "pincodes", "serviceability", "service", "coverage", "matrix", "area", "delivery", "served", "network", "lane", "lanes", "route", "region", "reach", "rate_card", "rate_sheet", "cade_rate", "out_card", "rate_book", "ratebook", "ratecard", "ratesheet"],
+}
 HINT_WORDS = {
     "ZONE_MATRIX": ["rate", "matrix", "zone", "tariff", "price"],
     "PINCODE_LIST": ["pincode", "serviceable", "coverage", "network", "area"],
@@ -271,7 +271,7 @@ def _scores(name: Column, loose: bool) -> dict[str, Column]:
     words = F.array_distinct(F.filter(F.split(name, r"\s+"), lambda w: w != ""))
     out = {}
     for kind, keys in FILE_WORDS.items():
-        table = F.array(*[F.lit(k.replace("_", " ")) for k in keys.split()])
+        table = F.array(*[F.lit(k.replace("_", " ")) for k in keys])
         hits = F.size(F.filter(table, lambda k: F.contains(name, k))) * 2
         if loose:
             hits = hits + F.aggregate(table, F.lit(0), lambda a, k: a + F.size(F.filter(words, lambda w: F.contains(w, k) | F.contains(k, w))))

@@ -10,17 +10,57 @@ from pyspark.sql import functions as F
 
 # Fixed values ---------------------------------------------------------------------------------
 NOISE = ["india", "region", "area", "zone", "zones", "state", "states", "part", "belt", "corridor", "hub", "sector", "circle"]
-CHARGE_LABELS = {
-    "fuel surcharge": "fuel", "fuel": "fuel", "fsc": "fuel", "diesel surcharge": "fuel", "docket charges": "docketCharges", "docket charge": "docketCharges", "lr charges": "docketCharges", "bilty charges": "docketCharges",
-    "minimum charges": "minCharges", "minimum freight": "minCharges", "green tax": "greenTax", "rov": "rovCharges", "fov charges": "rovCharges", "risk of value": "rovCharges", "oda charges": "odaCharges",
-    "out of delivery area": "odaCharges", "cod charges": "codCharges", "cash on delivery": "codCharges", "to pay charges": "topayCharges", "handling charges": "handlingCharges", "dacc charges": "daccCharges",
-    "appointment charges": "appointmentCharges", "insurance charges": "insuranceCharges", "misc charges": "miscCharges", "volumetric divisor": "divisor", "gst": "gst",
+#: field -> names of it, each with or without one of the endings.
+CHARGE_NAMES = {
+    "docketCharges": ["docket", "lr", "lorry receipt", "lr docket", "bilti", "bilty", "consignment note", "cn", "awb", "booking", "docket charges per lr"],
+    "fuel": ["fuel", "fsc", "fs", "fuel sc", "fuel adjustment", "fuel adjustment factor", "petrol", "diesel", "energy", "fuel surcahrge"],
+    "minCharges": ["minimum", "min", "min freight", "minimum freight", "minimum chargeable", "min chargeable", "minimum chargable", "min chargable", "minimum chargable freight", "min lr", "minimum billing", "min billing", "floor", "base minimum"],
+    "minWeight": ["min weight", "minimum weight", "min wt", "minimum wt", "min chargeable weight", "minimum chargeable weight", "min chargable weight", "minimum chargable weight", "min chg wt", "chargeable weight minimum", "charge weight minimum", "billable weight minimum"],
+    "divisor": ["divisor", "vol divisor", "volumetric divisor", "volumetric", "cft", "cft divisor", "1 cft", "1cft", "k factor", "kfactor", "cfactor", "c factor", "volume factor", "vol factor", "dimensional weight divisor", "dim weight divisor", "dim divisor"],
+    "greenTax": ["green", "green tax", "environmental", "eco", "pollution"],
+    "rovCharges": ["rov", "fov", "fov owner s risk", "fov owners risk", "risk coverage", "risk of value", "owner s risk", "owners risk", "owner risk", "vr", "freight risk", "cargo risk", "risk"],
+    "insuranceCharges": ["insurance", "cargo insurance", "transit insurance", "insurance premium", "transit risk"],
+    "odaCharges": ["oda", "oda per kg", "oda charges per kg", "out of delivery", "out of delivery area", "oda area", "edl", "extended delivery", "extended delivery location", "remote area", "remote delivery", "special area", "restricted area", "non serviceable", "non serviceable area", "beyond area", "beyond delivery", "hilly area", "interior area", "interior"],
+    "codCharges": ["cod", "cod percentage", "cash on delivery", "cod collection", "collect on delivery"],
+    "handlingCharges": ["handling", "cargo handling", "loading unloading", "labour", "labor"],
+    "daccCharges": ["dacc", "demurrage", "detention"],
+    "miscCharges": ["misc", "miscellaneous", "other", "additional", "idc", "indirect", "eway", "e way", "eway bill", "e way bill", "ewaybill"],
+    "topayCharges": ["topay", "to pay", "freight topay"],
+    "dodCharges": ["dod", "delivery on demand"],
+    "appointmentCharges": ["appointment", "apt", "apt handling", "appointment handling", "appointment delivery", "timed delivery", "time slot delivery"],
+    "fmCharges": ["fm", "first mile", "pickup", "pick up"],
+    "prepaidCharges": ["prepaid", "advance freight"],
+    "gst": ["gst"],
 }
+NAME_ENDINGS = ["", "charge", "charges"]
+#: Further endings of names of one word.
+WORD_ENDINGS = ["fee", "fees", "cost", "surcharge", "surcharges"]
+#: Names whose meaning hangs on the ending, or that have no other form.
+CHARGE_EXCEPTIONS = {"collection charges": "codCharges", "collection charge": "fmCharges", "surcharge": "miscCharges", "surcharges": "miscCharges", "indirect cost": "miscCharges", "freight risk": "rovCharges"}
+#: Names that are known to be no charge.
+NO_CHARGE = [
+    "scheduled delivery", "same day delivery", "single piece", "single piece charges", "claim settlement", "claims", "free storage days", "transit time", "delivery time", "tat", "turnaround time", "transit days",
+    "service", "services", "remarks", "notes", "terms", "terms and conditions",
+]
 CONFIRM_GAIN, PASSIVE_GAIN, TAUGHT_GAIN, DECAY = 0.35, 0.15, 0.4, 0.5
 PROMOTE_AT, PROMOTE_PASSIVE_AT, PROMOTE_CONFIDENCE = 3, 6, 0.8
 # ----------------------------------------------------------------------------------------------
 
 
+def charge_labels() -> dict[str, str | None]:
+    """Label -> field, or None for a label known to be no charge: exceptions, names without an ending, then all endings."""
+    known: dict[str, str | None] = {**CHARGE_EXCEPTIONS, **dict.fromkeys(NO_CHARGE)}
+    for ending in NAME_ENDINGS + WORD_ENDINGS:
+        for field, names in CHARGE_NAMES.items():
+            for name in names:
+                if ending in NAME_ENDINGS or " " not in name:
+                    known.setdefault(f"{name} {ending}".strip(), field)
+    return known
+
+
+CHARGE_LABELS = charge_labels()
+
+
 def normalise(label: Column) -> Column:
     """Lower case, other characters than letters and digits as single spaces."""
     return F.trim(F.regexp_replace(F.regexp_replace(F.lower(label), "[^a-z0-9 ]", " "), r"\s+", " "))
@@ -41,7 +81,7 @@ def dedupe_adjacent(cells: Column) -> Column:
     return F.filter(cells, lambda x, i: (i == 0) | ~x.eqNullSafe(F.get(cells, i - 1)))
 
 
-def dictionary(spark, labels: dict[str, str] = CHARGE_LABELS) -> DataFrame:
+def dictionary(spark, labels: dict[str, str | None] = CHARGE_LABELS) -> DataFrame:
     rows = [(i, k, v) for i, (k, v) in enumerate(labels.items())]
     return spark.createDataFrame(rows, "dim_order int, known string, value string").coalesce(1)
 

@@ -248,7 +248,7 @@ _LABEL_SQL = "[" + ", ".join(f"'{k}'" for k in _LABELS) + "]"
 @query(
     "inline_charge",
     f"""SELECT p_partkey, k.field, CASE WHEN p_partkey % 2 = 0 THEN CAST(p_size AS DOUBLE) END AS v, CASE WHEN p_partkey % 2 = 1 THEN CAST(p_size AS DOUBLE) END AS f
-        FROM part JOIN (SELECT * FROM (VALUES {", ".join(f"('{k}', '{v}')" for k, v in labels.CHARGE_LABELS.items())}) t(known, field)) k ON k.known = {_LABEL_SQL}[p_partkey % {len(_LABELS)} + 1] WHERE p_partkey % 5 <> 0""",
+        FROM part JOIN (SELECT * FROM (VALUES {", ".join(f"('{k}', '{v}')" for k, v in labels.CHARGE_LABELS.items() if v)}) t(known, field)) k ON k.known = {_LABEL_SQL}[p_partkey % {len(_LABELS)} + 1] WHERE p_partkey % 5 <> 0 AND regexp_matches(k.known, '^[a-z]')""",
 )
 def inline_charge(spark, d):
     k, size = F.col("p_partkey"), F.col("p_size")

@@ -356,7 +356,7 @@ def _names(spark, d):
 
 
 _STEM = "replace(replace(replace(lower(regexp_replace(name, '\\.[^.]*$', '')), '-', ' '), '_', ' '), '.', ' ')"
-_KEYS = {k: "[" + ", ".join(f"'{w.replace('_', ' ')}'" for w in v.split()) + "]" for k, v in op.FILE_WORDS.items()}
+_KEYS = {k: "[" + ", ".join(f"'{w.replace('_', ' ')}'" for w in v) + "]" for k, v in op.FILE_WORDS.items()}
 _LOOSE = "(len(list_filter({keys}, lambda k: contains(stem, k))) * 2 + list_sum(list_transform({keys}, lambda k: len(list_filter(words, lambda w: contains(w, k) OR contains(k, w))))))"
 STEMS = f"SELECT p_partkey, name, stem, string_split_regex(stem, '\\s+') AS all_words, list_distinct(list_filter(string_split_regex(stem, '\\s+'), lambda w: w <> '')) AS words FROM (SELECT *, {_STEM} AS stem FROM names)"
 _RE = lambda p: p.replace("(?i)", "")

@@ -240,7 +240,7 @@ def charge_rows(spark, d):
 
 
 _KEYS = "[" + ", ".join(f"'{k}'" for k in labels.CHARGE_LABELS) + "]"
-KNOWN = "SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in labels.CHARGE_LABELS.items()) + ") t(known, field)"
+KNOWN = "SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in labels.CHARGE_LABELS.items() if v) + ") t(known, field)"
 
 
 @query(

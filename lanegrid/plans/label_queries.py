@@ -63,7 +63,7 @@ def normalise_label(spark, d):
     "label_match_exact",
     f"""SELECT DISTINCT label, coalesce(a.value, b.value) AS value, CASE WHEN a.value IS NOT NULL THEN 'exact' ELSE 'normalised' END AS method
         FROM (SELECT label, n, array_to_string(list_filter(string_split(n, ' '), lambda w: NOT list_contains({_NOISE}, w)), ' ') AS plain FROM normed) LEFT JOIN known a ON a.known = n LEFT JOIN known b ON b.known = plain WHERE coalesce(a.value, b.value) IS NOT NULL""",
-    labels=LABELS, normed=NORMED, known="SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in op.CHARGE_LABELS.items()) + ") t(known, value)",
+    labels=LABELS, normed=NORMED, known="SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in op.CHARGE_LABELS.items() if v) + ") t(known, value)",
 )
 def label_match_exact(spark, d):
     return op.match(labels(spark, d), op.dictionary(spark)).where("method in ('exact', 'normalised')").select("label", "value", "method")
