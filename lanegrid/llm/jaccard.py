@@ -3,29 +3,43 @@
 A document is the set of its distinct 5-word shingles; documents with equal sets are one class.
 Classes link when 100 * intersection >= 80 * union.
 
-The global shingle order puts the shingles of a fixed hash range first, the rarest of these
-foremost (their frequencies are counted over all classes), and the rest behind by hash. Two
-classes that link share a shingle among the first |x| - ceil(0.8 |x|) + 1 of each, so only
-classes that share such a prefix shingle are compared. To spare comparing all pairs within a
-group of copies, classes are first compared with one pivot of every prefix shingle (the class
-with the fewest shingles of its own), links found that way are merged, and then all remaining
-pairs of different components are compared: no link between components is lost, because within
-one component a further link changes nothing. Of these pairs only those go on whose parity bitmaps
-(1024 bits, each shingle flips one) differ in few enough places: sets differ in at least as many
-shingles as their bitmaps in bits, so no linked pair is dropped.
-
-A comparison is vertical: the global order is cut into fragments, overlaps are counted for each
-fragment apart, and summed per pair.
+The global shingle order has FRAGMENTS segments, which are ranges of the shingles' hashes. The
+first segment is ordered rarest first (frequencies are counted over all classes; the few
+shingles that stand in a large share of a sample of documents go to its end by hash), the others
+by hash. Two classes that link share a shingle among the first |x| - ceil(0.8 |x|) + 1 of each, so
+only classes that share such a prefix shingle are compared. The links found so far are merged
+after each step, and only pairs of different components go on: within one component a further
+link changes nothing.
+
+1. Every class with one pivot: of its prefix shingles' pivots (the class with the fewest
+   unshared shingles) the one that the most of them have. So a group of near copies of one text
+   becomes one component by comparing each of them once.
+2. Every class with the other pivots of its prefix shingles.
+3. All remaining pairs that share a prefix shingle. Of these only those go on whose parity bitmaps
+   (1024 bits, each shingle flips one) differ in few enough places: sets differ in at least as many
+   shingles as their bitmaps in bits, so no linked pair is dropped. The join is on written tables,
+   so that Spark splits the rows of a hot shingle over tasks.
+
+A comparison is vertical: the global order is cut between its segments into fragments, overlaps
+are counted for each fragment apart, and summed per pair.
+
+Hot shingles: a task sends each class it meets once, so copies of one text are combined before
+the shuffle. A shingle found in many of the sampled documents is dealt by class over SALTS tasks.
+The sample decides the place of work and of such shingles in the order, never the result.
 
 Defined results: words are lower-cased in A-Z; fewer than five words make one shingle; a null or
-empty text has no shingles, is linked with nothing and is its own component; a row without an
-id has no component; repeated ids are one document per distinct text, and their smallest id is
-theirs; shingles are told apart by 64-bit hashes, sets by 64-bit sums of them.
+empty text has no shingles, is linked with nothing and is its own component; a text of any length
+is read whole, about 2 MB of texts at a time, a longer one alone; a row without an id has no
+component; repeated ids are one document per distinct text, and their smallest id is theirs; of
+ids that tie for nothing but order the smallest names the component; an empty table gives an empty
+result; other columns are not read, whatever their names; shingles are told apart by 64-bit
+hashes, sets by 64-bit sums of them.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -42,10 +56,16 @@ K = 5
 PER_CENT = 80
 FIRST_SHARE = 0.35
 FRAGMENTS = 8
+SALTS = 32
+SAMPLE_ONE_IN = 64
+BLOCK_BYTES = 2 << 20
+MOST_HOT = 1_000_000  # a number each
 BITMAP_LONGS = 16
 _FIRST = np.uint64(int(FIRST_SHARE * 2**64))
 _FIRST_SIGNED = int(_FIRST) - 2**63
 _SIGN = np.uint64(1 << 63)
+#: Where the segments of the global order after the first one start.
+_CUTS = np.array([int(_FIRST) + (2**64 - int(_FIRST)) * i // (FRAGMENTS - 1) for i in range(FRAGMENTS - 1)], np.uint64)
 
 
 def shingle_sets(texts: pa.Array, k: int = K) -> tuple[np.ndarray, np.ndarray, int]:
@@ -100,7 +120,7 @@ def _ordered(hashes: np.ndarray) -> np.ndarray:
 
 def _parts(batches: Iterator[pa.RecordBatch], text: str):
     for batch in batches:
-        yield from flat.blocks(batch, text)
+        yield from flat.blocks(batch, text, BLOCK_BYTES)
 
 
 def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,14 +133,20 @@ def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _emitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Shingles of the first hash range, and more in the order of hashes where these do not fill the prefix."""
+    """Shingles of the first segment, and more in the order of hashes where these do not fill the prefix; each class once per task."""
+    sent: set[int] = set()
     for part in _parts(batches, "text"):
         own, hashes, n = shingle_sets(part.column("text"))
         size, name = signatures(own, hashes, n)
+        fresh = np.zeros(n, bool)
+        for i, x in enumerate(name.tolist()):
+            if x not in sent:
+                sent.add(x)
+                fresh[i] = True
         inside = np.bincount(own[hashes < _FIRST], minlength=n)
         start = np.zeros(n + 1, np.int64)
         np.cumsum(size, out=start[1:])
-        wanted = np.arange(len(own)) - start[own] < np.maximum(inside, _prefix(size))[own]
+        wanted = fresh[own] & (np.arange(len(own)) - start[own] < np.maximum(inside, _prefix(size))[own])
         own, hashes = own[wanted], hashes[wanted]
         yield pa.RecordBatch.from_arrays(
             [pa.array(_ordered(hashes)), pa.array(name[own]), pa.array((size[own] << 32) | inside[own])], ["h", "name", "sizes"]
@@ -128,12 +154,11 @@ def _emitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each set cut by hash range into FRAGMENTS arrays."""
-    shift = np.uint64(64 - FRAGMENTS.bit_length() + 1)
+    """Each set cut between the segments of the global order into FRAGMENTS arrays."""
     for part in _parts(batches, "text"):
         own, hashes, n = shingle_sets(part.column("text"))
         _, name = signatures(own, hashes, n)
-        slot = own * FRAGMENTS + (hashes >> shift).astype(np.int64)
+        slot = own * FRAGMENTS + np.searchsorted(_CUTS, hashes, side="right")
         filled, first = np.unique(slot, return_index=True)
         lists = pa.ListArray.from_arrays(pa.array(np.r_[first, len(slot)].astype(np.int32)), pa.array(hashes.view(np.int64)))
         yield pa.RecordBatch.from_arrays(
@@ -145,18 +170,33 @@ class Join:
     """One run of the join over ``docs`` (doc_id, text)."""
 
     def __init__(self, docs: DataFrame, scratch: Scratch, text: str = "text", key: str = "doc_id"):
-        self.docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
+        self.docs = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
         self.scratch = scratch
+        self.parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         small_batches(docs.sparkSession)
+        kind = self.docs.schema["doc_id"].dataType.simpleString()
         hashed = self.docs.withColumn("text_hash", F.xxhash64("text"))
-        self.named = scratch.save(hashed.mapInArrow(_named, "doc_id long, text_hash long, n_shingles long, name long, bits array<long>"), "named")
+        self.named = scratch.save(hashed.mapInArrow(_named, f"doc_id {kind}, text_hash long, n_shingles long, name long, bits array<long>"), "named")
+
+    def hot_shingles(self) -> DataFrame:
+        """(h): shingles of at least one in 2000 sampled documents, and eight of them; some hundred thousand at most, however large the corpus."""
+        sample = self.docs.where(F.col("doc_id").isNotNull() & (F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(SAMPLE_ONE_IN)) == 0))
+        least = max(8, sample.count() // 2000)
+        rows = sample.mapInArrow(_emitted, "h long, name long, sizes long").groupBy("h").agg(F.count("*").alias("n"))
+        return self.scratch.save(rows.where(F.col("n") >= least).select("h"), "hot")
 
     def prefixes(self) -> DataFrame:
         """(h, name, size, own): prefix shingles that other classes have too; own: the class's number of unshared ones."""
-        parts = int(self.docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         rows = self.docs.where("doc_id is not null").mapInArrow(_emitted, "h long, name long, sizes long")
-        rows = rows.repartition(parts, "h").groupBy("h", "name", "sizes").agg(F.lit(1).alias("_"))
-        rows = rows.withColumn("df", F.count("*").over(Window.partitionBy("h"))).where("df > 1")
+        hot = self.hot_shingles().withColumn("hot", F.lit(True))
+        cold = F.lit(-1)
+        if hot.limit(MOST_HOT + 1).count() <= MOST_HOT:
+            rows = rows.join(F.broadcast(hot), "h", "left")
+            rows = rows.withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("name"), F.lit(SALTS)).cast("int")).otherwise(cold)).drop("hot")
+        else:
+            rows = rows.withColumn("salt", cold)
+        rows = rows.repartition(self.parts, "h", "salt").groupBy("h", "salt", "name", "sizes").agg(F.lit(1).alias("_"))
+        rows = rows.withColumn("df", F.when(F.col("salt") >= 0, 1 << 62).otherwise(F.count("*").over(Window.partitionBy("h", "salt")))).where("df > 1")
         rows = rows.select("h", "name", "df", F.shiftright("sizes", 32).alias("size"), F.col("sizes").bitwiseAND(F.lit((1 << 32) - 1)).alias("inside"))
         rows = rows.withColumn("first", F.col("h") < F.lit(_FIRST_SIGNED))
         by = Window.partitionBy("name")
@@ -170,32 +210,46 @@ class Join:
         kept = rows.where(~F.col("first") | (F.col("place") <= F.col("prefix") - F.col("own")))
         return self.scratch.save(kept.select("h", "name", "size", "own"), "prefixes")
 
-    @staticmethod
-    def _fitting(pairs: DataFrame) -> DataFrame:
-        """Sizes so different that no link is possible go."""
-        return pairs.where(f"100 * least(size_a, size_b) >= {PER_CENT} * greatest(size_a, size_b)")
-
-    def pivot_pairs(self, prefixes: DataFrame) -> DataFrame:
-        """Every class with the pivot of each of its prefix shingles."""
-        pivot = F.min(F.struct("own", "name", "size")).over(Window.partitionBy("h"))
-        pairs = prefixes.withColumn("p", pivot).where("p.name <> name")
+    def pivot_pairs(self, rows: DataFrame) -> DataFrame:
+        """Every class of ``rows`` (h, name, size, own) with the pivots of its shingles, and for how many of these each is the pivot."""
+        pivots = self.scratch.save(rows.groupBy("h").agg(F.min(F.struct("own", "name", "size")).alias("p")), "pivots")
+        pairs = rows.join(pivots, "h").where("p.name <> name")
         pairs = pairs.select(F.col("p.name").alias("a"), F.col("name").alias("b"), F.col("p.size").alias("size_a"), F.col("size").alias("size_b"))
-        return self._fitting(pairs).distinct()
-
-    def open_pairs(self, prefixes: DataFrame, labels: DataFrame, tried: DataFrame) -> DataFrame:
-        """Pairs of classes of different components that share a prefix shingle and were not compared yet."""
-        rows = prefixes.join(labels.withColumnRenamed("node", "name"), "name", "left").withColumn("label", F.coalesce("label", "name"))
-        group = Window.partitionBy("h")
-        rows = rows.withColumns({"lo": F.min("label").over(group), "hi": F.max("label").over(group)}).where("lo < hi")
-        bits = self.named.groupBy("name").agg(F.first("bits").alias("bits"))
-        rows = self.scratch.save(rows.select("h", "name", "size", "label").join(bits, "name"), "open")
-        side = lambda n: rows.select("h", *[F.col(c).alias(to) for c, to in (("name", n), ("size", f"size_{n}"), ("label", f"label_{n}"), ("bits", f"bits_{n}"))])
+        return pairs.where(f"100 * least(size_a, size_b) >= {PER_CENT} * greatest(size_a, size_b)").groupBy("a", "b", "size_a", "size_b").agg(F.count("*").alias("shared"))
+
+    @staticmethod
+    def _labelled(rows: DataFrame, labels: DataFrame, name: str = "name", into: str = "label") -> DataFrame:
+        """``rows`` with the component of the class ``name``; a class without a link is its own."""
+        return rows.join(labels.select(F.col("node").alias(name), F.col("label").alias(into)), name, "left").withColumn(into, F.coalesce(into, name))
+
+    def apart(self, pairs: DataFrame, labels: DataFrame) -> DataFrame:
+        """The pairs of different components."""
+        both = self._labelled(self._labelled(pairs, labels, "a", "label_a"), labels, "b", "label_b")
+        return both.where("label_a <> label_b").select("a", "b", "size_a", "size_b")
+
+    def mixed(self, rows: DataFrame, labels: DataFrame) -> DataFrame:
+        """The rows, with the classes' components, of shingles that several components have."""
+        rows = self.scratch.save(self._labelled(rows, labels), "labelled")
+        several = rows.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("h")
+        rows = self.scratch.save(rows.join(self.scratch.save(several, "several"), "h"), "mixed")
+        self.scratch.drop("labelled", "several")
+        return rows
+
+    def open_pairs(self, rows: DataFrame) -> DataFrame:
+        """Pairs of classes of different components in ``rows`` that share a prefix shingle and whose bitmaps allow a link."""
+        bits = self.scratch.save(self.named.join(rows.select("name").distinct(), "name", "left_semi").groupBy("name").agg(F.first("bits").alias("bits")), "bits")
+        rows = self.scratch.save(rows.join(bits, "name"), "open")
+        side = lambda n: rows.select("h", *[F.col(c).alias(f"{c}_{n}" if c != "name" else n) for c in ("name", "size", "label", "bits")])
         differ = sum((F.bit_count(F.get("bits_a", F.lit(i)).bitwiseXOR(F.get("bits_b", F.lit(i)))) for i in range(BITMAP_LONGS)), F.lit(0))
         near = (100 + PER_CENT) * differ <= (100 - PER_CENT) * (F.col("size_a") + F.col("size_b"))
+        fits = F.expr(f"100 * least(size_a, size_b) >= {PER_CENT} * greatest(size_a, size_b)")
         on = (F.col("l.h") == F.col("r.h")) & (F.col("a") < F.col("b")) & (F.col("label_a") != F.col("label_b"))
-        pairs = self._fitting(side("a").alias("l").join(side("b").alias("r"), on & near)).select("a", "b", "size_a", "size_b").distinct()
-        tried = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        return pairs.join(tried, ["a", "b"], "left_anti")
+        return side("a").alias("l").join(side("b").alias("r"), on & fits & near).select("a", "b", "size_a", "size_b").distinct()
+
+    @staticmethod
+    def untried(pairs: DataFrame, tried: DataFrame) -> DataFrame:
+        seen = tried.select("a", "b").unionByName(tried.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        return pairs.join(seen, ["a", "b"], "left_anti")
 
     def fragments(self, pairs: DataFrame, name: str) -> DataFrame:
         """(name, fragment, shingles) of the classes in ``pairs``, each once, read from one document of each.
@@ -231,21 +285,34 @@ class Join:
     def run(self) -> DataFrame:
         """(doc_id, n_shingles, component_id) of every row."""
         scratch = self.scratch
-        prefixes = self.prefixes()
-        tried = scratch.save(self.pivot_pairs(prefixes), "pairs1")
-        links = scratch.save(self.linked(tried, "round1"), "links1")
-        labels = components(links, scratch, "first")
-        pairs = scratch.save(self.open_pairs(prefixes, labels, tried), "pairs2")
-        scratch.drop("round1_cut", "prefixes", "open")
-        if not pairs.isEmpty():
-            more = scratch.save(self.linked(pairs, "round2"), "links2")
-            scratch.drop("round2_cut")
-            labels = components(links.unionByName(more), scratch, "second")
+        labels = scratch.spark.createDataFrame([], "node long, label long")
+        links: list[DataFrame] = []
+        tried: list[DataFrame] = []
+
+        def compare(pairs: DataFrame, name: str) -> None:
+            """Compares the pairs that were not compared yet and merges what links."""
+            nonlocal labels
+            pairs = scratch.save(self.untried(pairs, reduce(DataFrame.unionByName, tried)) if tried else pairs, f"{name}_pairs")
+            if not pairs.isEmpty():
+                tried.append(pairs)
+                links.append(scratch.save(self.linked(pairs, name), f"{name}_links"))
+                scratch.drop(f"{name}_cut", f"{name}_ids")
+                labels = components(reduce(DataFrame.unionByName, links), scratch, name)
+
+        rows = self.prefixes()
+        pivots = scratch.save(self.pivot_pairs(rows), "pivot_pairs")
+        best = pivots.groupBy("b").agg(F.max(F.struct("shared", "a", "size_a", "size_b")).alias("p"))
+        compare(best.select("p.a", "b", "p.size_a", "p.size_b"), "first")
+        compare(self.apart(pivots, labels), "second")
+        rows = self.mixed(rows.drop("own"), labels)
+        scratch.drop("prefixes", "pivots", "pivot_pairs", "hot")
+        compare(self.open_pairs(rows), "third")
+        scratch.drop("mixed", "open", "bits")
         classes = self.named.where("n_shingles > 0 and doc_id is not null").groupBy("name").agg(F.min("doc_id").alias("least"))
-        classes = classes.join(labels.withColumnRenamed("node", "name"), "name", "left").withColumn("label", F.coalesce("label", "name"))
+        classes = self._labelled(classes, labels)
         least = classes.groupBy("label").agg(F.min("least").alias("component_id"))
-        by_name = classes.join(least, "label").select("name", "component_id")
-        rows = self.named.join(by_name, "name", "left")
+        by_name = scratch.save(classes.join(least, "label").select("name", "component_id"), "classes")
+        rows = self.named.select("doc_id", "n_shingles", "name").join(by_name, "name", "left")
         mine = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id"))
         return rows.select("doc_id", "n_shingles", mine.alias("component_id"))
 
@@ -256,7 +323,14 @@ def join(docs: DataFrame, scratch: Scratch, text: str = "text", key: str = "doc_
 
 
 def keep_one(docs: DataFrame, scratch: Scratch, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of their component, and rows without an id."""
+    """The rows of ``docs`` whose id is the smallest of their component, and rows without an id.
+
+    Of rows with the same id and text one stays, the first by a hash of all its columns.
+    """
     found = join(docs, scratch, text, key).where("doc_id is not null and doc_id = component_id").select(F.col("doc_id").alias(key)).distinct()
-    kept = docs.where(F.col(key).isNotNull()).dropDuplicates([key, text]).join(found, key, "left_semi")
-    return kept.select(*docs.columns).unionByName(docs.where(F.col(key).isNull()))
+    kept = docs.where(F.col(key).isNotNull()).join(scratch.save(found, "kept_ids"), key, "left_semi")
+    rest = [F.col(f"`{f.name}`") for f in docs.schema.fields if f.name not in (key, text)]
+    hashed = [F.col(f"`{f.name}`") for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]
+    one = kept.groupBy(key, text).agg(F.min_by(F.struct(*rest, F.lit(0).alias("_")), F.xxhash64(*hashed)).alias("_rest"))
+    kept = one.select(*[F.col(f"`{c}`") if c in (key, text) else F.col(f"_rest.`{c}`") for c in docs.columns])
+    return kept.unionByName(docs.where(F.col(key).isNull()))
