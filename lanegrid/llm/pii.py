@@ -1,20 +1,24 @@
 """Personal data by anchor expansion.
 
-An Aho-Corasick automaton finds anchors (at-signs, URL schemes, identifier cues). From each
-anchor a local parser expands to the left and right and validates what it finds: e-mail
-addresses, credentials in URLs, IBANs (mod 97) and values after cues such as ``token =`` or
-``passport:``. The number kinds are not anchored: IPv4 addresses, payment cards (Luhn) and phone
-numbers are found by patterns over the whole text, then validated. These and e-mail addresses
-are the four base kinds, which equal a leftmost non-overlapping match of
-their patterns; a candidate that fails its check is dropped without a retry.
-
-Defined results: a null text is empty and has no spans; offsets count code points; repeated
-rows are read alike, row by row; extra columns are passed on; an empty table gives an empty one.
+An Aho-Corasick automaton finds anchors: at-signs, plus signs, digits, URL schemes and
+identifier cues. From each anchor a local parser expands and validates what it finds: e-mail
+addresses to both sides of an at-sign; phone numbers from a plus sign; IPv4 addresses and payment
+cards (Luhn) from the first digit of a run; credentials in URLs, IBANs (mod 97) and values after
+cues such as ``token =`` or ``passport:``. No pattern is searched for in the whole text. The
+first four are the base kinds, which equal a leftmost non-overlapping match of their patterns: an
+anchor inside the last match of its kind is passed over, and a candidate that fails its check is
+dropped without a retry.
+
+Defined results: a null or empty text has no spans; offsets count code points; spans of several
+kinds at one place are all given; a text of any length is read whole, in one pass; repeated rows
+are read alike, row by row; extra columns are passed on, and one named like the result is replaced;
+an empty table gives an empty one.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from functools import cache
 
 import ahocorasick
@@ -30,6 +34,8 @@ _ORDER = {kind: i for i, kind in enumerate(BASE_KINDS + EXTRA_KINDS)}
 #: Anchor -> parser; matched in lower case.
 ANCHORS = {
     "@": "email",
+    "+": "phone",
+    **dict.fromkeys("0123456789", "number"),
     "://": "credential",
     "iban": "iban",
     "token": "secret", "api_key": "secret", "apikey": "secret", "api key": "secret", "secret": "secret", "password": "secret", "passwd": "secret",
@@ -37,8 +43,9 @@ ANCHORS = {
 }
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+_DIGITS = frozenset("0123456789")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-_IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")  # a match can only start where a run of digits does
+_IP = re.compile(r"[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _USER = re.compile(r"[^\s/@:]+:[^\s/@]+@")
@@ -77,18 +84,13 @@ def _iban(text: str) -> str:
     return ""
 
 
-def _numbers(text: str, found: list[tuple[str, int, int]]) -> None:
-    for m in _IP.finditer(text):
-        if all(len(part) <= 3 and int(part or 0) <= 255 for part in (p.lstrip("0") for p in m[0].split("."))):
-            found.append(("ip", m.start(), m.end()))
-    for m in _CARD.finditer(text):
-        digits = _digits(m[0])
-        if 14 <= len(digits) <= 19 and _luhn(digits):
-            found.append(("card", m.start(), m.end()))
-    if "+" in text:
-        for m in _PHONE.finditer(text):
-            if 10 <= len(_digits(m[0])) <= 15:
-                found.append(("phone", m.start(), m.end()))
+def _is_ip(text: str) -> bool:
+    return all(len(part) <= 3 and int(part or 0) <= 255 for part in (p.lstrip("0") for p in text.split(".")))
+
+
+def _is_card(text: str) -> bool:
+    digits = _digits(text)
+    return 14 <= len(digits) <= 19 and _luhn(digits)
 
 
 _DIGIT = re.compile(r"[0-9]")
@@ -102,16 +104,29 @@ def find(text: str | None) -> list[tuple[str, int, int]]:
     lower = text.lower()
     if len(lower) != len(text):  # a letter whose lower case is longer: only A-Z then, so that offsets hold
         lower = "".join(c.lower() if c < "\x80" else c for c in text)
-    taken = 0  # end of the last e-mail address
+    taken = dict.fromkeys(BASE_KINDS, 0)  # where the last match of a kind ends
+
+    def expand(kind: str, pattern: re.Pattern, at: int, valid: Callable[[str], bool]) -> None:
+        if at >= taken[kind] and (m := pattern.match(text, at)):
+            taken[kind] = m.end()
+            if valid(m[0]):
+                found.append((kind, at, m.end()))
+
     for last, (parser, size) in _automaton().iter(lower):
         at = last + 1 - size
         if parser == "email":
             start = at
-            while start > taken and text[start - 1] in _LOCAL:
+            while start > taken["email"] and text[start - 1] in _LOCAL:
                 start -= 1
             if start < at and (m := _DOMAIN.match(text, at + 1)):
                 found.append(("email", start, m.end()))
-                taken = m.end()
+                taken["email"] = m.end()
+        elif parser == "phone":
+            expand("phone", _PHONE, at, lambda t: 10 <= len(_digits(t)) <= 15)
+        elif parser == "number":
+            if not at or text[at - 1] not in _DIGITS:  # a match starts where a run of digits does
+                expand("ip", _IP, at, _is_ip)
+                expand("card", _CARD, at, _is_card)
         elif parser == "credential":
             if m := _USER.match(text, last + 1):
                 found.append(("credential", last + 1, m.end() - 1))
@@ -124,8 +139,6 @@ def find(text: str | None) -> list[tuple[str, int, int]]:
         elif m := _IDENTIFIER.match(text, last + 1):
             if len(_digits(m[1])) >= 6:
                 found.append(("identifier", *m.span(1)))
-    if _DIGIT.search(text):
-        _numbers(text, found)
     found = sorted(set(found), key=lambda s: (s[1], _ORDER[s[0]], s[2]))
     return found
 
