@@ -5,12 +5,14 @@ letters. Filters of one, two and three words slide over the whole text, the maxi
 positions of each filter feeds a logistic output. Weights are trained in numpy on a bounded
 sample of labelled rows; scoring covers every whole text. Because a filter is linear in its
 words, each bucket's contribution to each filter is tabulated once, and a text is scored by
-table look-ups and a maximum. Thresholds are calibrated by language on the training rows;
-the language is never an input of the score.
-
-Defined results: a null or empty text gets the score of a text without words; rows without a
-language share one threshold; repeated rows get the same score; extra columns are passed on;
-without any labelled row every score is 0.5.
+table look-ups and a maximum. Thresholds are calibrated by language on one in CALIBRATION of the
+sampled rows, which training leaves out; the language is never an input of the score.
+
+Defined results: a null or empty text gets the score of a text without words; a text of any length
+is scored whole; rows without a language, and languages with few calibration rows, share one
+threshold; of thresholds that are equally good the highest counts; repeated rows get the same score;
+extra columns are passed on, and one named like the score is replaced; without any labelled row
+every score is 0.5; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,6 +31,7 @@ from lanegrid.llm.labels import training_rows
 from lanegrid.runtime import small_batches
 
 WIDTHS = (1, 2, 3)
+CALIBRATION = 8
 
 
 @dataclass
@@ -167,8 +170,8 @@ def score_texts(model: Model, texts: pa.Array) -> np.ndarray:
     return _sigmoid(peak @ model.out + model.out_bias).astype(np.float64)
 
 
-def calibrate(model: Model, rows: list[tuple[str, int, str | None]], least: int = 20) -> None:
-    """Sets the threshold of each language with enough rows to the one of best F1 on the given rows; others share one."""
+def calibrate(model: Model, rows: list[tuple[str, int, str | None]], least: int = 20, least_toxic: int = 5) -> None:
+    """Sets the threshold of each language with enough rows to the one of best F1 on the given rows; others share one, 0.5 where there are too few rows at all."""
 
     def best(scores, y):
         order = np.argsort(-scores, kind="stable")
@@ -182,20 +185,20 @@ def calibrate(model: Model, rows: list[tuple[str, int, str | None]], least: int
         return
     frame = pd.DataFrame(rows, columns=["text", "y", "lang"])
     frame["score"] = score_texts(model, pa.array(frame["text"], pa.large_string()))
-    if frame["y"].sum():
+    if frame["y"].sum() >= least_toxic:
         model.default_threshold = best(frame["score"].to_numpy(), frame["y"].to_numpy())
     for lang, part in frame.groupby("lang"):
-        if len(part) >= least and part["y"].sum() >= 5:
+        if len(part) >= least and part["y"].sum() >= least_toxic:
             model.thresholds[str(lang)] = best(part["score"].to_numpy(), part["y"].to_numpy())
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: int = 4000, **options) -> Model:
     """A model from at most ``max_rows`` labelled rows of ``docs`` that are not held out."""
     rows = training_rows(docs, labels, label, max_rows)
-    model = train([(r["_text"], r["_y"]) for r in rows], **options)
+    model = train([(r["_text"], r["_y"]) for i, r in enumerate(rows) if i % CALIBRATION], **options)
     if "lang" in docs.columns and rows:
         langs = {r["doc_id"]: r["lang"] for r in docs.select("doc_id", "lang").join(F.broadcast(docs.sparkSession.createDataFrame([(r["doc_id"],) for r in rows], "doc_id long").distinct()), "doc_id").collect()}
-        calibrate(model, [(r["_text"], r["_y"], langs.get(r["doc_id"])) for r in rows])
+        calibrate(model, [(r["_text"], r["_y"], langs.get(r["doc_id"])) for r in rows[::CALIBRATION]])
     return model
 
 
