@@ -396,6 +396,30 @@ def words_to_grid(words: DataFrame, by: list[str], row_height: float = 8.0, gap:
     return cells.groupBy(*by, "row_top").agg(F.transform(F.array_sort(F.collect_list(F.struct("_cell", "cell"))), lambda c: c["cell"]).alias("cells"))
 
 
+def ocr_words_to_grid(words: DataFrame, by: list[str], least_confidence: float = 30.0) -> DataFrame:
+    """(by, row, cells): recognised words (top, left, right, height, confidence, text) of confidence over a limit.
+
+    A new row starts where the top is further below the word before than 0.6 of the page's median
+    height (4 at least), a new cell after a gap of more than two median widths (8 at least). Rows are
+    chained from word to word. Pages with fewer than two rows or two cells have no grid.
+    """
+    sure = words.where(F.col("confidence") > least_confidence)
+    sizes = sure.groupBy(*by).agg(F.median("height").alias("_h"), F.median(F.col("right") - F.col("left")).alias("_w"))
+    rows = sure.join(sizes, by)
+    down = Window.partitionBy(*by).orderBy("top", "left", "right", "text")
+    fresh = F.coalesce((F.col("top") - F.lag("top").over(down) > F.greatest(F.lit(4.0), 0.6 * F.col("_h"))).cast("int"), F.lit(0))
+    rows = rows.withColumn("_f", fresh).withColumn("row", F.sum("_f").over(down.rowsBetween(Window.unboundedPreceding, 0)))
+    across = Window.partitionBy(*by, "row").orderBy("left", "right", "top", "text")
+    split = F.coalesce((F.col("left") - F.lag("right").over(across) > F.greatest(F.lit(8.0), 2 * F.col("_w"))).cast("int"), F.lit(0))
+    rows = rows.withColumn("_s", split).withColumn("_cell", F.sum("_s").over(across.rowsBetween(Window.unboundedPreceding, 0)))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("left", "right", "top", "text"))), lambda w: w["text"]), " ")
+    cells = rows.groupBy(*by, "row", "_cell").agg(joined.alias("cell"))
+    grid = cells.groupBy(*by, "row").agg(F.transform(F.array_sort(F.collect_list(F.struct("_cell", "cell"))), lambda c: c["cell"]).alias("cells"))
+    page = Window.partitionBy(*by)
+    sized = grid.withColumns({"_n": F.count("*").over(page), "_most": F.max(F.size("cells")).over(page)})
+    return sized.where("_n >= 2 and _most >= 2").drop("_n", "_most")
+
+
 def assemble(candidates: DataFrame) -> DataFrame:
     """Per vendor and field the value of the best source (source_rank, lowest first)."""
     return candidates.where("value is not null").groupBy("vendor_id", "field").agg(F.min_by(F.struct("value", "source_rank"), "source_rank").alias("b")).select("vendor_id", "field", "b.*")

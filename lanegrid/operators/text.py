@@ -65,6 +65,29 @@ EVIDENCE = [
     "misc charge", "miscellaneous charge", "other charges",
 ]
 
+#: Section headings by category, in order of preference.
+HEADINGS: list[tuple[str, str]] = [
+    ("AIR_FREIGHT", r"(?i)^[\s\*\-=>#]*(?:air\s*(?:freight|cargo|express|rates?|tariff|charges?|price|mode|service|zone|only)|aviation\s*(?:freight|cargo|rates?)|airway?\s*bill|awb\s*(?:rates?|charges?)|by\s*air(?:\s*(?:rates?|charges?|tariff))?)[\s\*:\-]*$"),
+    ("CHARGES", r"(?i)^[\s\*\-=>#]*(?:surcharge|additional\s*charge|fee\s*schedule|charge\s*details?|tariff|accessorial|ancillary|levy|misc|docket|lr\s*charge|fuel\s*surcharge|oda\s*charge|handling\s*charge|cod\s*charge|freight\s*charges?)[\s\*:\-]*$"),
+    ("ZONE_MATRIX", r"(?i)^[\s\*\-=>#]*(?:zone(?:\s*(?:wise|to\s*zone|matrix|rate|price|tariff))?|rate\s*(?:card|matrix|chart)|price\s*(?:matrix|chart)|freight\s*rate)[\s\*:\-]*$"),
+    ("TRANSIT_DAYS", r"(?i)^[\s\*\-=>#]*(?:transit\s*(?:time|days?)|delivery\s*(?:time|days?)|tat|eta|lead\s*time|turnaround\s*time|expected\s*(?:days?|delivery)|days?\s*(?:matrix|chart|schedule)|no\.?\s*of\s*days?)[\s\*:\-]*$"),
+    ("ODA_LIST", r"(?i)^[\s\*\-=>#]*(?:oda|out[\s-]*of[\s-]*delivery|edl|extended\s*delivery|remote\s*area|special\s*area|non[\s-]*serviceable)[\s\*:\-]*$"),
+    ("PINCODE_LIST", r"(?i)^[\s\*\-=>#]*(?:pincode|serviceable|coverage|network|served\s*area|delivery\s*network|service\s*area)[\s\*:\-]*$"),
+    ("COMPANY_INFO", r"(?i)^[\s\*\-=>#]*(?:company|vendor|transporter|about\s*us|company\s*profile|contact|registration|gst|kyc)[\s\*:\-]*$"),
+    ("VOLUMETRIC", r"(?i)^[\s\*\-=>#]*(?:volumetric|dimensional\s*weight|cft|cubic|k[\s-]*factor|divisor)[\s\*:\-]*$"),
+    ("LEGAL", r"(?i)^[\s\*\-=>#]*(?:terms?\s*(?:and|&)\s*conditions?|disclaimer|limitation|liability|t\s*&\s*c|general\s*conditions?)[\s\*:\-]*$"),
+    ("WEIGHT_SLAB", r"(?i)^[\s\*\-=>#]*(?:weight[\s-]*(?:slab|band|range|bracket)|slab[\s-]*rate|rate[\s-]*slab|per[\s-]*kg[\s-]*rate)[\s\*:\-]*$"),
+]
+#: Phrases inside a section by category, in order of preference.
+INLINE_MARKERS: list[tuple[str, str]] = [
+    ("TRANSIT_DAYS", r"(?i)(?:\b\d+\s*transit\s*days?\b|\btransit\s*(?:time|days?)\b|\bdelivery\s*(?:time|days?)\b|\bdays?\s*in\s*transit\b|\b(?:tat|eta)\b|\blead\s*time\b|\bturnaround\s*time\b)"),
+    ("AIR_FREIGHT", r"(?i)\b(?:air\s*(?:freight|cargo|way\s*bill|awb|mode)|awb|airway\s*bill|by\s*air\s*(?:rate|freight|tariff))"),
+    ("VOLUMETRIC", r"(?i)\b(?:1\s*cft\s*[=:]\s*\d+|k[\s-]*factor\s*[=:]\s*\d+|volumetric\s*divisor\s*[=:]\s*\d+|dimensional\s*weight\s*formula)"),
+    ("LEGAL", r"(?i)\b(?:subject\s*to|governed\s*by|clause\s*\d+|notwithstanding|indemnif|arbitration|jurisdiction)"),
+    ("CHARGES", r"(?i)\b(?:docket\s*charge|lr\s*charge|fuel\s*surcharge|oda\s*charge|cod\s*charge|dacc|topay\s*charge|handling\s*charge|green\s*tax|miscellaneous\s*charge)"),
+    ("COMPANY_INFO", r"(?i)\b(?:gstin?|gst\s*no|pan\s*(?:no|number|card)|cin\s*no|registered\s*office|head\s*office|contact\s*(?:us|no|number))"),
+]
+
 DANGEROUS = ["VOLUMETRIC", "LEGAL", "TRANSIT_DAYS", "AIR_FREIGHT"]
 LEAST_SCORE = 1.5
 MIXED_GAP = 0.35
@@ -205,6 +228,30 @@ def segment(rows: DataFrame, key: str = "doc_id", text: str = "text", least_char
     return blocks.where(F.length("text") >= least_chars).drop("_block")
 
 
+def categorize(blocks: DataFrame, text: str = "text") -> DataFrame:
+    """Adds ``category``, ``confidence`` and ``heading`` to blocks of lines.
+
+    A heading among the first three lines decides (0.95); else a volumetric or legal phrase in the
+    first 300 characters (0.88); else the classification of the first 2000 characters, which any
+    phrase overrules (0.75) where its confidence is under 0.55.
+    """
+    line = lambda i: F.regexp_replace(F.coalesce(F.get(F.split(text, "\n", -1), F.lit(i)), F.lit("")), r"^\s+|\s+$", "")
+    heading_of = lambda x: F.when((x != "") & (F.length(x) <= 120), F.coalesce(*[F.when(x.rlike(p), c) for c, p in HEADINGS]))
+    rows = blocks.withColumns({f"_line{i}": line(i) for i in range(3)})
+    rows = rows.withColumns({f"_head{i}": heading_of(F.col(f"_line{i}")) for i in range(3)})
+    forced = F.coalesce(*[F.col(f"_head{i}") for i in range(3)])
+    heading = F.coalesce(*[F.when(F.col(f"_head{i}").isNotNull(), F.col(f"_line{i}")) for i in range(3)])
+    start = F.substring(text, 1, 300)
+    rows = rows.withColumns({"_forced": forced, "heading": heading, "_inline": F.coalesce(*[F.when(start.rlike(p), c) for c, p in INLINE_MARKERS]), "_start": F.substring(text, 1, 2000)})
+    rows = classify(rows, "_start")
+    inline = F.col("_inline").isin("VOLUMETRIC", "LEGAL")
+    weak = F.col("_inline").isNotNull() & (F.col("confidence") < 0.55)
+    category = F.coalesce("_forced", F.when(inline | weak, F.col("_inline")), "category")
+    confidence = F.when(F.col("_forced").isNotNull(), 0.95).when(inline, 0.88).when(weak, 0.75).otherwise(F.col("confidence"))
+    rows = rows.withColumns({"_c": category, "_p": confidence})
+    return rows.select(*blocks.columns, F.col("_c").alias("category"), F.col("_p").alias("confidence"), "heading")
+
+
 def merge_sections(sections: DataFrame, key: str = "doc_id") -> DataFrame:
     """Adjacent sections of one known category with confidence over 0.3 become one, with the highest confidence."""
     by = Window.partitionBy(key).orderBy("start_line")

@@ -305,6 +305,27 @@ def words_to_grid(spark, d):
     return grid.select("page", F.col("row_top").cast("double").alias("row_top"), F.size("cells").alias("n_cells"), F.array_join("cells", " ").alias("line"))
 
 
+OCR = """SELECT CAST(l_orderkey % 200 AS INT) AS page, CAST(l_linenumber * 9 + l_partkey % 3 AS DOUBLE) AS top, CAST(l_partkey % 60 * 10 AS DOUBLE) AS l, CAST(l_partkey % 60 * 10 + 3 AS DOUBLE) AS r, CAST(6 + l_suppkey % 3 AS DOUBLE) AS h, 'w' || (l_partkey % 60) AS text
+    FROM lineitem WHERE l_suppkey % 10 > 2"""
+
+
+@query(
+    "ocr_words_to_grid",
+    """SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY page) AS n_rows, max(n_cells) OVER (PARTITION BY page) AS most FROM (SELECT page, row, CAST(count(DISTINCT cell) AS INT) AS n_cells, string_agg(text, ' ' ORDER BY l, r, top, text) AS line FROM (SELECT *, sum(s) OVER (PARTITION BY page, row ORDER BY l, r, top, text ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cell FROM
+       (SELECT *, CASE WHEN l - lag(r) OVER (PARTITION BY page, row ORDER BY l, r, top, text) > greatest(8, 2 * w) THEN 1 ELSE 0 END AS s FROM (SELECT *, sum(f) OVER (PARTITION BY page ORDER BY top, l, r, text ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS row FROM
+       (SELECT *, CASE WHEN top - lag(top) OVER (PARTITION BY page ORDER BY top, l, r, text) > greatest(4, 0.6 * mh) THEN 1 ELSE 0 END AS f FROM ocr JOIN (SELECT page, median(h) AS mh, median(r - l) AS w FROM ocr GROUP BY page) USING (page))))) GROUP BY page, row)) WHERE n_rows >= 2 AND most >= 2""".replace("SELECT * FROM (SELECT *, count", "SELECT page, CAST(row AS BIGINT) AS row, n_cells, line FROM (SELECT *, count", 1),
+    ocr=OCR,
+)
+def ocr_words_to_grid(spark, d):
+    left = (F.col("l_partkey") % 60 * 10).cast("double")
+    words = table(spark, d, "lineitem").select(
+        (F.col("l_orderkey") % 200).cast("int").alias("page"), (F.col("l_linenumber") * 9 + F.col("l_partkey") % 3).cast("double").alias("top"), left.alias("left"), (left + 3).alias("right"),
+        (6 + F.col("l_suppkey") % 3).cast("double").alias("height"), (F.col("l_suppkey") % 10 * 10 + 5).cast("double").alias("confidence"), F.concat(F.lit("w"), F.col("l_partkey") % 60).alias("text"),
+    )
+    grid = op.ocr_words_to_grid(words, ["page"])
+    return grid.select("page", "row", F.size("cells").alias("n_cells"), F.array_join("cells", " ").alias("line"))
+
+
 @query("segment_rows", None)
 def segment_rows(spark, d):
     """Categories of the rows of the long sheets by windows of six rows; the category switches after three windows."""

@@ -130,6 +130,29 @@ def learning_stats(spark, d):
     return op.learning_stats(_state(spark, d))
 
 
+@query("topk_learned", "SELECT type, raw, canonical, confirmations FROM state WHERE promoted ORDER BY confirmations DESC, type, raw, canonical LIMIT 20", learn=LEARN, state=STATE)
+def topk_learned(spark, d):
+    """The twenty promoted entries with most confirmations."""
+    return _state(spark, d).where("promoted").orderBy(F.desc("confirmations"), "type", "raw", "canonical").limit(20).select("type", "raw", "canonical", "confirmations")
+
+
+@query("topk_event_kinds", "SELECT kind, count(*) AS n FROM learn GROUP BY kind ORDER BY n DESC, kind LIMIT 5", learn=LEARN)
+def topk_event_kinds(spark, d):
+    return learn_events(table(spark, d, "events")).groupBy("kind").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "kind").limit(5)
+
+
+@query("last_events", "SELECT type, raw, canonical, kind, seq FROM learn ORDER BY ts DESC, seq DESC LIMIT 5", learn=LEARN)
+def last_events(spark, d):
+    return learn_events(table(spark, d, "events")).orderBy(F.desc("ts"), F.desc("seq")).limit(5).select("type", "raw", "canonical", "kind", "seq")
+
+
+@query("topk_uncertain", "SELECT type, raw, canonical, round(confidence, 9) AS confidence FROM state WHERE confidence < 0.8 ORDER BY round(confidence, 9), type, raw, canonical LIMIT 20", learn=LEARN, state=STATE)
+def topk_uncertain(spark, d):
+    """The twenty entries of least confidence under 0.8."""
+    rows = _state(spark, d).withColumn("confidence", F.round("confidence", 9)).where("confidence < 0.8")
+    return rows.orderBy("confidence", "type", "raw", "canonical").limit(20).select("type", "raw", "canonical", "confidence")
+
+
 @query("stream_learning_state", "SELECT type, raw, canonical, confirmations, corrections, round(confidence, 9) AS confidence, promoted FROM state", learn=LEARN, state=STATE)
 def stream_learning_state(spark, d):
     """The stream over the events table, run to its end; its last state per key."""
@@ -141,14 +164,16 @@ def stream_learning_state(spark, d):
     return learning.last_states(spark, f"{root}/states").withColumn("confidence", F.round("confidence", 9))
 
 
-COMPANIES = {"alpha": ["the", "hea"], "beta": ["idiot", "clown"], "gamma": ["der", "die"], "delta": ["los", "que"]}
-_COMPANY = "SELECT * FROM (VALUES " + ", ".join(f"('{c}', {a})" for c, a in COMPANIES.items()) + ") t(company, aliases)"
-FOUND = """SELECT doc_id, arg_min(company, (-score, company)) AS company, CAST(max(score) AS DOUBLE) AS score FROM (SELECT doc_id, company, round(least(0.99, len(list_filter(aliases, lambda a: contains(lower(coalesce(text, '')), a))) * 0.4 + CASE WHEN source = 'src1' AND company = 'alpha' THEN 0.3 ELSE 0 END), 2) AS score
-    FROM documents CROSS JOIN companies) WHERE score > 0 GROUP BY doc_id"""
+COMPANIES = {"alpha": (["the", "hea"], "ering", None, "onth"), "beta": (["idiot", "clown"], None, "ation", None), "gamma": (["der", "die"], None, None, None), "delta": (["los", "que"], "ción", "ment", "tion")}
+_NULL = lambda x: "NULL" if x is None else f"'{x}'"
+_COMPANY = "SELECT * FROM (VALUES " + ", ".join(f"('{c}', {a}, {_NULL(g)}, {_NULL(p)}, {_NULL(e)})" for c, (a, g, p, e) in COMPANIES.items()) + ") t(company, aliases, gst, phone, email)"
+FOUND = """SELECT doc_id, arg_min(company, (-score, company)) AS company, CAST(max(score) AS DOUBLE) AS score FROM (SELECT doc_id, company, round(least(0.99, len(list_filter(aliases, lambda a: contains(low, a))) * 0.4 + CASE WHEN contains(folder, company) OR len(list_filter(aliases, lambda a: contains(folder, a))) > 0 THEN 0.3 ELSE 0 END
+      + CASE WHEN contains(low, gst) THEN 0.5 ELSE 0 END + CASE WHEN contains(low, phone) THEN 0.3 ELSE 0 END + CASE WHEN contains(low, email) THEN 0.3 ELSE 0 END), 2) AS score
+    FROM (SELECT doc_id, lower(coalesce(text, '')) AS low, CASE WHEN source = 'src1' THEN 'alpha files' ELSE 'other' END AS folder FROM documents) CROSS JOIN companies) WHERE score > 0 GROUP BY doc_id"""
 
 
 def _found(spark, d):
-    companies = spark.createDataFrame(list(COMPANIES.items()), "company string, aliases array<string>").coalesce(1)
+    companies = spark.createDataFrame([(c, *v) for c, v in COMPANIES.items()], "company string, aliases array<string>, gst string, phone string, email string").coalesce(1)
     rows = table(spark, d, "documents").select("doc_id", "text", F.when(F.col("source") == "src1", "ALPHA files").otherwise("other").alias("folder"))
     return op.classify_company(rows, companies)
 

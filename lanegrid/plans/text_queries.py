@@ -124,6 +124,39 @@ def segment_text(spark, d):
     return op.segment(spread(table(spark, d, "documents"))).select("doc_id", "start_line", "end_line", F.length("text").alias("chars"))
 
 
+#: The documents with rate-card lines, each under a heading of its own after two blank lines.
+HEADED = """SELECT doc_id, text || chr(10) || chr(10) || chr(10) || ['Air Freight Rates:', 'CHARGE DETAILS', 'zone matrix', 'Transit time', 'notes on the tariff', '* ODA *', 'Terms and conditions', 'general', 'divisor'][doc_id % 9 + 1] || chr(10)
+    || ['quoted for the year and for all customers', 'delivery days 4 to 6 for every lane and station', '1 CFT = 8 kg for all lanes of this vendor', 'green tax of 35 for every docket and station', 'subject to the courts of the vendor alone'][doc_id % 5 + 1] AS text FROM cards"""
+
+
+def headed(spark, d):
+    k, lit = F.col("doc_id"), F.lit
+    pick = lambda *xs: F.element_at(F.array(*map(lit, xs)), (k % len(xs) + 1).cast("int"))
+    title = pick("Air Freight Rates:", "CHARGE DETAILS", "zone matrix", "Transit time", "notes on the tariff", "* ODA *", "Terms and conditions", "general", "divisor")
+    body = pick("quoted for the year and for all customers", "delivery days 4 to 6 for every lane and station", "1 CFT = 8 kg for all lanes of this vendor", "green tax of 35 for every docket and station", "subject to the courts of the vendor alone")
+    return cards(spark, d).select("doc_id", F.concat("text", lit("\n\n\n"), title, lit("\n"), body).alias("text"))
+
+
+_TRIMMED = [f"coalesce(regexp_replace(string_split(text, chr(10))[{i}], '^\\s+|\\s+$', '', 'g'), '')" for i in (1, 2, 3)]
+_HEAD_OF = lambda x: f"CASE WHEN {x} <> '' AND length({x}) <= 120 THEN CASE " + " ".join(f"WHEN regexp_matches({x}, '{_Q(p)}') THEN '{c}'" for c, p in op.HEADINGS) + " END END"
+_INLINE = "CASE " + " ".join(f"WHEN regexp_matches(left(text, 300), '{_Q(p)}') THEN '{c}'" for c, p in op.INLINE_MARKERS) + " END"
+BLOCK_KINDS = f"SELECT doc_id, start_line, coalesce({', '.join(map(_HEAD_OF, _TRIMMED))}) AS forced, {_INLINE} AS inl FROM blocks WHERE length(text) >= 40"
+BLOCK_CLASSES = CLASSIFIED.replace("SELECT doc_id, CASE", "SELECT doc_id, start_line, CASE").replace("SELECT doc_id, -r", "SELECT doc_id, start_line, -r").replace("SELECT doc_id, list_sort", "SELECT doc_id, start_line, list_sort").replace("FROM cards", "FROM (SELECT doc_id, start_line, left(text, 2000) AS text FROM blocks WHERE length(text) >= 40)")
+
+
+@query(
+    "segment_categories",
+    """SELECT doc_id, CAST(start_line AS INT) AS start_line, coalesce(forced, CASE WHEN inl IN ('VOLUMETRIC', 'LEGAL') OR (inl IS NOT NULL AND confidence < 0.55) THEN inl END, category) AS category,
+        round(CASE WHEN forced IS NOT NULL THEN 0.95 WHEN inl IN ('VOLUMETRIC', 'LEGAL') THEN 0.88 WHEN inl IS NOT NULL AND confidence < 0.55 THEN 0.75 ELSE confidence END, 2) AS confidence
+       FROM block_kinds JOIN block_classes USING (doc_id, start_line)""",
+    cards=CARDS, headed=HEADED, lines=LINES.replace("FROM documents WHERE", "FROM headed WHERE"), cut=CUT, blocks=BLOCKS, block_kinds=BLOCK_KINDS, block_classes=BLOCK_CLASSES,
+)
+def segment_categories(spark, d):
+    """Blocks of the documents with their categories by heading, phrase or classification."""
+    found = op.categorize(op.segment(headed(spark, d)))
+    return found.select("doc_id", "start_line", "category", F.round("confidence", 2).alias("confidence"))
+
+
 SECTIONS = "SELECT doc_id, CAST(line_no AS INT) AS start_line, CAST(line_no + 1 AS INT) AS end_line, ['CHARGES', 'CHARGES', 'LEGAL', 'UNKNOWN'][length(line) % 4 + 1] AS category, (length(line) % 10) / 10 AS confidence FROM lines"
 
 
