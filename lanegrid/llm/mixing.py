@@ -71,12 +71,12 @@ def leaf_budgets(leaves: DataFrame, weights: dict[str, dict[str, int]], budget_o
     """
     up, down = budget_of
     leaves = leaves.withColumn("capacity", F.col("tokens") * max_epochs)
-    total = leaves.agg((F.sum("tokens") * up).alias("t")).select(F.expr(f"coalesce(t div {down}, 0)").alias("budget"))
-    above, parent = total, []
+    total = (leaves.agg(F.sum("tokens")).collect()[0][0] or 0) * up // down
+    above, parent = None, []
     for i, level in enumerate(LEVELS):
         keys = list(LEVELS[: i + 1])
         nodes = leaves.groupBy(*keys).agg(F.sum("capacity").alias("capacity")).withColumn("weight", _weights(level, weights.get(level, {})))
-        nodes = nodes.join(F.broadcast(above), parent) if parent and i < 2 else nodes.join(above, parent) if parent else nodes.join(F.broadcast(above))  # one row
+        nodes = nodes.join(above, parent) if parent else nodes.withColumn("budget", F.lit(total))
         above = _share_out(nodes, parent or [F.lit(0)], level).select(*keys, F.col("share").alias("budget"))
         parent = keys
     return leaves.join(above, list(LEVELS))
@@ -113,7 +113,7 @@ def select_epochs(
         F.ceil(F.sqrt("docs")).cast("long").alias("buckets"),
     )
     plan = scratch.save(plan, "plan")
-    rows = join_counted(sized, plan, list(LEVELS), spread=key)
+    rows = join_counted(sized, plan, list(LEVELS), spread=key, row_bytes=F.octet_length(F.concat(*LEVELS)) + 64)
     order = lambda epoch: F.md5(F.concat_ws(":", F.lit(str(seed)), epoch.cast("string"), F.coalesce(F.col(key).cast("string"), F.lit(""))).cast("binary"))
     repeated = rows.where("whole > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("whole") - 1)))
 

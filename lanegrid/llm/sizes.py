@@ -1,24 +1,31 @@
-"""Joins that broadcast a side only after its rows were counted, and names for helper columns."""
+"""Joins that broadcast a side only after its size was checked, and names for helper columns."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 100_000
+BROADCAST_BYTES = 8_000_000
 SALTS = 16
 
 
-def join_counted(big: DataFrame, small: DataFrame, on: list[str], spread: str, how: str = "inner") -> DataFrame:
-    """Joins on ``on``. ``small`` is broadcast if it has at most BROADCAST_ROWS rows.
+def small_enough(df: DataFrame, row_bytes: int | Column) -> bool:
+    """Whether ``df`` has few enough rows and bytes to be sent to every executor."""
+    rows, size = df.agg(F.count("*"), F.sum(row_bytes if isinstance(row_bytes, Column) else F.lit(row_bytes))).collect()[0]
+    return rows <= BROADCAST_ROWS and (size or 0) <= BROADCAST_BYTES
+
+
+def join_counted(big: DataFrame, small: DataFrame, on: list[str], spread: str, row_bytes: int | Column = 64) -> DataFrame:
+    """Joins on ``on``. ``small`` is broadcast if it is small enough.
 
     Beyond that both sides are shuffled by the key and a salt taken from the column ``spread``
     of ``big``, so that a hot key is dealt over SALTS tasks.
     """
-    if small.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        return big.join(F.broadcast(small), on, how)
+    if small_enough(small, row_bytes):
+        return big.join(F.broadcast(small), on)
     salted = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return big.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int")).join(salted, [*on, "_salt"], how).drop("_salt")
+    return big.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int")).join(salted, [*on, "_salt"]).drop("_salt")
 
 
 def free(columns: list[str], name: str) -> str:

@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from lanegrid.llm import chat, components, decontaminate, exact_substrings, flat, jaccard, line_dedup, mixing, pii, quality_model, quality_rules, toxicity
+from lanegrid.llm import chat, components, decontaminate, exact_substrings, flat, jaccard, line_dedup, mixing, pii, quality_model, quality_rules, sizes, toxicity
 from lanegrid.llm.labels import held_out
 from lanegrid.runtime import Scratch
 from tests.llm import brute
@@ -91,7 +91,7 @@ def test_decontamination(spark, docs, few, monkeypatch):
     texts = corpus()
     items = [(1, texts[0][20:180]), (2, "ONE"), (3, None), (None, " ".join(texts[1].split()[3:20])), (5, texts[4].upper()), (6, "two, words!"), (1, texts[0][20:180])]
     if not few:
-        monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", 0)
+        monkeypatch.setattr(sizes, "BROADCAST_ROWS", 0)
     bench = spark.createDataFrame(items, "item_id int, text string")
     got = {r["doc_id"]: r for r in decontaminate.annotate(docs, bench, Scratch(spark)).collect()}
     for i, t in enumerate(texts):
