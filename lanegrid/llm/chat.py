@@ -1,8 +1,9 @@
 """Chat formatting of reply trees, with DataFrame functions only.
 
 Messages form trees by their parent ids. Iterative self-joins with doubled steps list the
-ancestors of every leaf (a tree of depth d takes log2(d) rounds), branches are ranked by the
-sum of their messages' scores, and each chosen root-to-leaf path becomes one conversation.
+ancestors of every leaf (a tree of depth d takes log2(d) + 1 rounds, cycles or not), branches are
+ranked by the sum of their messages' scores, and each chosen root-to-leaf path becomes one
+conversation. Roots take no part in the joins on parents, so their null parents meet nowhere.
 
 Template: every turn is ``<s>`` role ``[INST]`` text ``[/INST]</s>``. Inside roles and texts a
 backslash is doubled, and the four control strings get a backslash after their first character,
@@ -10,8 +11,11 @@ so that no control string is left and reading back is exact. The loss mask is a
 intervals of code points that cover the texts of assistant turns.
 
 Defined results: a null role or text is empty; a null score counts as 0; equal scores are
-ranked by leaf id; a message whose parent is missing or null is a root; messages on a cycle
-have no root and form no path; repeated ids count once; an empty table gives an empty result.
+ranked by leaf id; a message whose parent is missing or null is a root; a message without an id
+is left out; messages on a cycle, and those whose ancestors lead into one, have no root and form
+no path; of several rows with one id the least by parent, score, role and text (nulls first)
+counts; texts of any length are formatted whole; other columns are not read, whatever their names;
+an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -36,38 +40,49 @@ def unescape(text: Column) -> Column:
     return F.regexp_replace(text, r"(?s)\\(.)", "$1")
 
 
+def one_per_id(messages: DataFrame) -> DataFrame:
+    """(msg_id and those of parent_id, score, role, text that are there), one row for every id."""
+    there = [c for c in ("parent_id", "score", "role", "text") if c in messages.columns]
+    rows = messages.where(F.col("msg_id").isNotNull()).groupBy("msg_id").agg(F.min(F.struct(*there)).alias("_m"))
+    return rows.select("msg_id", *[F.col(f"_m.{c}").alias(c) for c in there])
+
+
 def paths(messages: DataFrame, scratch: Scratch, top: int = 1) -> DataFrame:
     """The ``top`` best root-to-leaf paths of every tree: (root, leaf, score, depth_left, msg_id), a row per message.
 
     ``messages`` has msg_id, parent_id and score. ``depth_left`` is the number of steps from the
-    message to the leaf. Each round doubles the length of the steps that are joined.
+    message to the leaf. Each round doubles the length of the steps that are joined. Rounds end
+    when no message has so many ancestors, or when doubling the step leaves as many messages with
+    so many ancestors as before: as every depth up to the greatest occurs, those then hang on cycles.
     """
-    links = messages.dropDuplicates(["msg_id"]).where(F.col("msg_id").isNotNull())
+    return _paths(scratch.save(one_per_id(messages.select("msg_id", "parent_id", "score")), "ids"), scratch, top)
+
+
+def _paths(messages: DataFrame, scratch: Scratch, top: int) -> DataFrame:
+    links = messages.select("msg_id", "parent_id", F.coalesce("score", F.lit(0.0)).cast("double").alias("score"))
+    child = links.where("parent_id is not null")
     ids = links.select(F.col("msg_id").alias("parent_id"))
-    links = links.join(ids, "parent_id", "left_semi").select("msg_id", "parent_id", "score").unionByName(
-        links.join(ids, "parent_id", "left_anti").select("msg_id", F.lit(None).cast(links.schema["msg_id"].dataType).alias("parent_id"), "score")
-    )
-    links = scratch.save(links.withColumn("score", F.coalesce("score", F.lit(0.0)).cast("double")), "links")
-    total = links.count()
-    leaves = links.select("msg_id").join(links.select(F.col("parent_id").alias("msg_id")), "msg_id", "left_anti")
+    child = scratch.save(child.join(ids, "parent_id", "left_semi").select("msg_id", "parent_id", "score"), "children")
+    leaves = links.select("msg_id").join(child.select(F.col("parent_id").alias("msg_id")), "msg_id", "left_anti")
     # jump: message -> ancestor `step` steps above; walk: leaf -> ancestors fewer than `step` steps above
-    jump = links.select("msg_id", F.col("parent_id").alias("up"))
+    jump = child.select("msg_id", F.col("parent_id").alias("up"))
     walk = leaves.select(F.col("msg_id").alias("leaf"), F.col("msg_id"), F.lit(0).cast("long").alias("depth_left"))
-    step, round_no = 1, 0
-    while step <= total:
-        further = walk.join(jump.where("up is not null"), "msg_id").select("leaf", F.col("up").alias("msg_id"), (F.col("depth_left") + step).alias("depth_left"))
+    step, round_no, n = 1, 0, jump.count()
+    while n:
+        further = walk.join(jump, "msg_id").select("leaf", F.col("up").alias("msg_id"), (F.col("depth_left") + step).alias("depth_left"))
         walk = scratch.save(walk.unionByName(further), f"walk{round_no}")
         above = jump.select(F.col("msg_id").alias("up"), F.col("up").alias("further"))
-        jump = scratch.save(jump.where("up is not null").join(above, "up").where("further is not null").select("msg_id", F.col("further").alias("up")), f"jump{round_no}")
-        step, round_no = step * 2, round_no + 1
-        if jump.isEmpty():
+        jump = scratch.save(jump.join(above, "up").select("msg_id", F.col("further").alias("up")), f"jump{round_no}")
+        before, n = n, jump.count()
+        if n == before:
             break
-        if round_no > 1:
-            scratch.drop(f"walk{round_no - 2}", f"jump{round_no - 2}")
-    scored = walk.join(links, "msg_id")
-    branches = scored.groupBy("leaf").agg(
-        F.sum("score").alias("score"), F.max(F.when(F.col("parent_id").isNull(), F.col("msg_id"))).alias("root")
-    ).where("root is not null")
+        if round_no:
+            scratch.drop(f"walk{round_no - 1}", f"jump{round_no - 1}")
+        step, round_no = step * 2, round_no + 1
+    if n:
+        walk = walk.join(jump.select(F.col("msg_id").alias("leaf")), "leaf", "left_anti")
+    scored = walk.join(links.select("msg_id", "score"), "msg_id")
+    branches = scored.groupBy("leaf").agg(F.sum("score").alias("score"), F.max(F.struct("depth_left", "msg_id"))["msg_id"].alias("root"))
     rank = F.row_number().over(Window.partitionBy("root").orderBy(F.col("score").desc(), "leaf"))
     chosen = branches.withColumn("_rank", rank).where(F.col("_rank") <= top).drop("_rank")
     return walk.join(chosen, "leaf").select("root", "leaf", "score", "depth_left", "msg_id")
@@ -106,8 +121,8 @@ def render(turns: DataFrame, by: list[str]) -> DataFrame:
 
 def format_trees(messages: DataFrame, scratch: Scratch, top: int = 1) -> DataFrame:
     """(root, leaf, score, n_turns, formatted, loss_spans) of the best paths; ``messages`` has msg_id, parent_id, score, role, text."""
-    chosen = paths(messages, scratch, top)
-    turns = chosen.join(messages.dropDuplicates(["msg_id"]).select("msg_id", "role", "text"), "msg_id")
+    messages = scratch.save(one_per_id(messages), "messages")
+    turns = _paths(messages, scratch, top).join(messages.select("msg_id", "role", "text"), "msg_id")
     return render(turns.withColumn("at", -F.col("depth_left")), ["root", "leaf", "score"])
 
 
