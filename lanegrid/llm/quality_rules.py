@@ -1,19 +1,22 @@
 """Quality rules combined by weak supervision.
 
 Every rule votes keep (+1), reject (-1) or abstains (0) on a document's text statistics. The
-votes of all documents are counted per vote pattern (at most 3^rules patterns, however many
-documents), expectation-maximisation over those counts estimates how each rule votes on good
-and on bad documents, and a document's posterior probability of being good decides.
+votes of all documents are counted per vote pattern, expectation-maximisation over those counts
+estimates how often each rule rejects good and bad documents, and a document's posterior
+probability of being good decides. Several rules look at one trait with a low and a high limit:
+where both agree they are found to be accurate, and a low limit that mostly rejects alone is
+found to be weak and is outvoted.
 
 Defined results: a null text is an empty one; an empty text has no words and fails the base
-rule; repeated rows are judged alike, row by row, and all columns of the input are passed on
-(statistics are returned in one struct column, whose name the caller chooses); an empty table
-gives an empty result.
+rule; a posterior of exactly the threshold keeps; a text of any length is read whole; repeated
+rows are judged alike, row by row, and all columns of the input are passed on (statistics are
+returned in one struct column, whose name the caller chooses); an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -103,14 +106,17 @@ def with_stats(docs: DataFrame, text: str = "text", into: str = "_stats") -> Dat
 #: name -> (reject when, keep when), on the statistics; neither is an abstention.
 RULES: dict[str, Callable[[Callable[[str], Column]], tuple[Column, Column]]] = {
     "symbols": lambda c: (c("n_symbols") * 10 > c("n_words") * 3, c("n_symbols") * 20 <= c("n_words")),
+    "symbols_heavy": lambda c: (c("n_symbols") > c("n_words"), c("n_symbols") * 5 <= c("n_words")),
     "table_cells": lambda c: (c("n_pipes") * 5 > c("n_words"), c("n_pipes") * 50 <= c("n_words")),
     "repeats": lambda c: (c("n_repeat_words") * 10 > c("n_words") * 3, c("n_repeat_words") * 20 <= c("n_words")),
     "stutter": lambda c: (c("n_stutter") * 10 > c("n_words") * 3, c("n_stutter") * 20 <= c("n_words")),
-    "dup_lines": lambda c: (c("n_dup_lines") * 2 > c("n_lines"), c("n_dup_lines") == 0),
+    "stutter_heavy": lambda c: (c("n_stutter") * 2 > c("n_words"), c("n_stutter") * 5 <= c("n_words")),
+    "dup_lines": lambda c: (c("n_dup_lines") * 2 > c("n_lines"), c("n_dup_lines") * 5 <= c("n_lines")),
+    "dup_lines_some": lambda c: (c("n_dup_lines") * 8 > c("n_lines"), c("n_dup_lines") == 0),
     "capitals": lambda c: (c("n_capitals") * 2 > c("n_letters"), c("n_capitals") * 5 <= c("n_letters")),
     "exclaiming": lambda c: (c("n_marks") * 3 > c("n_words"), c("n_marks") * 20 <= c("n_words")),
-    "word_length": lambda c: ((c("word_chars") < c("n_words") * 2) | (c("word_chars") > c("n_words") * 15), (c("word_chars") >= c("n_words") * 3) & (c("word_chars") <= c("n_words") * 11)),
-    "length": lambda c: (F.lit(False), c("n_words") >= 50),
+    "word_length": lambda c: ((c("word_chars") < c("n_words") * 4) | (c("word_chars") > c("n_words") * 7), (c("word_chars") * 2 >= c("n_words") * 9) & (c("word_chars") <= c("n_words") * 6)),
+    "length": lambda c: (c("n_words") < 60, c("n_words") >= 100),
 }
 
 
@@ -127,51 +133,73 @@ def pattern(c: Callable[[str], Column]) -> Column:
     return number
 
 
-def fit(stats: DataFrame, of: Callable[[str], Column] = F.col, rounds: int = 200, false_alarms: float = 0.001, least_found: float = 0.1) -> dict[int, float]:
-    """Posterior probability of a good document by vote pattern, from the counts of all documents.
+@dataclass
+class Model:
+    """share: good documents; of_good, of_bad: by rule, how often its votes on such documents reject."""
 
-    The model: given the class, rules vote independently, and an abstention says nothing.
-    EM estimates, per rule, how often its votes on good documents reject (``false_alarms`` at
-    most: the rules are written to be specific) and how often its votes on bad ones do
-    (``least_found`` at least), and the share of good documents. It starts from holding every
-    document that some rule rejects for bad. Only patterns and counts reach the driver: 3^9
-    rows at most.
+    share: float
+    of_good: np.ndarray
+    of_bad: np.ndarray
+
+    def log_odds(self) -> tuple[float, np.ndarray, np.ndarray]:
+        """What a document starts with, and what each rule's reject and keep adds."""
+        return float(np.log(self.share / (1 - self.share))), np.log(self.of_good / self.of_bad), np.log((1 - self.of_good) / (1 - self.of_bad))
+
+
+def expectation_maximisation(reject: np.ndarray, keep: np.ndarray, weight: np.ndarray, rounds: int = 500, least: float = 1e-6) -> Model:
+    """Fits the model to vote patterns (a row each, 0 or 1 by rule) that occur ``weight`` times.
+
+    Given the class, rules vote independently, and an abstention says nothing. It starts from
+    counting rejects: none is good, one is undecided, more are bad. Rates stay between ``least``
+    and ``1 - least``; a rule that rejects good documents more often than bad ones says nothing.
     """
-    counted = stats.groupBy(pattern(of).alias("pattern")).count().collect()
-    if not counted:
-        return {}
-    k = len(RULES)
-    number = np.array([r["pattern"] for r in counted], np.int64)
-    weight = np.array([r["count"] for r in counted], float)
-    votes = np.stack([number // 3 ** (k - 1 - j) % 3 for j in range(k)], 1)
-    reject, keep = (votes == 0).astype(float), (votes == 2).astype(float)
-    good = np.where(reject.any(1), 0.05, 0.95)
-    for _ in range(rounds):
+    good = np.array([0.95, 0.5, 0.05])[np.minimum(reject.sum(1), 2).astype(int)]
 
-        def rejects(w):
-            no, yes = w @ reject, w @ keep
-            return (no + 0.5) / (no + yes + 1)
+    def rejects(w):
+        no, yes = w @ reject, w @ keep
+        return np.clip((no + 0.5) / (no + yes + 1), least, 1 - least)
 
-        of_good = np.clip(rejects(weight * good), 1e-6, false_alarms)
-        of_bad = np.clip(rejects(weight * (1 - good)), least_found, 0.99)
-        share = (weight @ good + 1) / (weight.sum() + 2)
-        odds = np.log(share) - np.log1p(-share) + reject @ np.log(of_good / of_bad) + keep @ np.log((1 - of_good) / (1 - of_bad))
-        new = 1 / (1 + np.exp(-np.clip(odds, -50, 50)))
+    any_class = rejects(weight)
+    for _ in range(rounds):
+        of_good, of_bad = rejects(weight * good), rejects(weight * (1 - good))
+        inverted = of_good > of_bad
+        model = Model((weight @ good + 1) / (weight.sum() + 2), np.where(inverted, any_class, of_good), np.where(inverted, any_class, of_bad))
+        start, of_reject, of_keep = model.log_odds()
+        new = 1 / (1 + np.exp(-np.clip(start + reject @ of_reject + keep @ of_keep, -50, 50)))
         done = np.abs(new - good).max() < 1e-9
         good = new
         if done:
             break
-    return {int(p): round(float(g), 9) for p, g in zip(number, good, strict=True)}
+    return model
+
+
+def fit(stats: DataFrame, of: Callable[[str], Column] = F.col) -> Model | None:
+    """The model of all documents' votes; None without documents.
+
+    Only vote patterns and their counts reach the driver: 3^12 rows at most, however large the corpus.
+    """
+    counted = stats.groupBy(pattern(of).alias("pattern")).count().collect()
+    if not counted:
+        return None
+    counted.sort()
+    number = np.array([r["pattern"] for r in counted], np.int64)
+    votes = np.stack([number // 3 ** (len(RULES) - 1 - j) % 3 for j in range(len(RULES))], 1)
+    return expectation_maximisation((votes == 0).astype(float), (votes == 2).astype(float), np.array([r["count"] for r in counted], float))
 
 
-def posterior(model: dict[int, float], of: Callable[[str], Column] = F.col) -> Column:
-    """The model's probability for a row's votes; the model has every pattern it was fitted on."""
-    if not model:
+def posterior(model: Model | None, of: Callable[[str], Column] = F.col) -> Column:
+    """The probability that a row with these votes is good; null without a model."""
+    if model is None:
         return F.lit(None).cast("double")
-    return F.create_map(*[F.lit(x) for pair in sorted(model.items()) for x in pair])[pattern(of)]
+    start, of_reject, of_keep = model.log_odds()
+    odds = F.lit(start)
+    for rule, no, yes in zip(RULES.values(), of_reject, of_keep, strict=True):
+        reject, keep = rule(of)
+        odds = odds + F.when(reject, float(no)).when(keep, float(yes)).otherwise(0.0)
+    return F.round(1 / (1 + F.exp(-odds)), 9)
 
 
-def judge(stats: DataFrame, model: dict[int, float], of: Callable[[str], Column] = F.col, threshold: float = 0.5) -> DataFrame:
+def judge(stats: DataFrame, model: Model | None, of: Callable[[str], Column] = F.col, threshold: float = 0.5) -> DataFrame:
     """Adds ``base_failed``, ``p_good`` and ``kept`` to rows with statistics."""
     kept = ~F.col("base_failed") & (F.coalesce(F.col("p_good"), F.lit(0.0)) >= threshold)
     return stats.withColumns({"base_failed": base_failed(of), "p_good": posterior(model, of)}).withColumn("kept", kept)
@@ -190,7 +218,7 @@ def keep_good(docs: DataFrame, text: str = "text", threshold: float = 0.5) -> Da
     of = lambda c: F.col(f"`{name}`.{c}")
     model = fit(with_stats(docs.select(text), text, name), of)
     scored = with_stats(docs, text, name)
-    if not model:
+    if model is None:
         return docs
     good = ~base_failed(of) & (F.coalesce(posterior(model, of), F.lit(0.0)) >= threshold)
     return scored.where(good).select(*[F.col(f"`{c}`") for c in columns])
