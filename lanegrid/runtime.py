@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cpus: int | str = 8, shuffle_partitions: int = 8) -> SparkSession:
@@ -31,9 +32,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """``df``, dealt anew if it comes in fewer partitions than there are cores; larger inputs stay as they are."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    """``df``, dealt anew if it comes from files in fewer splits with rows than there are cores.
+
+    Inputs that fill all cores with splits of the usual size stay as they are, at no cost.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    split = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
+    if int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString()) >= cores * split:
+        return df
+    splits = df.select(F.input_file_name(), F.input_file_block_start()).distinct().count()
+    return df.repartition(cores) if splits < cores else df
 
 
 def shared_folder(spark: SparkSession) -> str:
