@@ -39,7 +39,7 @@ def spread(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     cores = spark.sparkContext.defaultParallelism
     split = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
-    if int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString()) >= cores * split:
+    if int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) >= cores * split:
         return df
     splits = df.select(F.input_file_name(), F.input_file_block_start()).distinct().count()
     return df.repartition(cores) if splits < cores else df
