@@ -10,8 +10,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lanegrid.functions.charges import parse_number
+from lanegrid.functions.charges import parse_number, parse_vf
 from lanegrid.functions.pincodes import is_oda, is_refused, parse_pincode_cell, zone_hint
+from lanegrid.operators import labels
 from lanegrid.operators.coverage import label_zones
 from lanegrid.operators.rates import money
 from lanegrid.plans import dims
@@ -37,6 +38,19 @@ RATE_UNITS = r"(?i)(?:rs\.?\s*|per\s*kg|/\s*kg)"
 #: Preference of a station sheet's rate columns, highest first: (score, words that the header has, words that it has not).
 STATION_RATES = [(6, ["out card"], []), (6, ["out_card"], []), (5, ["base", "rate"], []), (4, ["freight", "rate"], []), (3, ["surface"], []), (2, ["rate"], ["express", "topay", "to pay"]), (1, ["rate"], [])]
 DEFAULT_STATION = "OKL"
+COMPANY_FIELDS = {
+    "company": "name", "company name": "name", "transporter": "name", "transporter name": "name", "name": "name",
+    "vendor code": "vendorCode", "vendor_code": "vendorCode", "vendor id": "vendorCode", "vendor no": "vendorCode", "carrier code": "vendorCode",
+    "origin city": "city", "origin": "city", "hub city": "city", "hub": "city", "city": "city", "state": "state", "pincode": "contact_pincode", "address": "address",
+    "gst": "gstNo", "gst no": "gstNo", "gst number": "gstNo", "gstin": "gstNo", "pan": "panNo", "pan no": "panNo",
+    "phone": "phone", "mobile": "phone", "contact": "phone", "email": "email", "mode": "transportMode", "transport mode": "transportMode", "service type": "serviceType",
+}
+CHARGE_WORDS = r"(?i)\b(rate|charge|freight|surcharge|oda|fuel|gst|tax|per\s*kg|minimum|slab|basic|zone|weight|transit|pickup|delivery|docket|consignment|insurance|rov|fov)\b"
+PLACEHOLDER = r"(?i)^[-–—na/]+$"
+NO_VALUE = ["", "none", "null", "na", "n/a", "-"]
+#: Charges whose plain number is an amount, never a percentage.
+ALWAYS_FIXED = ["topayCharges", "codCharges", "docketCharges", "daccCharges", "dodCharges", "fmCharges", "appointmentCharges", "prepaidCharges"]
+SHEET_CAPS = {"docketCharges": 2000, "daccCharges": 10000, "codCharges": 5000, "topayCharges": 5000, "greenTax": 2000, "appointmentCharges": 10000}
 # ----------------------------------------------------------------------------------------------
 
 
@@ -372,6 +386,86 @@ def per_box(grid: DataFrame) -> DataFrame:
     return first.select(*KEY, F.array_min(F.filter("n", lambda x: x <= 100)).alias("per_box"), F.array_max(F.filter("n", lambda x: x > 100)).alias("minimum"))
 
 
+def company_rows(grid: DataFrame) -> DataFrame:
+    """(KEY, field, value) of sheets that name a company or have two company fields.
+
+    Among the first five rows a row of one cell is a title: its parts between bars are ``key: value``
+    pairs or a name, and a cell without bars is the name, unless it speaks of charges. The first of
+    them counts. Rows of a known key and a value overrule titles, and the last of a field counts;
+    keys are matched by the dictionary of fields, exactly or by ``labels.match`` from 0.7. A tax
+    number that is none is passed over.
+    """
+    known = F.create_map(*[F.lit(x) for pair in COMPANY_FIELDS.items() for x in pair])
+    filled = F.filter(F.transform("cells", lambda c: F.trim(F.coalesce(c, F.lit("")))), lambda c: c != "")
+    titles = grid.where("row_idx < 5").select(*KEY, "row_idx", filled.alias("c")).where("size(c) = 1").select(*KEY, "row_idx", F.get("c", F.lit(0)).alias("title"))
+    parts = titles.select(*KEY, "row_idx", F.contains("title", F.lit("|")).alias("_bars"), F.posexplode(F.split("title", r"\|")).alias("at", "part")).withColumn("part", F.trim("part")).where("part <> ''")
+    pair = F.col("_bars") & F.contains("part", F.lit(":"))
+    key = F.lower(F.trim(F.substring_index("part", ":", 1)))
+    value = F.trim(F.expr("substring(part, instr(part, ':') + 1)"))
+    field = F.when(pair, F.when((value != "") & ~value.rlike(PLACEHOLDER), known[key]))
+    value = F.when(field == "city", F.trim(F.regexp_replace(value, r"\s*\([A-Z][A-Z0-9]{0,3}\)\s*$", ""))).otherwise(value)
+    bare = ~pair & (F.length("part") >= 4) & ~F.col("part").rlike(r"^[0-9]") & ~F.col("part").rlike(CHARGE_WORDS) & (F.col("_bars") | ~F.col("part").rlike(PLACEHOLDER))
+    titled = parts.select(*KEY, "row_idx", "at", F.coalesce(field, F.when(bare, "name")).alias("field"), F.when(bare, F.col("part")).otherwise(value).alias("value")).where("field is not null")
+    titled = titled.groupBy(*KEY, "field").agg(F.min_by("value", F.struct("row_idx", "at")).alias("value"))
+
+    rows = grid.where("size(cells) >= 2").select(*KEY, "row_idx", F.lower(cell(F.col("cells"), F.lit(0))).alias("label"), cell(F.col("cells"), F.lit(1)).alias("value"))
+    rows = rows.where(~F.lower("value").isin(NO_VALUE)).withColumn("field", known[F.col("label")])
+    close = labels.match(rows.where("field is null and label <> ''"), labels.dictionary(grid.sparkSession, COMPANY_FIELDS), 0.7).where("confidence >= 0.7").select("label", F.col("value").alias("_close"))
+    rows = rows.join(close, "label", "left").withColumn("field", F.coalesce("field", "_close")).where("field is not null")
+    gst = F.upper(F.regexp_replace("value", r"\s+", ""))
+    rows = rows.withColumn("value", F.when(F.col("field") != "gstNo", F.col("value")).when(gst.rlike(r"^\d{2}[A-Z]{5}\d{4}[A-Z]\d[A-Z0-9]{2}$"), gst)).where("value is not null")
+    listed = rows.groupBy(*KEY, "field").agg(F.max_by("value", "row_idx").alias("value"))
+    every = titled.withColumn("_r", F.lit(0)).unionByName(listed.withColumn("_r", F.lit(1))).groupBy(*KEY, "field").agg(F.max_by("value", "_r").alias("value"))
+    sheet = Window.partitionBy(*KEY)
+    counted = every.withColumns({"_n": F.count("*").over(sheet), "_name": F.max((F.col("field") == "name").cast("int")).over(sheet)})
+    return counted.where("_n >= 2 or _name = 1").drop("_n", "_name")
+
+
+def charge_values(grid: DataFrame, known: DataFrame) -> DataFrame:
+    """(KEY, field, v, f, scalar, row_idx): charges of rows with a label and, to its right, a value.
+
+    The label is the first cell, or the second where the first is empty; it means the longest name
+    of ``known`` that it is or holds as whole words, else what ``labels.match`` finds from 0.65; names
+    known to be no charge are skipped. ``cft`` values under 200 become divisors. Of the value's
+    percentage and amount both are kept; one alone is a scalar, but an amount for fields that are
+    always fixed. Values over a field's cap go. The first row of a field counts, a pair before a scalar.
+    """
+    text = F.transform("cells", lambda c: F.trim(F.coalesce(c, F.lit(""))))
+    rows = grid.withColumn("_c", text).where("size(_c) >= 2")
+    first = F.get("_c", F.lit(0))
+    rows = rows.withColumn("_at", F.when(first != "", 0).when(F.get("_c", F.lit(1)) != "", 1)).where("_at is not null")
+    rows = rows.withColumn("label", F.trim(F.regexp_replace(F.lower(F.get("_c", F.col("_at"))), r"\s+", " "))).where(~F.col("label").startswith("#"))
+    rows = rows.withColumn("_v", F.filter(F.expr("slice(_c, _at + 2, size(_c))"), lambda c: c != "")).where("size(_v) > 0")
+    asked = rows.select("label").distinct().withColumn("n", labels.normalise(F.col("label")))
+    names = F.broadcast(known.select("known", "value", "dim_order"))  # the dictionary: of fixed size
+    whole = F.contains(F.concat(F.lit(" "), "n", F.lit(" ")), F.concat(F.lit(" "), "known", F.lit(" "))) & ((F.length("known") >= 3) | (F.col("n") == F.col("known")))
+    held = asked.join(names, whole).groupBy("label").agg(F.min_by(F.struct("value"), F.struct(-F.length("known"), "dim_order")).alias("held"))
+    rest = labels.match(asked.join(held, "label", "left_anti").select("label"), known, 0.65).where("confidence >= 0.65").select("label", F.struct(F.col("value")).alias("held"))
+    rows = rows.join(held.unionByName(rest), "label").withColumn("field", F.col("held.value")).where("field is not null")
+    joined = F.array_join("_v", " ")
+    rows = rows.withColumns({"_text": joined, "_vf": parse_vf(joined), "_number": F.get(F.filter(F.transform("_v", parse_number), lambda x: x.isNotNull()), F.lit(0))})
+    cft = (F.col("field") == "divisor") & F.col("label").rlike("cft|cfactor|k factor")
+    v, f = F.col("_vf.v"), F.col("_vf.f")
+    both = v.isNotNull() & f.isNotNull()
+    fixed = F.col("field").isin(ALWAYS_FIXED) & v.isNotNull() & f.isNull()
+    percent = F.contains("_text", F.lit("%"))
+    divisor = F.when((F.col("_number") > 0) & (F.col("_number") < 200), F.round(28316.8 / F.col("_number"), 0))
+    plain = F.col("field").isin("fuel", "divisor", "minWeight")
+    out = rows.select(
+        *KEY,
+        "row_idx",
+        "field",
+        F.when(cft, None).when(both, v).when(fixed, F.when(percent, v).otherwise(0.0)).when(f.isNotNull() & ~plain, None).alias("v"),
+        F.when(cft, None).when(both, f).when(fixed, F.when(percent, 0.0).otherwise(v)).when(f.isNotNull() & ~plain, f).alias("f"),
+        F.when(cft, divisor).when(both | fixed | (f.isNotNull() & ~plain), None).otherwise(F.coalesce(v, f, F.col("_number"))).alias("scalar"),
+    )
+    cap = F.create_map(*[F.lit(x) for pair in SHEET_CAPS.items() for x in pair])[F.col("field")]
+    out = out.where(F.coalesce("v", "f", "scalar").isNotNull() & ~F.coalesce(F.coalesce("f", "scalar") > cap, F.lit(False)))
+    value = F.struct("v", "f", "scalar", "row_idx")
+    best = out.groupBy(*KEY, "field").agg(F.min_by(value, F.struct(F.col("scalar").isNotNull(), F.col("row_idx"))).alias("b"))
+    return best.select(*KEY, "field", "b.*")
+
+
 def dispatch(candidates: DataFrame) -> DataFrame:
     """The matrix that counts for each vendor: by priority of its sheet's name, then by rank of its detector, then by sheet."""
     low = F.lower("sheet")

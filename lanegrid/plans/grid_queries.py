@@ -267,6 +267,53 @@ def extract_company_rows(spark, d):
     return wide.where("companyName is not null or contactPhone is not null")
 
 
+#: Per supplier a company sheet: a title with bars for some, then keys and values.
+COMPANY_SHEET = """SELECT CAST(s_suppkey AS INT) AS vendor_id, s_suppkey AS k, s_name, '98' || s_nationkey AS s_phone, 'Road ' || s_nationkey AS s_address FROM supplier"""
+
+
+@query(
+    "extract_company_sheet",
+    """SELECT vendor_id, field, value FROM (SELECT vendor_id, k, unnest(['name', 'city', 'vendorCode', 'phone', 'gstNo', 'address']) AS field, unnest([CASE k % 4 WHEN 3 THEN NULL ELSE s_name END, CASE WHEN k % 4 = 0 THEN 'New Delhi' END,
+        CASE WHEN k % 4 = 0 THEN 'V' || k WHEN k % 4 = 1 THEN 'C' || k END, CASE WHEN k % 4 <> 3 THEN s_phone END, CASE WHEN k % 4 = 2 THEN '29ABCDE1234F1Z5' END, CASE WHEN k % 4 = 3 AND k % 8 = 3 THEN s_address WHEN k % 4 <> 3 THEN s_address END]) AS value FROM company_sheet)
+       WHERE value IS NOT NULL AND k % 4 <> 3""",
+    company_sheet=COMPANY_SHEET,
+)
+def extract_company_sheet(spark, d):
+    """Titles with bars, plain titles, and rows of keys and values; sheets with one field that is no name are none."""
+    k, lit = F.col("s_suppkey"), F.lit
+    n = k % 4
+    title = F.when(n == 0, F.concat("s_name", lit(" | Vendor Code: V"), k, lit(" | Origin: New Delhi (N1) | GST: -"))).when(n == 1, F.col("s_name")).otherwise("Freight charges")
+    rows = [F.array(title), F.array(lit("Phone"), F.when(n == 3, "na").otherwise(F.concat(lit("98"), "s_nationkey"))), F.array(lit("Address"), F.when(n == 3, "-").otherwise(F.concat(lit("Road "), "s_nationkey")))]
+    rows += [F.when(n == 1, F.array(lit("carrier code"), F.concat(lit("C"), k))).otherwise(F.array(lit("GST No"), F.when(n == 2, "29 abcde 1234 f1z5").otherwise("18% as applicable")))]
+    rows += [F.when(n == 2, F.array(lit("Company Name"), F.col("s_name"))).otherwise(F.array(lit("motto"), lit("fast")))]
+    grid = table(spark, d, "supplier").select(k.cast("int").alias("vendor_id"), lit("company").alias("sheet"), F.posexplode(F.array(*rows)).alias("row_idx", "cells"))
+    return op.company_rows(grid).drop("sheet")
+
+
+CHARGE_SHEET = f"""SELECT CAST(p_partkey // 40 AS INT) AS vendor_id, p_partkey AS row_idx, p_size AS s, CAST(p_partkey % 5 AS INT) AS shape, {_KEYS}[p_partkey % {len(labels.CHARGE_LABELS)} + 1] AS label FROM part"""
+
+
+@query(
+    "extract_charge_sheet",
+    f"""SELECT vendor_id, field, b.v AS v, b.f AS f, b.scalar AS scalar, b.row_idx AS row_idx FROM (SELECT vendor_id, field, arg_min({{'v': v, 'f': f, 'scalar': scalar, 'row_idx': row_idx}}, (scalar IS NOT NULL, row_idx)) AS b FROM (SELECT vendor_id, row_idx, field,
+        CAST(CASE WHEN cft THEN NULL WHEN shape = 2 THEN s WHEN fixed AND shape = 1 THEN s WHEN fixed AND shape IN (3, 4) THEN 0 END AS DOUBLE) AS v,
+        CAST(CASE WHEN cft THEN NULL WHEN shape = 2 THEN s * 10 WHEN fixed AND shape = 1 THEN 0 WHEN fixed AND shape IN (3, 4) THEN s WHEN shape = 0 AND NOT plain THEN s + 200 END AS DOUBLE) AS f,
+        CAST(CASE WHEN cft THEN CASE WHEN shape > 0 THEN round(28316.8 / s, 0) END WHEN shape = 2 OR fixed AND shape > 0 OR (shape = 0 AND NOT plain) THEN NULL WHEN shape = 0 THEN s + 200 ELSE s END AS DOUBLE) AS scalar
+        FROM (SELECT *, field IN ('topayCharges', 'codCharges', 'docketCharges', 'daccCharges', 'dodCharges', 'fmCharges', 'appointmentCharges', 'prepaidCharges') AS fixed, field IN ('fuel', 'divisor', 'minWeight') AS plain, field = 'divisor' AND regexp_matches(label, 'cft|cfactor|k factor') AS cft FROM charge_sheet JOIN known ON known = label))
+       WHERE coalesce(v, f, scalar) IS NOT NULL GROUP BY vendor_id, field)""",
+    charge_sheet=CHARGE_SHEET, known=KNOWN,
+)
+def extract_charge_sheet(spark, d):
+    """Rows of labels (some in the second cell) and values to the right: amounts, percentages, pairs and plain numbers."""
+    k, size = F.col("p_partkey"), F.col("p_size")
+    label = F.initcap(F.element_at(F.array(*map(F.lit, labels.CHARGE_LABELS)), (k % len(labels.CHARGE_LABELS) + 1).cast("int")))
+    n = k % 5
+    value = F.when(n == 0, F.concat(F.lit("Rs "), size + 200)).when(n == 1, F.concat(size, F.lit("%"))).when(n == 2, F.concat(size, F.lit("% or Rs "), size * 10)).otherwise(size.cast("string"))
+    cells = F.when(k % 3 == 0, F.array(F.lit(""), label, F.lit(""), value)).otherwise(F.array(label, F.lit(""), value))
+    rows = table(spark, d, "part").select(F.floor(k / 40).cast("int").alias("vendor_id"), F.lit("charges").alias("sheet"), k.alias("row_idx"), cells.alias("cells"))
+    return op.charge_values(rows, labels.dictionary(spark)).drop("sheet")
+
+
 @query("sheet_dispatch", "SELECT vendor_id, 'zone matrix' AS sheet, 1 AS detector, origin, dest, rate FROM many", matrix=MATRIX, many=MANY)
 def sheet_dispatch(spark, d):
     wide = op.wide_matrix(wide_sheet(spark, d)).withColumn("detector", F.lit(1))
