@@ -1,11 +1,14 @@
 """Worked examples and invariants."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
 from lanegrid.functions import charges, pincodes
-from lanegrid.operators import coverage, documents, grids, labels, rates
+from lanegrid.operators import coverage, documents, grids, labels, rates, text
 from lanegrid.plans.fixtures import claims, master
+from lanegrid.streaming import learning
 from lanegrid.streaming.learning import step
 from tests.conftest import SF
 
@@ -114,3 +117,68 @@ def test_per_shipment_and_bands_evaluate(spark):
     minimum = F.from_json(F.lit('{"type":"per_kg_minimum","perKg":3.0,"minimum":550}'), charges.CHARGE)
     assert one(spark, charges.evaluate(minimum, F.lit(100.0))) == 550.0
     assert one(spark, charges.evaluate(minimum, F.lit(200.0))) == 600.0
+
+
+#: A line as vendors write it, and what it must yield.
+CHARGE_LINES = [
+    ("Fuel surcharge: 12.5%", {"fuel": 12.5}), ("FSC: 11 %", {"fuel": 11.0}), ("14% fuel", {"fuel": 14.0}), ("HSD surcharge is 9 %", {"fuel": 9.0}), ("Diesel levy 7.5%", {"fuel": 7.5}), ("Diesel Escalation 3", {"fuel": 3.0}),
+    ("Docket charges Rs. 100", {"docketCharges": 100.0}), ("Lorry receipt Rs. 40", {"docketCharges": 40.0}), ("Waybill fee 45", {"docketCharges": 45.0}), ("Consignment note: 55", {"docketCharges": 55.0}), ("docket charges 99999", {}),
+    ("GST @ 18%", {"gst": 18.0}), ("18% GST extra", {"gst": 18.0}), ("Goods and Services Tax 12 %", {"gst": 12.0}), ("IGST = 5 %", {"gst": 5.0}), ("GST at current rate is @ 18% for Surface", {"gst": 18.0}), ("GSTIN: 29AAACR5055K1ZB", {}),
+    ("GST extra @ 6%", {"gst": 6.0}), ("GST current rate of 12% applicable", {}), ("GST 12% as per rules", {"gst": 12.0}), ("All rates are subject to GST @ 5%", {"gst": 5.0}),
+    ("Minimum charges: Rs 250", {"minCharges": 250.0}), ("SFC-Rs-350", {"minCharges": 350.0}), ("Minimum billing Rs 400", {"minCharges": 400.0}), ("Base freight 300", {"minCharges": 300.0}), ("Floor rate Rs. 240", {"minCharges": 240.0}),
+    ("Minimum chargeable weight 30 kg", {"minWeight": 30.0}), ("Min. charg. weight: 25 kg", {"minWeight": 25.0}), ("Min wt. 20 kg", {"minWeight": 20.0}), ("SFC - 15 kg", {"minWeight": 15.0}),
+    ("1 CFT = 8 kg", {"divisor": 3540.0}), ("1 CFT = 900 kg", {}), ("k factor 4500", {"divisor": 4500.0}), ("L x B x H (in cm) / 5000", {"divisor": 5000.0}), ("1 CFT = 8 kg, volumetric divisor 4000", {"divisor": 4000.0}),
+    ("Green tax Rs 35", {"greenTax": 35.0}), ("NGT charge Delhi Rs. 60", {"greenTax": 60.0}), ("Environmental cess 10", {"greenTax": 10.0}), ("Ecology charge 11", {"greenTax": 11.0}), ("Pollution cess 12", {"greenTax": 12.0}),
+    ("Owner's risk 0.1 % on freight", {"rovCharges_v": 0.1, "rovCharges_basis": "freight"}), ("FOV minimum Rs. 75", {"rovCharges_f": 75.0}),
+    ("ODA charges Rs. 3/kg or Rs. 500/consignment whichever is higher", {"odaCharges_perKg": 3.0, "odaCharges_minimum": 500.0}), ("ODA Rs. 750 per docket", {"odaCharges_f": 750.0}), ("ODA 5 %", {"odaCharges_v": 5.0}),
+    ("Insurance 0.3% on invoice", {"insuranceCharges_v": 0.3, "insuranceCharges_basis": "invoice"}), ("Transit insurance Rs 75", {"insuranceCharges_f": 75.0}),
+    ("COD charges 1.5 %", {"codCharges_v": 1.5}), ("C.O.D. Rs. 85", {"codCharges_f": 85.0}), ("COD (Cheque/DD on delivery) 70", {"codCharges_f": 70.0}), ("Handling charges Rs. 2", {"handlingCharges_f": 2.0}),
+    ("DACC Rs. 150", {"daccCharges": 150.0}), ("Demurrage 20", {"daccCharges": 20.0}), ("DACC (delivery against consignee copy) Rs 12000", {}),
+    ("To pay charges 2%", {"topayCharges_v": 2.0}), ("To pay surcharge Rs. 50", {"topayCharges_f": 50.0}), ("To Pay: Rs.55", {"topayCharges_f": 55.0}), ("FOD (Freight on Delivery) 65", {"topayCharges_f": 65.0}), ("Appointment delivery Rs. 900", {"appointmentCharges_f": 900.0}),
+]
+
+
+def test_text_charges_line_by_line(spark):
+    df = spark.createDataFrame(list(enumerate(line for line, _ in CHARGE_LINES)), "i int, text string")
+    got = {r["i"]: {k: v for k, v in r.asDict().items() if k not in ("i", "text") and v is not None} for r in text.text_charges(df).collect()}
+    assert {line: got[i] for i, (line, _) in enumerate(CHARGE_LINES)} == dict(CHARGE_LINES)
+
+
+def test_streams_over_several_batches(spark, tmp_path):
+    """One file a batch: rates of one cell meet, and states go on where the batch before ended."""
+    for i, rate in enumerate([10.0, 100.0, 12.0]):
+        spark.createDataFrame([(1, "N1", "S1", rate)] + [(1, "N1", "E1", 5.0)] * (i == 0), "vendor_id int, origin string, dest string, rate double").coalesce(1).write.mode("append").parquet(str(tmp_path / "rates"))
+    stream = spark.readStream.schema("vendor_id int, origin string, dest string, rate double").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "rates"))
+    learning.ingest_rates(stream, str(tmp_path / "out"), str(tmp_path / "c1")).awaitTermination()
+    got = {(r["origin"], r["dest"]): r["rate"] for r in learning.ingested_matrix(spark, str(tmp_path / "out")).collect()}
+    assert got == {("N1", "S1"): 40.67, ("N1", "E1"): 5.0}
+    kinds = ["confirm", "confirm", "wrong", "passive", "confirm", "wrong"]
+    rows = [("charge", "raw", "m", k, f"2024-01-01 00:00:{i:02d}", i) for i, k in enumerate(kinds)]
+    schema = "type string, raw string, canonical string, kind string, ts string, seq long"
+    for part in (rows[:2], rows[2:4], rows[4:]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "events"))
+        time.sleep(1.1)  # files are taken in the order of their times
+    events = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "events"))
+    learning.write_states(events, str(tmp_path / "states"), str(tmp_path / "c2")).awaitTermination()
+    last = [tuple(r) for r in learning.last_states(spark, str(tmp_path / "states")).collect()]
+    assert last == [tuple(r) for r in labels.fold_events(spark.createDataFrame(rows, schema)).collect()]
+    assert spark.read.parquet(str(tmp_path / "states")).select("batch").distinct().count() == 3
+
+
+def test_city_matrix_finds_its_header(spark):
+    """Worked by hand: a header in the third row, a blank origin, a pincode as destination, an air row."""
+    rows = [["Rates"], ["", "North", "x"], ["From/To", "Delhi", "AGRA", "110001", "note"], ["Agra", "5", "6.5", "1,200", ""], ["", "7", "-", "9", ""], ["Delhi", "90", "95", "99", ""], ["nowhere", "1", "2", "3", ""]]
+    grid = spark.createDataFrame([(1, "s", i, c) for i, c in enumerate(rows)], "vendor_id int, sheet string, row_idx int, cells array<string>")
+    places = spark.createDataFrame([("AGRA", "N2", 0), ("MUMBAI", "W1", 1)], "name string, zone string, dim_order int")
+    pins = spark.createDataFrame([(110001, "N3")], "pincode int, zone string")
+    got = {(r["origin"], r["dest"]): r["rate"] for r in grids.city_matrix(grid, places, pins).collect()}
+    assert got == {("N2", "N1"): 5.0, ("N2", "N2"): 6.5, ("E1", "N1"): 7.0, ("E1", "N3"): 9.0}
+
+
+def test_city_rate_card_sections(spark):
+    """Worked by hand: an origin, two headers, a label by air inside the first section, the second by air."""
+    rows = [["Ex Mumbai"], ["Destination", "State", "Rate per kg"], ["Agra", "", "Rs. 10"], ["By Air"], ["Agra", "", "50"], ["By Road"], ["somewhere", "Agra", "13"], ["By air"], ["City", "Freight"], ["Agra", "70"]]
+    grid = spark.createDataFrame([(1, "s", i, c) for i, c in enumerate(rows)], "vendor_id int, sheet string, row_idx int, cells array<string>")
+    places = spark.createDataFrame([("AGRA", "N2", 0)], "name string, zone string, dim_order int")
+    pins = spark.createDataFrame([(110001, "N3")], "pincode int, zone string")
+    assert [tuple(r)[2:] for r in grids.city_rate_card(grid, places, pins).collect()] == [("W1", "N2", 13.0)]
