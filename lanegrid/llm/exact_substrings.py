@@ -14,9 +14,11 @@
 No suffix or string of the corpus is left out: strings are only ever skipped when no other
 string has their anchor. Hashes are 64 bits wide.
 
-Defined results: offsets are UTF-8 bytes; a null text is empty; texts under 400 bytes lose
-nothing; repeated rows are documents of their own, so each is a copy of the other; extra
-columns are passed on; an empty table gives an empty result.
+Defined results: offsets are UTF-8 bytes; a null or empty text has none; texts under 400 bytes lose
+nothing; a text of any length is read whole, about 2 MB of texts at a time, a longer one alone;
+repeated rows are documents of their own, so each is a copy of the other; all copies go, the first
+included; extra columns are passed on (``spans`` and the result column are replaced); an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,6 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lanegrid.llm import flat
+from lanegrid.llm.sizes import maybe_listed
 from lanegrid.runtime import Scratch, small_batches
 
 SPAN = 400
@@ -222,20 +225,20 @@ def repeats(docs: DataFrame, scratch: Scratch, text: str = "text", key: str = "d
     kind = dict(rows.dtypes)["doc"]
     small_batches(docs.sparkSession)
     found = rows.mapInArrow(_emit_blocks, f"anchor long, content long, doc {kind}, hash long, first long, count int, recurs boolean")
+    found = scratch.save(found, "blocks")
     parts = int(scratch.spark.conf.get("spark.sql.shuffle.partitions"))
-    same = Window.partitionBy("anchor", "content", "count")
-    peers = Window.partitionBy("anchor")
-    found = found.repartition(parts, "anchor").withColumns(
-        {
-            "copies": F.count("*").over(same),
-            "nth": F.row_number().over(same.orderBy("doc", "hash", "first")),
-            "differ": F.min("content").over(peers) != F.max("content").over(peers),
-        }
-    )
-    found = found.where("copies > 1 or differ or recurs").withColumn("kinds", F.count(F.when(F.col("nth") == 1, 1)).over(peers))
-    found = scratch.save(found, "shared")
-    whole = found.where("copies > 1").select("doc", "hash", F.col("first").alias("start"), (F.col("first") + F.col("count") + SPAN - 1).alias("stop"))
-    single = found.where("nth = 1 and (differ or recurs)")
+    # a hot anchor's rows are combined before each shuffle, and joins are on written tables, which Spark can split
+    block = ["anchor", "content", "count"]
+    copied = scratch.save(found.groupBy(*block).agg(F.count("*").alias("n")).where("n > 1").drop("n"), "copied")
+    whole = found.join(copied.hint("merge"), block).select("doc", "hash", F.col("first").alias("start"), (F.col("first") + F.col("count") + SPAN - 1).alias("stop"))
+    whole = scratch.save(whole, "whole")
+    by_anchor = found.groupBy("anchor").agg(F.min("content").alias("lo"), F.max("content").alias("hi"), F.max("recurs").alias("recurs"))
+    unsure = scratch.save(by_anchor.where("lo <> hi or recurs").select("anchor"), "unsure")
+    some = maybe_listed(found, ["anchor"], unsure, ["anchor"]).join(unsure.hint("merge"), "anchor")
+    single = some.groupBy(*block).agg(F.min(F.struct("doc", "hash", "first")).alias("one")).select("anchor", "count", "one.*")
+    single = scratch.save(single, "single")
+    many = scratch.save(single.groupBy("anchor").agg(F.count("*").alias("kinds")).where(F.col("kinds") > MOST_KINDS), "many")
+    scratch.drop("blocks", "copied")
 
     def with_text(blocks: DataFrame, name: str) -> DataFrame:
         asked = scratch.save(blocks.groupBy("doc", "hash").agg(F.collect_list(F.struct("anchor", "first", "count")).alias("asked")), name)
@@ -243,13 +246,15 @@ def repeats(docs: DataFrame, scratch: Scratch, text: str = "text", key: str = "d
         on = rows["doc"].eqNullSafe(wanted["_doc"]) & (rows["hash"] == wanted["_hash"])
         return rows.join(wanted, on).select("doc", "hash", "text", "asked")
 
-    texts = with_text(single.where(F.col("kinds") <= MOST_KINDS), "asked").mapInArrow(_emit_texts, f"anchor long, doc {kind}, hash long, first long, bytes binary")
+    texts = with_text(single.join(many, "anchor", "left_anti"), "asked").mapInArrow(_emit_texts, f"anchor long, doc {kind}, hash long, first long, bytes binary")
     runs = texts.repartition(parts, "anchor").sortWithinPartitions("anchor").mapInArrow(_compare, f"doc {kind}, hash long, start long, stop long")
     runs = scratch.save(runs, "runs")
-    hot = single.where(F.col("kinds") > MOST_KINDS)
-    if not hot.isEmpty():
+    if not many.isEmpty():
+        hot = single.join(many, "anchor", "left_semi")
         strings = with_text(hot, "asked_hot").mapInArrow(_emit_strings, f"string long, doc {kind}, hash long, start long")
-        strings = strings.withColumn("n", F.count("*").over(Window.partitionBy("string"))).where("n > 1").select("doc", "hash", "start").distinct()
+        strings = scratch.save(strings.distinct(), "strings")
+        twice = scratch.save(strings.groupBy("string").agg(F.count("*").alias("n")).where("n > 1").drop("n"), "twice")
+        strings = strings.join(twice.hint("merge"), "string").select("doc", "hash", "start").distinct()
         island = F.col("start") - F.row_number().over(Window.partitionBy("doc", "hash").orderBy("start"))
         more = strings.withColumn("island", island).groupBy("doc", "hash", "island").agg(F.min("start").alias("start"), (F.max("start") + SPAN).alias("stop"))
         runs = runs.unionByName(more.drop("island"))

@@ -9,11 +9,16 @@ from pyspark.sql import functions as F
 
 from lanegrid.llm import chat, decontaminate, exact_substrings, jaccard, line_dedup, mixing, oracles, pii, quality_model, quality_rules, toxicity
 from lanegrid.llm.labels import held_out
-from lanegrid.runtime import Scratch, table
+from lanegrid.runtime import Scratch, spread, table
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole table; one that comes in fewer parts than there are cores is dealt over them."""
+    return spread(table(spark, sf_dir, "documents"))
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir)
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
     limit = toxicity.threshold(model, F.col("lang"))
     return toxicity.score(docs.select("doc_id", "text", "lang"), model).select(
@@ -27,7 +32,7 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = decontaminate.annotate(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"), Scratch(spark))
+    rows = decontaminate.annotate(documents(spark, sf_dir).select("doc_id", "text"), table(spark, sf_dir, "benchmark"), Scratch(spark))
     return rows.select(
         "doc_id",
         "n_words",
@@ -39,7 +44,7 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = line_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), Scratch(spark))
+    rows = line_dedup.dedup(documents(spark, sf_dir).select("doc_id", "text"), Scratch(spark))
     return rows.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
@@ -49,17 +54,17 @@ def source_domain():
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    docs = documents(spark, sf_dir).select("doc_id", "text", "lang", "source")
     rows = mixing.select_epochs(docs, source_domain(), oracles.WEIGHTS, Scratch(spark))
     return rows.select("doc_id", "domain", "lang", "source", "n_tokens", "epoch")
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.join(table(spark, sf_dir, "documents"), Scratch(spark))
+    return jaccard.join(documents(spark, sf_dir), Scratch(spark))
 
 
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir)
     model = quality_model.fit(docs, table(spark, sf_dir, "labels"))
     return quality_model.score(docs.select("doc_id", "text"), model).select(
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted")
@@ -67,7 +72,7 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = pii.find_spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = pii.find_spans(documents(spark, sf_dir).select("doc_id", "text"))
     base = F.filter("pii", lambda s: s["kind"].isin(*pii.BASE_KINDS))
     digest = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
     count = lambda kind: F.size(F.filter("pii", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
@@ -77,7 +82,7 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_exact_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = exact_substrings.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), Scratch(spark))
+    rows = exact_substrings.dedup(documents(spark, sf_dir).select("doc_id", "text"), Scratch(spark))
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["stop"] - s["start"])
     return rows.select(
         "doc_id",
@@ -89,7 +94,7 @@ def op8_exact_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stats = quality_rules.with_stats(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "_stats.*")
+    stats = quality_rules.with_stats(documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", "_stats.*")
     stats = Scratch(spark).save(stats, "stats")
     return quality_rules.judge(stats, quality_rules.fit(stats)).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "p_good"
