@@ -156,6 +156,39 @@ def evaluate(c: Column, kg: Column) -> Column:
     )
 
 
+def encode_handling(c: Column) -> Column:
+    """A handling charge (type, scalar, v, f, perBox, minimum, thresholdWeight): per box with its minimum, else an additive pair with a threshold weight if there is one."""
+    pair = vf_of(c)
+    box = c["type"] == "per_box"
+    plain = F.coalesce(~box, F.lit(True))
+    return F.struct(
+        F.when(box, "per_box").alias("type"),
+        F.when(box, F.coalesce(c["perBox"], F.lit(0.0))).alias("perBox"),
+        F.when(box, F.coalesce(c["minimum"], F.lit(0.0))).alias("minimum"),
+        F.when(plain, pair["v"]).alias("v"),
+        F.when(plain, pair["f"]).alias("f"),
+        F.when(plain & (c["thresholdWeight"] > 0), c["thresholdWeight"]).alias("thresholdWeight"),
+    )
+
+
+def encode_invoice(c: Column) -> Column:
+    """A charge on the invoice's value (enabled, percentage, minimumAmount, v, f, slabs): null unless something says that it applies."""
+    some = lambda x: F.coalesce(x != 0, F.lit(False))
+    slabs = F.coalesce(F.size(c["slabs"]) > 0, F.lit(False))
+    applies = F.coalesce(c["enabled"], F.lit(False)) | some(c["percentage"]) | some(c["v"]) | slabs
+    first = lambda *xs: F.coalesce(*[F.nullif(x, F.lit(0.0)) for x in xs], F.lit(0.0))
+    return F.when(
+        applies,
+        F.struct(F.lit(True).alias("enabled"), first(c["percentage"], c["v"]).alias("percentage"), first(c["minimumAmount"], c["f"]).alias("minimumAmount"), F.when(slabs, "slabs").alias("type"), F.when(slabs, c["slabs"]).alias("slabs")),
+    )
+
+
+def basis(c: Column) -> Column:
+    """What a percentage (type, basis) is taken of: invoice or freight, or null."""
+    kind = F.coalesce(c["type"], F.lit(""))
+    return F.when(kind.contains("invoice") | F.coalesce(c["basis"] == "invoice", F.lit(False)), "invoice").when(kind.contains("freight") | F.coalesce(c["basis"] == "freight", F.lit(False)), "freight")
+
+
 def gst_number(text: Column) -> Column:
     clean = F.upper(F.replace(text, F.lit(" "), F.lit("")))
     return F.when(clean.rlike(GST_PATTERN), clean)

@@ -262,6 +262,11 @@ def document_ids(docs: DataFrame, order: str) -> DataFrame:
     return ranked.withColumn("doc_code", F.concat(F.lit("TRP-"), F.lpad(F.col("_r").cast("string"), 5, "0"))).drop("_b", "_g", "_ob", "_og", "_r")
 
 
+def stamp(docs: DataFrame, at: Column | None = None) -> DataFrame:
+    """Adds ``generatedAt``: an ISO stamp in UTC of ``at``, by default of the moment at which the query runs."""
+    return docs.withColumn("generatedAt", F.date_format(F.to_utc_timestamp(F.current_timestamp() if at is None else at, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'"))
+
+
 def _stem(name: Column) -> Column:
     return F.regexp_replace(F.lower(F.regexp_replace(name, r"\.[^.]*$", "")), "[-_.]", " ")
 

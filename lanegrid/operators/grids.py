@@ -519,6 +519,13 @@ def assemble(candidates: DataFrame) -> DataFrame:
     return candidates.where("value is not null").groupBy("vendor_id", "field").agg(F.min_by(F.struct("value", "source_rank"), "source_rank").alias("b")).select("vendor_id", "field", "b.*")
 
 
+def with_cubic_feet(candidates: DataFrame, stated: DataFrame) -> DataFrame:
+    """``candidates`` (vendor_id, field, value, source_rank) and, before all of them, the divisors of ``stated`` (vendor_id, kg_per_cft) weights between 0 and 200 kg."""
+    kg = F.col("kg_per_cft")
+    divisors = stated.where((kg > 0) & (kg < 200)).select("vendor_id", F.lit("divisor").alias("field"), F.round(28316.8 / kg, 0).alias("value"), F.lit(0).alias("source_rank"))
+    return candidates.unionByName(divisors)
+
+
 def row_windows(grid: DataFrame, size: int = 6, step: int = 3) -> DataFrame:
     """(KEY, window, text): overlapping windows of rows, for classification; each row goes to two windows at most."""
     at = F.col("row_idx")

@@ -222,6 +222,35 @@ def handling_basis(spark, d):
     return candidates(spark, d).where("charge is not null").select("file_order", basis.alias("basis"), F.coalesce(c["v"] > 0, F.lit(False)).alias("invoice_enabled"))
 
 
+@query(
+    "handling_encode",
+    """SELECT p_partkey, CASE WHEN k = 0 THEN 'per_box' END AS type, CASE WHEN k = 0 THEN s END AS per_box, CASE WHEN k = 0 THEN s * 10 END AS minimum, CASE k WHEN 1 THEN s / 4 WHEN 2 THEN s WHEN 3 THEN 0 END AS v, CASE k WHEN 1 THEN s * 2 WHEN 2 THEN 0 WHEN 3 THEN s + 100 END AS f, CASE WHEN k = 1 AND s > 10 THEN s END AS threshold
+       FROM (SELECT p_partkey, p_partkey % 4 AS k, CAST(p_size AS DOUBLE) AS s FROM part)""",
+)
+def handling_encode(spark, d):
+    k, s = F.col("p_partkey") % 4, F.col("p_size").cast("double")
+    charge = F.struct(
+        F.when(k == 0, "per_box").alias("type"), F.when(k == 2, s).when(k == 3, s + 100).alias("scalar"), F.when(k == 1, s / 4).alias("v"), F.when(k == 1, s * 2).alias("f"),
+        F.when(k == 0, s).alias("perBox"), F.when(k == 0, s * 10).alias("minimum"), F.when((k == 1) & (s > 10), s).otherwise(0.0).alias("thresholdWeight"),
+    )
+    rows = table(spark, d, "part").select("p_partkey", charge.alias("c")).withColumn("h", fn.encode_handling(F.col("c")))
+    return rows.select("p_partkey", "h.type", F.col("h.perBox").alias("per_box"), "h.minimum", "h.v", "h.f", F.col("h.thresholdWeight").alias("threshold"))
+
+
+@query(
+    "invoice_encode",
+    """SELECT p_partkey, CASE k WHEN 0 THEN s WHEN 1 THEN s / 10 WHEN 2 THEN 0 WHEN 3 THEN 0 END AS percentage, CASE k WHEN 0 THEN 50 WHEN 1 THEN s WHEN 2 THEN 0 WHEN 3 THEN 0 END AS minimum, CASE WHEN k = 3 THEN 'slabs' END AS type, k = 1 OR k = 4 AS on_invoice FROM (SELECT p_partkey, p_partkey % 5 AS k, CAST(p_size AS DOUBLE) AS s FROM part)""",
+)
+def invoice_encode(spark, d):
+    k, s = F.col("p_partkey") % 5, F.col("p_size").cast("double")
+    charge = F.struct(
+        (k == 2).alias("enabled"), F.when(k == 0, s).otherwise(0.0).alias("percentage"), F.when(k == 0, 50.0).otherwise(0.0).alias("minimumAmount"), F.when(k == 1, s / 10).alias("v"), F.when(k == 1, s).alias("f"),
+        F.when(k == 3, F.array(s)).alias("slabs"), F.when(k == 1, "percentage_invoice").when(k == 2, "percentage_freight").alias("type"), F.when(k == 4, "invoice").alias("basis"),
+    )
+    rows = table(spark, d, "part").select("p_partkey", charge.alias("c")).withColumn("i", fn.encode_invoice(F.col("c")))
+    return rows.select("p_partkey", "i.percentage", F.col("i.minimumAmount").alias("minimum"), "i.type", F.coalesce(fn.basis(F.col("c")) == "invoice", F.lit(False)).alias("on_invoice"))
+
+
 @query(
     "gst_check",
     "SELECT s_suppkey, CASE WHEN s_suppkey % 3 <> 0 THEN lpad(CAST(s_nationkey + 1 AS VARCHAR), 2, '0') || 'ABCDE' || lpad(CAST(s_suppkey % 10000 AS VARCHAR), 4, '0') || 'F1Z5' END AS gst FROM supplier",

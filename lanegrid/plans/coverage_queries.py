@@ -555,6 +555,21 @@ def topk_reports(spark, d):
     return counted.orderBy(F.desc("n"), "vendor_zone", "master_zone").limit(5)
 
 
+@query("sorted_missing_pins", "SELECT vendor_id, string_agg(CAST(pincode AS VARCHAR), ' ' ORDER BY pincode) AS pins FROM (SELECT DISTINCT vendor_id, pincode FROM claims WHERE pincode NOT IN (SELECT pincode FROM master)) GROUP BY vendor_id")
+def sorted_missing_pins(spark, d):
+    """Claimed pincodes that the master lacks, in order."""
+    gone = claims(spark, d).select("vendor_id", "pincode").distinct().join(master(spark, d).select("pincode"), "pincode", "left_anti")
+    return gone.groupBy("vendor_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("pincode")), lambda p: p.cast("string")), " ").alias("pins"))
+
+
+@query("sorted_mismatches", "SELECT vendor_id, vendor_zone, master_zone, n, row_number() OVER (PARTITION BY vendor_id ORDER BY n DESC, vendor_zone, master_zone) AS place FROM (SELECT vendor_id, effective AS vendor_zone, zone AS master_zone, count(*) AS n FROM effective WHERE zone <> effective GROUP BY ALL)", effective=EFFECTIVE)
+def sorted_mismatches(spark, d):
+    """Pairs of claimed and master zone per vendor, the most frequent first."""
+    rows = cov.effective_zones(claims(spark, d), master(spark, d)).where("zone <> effective")
+    counted = rows.groupBy("vendor_id", F.col("effective").alias("vendor_zone"), F.col("zone").alias("master_zone")).agg(F.count("*").alias("n"))
+    return counted.withColumn("place", F.row_number().over(Window.partitionBy("vendor_id").orderBy(F.desc("n"), "vendor_zone", "master_zone")))
+
+
 @query("sorted_outputs", "SELECT vendor_id, string_agg(DISTINCT claimed_zone, ' ' ORDER BY claimed_zone) AS active_zones FROM claims GROUP BY ALL")
 def sorted_outputs(spark, d):
     return claims(spark, d).groupBy("vendor_id").agg(F.array_join(F.array_sort(F.collect_set("claimed_zone")), " ").alias("active_zones"))

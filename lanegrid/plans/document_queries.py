@@ -339,6 +339,11 @@ def document_ids(spark, d):
     return op.document_ids(table(spark, d, "supplier").select("s_suppkey"), "s_suppkey")
 
 
+@query("document_stamps", "SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS stamp FROM events")
+def document_stamps(spark, d):
+    return op.stamp(table(spark, d, "events"), F.col("ts")).select("event_id", F.col("generatedAt").alias("stamp"))
+
+
 @query("json_round_trip", "SELECT vendor_id, companyName, fuel, oda_type, origins FROM docs", docs=DOCS)
 def json_round_trip(spark, d):
     rows = docs(spark, d)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -15,6 +17,8 @@ from lanegrid.plans.fixtures import claims, master, rates, sql
 from lanegrid.plans.rate_queries import MATRIX
 from lanegrid.runtime import table
 
+SPREAD = "round2(CASE WHEN max(rate) - min(rate) <= 5 THEN max(rate) ELSE avg(rate) END)"
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
@@ -320,6 +324,41 @@ def sheet_dispatch(spark, d):
     return op.dispatch(wide.unionByName(op.long_matrix(long_sheet(spark, d)).withColumn("detector", F.lit(0))))
 
 
+@query(
+    "sheet_dispatch_all",
+    f"""SELECT vendor_id, CASE vendor_id WHEN 0 THEN 'matrix d' WHEN 1 THEN 'matrix a' WHEN 2 THEN 'pin matrix' ELSE 'zone matrix' END AS sheet, CASE vendor_id WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 2 ELSE 3 END AS detector, origin, dest, rate FROM (
+         SELECT 0 AS vendor_id, origin, dest, rate FROM (SELECT 'E1' AS origin, m.zone AS dest, {SPREAD} AS rate FROM (SELECT pincode, CAST(2 + pincode % 9 AS DOUBLE) AS rate FROM claims WHERE vendor_id = 0 AND pincode % 17 NOT IN (3, 4)) c JOIN master m USING (pincode) GROUP BY m.zone)
+         UNION ALL SELECT vendor_id, origin, dest, rate FROM many WHERE vendor_id IN (1, 3)
+         UNION ALL SELECT vendor_id, origin, m.zone, round2(median(5 + zone_order * 0.5 + pincode % 7)) FROM (SELECT DISTINCT vendor_id, pincode FROM claims WHERE vendor_id = 2) c JOIN master m USING (pincode) CROSS JOIN (SELECT zone AS origin, zone_order FROM zones WHERE zone_order < 4) GROUP BY vendor_id, origin, m.zone)""",
+    matrix=MATRIX, many=MANY,
+)
+def sheet_dispatch_all(spark, d):
+    """Four detectors over sheets of equal priority: station sheets before long, pincode-grounded and wide ones."""
+    known = master(spark, d)
+    renamed = lambda grid, most, name: grid.where(F.col("vendor_id") <= most).withColumn("sheet", F.lit(name))
+    pins = claims(spark, d).select("vendor_id", "pincode").distinct()
+    grounded = sheet(pins, "pin matrix", ["pincode"], [F.col("pincode"), *[5 + i * 0.5 + F.col("pincode") % 7 for i in range(4)]], [["Pin", *dims.ZONES[:4]]])
+    stations = spark.createDataFrame([("OKL", "E1")], "code string, zone string")
+    found = [
+        op.station_rates(renamed(station_sheet(spark, d), 0, "matrix d"), places(spark, d), stations, known),
+        op.long_matrix(renamed(long_sheet(spark, d), 1, "matrix a")),
+        op.grounded_matrix(renamed(grounded, 2, "pin matrix"), known),
+        op.wide_matrix(wide_sheet(spark, d)),
+    ]
+    ranked = [f.select(*op.KEY, F.lit(i).alias("detector"), "origin", "dest", "rate") for i, f in enumerate(found)]
+    return op.dispatch(reduce(lambda a, b: a.unionByName(b), ranked))
+
+
+@query("assemble_charges", "SELECT vendor_id, field, arg_min(value, r) AS value, min(r) AS source_rank FROM (SELECT CAST(s_suppkey % 20 AS INT) AS vendor_id, CASE WHEN s_nationkey % 3 = 0 THEN 'divisor' ELSE 'fuel' END AS field, CAST(s_suppkey AS DOUBLE) AS value, CAST(s_suppkey // 20 + 1 AS INT) AS r FROM supplier UNION ALL SELECT CAST(s_suppkey AS INT), 'divisor', round(28316.8 / (s_nationkey + 5), 0), 0 FROM supplier WHERE s_suppkey < 10) GROUP BY vendor_id, field")
+def assemble_charges(spark, d):
+    """Charges of ranked sources; a weight per cubic foot stated anywhere sets the divisor before all of them."""
+    k, nation = F.col("s_suppkey"), F.col("s_nationkey")
+    rows = table(spark, d, "supplier")
+    sources = rows.select((k % 20).cast("int").alias("vendor_id"), F.when(nation % 3 == 0, "divisor").otherwise("fuel").alias("field"), k.cast("double").alias("value"), (F.floor(k / 20) + 1).cast("int").alias("source_rank"))
+    stated = rows.where(k < 10).select(k.cast("int").alias("vendor_id"), (nation + 5).cast("double").alias("kg_per_cft"))
+    return op.assemble(op.with_cubic_feet(sources, stated))
+
+
 @query("first_seen_rate", "SELECT vendor_id, origin, dest, arg_min(rate, (seq % 5, seq, rate)) AS rate FROM rates GROUP BY vendor_id, origin, dest")
 def first_seen_rate(spark, d):
     return op.first_seen(rates(spark, d).withColumns({"table_idx": F.col("seq") % 5, "row_idx": F.struct("seq", "rate")}))
@@ -385,7 +424,6 @@ CELL_ZONES = r"""SELECT cell, coalesce((SELECT zones FROM labels_dim WHERE label
         (SELECT arg_min(p.zone, p.dim_order) FROM places p WHERE p.name = cell OR (NOT EXISTS (SELECT 1 FROM places q WHERE q.name = cell) AND length(cell) >= 4 AND length(p.name) >= 4 AND (contains(cell, p.name) OR contains(p.name, cell)))),
         (SELECT any_value(zone) FROM master WHERE CAST(pincode AS VARCHAR) = cell)) AS z
     FROM asked WHERE cell <> '' AND NOT regexp_matches(cell, '(?i)^\s*(from[/\\]?to|to[/\\]?from|from|to|origin[/\\]?dest(ination)?|o(rig)?[/\\]d(est)?|from\s*station|zone|lanes?|route)\s*$'))"""
-SPREAD = "round2(CASE WHEN max(rate) - min(rate) <= 5 THEN max(rate) ELSE avg(rate) END)"
 
 #: Per hundred customers a sheet: two head rows, a header of nations, and nations down with rates across.
 CITY_SHEET = """SELECT v AS vendor_id, 0 AS row_idx, ['Rate card'] AS cells FROM (SELECT DISTINCT c_custkey // 100 AS v FROM customer)
@@ -513,11 +551,14 @@ STATION_ORIGIN = """SELECT h.vendor_id, coalesce(first_station, 'OKL') AS cell F
 )
 def detect_station_rates(spark, d):
     """Sheets of pincodes and rates from one station: header, rate column and origin are found in the cells."""
+    stations = spark.createDataFrame([("OKL", "E1")], "code string, zone string")
+    return op.station_rates(station_sheet(spark, d), places(spark, d), stations, master(spark, d)).select("vendor_id", "origin", "dest", "rate")
+
+
+def station_sheet(spark, d):
     k = F.col("pincode")
     rows = claims(spark, d)
     station = F.when(F.col("vendor_id") == 0, "okl").when(F.col("vendor_id") == 1, "INDIA").when(F.col("vendor_id") == 2, "").otherwise(F.col("state"))
     rate = F.when(k % 17 == 3, "1,200").when(k % 17 == 4, "NA").otherwise((2 + k % 9).cast("string"))
     cells = [F.lit("b"), station, k % 9 * 3, rate, F.lit("10"), F.concat(k, F.when(k % 3 == 0, ".0").otherwise(""))]
-    grid = sheet(rows, "stations", ["pincode", "state"], cells, [["Station rates"], ["Branch", "From Station", "Express Rate", "Out Card Rate", "Km", "PIN Code"]])
-    stations = spark.createDataFrame([("OKL", "E1")], "code string, zone string")
-    return op.station_rates(grid, places(spark, d), stations, master(spark, d)).select("vendor_id", "origin", "dest", "rate")
+    return sheet(rows, "stations", ["pincode", "state"], cells, [["Station rates"], ["Branch", "From Station", "Express Rate", "Out Card Rate", "Km", "PIN Code"]])
