@@ -15,6 +15,7 @@ from lanegrid.operators import text as text_op
 from lanegrid.plans import dims
 from lanegrid.plans.fixtures import claims, master, rates, sql
 from lanegrid.plans.rate_queries import MATRIX
+from lanegrid.plans.text_queries import CLASSIFIED
 from lanegrid.runtime import table
 
 SPREAD = "round2(CASE WHEN max(rate) - min(rate) <= 5 THEN max(rate) ELSE avg(rate) END)"
@@ -412,7 +413,18 @@ def ocr_words_to_grid(spark, d):
     return grid.select("page", "row", F.size("cells").alias("n_cells"), F.array_join("cells", " ").alias("line"))
 
 
-@query("segment_rows", None)
+#: The long sheets' rows as text, windows of six rows every three, and their categories.
+SHEET_ROWS = """SELECT vendor_id, row_idx, line FROM (SELECT DISTINCT vendor_id, unnest([0, 1]) AS row_idx, unnest(['# vendor sheet  ', 'From Zone To-Zone rate_per_kg']) AS line FROM matrix
+    UNION ALL SELECT vendor_id, row_number() OVER (PARTITION BY vendor_id ORDER BY origin, dest) + 1, origin || ' ' || dest || ' Rs. ' || CAST(rate AS VARCHAR) FROM matrix)"""
+WINDOWS = "SELECT vendor_id, w AS doc_id, string_agg(line, chr(10) ORDER BY row_idx) AS text FROM (SELECT *, unnest(range(greatest(0, row_idx // 3 - 1), row_idx // 3 + 1)) AS w FROM sheet_rows) GROUP BY vendor_id, w"
+WINDOW_CLASSES = CLASSIFIED.replace("SELECT doc_id, CASE", "SELECT vendor_id, doc_id AS w, CASE").replace("SELECT doc_id, -r", "SELECT vendor_id, doc_id, -r").replace("SELECT doc_id, list_sort", "SELECT vendor_id, doc_id, list_sort").replace("FROM cards", "FROM windows")
+SWITCHED = """SELECT vendor_id, w, now FROM (WITH RECURSIVE walk AS (SELECT DISTINCT vendor_id, CAST(-1 AS BIGINT) AS w, 'UNKNOWN' AS now, '' AS next, 0 AS n FROM window_classes
+    UNION ALL SELECT vendor_id, w, CASE WHEN m >= 3 THEN category ELSE now END, CASE WHEN strong AND m < 3 THEN category ELSE '' END, CASE WHEN m >= 3 THEN 0 ELSE m END
+      FROM (SELECT *, CASE WHEN strong AND category = next THEN n + 1 WHEN strong THEN 1 ELSE 0 END AS m FROM (SELECT c.vendor_id, c.w, c.category, walk.now, walk.next, walk.n, c.confidence > 0.35 AND c.category <> walk.now AS strong FROM walk JOIN window_classes c ON c.vendor_id = walk.vendor_id AND c.w = walk.w + 1)))
+    SELECT * FROM walk)"""
+
+
+@query("segment_rows", "SELECT vendor_id, 'rates' AS sheet, w AS window, now AS section FROM switched WHERE w >= 0", matrix=MATRIX, sheet_rows=SHEET_ROWS, windows=WINDOWS, window_classes=WINDOW_CLASSES, switched=SWITCHED)
 def segment_rows(spark, d):
     """Categories of the rows of the long sheets by windows of six rows; the category switches after three windows."""
     windows = text_op.classify(op.row_windows(long_sheet(spark, d)))

@@ -27,6 +27,10 @@ def query(name: str, oracle: str | None, **views: str):
     return register
 
 
+def _null(x):
+    return "NULL" if x is None else f"'{x}'"
+
+
 _KEYS = list(op.CHARGE_LABELS)
 _KEY_SQL = "[" + ", ".join(f"'{k}'" for k in _KEYS) + "]"
 #: Labels from ``part``: dictionary labels, with noise, cut short, with more words, or misspelt, beside the parts' names.
@@ -69,6 +73,22 @@ def label_match_exact(spark, d):
     return op.match(labels(spark, d), op.dictionary(spark)).where("method in ('exact', 'normalised')").select("label", "value", "method")
 
 
+_TOKENS = lambda c: f"list_distinct(list_filter(string_split({c}, ' '), lambda w: length(w) >= 2))"
+LAYERS = f"""SELECT label, ord, value, common, CASE WHEN n = known THEN 1 WHEN plain = known THEN 2 WHEN n <> '' AND (contains(n, known) OR contains(known, n)) AND least(length(n), length(known)) / greatest(length(n), length(known), 1) >= 0.7 THEN 3 WHEN common >= 0.7 THEN 4 END AS layer
+    FROM (SELECT l.*, k.*, len(list_intersect({_TOKENS("n")}, {_TOKENS("known")})) / greatest(len({_TOKENS("n")}), len({_TOKENS("known")}), 1) AS common FROM (SELECT DISTINCT label, n, CASE WHEN len(rest) > 0 THEN array_to_string(rest, ' ') ELSE n END AS plain
+      FROM (SELECT *, list_filter(string_split(n, ' '), lambda w: NOT list_contains({_NOISE}, w)) AS rest FROM normed)) l CROSS JOIN (VALUES {", ".join(f"({i}, '{k}', {_null(v)})" for i, (k, v) in enumerate(op.CHARGE_LABELS.items()))}) k(ord, known, value))"""
+
+
+@query(
+    "label_match_layers",
+    """SELECT label, b.value AS value, [1.0, 0.95, 0.85, 0.75][b.layer] AS confidence, ['exact', 'normalised', 'substring', 'token'][b.layer] AS method FROM (SELECT label, arg_min({'value': value, 'layer': layer}, (layer, CASE WHEN layer = 4 THEN -common ELSE 0 END, ord)) AS b FROM layers WHERE layer IS NOT NULL GROUP BY label) WHERE b.value IS NOT NULL""",
+    labels=LABELS, normed=NORMED, layers=LAYERS,
+)
+def label_match_layers(spark, d):
+    """All layers of the match but the one by spelling."""
+    return op.match(labels(spark, d), op.dictionary(spark)).where("method <> 'fuzzy'")
+
+
 @query("label_match", None)
 def label_match(spark, d):
     return op.match(labels(spark, d), op.dictionary(spark))
@@ -165,8 +185,7 @@ def stream_learning_state(spark, d):
 
 
 COMPANIES = {"alpha": (["the", "hea"], "ering", None, "onth"), "beta": (["idiot", "clown"], None, "ation", None), "gamma": (["der", "die"], None, None, None), "delta": (["los", "que"], "ción", "ment", "tion")}
-_NULL = lambda x: "NULL" if x is None else f"'{x}'"
-_COMPANY = "SELECT * FROM (VALUES " + ", ".join(f"('{c}', {a}, {_NULL(g)}, {_NULL(p)}, {_NULL(e)})" for c, (a, g, p, e) in COMPANIES.items()) + ") t(company, aliases, gst, phone, email)"
+_COMPANY = "SELECT * FROM (VALUES " + ", ".join(f"('{c}', {a}, {_null(g)}, {_null(p)}, {_null(e)})" for c, (a, g, p, e) in COMPANIES.items()) + ") t(company, aliases, gst, phone, email)"
 FOUND = """SELECT doc_id, arg_min(company, (-score, company)) AS company, CAST(max(score) AS DOUBLE) AS score FROM (SELECT doc_id, company, round(least(0.99, len(list_filter(aliases, lambda a: contains(low, a))) * 0.4 + CASE WHEN contains(folder, company) OR len(list_filter(aliases, lambda a: contains(folder, a))) > 0 THEN 0.3 ELSE 0 END
       + CASE WHEN contains(low, gst) THEN 0.5 ELSE 0 END + CASE WHEN contains(low, phone) THEN 0.3 ELSE 0 END + CASE WHEN contains(low, email) THEN 0.3 ELSE 0 END), 2) AS score
     FROM (SELECT doc_id, lower(coalesce(text, '')) AS low, CASE WHEN source = 'src1' THEN 'alpha files' ELSE 'other' END AS folder FROM documents) CROSS JOIN companies) WHERE score > 0 GROUP BY doc_id"""
