@@ -8,7 +8,7 @@ compared word by word. Items of fewer than 10 words are one window and are match
 
 Only fingerprints (id, text hash, place, hash) are joined; the benchmark's windows are broadcast
 if they are small enough, else both sides are shuffled with salted keys. Words are compared in a
-second pass over the documents that have a candidate.
+second pass over the documents that have a candidate, which a bitmap of fixed size picks out.
 
 Defined results: words are lower-cased in A-Z only; a null or empty text has no words and no
 hit; an item without words is ignored; an item without an id marks words but is not listed;
@@ -26,7 +26,7 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lanegrid.llm.sizes import join_counted, small_enough
+from lanegrid.llm.sizes import join_counted, maybe_listed
 from lanegrid.runtime import Scratch
 
 SPAN = 10
@@ -131,10 +131,9 @@ def find_hits(docs: DataFrame, items: DataFrame, scratch: Scratch, text: str = "
     found = found.withColumn("start", F.col("at") - F.col("offset")).where("start >= 0").select(key, "text_hash", "start", "size", "content")
     found = scratch.save(found.groupBy(key, "text_hash").agg(F.collect_set(F.struct("start", "size", "content")).alias("candidates")), "candidates")
     found = found.withColumnsRenamed({key: "_id", "text_hash": "_hash"})
-    few = small_enough(found, F.aggregate("candidates", F.lit(64), lambda a, c: a + F.octet_length(c["content"]) + 40))
     own = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
     on = own["_key"].eqNullSafe(found["_id"]) & (F.xxhash64(own["_text"]) == found["_hash"])
-    read = own.join(F.broadcast(found) if few else found.hint("merge"), on)
+    read = maybe_listed(own, ["_key", F.xxhash64("_text")], found, ["_id", "_hash"]).join(found.hint("merge"), on)
     read = read.select(F.col("_id").alias(key), F.col("_hash").alias("text_hash"), words(F.col("_text")).alias("words"), "candidates")
     same = lambda c: F.array_join(F.slice("words", c["start"] + 1, c["size"]), " ") == c["content"]
     inside = lambda c: c["start"] + c["size"] <= F.size("words")
