@@ -11,8 +11,9 @@ hash into about sqrt(n) buckets, bucket sums are added up, and only the one buck
 budget ends is ranked document by document.
 
 Defined results: a null domain, language or source is a node of its own, named ``(none)``; a
-null or empty text has no tokens and is taken when its place lies in the prefix; rows with the
-same id, text, language and source are one document; ties in the seeded order are broken by id
+null or empty text has no tokens and is taken when its place lies in the prefix; a text of any
+length counts whole; a document longer than its leaf's rest of the budget ends the prefix; rows
+with the same id, text, language and source are one document, and in ``mix`` any one of them stays; ties in the seeded order are broken by id
 and text hash; an empty table or budget gives an empty result; budgets are whole numbers of
 tokens, rounded down at each node.
 """

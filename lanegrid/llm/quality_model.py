@@ -6,8 +6,10 @@ share of the text's words, square-rooted. The model is a weight per bucket; FTRL
 with L1 and L2 terms learns it in numpy from a bounded sample of labelled rows, and scoring is
 a sparse dot product over every whole text.
 
-Defined results: a null or empty text gets the score of the bias alone; repeated rows get the
-same score; extra columns are passed on; without any labelled row every score is 0.5.
+Defined results: a null or empty text gets the score of the bias alone; a text of any length is
+scored whole, a long one alone; equal texts get equal scores, so ties and repeated rows stay ties;
+extra columns are passed on, and one named like the score is replaced; without any labelled row
+every score is 0.5; an empty table gives an empty result.
 """
 
 from __future__ import annotations
