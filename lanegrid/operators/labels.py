@@ -44,6 +44,7 @@ NO_CHARGE = [
 ]
 CONFIRM_GAIN, PASSIVE_GAIN, TAUGHT_GAIN, DECAY = 0.35, 0.15, 0.4, 0.5
 PROMOTE_AT, PROMOTE_PASSIVE_AT, PROMOTE_CONFIDENCE = 3, 6, 0.8
+MOST_KNOWN = 10_000
 # ----------------------------------------------------------------------------------------------
 
 
@@ -91,8 +92,12 @@ def match(labels: DataFrame, known: DataFrame, least: float = 0.6, learned: Data
 
     Layers: learned, exact, without noise words, contained (lengths within 0.7), common words
     (0.7), and similar spelling by a pandas UDF, which sees only what the others leave. ``known``
-    is a dictionary of fixed size, broadcast against the distinct labels in one pass.
+    is a dictionary of MOST_KNOWN names at most (a larger one is refused), which is compared with
+    the distinct labels in one pass; learned labels, which may be many, are joined by their text.
     """
+    names = {r["known"]: r["value"] for r in known.select("known", "value").limit(MOST_KNOWN + 1).collect()}
+    if len(names) > MOST_KNOWN:
+        raise ValueError(f"a dictionary has {MOST_KNOWN} names at most")
     asked = labels.select("label").where("label is not null").distinct().withColumn("n", normalise(F.col("label"))).withColumn("plain", normalise(strip_noise(F.col("n"))))
     asked = asked.withColumn("words", tokens(F.col("n")))
     if learned is not None:
@@ -112,8 +117,6 @@ def match(labels: DataFrame, known: DataFrame, least: float = 0.6, learned: Data
     best = pairs.groupBy("label", "n").agg(F.min_by(F.struct(F.coalesce("taught", "value").alias("value"), "layer"), F.when(F.col("layer").isNotNull(), order)).alias("b"))
     best = best.select("label", "n", F.when(F.col("b.layer").isNotNull(), F.col("b")).alias("b"))
 
-    names = {r["known"]: r["value"] for r in known.collect()}  # the dictionary: a fixed few dozen rows
-
     def closest(batch: pd.Series) -> pd.DataFrame:
         out = []
         for n in batch:
