@@ -234,11 +234,11 @@ def repeats(docs: DataFrame, scratch: Scratch, text: str = "text", key: str = "d
     whole = scratch.save(whole, "whole")
     by_anchor = found.groupBy("anchor").agg(F.min("content").alias("lo"), F.max("content").alias("hi"), F.max("recurs").alias("recurs"))
     unsure = scratch.save(by_anchor.where("lo <> hi or recurs").select("anchor"), "unsure")
-    some = maybe_listed(found, ["anchor"], unsure, ["anchor"]).join(unsure.hint("merge"), "anchor")
+    some = scratch.save(maybe_listed(found, ["anchor"], unsure, ["anchor"]).join(unsure.hint("merge"), "anchor"), "some")
     single = some.groupBy(*block).agg(F.min(F.struct("doc", "hash", "first")).alias("one")).select("anchor", "count", "one.*")
     single = scratch.save(single, "single")
     many = scratch.save(single.groupBy("anchor").agg(F.count("*").alias("kinds")).where(F.col("kinds") > MOST_KINDS), "many")
-    scratch.drop("blocks", "copied")
+    scratch.drop("blocks", "copied", "unsure", "some")
 
     def with_text(blocks: DataFrame, name: str) -> DataFrame:
         asked = scratch.save(blocks.groupBy("doc", "hash").agg(F.collect_list(F.struct("anchor", "first", "count")).alias("asked")), name)
