@@ -71,20 +71,23 @@ def _rule(rows: DataFrame, severity: str, rule: str, detail: Column) -> DataFram
     return rows.select("vendor_id", F.lit(severity).alias("severity"), F.lit(rule).alias("rule"), detail.cast("string").alias("detail"))
 
 
+def _hits(rows: DataFrame, rules: list[tuple[Column, str, str, Column]]) -> DataFrame:
+    """(vendor_id, severity, rule, detail): a row for every rule (condition, severity, name, detail) that holds, in one pass over ``rows``."""
+    hit = [F.when(when, F.struct(F.lit(severity).alias("severity"), F.lit(rule).alias("rule"), detail.cast("string").alias("detail"))) for when, severity, rule, detail in rules]
+    return rows.select("vendor_id", F.inline(F.filter(F.array(*hit), lambda x: x.isNotNull())))
+
+
 def validate_structure(docs: DataFrame, matrix: DataFrame, service: DataFrame) -> DataFrame:
     """Structural errors of documents (vendor_id, severity, rule, detail); a valid document has none."""
     c = F.col
     version = c("version")
     cell = F.concat_ws(">", "origin", "dest")
     rules = [
-        _rule(docs.where(~version.startswith("2.") & ~version.startswith("4.")), "error", "version", version),
-        _rule(docs.where(~filled(c("companyName"), "string")), "error", "name_missing", F.lit("")),
+        _hits(docs, [(~version.startswith("2.") & ~version.startswith("4."), "error", "version", version), (~filled(c("companyName"), "string"), "error", "name_missing", F.lit(""))]),
         _rule(docs.join(matrix.select("vendor_id").distinct(), "vendor_id", "left_anti"), "error", "no_rates", F.lit("")),
         _rule(matrix.where(~c("origin").isin(dims.ZONES)).select("vendor_id", "origin").distinct(), "error", "unknown_origin", c("origin")),
-        _rule(matrix.where(~c("dest").isin(dims.ZONES)), "error", "unknown_dest", cell),
-        _rule(matrix.where(c("rate").isNull() | (c("rate") < 0)), "error", "invalid_rate", cell),
-        _rule(service.where(~c("zone").isin(dims.ZONES)), "error", "unknown_zone", c("zone")),
-        _rule(service.where(c("zone").isin(dims.ZONES) & ~c("mode").isin(list(dims.MODES))), "error", "invalid_mode", c("zone")),
+        _hits(matrix, [(~c("dest").isin(dims.ZONES), "error", "unknown_dest", cell), (c("rate").isNull() | (c("rate") < 0), "error", "invalid_rate", cell)]),
+        _hits(service, [(~c("zone").isin(dims.ZONES), "error", "unknown_zone", c("zone")), (c("zone").isin(dims.ZONES) & ~c("mode").isin(list(dims.MODES)), "error", "invalid_mode", c("zone"))]),
     ]
     return reduce(DataFrame.unionByName, rules)
 
@@ -99,20 +102,23 @@ def validate_full(docs: DataFrame, matrix: DataFrame, service: DataFrame) -> Dat
     share = without.groupBy("vendor_id").agg(F.count("*").alias("n")).join(active.groupBy("vendor_id").agg(F.count("*").alias("all")), "vendor_id").withColumn("many", c("n") > 0.2 * c("all"))
     pairs = active.join(origins, ["vendor_id", "zone"]).withColumnRenamed("zone", "origin").join(active.withColumnRenamed("zone", "dest"), "vendor_id")
     rules = [
-        _rule(matrix.where("rate <= 0"), "error", "non_positive", cell),
-        _rule(matrix.where("rate > 500"), "warning", "very_high", cell),
-        _rule(matrix.where("rate > 0 and rate < 1"), "warning", "very_low", cell),
-        _rule(docs.where("minCharges > 5000"), "warning", "min_charges", F.lit("")),
-        _rule(docs.where("fuel > 50"), "warning", "fuel", F.lit("")),
-        _rule(docs.where("oda_type = 'per_kg_minimum' and coalesce(oda_v, 0) = 0 and coalesce(oda_f, 0) = 0"), "error", "oda_empty", F.lit("")),
+        _hits(matrix, [(c("rate") <= 0, "error", "non_positive", cell), (c("rate") > 500, "warning", "very_high", cell), ((c("rate") > 0) & (c("rate") < 1), "warning", "very_low", cell)]),
+        _hits(
+            docs,
+            [
+                (c("minCharges") > 5000, "warning", "min_charges", F.lit("")),
+                (c("fuel") > 50, "warning", "fuel", F.lit("")),
+                (F.expr("oda_type = 'per_kg_minimum' and coalesce(oda_v, 0) = 0 and coalesce(oda_f, 0) = 0"), "error", "oda_empty", F.lit("")),
+                (~filled(c("companyName"), "string"), "warning", "no_name", F.lit("")),
+                (~filled(c("gstNo"), "string"), "warning", "no_gst", F.lit("")),
+                (~filled(c("contactPhone"), "string") & ~filled(c("contactEmail"), "string"), "warning", "no_contact", F.lit("")),
+            ],
+        ),
         _rule(docs.join(service.select("vendor_id").distinct(), "vendor_id", "left_anti"), "warning", "no_service", F.lit("")),
         _rule(service.select("vendor_id").distinct().join(active, "vendor_id", "left_anti"), "warning", "all_unserved", F.lit("")),
         _rule(share.where("many"), "error", "origins_without_rates", c("n")),
         _rule(without.join(share.where("not many"), "vendor_id"), "warning", "zone_without_rates", c("zone")),
         _rule(pairs.join(matrix.select("vendor_id", "origin", "dest"), ["vendor_id", "origin", "dest"], "left_anti"), "warning", "missing_lane", cell),
-        _rule(docs.where(~filled(c("companyName"), "string")), "warning", "no_name", F.lit("")),
-        _rule(docs.where(~filled(c("gstNo"), "string")), "warning", "no_gst", F.lit("")),
-        _rule(docs.where(~filled(c("contactPhone"), "string") & ~filled(c("contactEmail"), "string")), "warning", "no_contact", F.lit("")),
     ]
     return reduce(DataFrame.unionByName, rules)
 
