@@ -124,3 +124,63 @@ WITH {OP3_LINES.format(documents="documents")}
 SELECT doc_id, CAST(coalesce(n_lines, 0) AS INT) AS n_lines, CAST(coalesce(n_removed, 0) AS INT) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
 FROM documents LEFT JOIN kept USING (doc_id)
 """
+
+#: Unsigned crc32 of a text: the usual table, made by eight steps per entry, folded over the bytes (decimal numbers: one per character).
+CRC_TABLE = "crc_table AS (SELECT list(e ORDER BY i) AS crcs FROM (SELECT i, {steps} AS e FROM (SELECT CAST(unnest(range(256)) AS BIGINT) AS i)))"
+_steps = "i"
+for _ in range(8):
+    _steps = f"list_transform([{_steps}], lambda x: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)[1]"
+CRC_TABLE = CRC_TABLE.format(steps=_steps)
+CRC = (
+    "xor(list_reduce(list_transform(string_split(CAST({c} AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT)), "
+    "lambda acc, b: xor(acc >> 8, crcs[(xor(acc, b) & 255) + 1]), CAST(4294967295 AS BIGINT)), 4294967295)"
+)
+
+
+def merkle_sql(levels: int = 8) -> str:
+    """The manifest of ``documents``: leaves, then level by level for the languages' trees (of up to 8 ** ``levels`` leaves) and the tree over them."""
+    field = lambda c: f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || {c}, '-')"
+    leaf = lambda text: "sha256(" + " || ".join(field(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+    lowered = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    parts = [
+        CRC_TABLE,
+        f"""hashed AS (SELECT doc_id, lang, coalesce('=' || lang, '') AS tree, {leaf("text")} AS leaf,
+            CASE WHEN {CRC.format(c="doc_id")} % 3 = 0 THEN {leaf(lowered)} END AS altered FROM documents, crc_table)""",
+        "docs AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS k FROM hashed)",
+        "a0 AS (SELECT tree, k, leaf AS digest FROM docs)",
+    ]
+
+    def climb(name: str) -> None:
+        for h in range(levels):
+            rest = f"(SELECT *, count(*) OVER (PARTITION BY tree) > 1 AS more FROM {name}{h})"
+            parts.append(
+                f"""{name}{h + 1} AS (SELECT tree, k // 8 AS k, sha256(string_agg(digest, '' ORDER BY k)) AS digest FROM {rest} WHERE more GROUP BY tree, k // 8
+                UNION ALL SELECT tree, k, digest FROM {rest} WHERE NOT more)"""
+            )
+
+    climb("a")
+    parts.append(f"b0 AS (SELECT 'all' AS tree, row_number() OVER (ORDER BY tree) - 1 AS k, digest, tree AS own FROM a{levels})")
+    climb("b")
+
+    def prove(name: str, rows: str, start: str, tree: str) -> str:
+        """Siblings to the left and right of ``pos`` on every level where the tree has more than one node."""
+        for h in range(levels):
+            size, side = f"(SELECT tree, count(*) AS n FROM {name}{h} GROUP BY tree)", f"{rows}{h}"
+            near = lambda op: f"(SELECT coalesce(string_agg(x.digest, '' ORDER BY x.k), '') FROM {name}{h} x WHERE x.tree = p.{tree} AND x.k // 8 = p.pos // 8 AND x.k {op} p.pos)"  # noqa: B023, E731
+            parts.append(
+                f"""{side} AS (SELECT p.* EXCLUDE (pos, joined, folded), CASE WHEN z.n > 1 THEN pos // 8 ELSE pos END AS pos,
+                CASE WHEN z.n > 1 THEN joined || {near("<")} || {near(">")} ELSE joined END AS joined,
+                CASE WHEN z.n > 1 THEN sha256({near("<")} || folded || {near(">")}) ELSE folded END AS folded
+                FROM {start if h == 0 else f"{rows}{h - 1}"} p JOIN {size} z ON z.tree = p.{tree})"""
+            )
+        return f"{rows}{levels - 1}"
+
+    parts.append("start AS (SELECT doc_id, tree, 'all' AS everything, leaf, k AS pos, '' AS joined, coalesce(altered, leaf) AS folded FROM docs)")
+    first = prove("a", "p", "start", "tree")
+    parts.append(f"middle AS (SELECT m.* EXCLUDE (pos), b0.k AS pos, b0.digest AS subroot FROM {first} m JOIN b0 ON b0.own = m.tree)")
+    last = prove("b", "q", "middle", "everything")
+    return f"""WITH {", ".join(parts)}
+SELECT doc_id, leaf, subroot, r.digest AS root, sha256(joined) AS proof_sha256, folded AS folded_root, folded = r.digest AS verified FROM {last}, b{levels} r"""
+
+
+OP11 = merkle_sql()

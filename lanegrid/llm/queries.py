@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lanegrid.llm import chat, decontaminate, exact_substrings, jaccard, line_dedup, mixing, oracles, pii, quality_model, quality_rules, toxicity
+from lanegrid.llm import chat, decontaminate, exact_substrings, jaccard, line_dedup, merkle, mixing, oracles, pii, quality_model, quality_rules, toxicity
 from lanegrid.llm.labels import held_out
 from lanegrid.runtime import Scratch, spread, table
 
@@ -116,6 +116,25 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    doc_id, text = F.col("doc_id"), F.col("text")
+    digest = lambda text: merkle.leaf(doc_id, F.col("source"), F.col("lang"), F.col("n_chars"), text)
+    lowered = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    tampered = F.crc32(doc_id.cast("string").cast("binary")) % 3 == 0
+    leaves = documents(spark, sf_dir).select(doc_id, "lang", digest(text).alias("leaf"), F.when(tampered, digest(lowered)).alias("altered"))
+    rows = merkle.manifest(leaves, "lang", "doc_id", "leaf", Scratch(spark))
+    rows = rows.withColumn("folded_root", merkle.fold(F.coalesce("altered", "leaf"), F.col("proof")))
+    return rows.select(
+        "doc_id",
+        "leaf",
+        "subroot",
+        "root",
+        F.sha2(merkle.siblings(F.col("proof")).cast("binary"), 256).alias("proof_sha256"),
+        "folded_root",
+        (F.col("folded_root") == F.col("root")).alias("verified"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_decontamination": op2_decontamination,
@@ -127,9 +146,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_exact_substrings": op8_exact_substrings,
     "op9_quality_rules": op9_quality_rules,
     "op10_chat": op10_chat,
+    "op11_merkle_manifest": op11_merkle_manifest,
 }
 
-ORACLES: dict[str, str] = {"op2_decontamination": oracles.OP2, "op3_line_dedup": oracles.OP3, "op4_mixing": oracles.OP4, "op5_jaccard_join": oracles.OP5, "op10_chat": oracles.OP10}
+ORACLES: dict[str, str] = {"op2_decontamination": oracles.OP2, "op3_line_dedup": oracles.OP3, "op4_mixing": oracles.OP4, "op5_jaccard_join": oracles.OP5, "op10_chat": oracles.OP10, "op11_merkle_manifest": oracles.OP11}
 
 
 def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
