@@ -188,7 +188,9 @@ def proofs(leaves: DataFrame, log: DataFrame, top: DataFrame, carried: list[str]
         nodes = log.where((F.col("level") >= base) & (F.col("level") < base + LEVELS))
         block = F.expr(f"at div shiftleft(1L, {FAN.bit_length() - 1} * ({base + LEVELS} - level))")
         part = nodes.select("tree", block.alias("block"), "place", "digest").unionByName(upper, allowMissingColumns=True)
-        rows = leaves if not base else log.where((F.col("level") == base) & (_depth(F.col("n")) > base)).select("tree", "at", "n")
+        # a side of its own for Spark: columns with new names, as both sides come from the log
+        own = [F.col(c).alias(c) for c in ("tree", "at", "n")]
+        rows = leaves if not base else log.where((F.col("level") == base) & (_depth(F.col("n")) > base)).select(*own)
         rows = rows.withColumn("block", F.floor(F.col("at") / SPAN))
         kept = carried if not base else []
         schema = ", ".join(["tree string, at long, n long", *(f"`{c}` {leaves.schema[c].dataType.simpleString()}" for c in kept), TOP])
