@@ -184,3 +184,22 @@ SELECT doc_id, leaf, subroot, r.digest AS root, sha256(joined) AS proof_sha256,
 
 
 OP11 = merkle_sql()
+
+OP13 = f"""
+WITH {CRC_TABLE},
+t AS (SELECT CAST(conv_id AS BIGINT) AS conv_id, coalesce(text, '') AS text, sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS name,
+      row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS k FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, {CRC.format(c="conv_id")} % 6 AS h FROM (SELECT DISTINCT conv_id FROM t), crc_table),
+r AS (SELECT c.conv_id, k, name, text FROM c JOIN t ON t.conv_id = c.conv_id - c.conv_id % 100 AND k < h
+      UNION ALL SELECT conv_id, k, name, text FROM c JOIN t USING (conv_id) WHERE k >= h),
+s AS (SELECT conv_id, count(*) OVER w AS d, string_agg(name, '') OVER w AS path, length(text) AS chars, count(*) OVER (PARTITION BY conv_id) AS turns
+      FROM r WINDOW w AS (PARTITION BY conv_id ORDER BY k)
+      UNION ALL SELECT conv_id, 0, '', 0, coalesce(turns, 0) FROM c LEFT JOIN (SELECT conv_id, count(*) AS turns FROM r GROUP BY conv_id) USING (conv_id)),
+n AS (SELECT path, d, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * any_value(chars) AS own, string_agg(conv_id, ',' ORDER BY conv_id) FILTER (WHERE turns = d) AS ends FROM s GROUP BY path, d),
+kids AS (SELECT path[1:64 * (d - 1)] AS path, count(*) AS n_children FROM n WHERE d > 0 GROUP BY ALL),
+m AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN kids USING (path)),
+sums AS (SELECT path[1:64 * above] AS path, sum(own) AS saved, count(*) FILTER (WHERE n_children = 0) AS leaves FROM (SELECT *, unnest(range(0, d + 1)) AS above FROM m) GROUP BY ALL)
+SELECT m.conv_id, CAST(m.d AS BIGINT) AS depth, p.conv_id AS parent_conv_id, m.n_convs, m.n_children, CAST(leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens,
+       sha256(coalesce(m.ends, '')) AS ends_sha256
+FROM m JOIN sums USING (path) LEFT JOIN m p ON m.d > 0 AND p.path = m.path[1:64 * (m.d - 1)]
+"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lanegrid.llm import chat, decontaminate, exact_substrings, jaccard, line_dedup, merkle, mixing, oracles, pii, quality_model, quality_rules, toxicity
+from lanegrid.llm import chat, decontaminate, exact_substrings, jaccard, line_dedup, merkle, mixing, oracles, pii, quality_model, quality_rules, toxicity, trie
 from lanegrid.llm.labels import held_out
 from lanegrid.runtime import Scratch, spread, table
 
@@ -135,6 +135,12 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch = Scratch(spark)
+    turns = trie.encode_turns(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"), scratch)
+    return trie.nodes(trie.sequences(trie.rebuild(turns), scratch), scratch).withColumnRenamed("ends", "ends_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_decontamination": op2_decontamination,
@@ -147,9 +153,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality_rules": op9_quality_rules,
     "op10_chat": op10_chat,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
-ORACLES: dict[str, str] = {"op2_decontamination": oracles.OP2, "op3_line_dedup": oracles.OP3, "op4_mixing": oracles.OP4, "op5_jaccard_join": oracles.OP5, "op10_chat": oracles.OP10, "op11_merkle_manifest": oracles.OP11}
+ORACLES: dict[str, str] = {"op2_decontamination": oracles.OP2, "op3_line_dedup": oracles.OP3, "op4_mixing": oracles.OP4, "op5_jaccard_join": oracles.OP5, "op10_chat": oracles.OP10, "op11_merkle_manifest": oracles.OP11, "op13_prefix_trie": oracles.OP13}
 
 
 def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
