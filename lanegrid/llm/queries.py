@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lanegrid.llm import chat, decontaminate, exact_substrings, jaccard, line_dedup, merkle, mixing, oracles, pii, quality_model, quality_rules, toxicity, trie
+import public_tokenizers
+from lanegrid.llm import bpe, chat, decontaminate, exact_substrings, jaccard, line_dedup, merkle, mixing, oracles, pii, quality_model, quality_rules, toxicity, trie
 from lanegrid.llm.labels import held_out
 from lanegrid.runtime import Scratch, spread, table
 
@@ -135,6 +136,17 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codec = bpe.Codec(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    coded = codec.encode(documents(spark, sf_dir).select("doc_id", "text"), Scratch(spark))
+    return coded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(bpe.little_endian(F.col("ids")), 256).alias("ids_sha256"),
+        F.sha2(codec.decode(F.col("ids")), 256).alias("decoded_sha256"),
+    )
+
+
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark)
     turns = trie.encode_turns(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"), scratch)
@@ -153,6 +165,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality_rules": op9_quality_rules,
     "op10_chat": op10_chat,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_bpe": op12_bpe,
     "op13_prefix_trie": op13_prefix_trie,
 }
 
