@@ -209,7 +209,7 @@ def manifest(rows: DataFrame, by: str, key: str, digest: str, scratch: Scratch)
     carried = [c for c in rows.columns if c != by]
     tree = F.when(F.col(by).isNull(), F.lit("")).otherwise(F.concat(F.lit("="), F.col(by).cast("string")))
     leaves = rows.withColumns({"tree": tree, "digest": F.col(digest)}).drop(by)
-    leaves = ranked(leaves, [key, "digest"], scratch, "leaves")
+    leaves = ranked(scratch.save(leaves, "hashed"), [key, "digest"], scratch, "leaves")
     log = append_log(leaves.select("tree", "at", "n", "digest"), scratch, "groups")
     subroots = log.where(F.col("level") == _depth(F.col("n"))).select(F.lit("").alias("tree"), F.col("tree").alias("group"), F.col("digest"))
     subroots = ranked(subroots, ["group"], scratch, "subroots")
