@@ -97,13 +97,6 @@ def label_zones(rows: DataFrame, label: str) -> DataFrame:
     return rows.withColumn("zones", F.coalesce(look[whole], look[clean], F.when(F.size(union) > 0, union), first))
 
 
-def resolve_vendor_zone(rows: DataFrame, master: DataFrame, label: str = "label") -> DataFrame:
-    """Adds ``resolved``: the master's zone if the label covers it, else the label's first zone."""
-    named = label_zones(rows, label).withColumnRenamed("zones", "candidates")
-    joined = named.join(master.select("pincode", "zone"), "pincode", "left")
-    return joined.withColumn("resolved", F.when(F.array_contains("candidates", F.col("zone")), F.col("zone")).otherwise(F.get("candidates", F.lit(0))))
-
-
 def zone_overrides(resolved: DataFrame, order: str) -> DataFrame:
     """(vendor_id, pincode, zone): pins priced in another zone than their own; the later label wins."""
     other = resolved.where(F.col("resolved").isNotNull() & F.col("zone").isNotNull() & (F.col("resolved") != F.col("zone")))

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import difflib
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lanegrid.operators.label_index import NOISE, match, normalise, strip_noise, tokens
+
+__all__ = ["NOISE", "match", "normalise", "strip_noise", "tokens"]
+
 # Fixed values ---------------------------------------------------------------------------------
-NOISE = ["india", "region", "area", "zone", "zones", "state", "states", "part", "belt", "corridor", "hub", "sector", "circle"]
 #: field -> names of it, each with or without one of the endings.
 CHARGE_NAMES = {
     "docketCharges": ["docket", "lr", "lorry receipt", "lr docket", "bilti", "bilty", "consignment note", "cn", "awb", "booking", "docket charges per lr"],
@@ -44,7 +44,6 @@ NO_CHARGE = [
 ]
 CONFIRM_GAIN, PASSIVE_GAIN, TAUGHT_GAIN, DECAY = 0.35, 0.15, 0.4, 0.5
 PROMOTE_AT, PROMOTE_PASSIVE_AT, PROMOTE_CONFIDENCE = 3, 6, 0.8
-MOST_KNOWN = 10_000
 # ----------------------------------------------------------------------------------------------
 
 
@@ -62,21 +61,6 @@ def charge_labels() -> dict[str, str | None]:
 CHARGE_LABELS = charge_labels()
 
 
-def normalise(label: Column) -> Column:
-    """Lower case, other characters than letters and digits as single spaces."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(label), "[^a-z0-9 ]", " "), r"\s+", " "))
-
-
-def strip_noise(label: Column) -> Column:
-    """Without noise words; the label itself if nothing is left."""
-    rest = F.filter(F.split(label, " "), lambda w: ~w.isin(NOISE))
-    return F.when(F.size(rest) > 0, F.array_join(rest, " ")).otherwise(label)
-
-
-def tokens(label: Column) -> Column:
-    return F.array_distinct(F.filter(F.split(label, " "), lambda w: F.length(w) >= 2))
-
-
 def dedupe_adjacent(cells: Column) -> Column:
     """Cells without those that equal the one before."""
     return F.filter(cells, lambda x, i: (i == 0) | ~x.eqNullSafe(F.get(cells, i - 1)))
@@ -87,56 +71,6 @@ def dictionary(spark, labels: dict[str, str | None] = CHARGE_LABELS) -> DataFram
     return spark.createDataFrame(rows, "dim_order int, known string, value string").coalesce(1)
 
 
-def match(labels: DataFrame, known: DataFrame, least: float = 0.6, learned: DataFrame | None = None) -> DataFrame:
-    """(label, value, confidence, method) of distinct labels by the first layer that matches.
-
-    Layers: learned, exact, without noise words, contained (lengths within 0.7), common words
-    (0.7), and similar spelling by a pandas UDF, which sees only what the others leave. ``known``
-    is a dictionary of MOST_KNOWN names at most (a larger one is refused), which is compared with
-    the distinct labels in one pass; learned labels, which may be many, are joined by their text.
-    """
-    names = {r["known"]: r["value"] for r in known.select("known", "value").limit(MOST_KNOWN + 1).collect()}
-    if len(names) > MOST_KNOWN:
-        raise ValueError(f"a dictionary has {MOST_KNOWN} names at most")
-    asked = labels.select("label").where("label is not null").distinct().withColumn("n", normalise(F.col("label"))).withColumn("plain", normalise(strip_noise(F.col("n"))))
-    asked = asked.withColumn("words", tokens(F.col("n")))
-    if learned is not None:
-        taught = learned.select(F.lower(F.trim("raw")).alias("raw"), F.col("canonical").alias("taught")).dropDuplicates(["raw"])
-        asked = asked.join(taught, F.lower(F.trim("label")) == F.col("raw"), "left").drop("raw")
-    else:
-        asked = asked.withColumn("taught", F.lit(None).cast("string"))
-    own = tokens(F.col("known"))
-    common = F.size(F.array_intersect("words", own)) / F.greatest(F.size("words"), F.size(own), F.lit(1))
-    close = F.least(F.length("n"), F.length("known")) / F.greatest(F.length("n"), F.length("known"), F.lit(1)) >= 0.7
-    inside = (F.col("n") != "") & (F.contains("n", "known") | F.contains("known", "n")) & close
-    layer = (
-        F.when(F.col("taught").isNotNull(), 0).when(F.col("n") == F.col("known"), 1).when(F.col("plain") == F.col("known"), 2).when(inside, 3).when(common >= 0.7, 4)
-    )
-    pairs = asked.join(F.broadcast(known)).withColumns({"layer": layer, "common": F.when(layer == 4, common).otherwise(0.0)})
-    order = F.struct("layer", -F.col("common"), "dim_order")
-    best = pairs.groupBy("label", "n").agg(F.min_by(F.struct(F.coalesce("taught", "value").alias("value"), "layer"), F.when(F.col("layer").isNotNull(), order)).alias("b"))
-    best = best.select("label", "n", F.when(F.col("b.layer").isNotNull(), F.col("b")).alias("b"))
-
-    def closest(batch: pd.Series) -> pd.DataFrame:
-        out = []
-        for n in batch:
-            near = difflib.get_close_matches(n, list(names), n=1, cutoff=0.6) if n and len(n) >= 5 else []
-            out.append((names[near[0]], round(difflib.SequenceMatcher(None, n, near[0]).ratio() * 0.9, 3)) if near else (None, None))
-        return pd.DataFrame(out, columns=["value", "confidence"])
-
-    left = F.when(F.col("b").isNull(), F.col("n"))
-    found = best.withColumn("m", F.pandas_udf(closest, "value string, confidence double")(left))
-    at = F.col("b.layer")
-    sure = lambda values: F.get(F.array(*map(F.lit, values)), at)
-    out = found.select(
-        "label",
-        F.coalesce("b.value", "m.value").alias("value"),
-        F.coalesce(sure([1.0, 1.0, 0.95, 0.85, 0.75]), F.col("m.confidence")).alias("confidence"),
-        F.coalesce(sure(["learned", "exact", "normalised", "substring", "token"]), F.lit("fuzzy")).alias("method"),
-    )
-    return out.where(F.col("value").isNotNull() & ((F.col("method") != "fuzzy") | (F.col("confidence") >= least)))
-
-
 def fold_events(events: DataFrame) -> DataFrame:
     """State of each key (type, raw, canonical) after its events in the order of ts and seq.
 

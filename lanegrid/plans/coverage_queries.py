@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lanegrid.functions import pincodes as pf
 from lanegrid.operators import coverage as cov
+from lanegrid.operators import zone_labels
 from lanegrid.plans import dims
 from lanegrid.plans.fixtures import claims, master, sql
 
@@ -197,27 +198,32 @@ def resolve_flat_pincodes(spark, d):
     return cov.resolve_flat(claims(spark, d).select("vendor_id", "pincode"), master(spark, d)).select("vendor_id", "pincode", "resolved")
 
 
-REGION_LABEL = "CASE region WHEN 'North East' THEN 'north-east' WHEN 'Special' THEN 'X1/X2+X3' ELSE upper(region) END"
+#: A label for every region: known, cut at signs, or misspelt, and the zones it must give.
+REGION_LABELS = """(VALUES ('North', 'NORTH', 'N1 N2 N3 N4'), ('South', 'Southrn', 'S1 S2 S3 S4'), ('East', 'EAST', 'E1 E2'), ('West', 'Westren India', 'W1 W2'),
+    ('Central', 'Centrall', 'C1 C2'), ('North East', 'north-east', 'NE1 NE2'), ('Special', 'X1/X2+X3', 'X1 X2 X3')) r(region, label, zones)"""
 
 
-@query(
-    "expand_zone_label",
-    f"SELECT vendor_id, pincode, {REGION_LABEL} AS label, CASE region WHEN 'West' THEN 'W1 W2' ELSE members END AS zones FROM claims JOIN zones ON zone = claimed_zone JOIN (SELECT region AS r, string_agg(zone, ' ' ORDER BY zone_order) AS members FROM zones GROUP BY region) ON r = region",
-)
+@query("expand_zone_label", f"SELECT vendor_id, pincode, r.label, r.zones FROM claims JOIN zones z ON z.zone = claimed_zone JOIN {REGION_LABELS} ON r.region = z.region")
 def expand_zone_label(spark, d):
-    label = F.when(F.col("region") == "North East", "north-east").when(F.col("region") == "Special", "X1/X2+X3").otherwise(F.upper("region"))
+    region = F.col("region")
+    label = (
+        F.when(region == "North East", "north-east").when(region == "Special", "X1/X2+X3").when(region == "South", "Southrn")
+        .when(region == "West", "Westren India").when(region == "Central", "Centrall").otherwise(F.upper("region"))
+    )
     rows = claims(spark, d).join(F.broadcast(dims.zones(spark)), F.col("zone") == F.col("claimed_zone")).select("vendor_id", "pincode", label.alias("label"))
-    return cov.label_zones(rows, "label").withColumn("zones", F.array_join("zones", " "))
+    return zone_labels.expand_labels(rows, "label").withColumn("zones", F.array_join("zones", " "))
 
 
+#: Vendor 1 misspells the south and has a label that nothing is like, vendor 2 prices one zone; labels are looked up in lists typed here.
 RESOLVED = """SELECT vendor_id, c.pincode, m.zone, l.zones AS candidates, CASE WHEN list_contains(l.zones, m.zone) THEN m.zone ELSE l.zones[1] END AS resolved
-    FROM (SELECT *, CASE WHEN vendor_id = 2 THEN 'ZONE ' || left('ABCDEFG', 1) ELSE claimed_zone END AS label FROM claims) c
-    JOIN labels_dim l ON l.label = c.label LEFT JOIN master m ON m.pincode = c.pincode"""
+    FROM (SELECT *, CASE WHEN vendor_id = 2 THEN 'ZONE A' WHEN vendor_id = 1 AND claimed_zone LIKE 'S%' THEN 'Southrn' WHEN vendor_id = 1 AND claimed_zone = 'C1' THEN 'zzz qqq' ELSE claimed_zone END AS label FROM claims) c
+    LEFT JOIN (SELECT zone AS label, [zone] AS zones FROM zones UNION ALL VALUES ('ZONE A', ['N1', 'N2']), ('Southrn', ['S1', 'S2', 'S3', 'S4'])) l ON l.label = c.label LEFT JOIN master m ON m.pincode = c.pincode"""
 
 
 def _resolved(spark, d):
-    rows = claims(spark, d).withColumn("label", F.when(F.col("vendor_id") == 2, "ZONE A").otherwise(F.col("claimed_zone"))).select("vendor_id", "pincode", "label")
-    return cov.resolve_vendor_zone(rows, master(spark, d))
+    vendor, zone = F.col("vendor_id"), F.col("claimed_zone")
+    label = F.when(vendor == 2, "ZONE A").when((vendor == 1) & zone.startswith("S"), "Southrn").when((vendor == 1) & (zone == "C1"), "zzz qqq").otherwise(zone)
+    return zone_labels.resolve_vendor_zone(claims(spark, d).select("vendor_id", "pincode", label.alias("label")), master(spark, d))
 
 
 @query("resolve_vendor_zone", "SELECT vendor_id, pincode, resolved FROM resolved_rows", resolved_rows=RESOLVED)
@@ -430,15 +436,27 @@ def covering_zones(spark, d):
     return _distribution(spark, d).where("percent >= 10").groupBy("vendor_id", "label").agg(F.array_join(F.transform(ordered, lambda x: x["zone"]), " ").alias("zones"))
 
 
+#: Labels of every step of the ladder: codes; misspelt names; names that only their pincodes explain; a state inside, and nothing at all.
+LABELLED = """SELECT vendor_id, pincode, CASE vendor_id WHEN 0 THEN lower(claimed_zone) WHEN 1 THEN CASE left(claimed_zone, 1) WHEN 'S' THEN 'Southrn' WHEN 'W' THEN 'Westren India' ELSE 'Centrall' END
+    WHEN 2 THEN 'qzx ' || claimed_zone ELSE CASE WHEN pincode % 2 = 0 THEN 'qzx mixed' ELSE 'goa xyzzy lane' END END AS label FROM claims"""
+
+
 @query(
     "resolve_zone_labels",
-    "SELECT vendor_id, label, CASE WHEN vendor_id <> 3 THEN label ELSE arg_max(zone, (percent, -first_pin)) FILTER (WHERE percent >= 40) END AS zone FROM dist GROUP BY vendor_id, label",
-    dist=DISTRIBUTION,
+    """SELECT vendor_id, label, CASE WHEN vendor_id = 0 THEN upper(label) WHEN label = 'Southrn' THEN 'S1 S2 S3 S4' WHEN label = 'Westren India' THEN 'W1 W2' WHEN label = 'Centrall' THEN 'C1 C2'
+         ELSE coalesce(string_agg(zone, ' ' ORDER BY percent DESC, first_pin) FILTER (WHERE percent >= 40), CASE WHEN label LIKE 'goa%' THEN 'W2' ELSE '' END) END AS zones,
+       CASE WHEN vendor_id = 0 THEN 'canonical' WHEN label IN ('Southrn', 'Centrall') THEN 'substring' WHEN label = 'Westren India' THEN 'fuzzy' WHEN max(percent) >= 40 THEN 'pincodes' WHEN label LIKE 'goa%' THEN 'geo' ELSE 'none' END AS method
+       FROM (SELECT vendor_id, label, zone, min(m.pincode) AS first_pin, round(count(*) FILTER (WHERE zone IS NOT NULL) * 100 / nullif(sum(count(zone)) OVER (PARTITION BY vendor_id, label), 0), 1) AS percent
+         FROM labelled l LEFT JOIN master m ON m.pincode = l.pincode GROUP BY vendor_id, label, zone) GROUP BY vendor_id, label""",
+    labelled=LABELLED,
 )
 def resolve_zone_labels(spark, d):
-    top = F.max_by("zone", F.when(F.col("percent") >= 40, F.struct("percent", -F.col("first_pin"))))
-    unknown = F.col("vendor_id") == 3  # this vendor's labels are read as names of its own
-    return _distribution(spark, d).groupBy("vendor_id", "label").agg(top.alias("top")).select("vendor_id", "label", F.when(unknown, F.col("top")).otherwise(F.col("label")).alias("zone"))
+    vendor, zone = F.col("vendor_id"), F.col("claimed_zone")
+    misspelt = F.when(zone.startswith("S"), "Southrn").when(zone.startswith("W"), "Westren India").otherwise("Centrall")
+    odd = F.when(F.col("pincode") % 2 == 0, "qzx mixed").otherwise("goa xyzzy lane")
+    label = F.when(vendor == 0, F.lower(zone)).when(vendor == 1, misspelt).when(vendor == 2, F.concat(F.lit("qzx "), zone)).otherwise(odd)
+    rows = claims(spark, d).select("vendor_id", "pincode", label.alias("label"))
+    return zone_labels.resolve_labels(rows, master(spark, d)).withColumn("zones", F.array_join("zones", " "))
 
 
 @query(

@@ -108,6 +108,56 @@ LABEL_ZONES = {
     "UTTARAKHAND": ["N2", "N3", "N4"], "UK": ["N2", "N3", "N4"], "UTTARANCHAL": ["N2", "N3", "N4"],
 }
 
+#: State names looked for inside labels, and their zones.
+STATE_ZONES = {
+    "ANDAMAN & NICOBAR ISLANDS": ["X1"],
+    "ANDHRA PRADESH": ["E2", "S2", "S3"],
+    "ARUNACHAL PRADESH": ["NE2"],
+    "ASSAM": ["NE1", "NE2"],
+    "BIHAR": ["E1", "E2"],
+    "CHANDIGARH": ["N1", "N3"],
+    "CHHATTISGARH": ["C1", "C2", "E2", "N3"],
+    "DELHI": ["N1"],
+    "GOA": ["W2"],
+    "GUJARAT": ["W1", "W2"],
+    "HARYANA": ["N1", "N3", "N4"],
+    "HIMACHAL PRADESH": ["N4"],
+    "JAMMU AND KASHMIR": ["N4"],
+    "JHARKHAND": ["E1", "E2"],
+    "KARNATAKA": ["S1", "S2", "W2"],
+    "KERALA": ["S3", "S4"],
+    "LADAKH": ["X3"],
+    "LAKSHADWEEP": ["X2"],
+    "MADHYA PRADESH": ["C1", "C2"],
+    "MAHARASHTRA": ["C1", "S2", "W1", "W2"],
+    "MEGHALAYA": ["NE2"],
+    "MIZORAM": ["NE2"],
+    "NAGALAND": ["NE2"],
+    "ODISHA": ["E1", "E2"],
+    "PUDUCHERRY": ["S3"],
+    "PUNJAB": ["N1", "N2", "N3"],
+    "RAJASTHAN": ["N1", "N3"],
+    "SIKKIM": ["E2", "NE2"],
+    "TAMIL NADU": ["S1", "S3"],
+    "TELANGANA": ["S1", "S2"],
+    "TRIPURA": ["NE2"],
+    "UTTAR PRADESH": ["N1", "N3", "N4"],
+    "UTTARAKHAND": ["N2", "N3", "N4"],
+    "WEST BENGAL": ["E1", "E2"],
+    "J&K": ["N4"],
+    "J AND K": ["N4"],
+    "JAMMU & KASHMIR": ["N4"],
+    "ANDAMAN AND NICOBAR": ["X1"],
+    "PONDICHERRY": ["S3"],
+    "ORISSA": ["E1", "E2"],
+    "UTTARANCHAL": ["N2", "N3", "N4"],
+    "CHATTISGARH": ["C1", "C2", "E2", "N3"],
+    "TAMILNADU": ["S1", "S3"],
+    "THE DADRA AND NAGAR HAVELI AND DAMAN AND DIU": ["W2"],
+    "DADRA AND NAGAR HAVELI": ["W2"],
+    "DAMAN AND DIU": ["W2"],
+}
+
 MODES = {
     "FULL_ZONE": "FULL_ZONE",
     "FULL_MINUS_EXCEPT": "FULL_MINUS_EXCEPT",
