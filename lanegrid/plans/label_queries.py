@@ -235,14 +235,27 @@ def scan_vendor_json(spark, d):
     return files.read_pieces(spark, path).select("vendor_id", "name", "gstNo", F.col("charges")["fuel"].alias("fuel"))
 
 
-@query("scan_delimited_grid", "SELECT s_suppkey % 7 AS sheet, CAST(s_suppkey AS VARCHAR) AS a, s_name AS b, CAST(s_nationkey AS VARCHAR) AS c FROM supplier")
+@query(
+    "scan_delimited_grid",
+    """SELECT s_suppkey % 7 AS sheet, CAST(s_suppkey AS VARCHAR) AS a, CASE s_suppkey % 4 WHEN 0 THEN s_name || ', Pune' WHEN 1 THEN 'two' || chr(10) || 'lines, "quoted"' WHEN 2 THEN s_name || ' 5" pipe' ELSE 'Café ' || s_name END AS b, CAST(s_nationkey AS VARCHAR) AS c FROM supplier""",
+)
 def scan_delimited_grid(spark, d):
-    """Suppliers written as one tab-separated file per sheet, with blank rows, and read back as a grid."""
+    """Suppliers written as files of tabs or commas, in UTF-8 or Latin-1, with blank rows and quoted separators, line breaks and quotes, and read back as a grid."""
     path = f"{Scratch(spark).root}/grid"
-    line = F.concat_ws("\t", F.concat(F.col("s_suppkey").cast("string"), F.lit(".0")), "s_name", F.col("s_nationkey").cast("string"))
-    rows = table(spark, d, "supplier").select((F.col("s_suppkey") % 7).alias("sheet"), F.concat(line, F.lit("\n\t\t")).alias("value"))
-    rows.repartition("sheet").write.partitionBy("sheet").text(path)
-    grid = files.read_grid(spark, f"{path}/*/*.txt", "\t")
+    k = F.col("s_suppkey")
+    sheet = k % 7
+    tab = sheet % 2 == 0
+    mark = F.when(tab, F.lit("\t")).otherwise(F.lit(","))
+    name = (
+        F.when(k % 4 == 0, F.concat(F.lit('"'), "s_name", F.lit(', Pune"'))).when(k % 4 == 1, F.lit('"two\nlines, ""quoted"""'))
+        .when(k % 4 == 2, F.concat("s_name", F.lit(' 5" pipe'))).otherwise(F.concat(F.lit("Café "), "s_name"))
+    )
+    line = F.concat(k.cast("string"), F.lit(".0"), mark, name, mark, F.col("s_nationkey").cast("string"), F.lit("\n"), mark, mark)
+    coded = F.when(sheet >= 4, F.encode(line, "ISO-8859-1")).otherwise(F.encode(line, "UTF-8")).cast("string")
+    rows = table(spark, d, "supplier").select(sheet.alias("sheet"), coded.alias("value"))
+    for separator, some in (("\t", tab), (",", ~tab)):
+        rows.where(some).repartition("sheet").write.mode("append").partitionBy("sheet").text(f"{path}/{'tab' if separator == chr(9) else 'comma'}")
+    grid = files.read_grid(spark, f"{path}/tab/*/*.txt", "\t").unionByName(files.read_grid(spark, f"{path}/comma/*/*.txt"))
     return grid.select(F.regexp_extract("file", r"sheet=(\d+)", 1).cast("long").alias("sheet"), *[F.get("cells", F.lit(i)).alias(n) for i, n in enumerate("abc")])
 
 

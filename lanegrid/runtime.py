@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -63,6 +63,15 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+BROADCAST_ROWS, BROADCAST_BYTES = 100_000, 8_000_000
+
+
+def small_enough(df: DataFrame, row_bytes: Column) -> bool:
+    """Whether ``df`` has few enough rows and bytes to be sent to every executor."""
+    rows, size = df.agg(F.count("*"), F.sum(row_bytes)).collect()[0]
+    return rows <= BROADCAST_ROWS and (size or 0) <= BROADCAST_BYTES
+
+
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Sends at most ``rows`` rows at once to Python workers, so that long texts fit their memory; a smaller setting stays."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"

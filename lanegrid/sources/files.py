@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lanegrid.operators.documents import EXTENSIONS
+from lanegrid.sources.delimited import read_records
 
 PIECE = (
     "vendor_id bigint, company_details struct<name:string,gstNo:string>, company struct<name:string,gstNo:string>, name string, gstNo string, "
@@ -25,16 +26,10 @@ def read_pieces(spark: SparkSession, path: str, multi_line: bool = False) -> Dat
     )
 
 
-def read_grid(spark: SparkSession, path: str, separator: str = ",", encoding: str = "UTF-8") -> DataFrame:
-    """(file, row_idx, cells) of delimited text without a header; blank rows are dropped.
-
-    Files are read whole, one per task, because a row's number has to be known: vendor sheets
-    are small, and many of them make the job parallel.
-    """
-    whole = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), F.decode("content", encoding).alias("text"))
-    rows = whole.select("file", F.posexplode(F.split(F.regexp_replace("text", "^﻿", ""), r"\r?\n", -1)).alias("row_idx", "line"))
-    cells = F.transform(F.split(F.col("line"), r"\t" if separator == "\t" else rf"\Q{separator}\E", -1), lambda c: cell_text(F.trim(c)))
-    return rows.select("file", "row_idx", cells.alias("cells")).where(F.exists("cells", lambda c: c != ""))
+def read_grid(spark: SparkSession, path: str, separator: str | None = None) -> DataFrame:
+    """(file, row_idx, cells) of delimited text without a header, as ``delimited`` reads it; cells trimmed, blank rows dropped."""
+    rows = read_records(spark, path, separator).withColumn("cells", F.transform("cells", cell_text))
+    return rows.where(F.exists("cells", lambda c: c != ""))
 
 
 def cell_text(cell: Column) -> Column:
