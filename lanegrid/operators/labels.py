@@ -71,32 +71,34 @@ def dictionary(spark, labels: dict[str, str | None] = CHARGE_LABELS) -> DataFram
     return spark.createDataFrame(rows, "dim_order int, known string, value string").coalesce(1)
 
 
+def fold_step(s: Column, e: Column) -> Column:
+    """One event (kind) applied to a state (n, corrections, c, promoted)."""
+    kind = e["kind"]
+    c = F.coalesce(s["c"], F.when(kind == "passive", 0.4).otherwise(0.5))
+    n = s["n"] + F.when(kind.isin("confirm", "taught"), 1.0).when(kind == "passive", 0.5).otherwise(0.0)
+    new = (
+        F.when(kind == "confirm", F.least(F.lit(0.99), c + (1 - c) * CONFIRM_GAIN))
+        .when(kind == "passive", F.least(F.lit(0.95), c + (1 - c) * PASSIVE_GAIN))
+        .when(kind == "taught", F.least(F.lit(0.99), c + TAUGHT_GAIN))
+        .otherwise(F.when(s["c"].isNotNull(), c * DECAY))
+    )
+    reached = ((kind == "confirm") & (n >= PROMOTE_AT)) | ((kind == "passive") & (n >= PROMOTE_PASSIVE_AT))
+    promoted = s["promoted"] | (kind == "taught") | (reached & (new >= PROMOTE_CONFIDENCE))
+    corrections = s["corrections"] + F.when((kind == "wrong") & s["c"].isNotNull(), 1).otherwise(0)
+    return F.struct(n.alias("n"), corrections.alias("corrections"), new.alias("c"), promoted.alias("promoted"))
+
+
 def fold_events(events: DataFrame) -> DataFrame:
     """State of each key (type, raw, canonical) after its events in the order of ts and seq.
 
     Kinds: confirm, passive, wrong (the match was corrected away) and taught (it is the
     correction). Confidence moves by the fixed gains; three confirmations (six for passive ones)
-    at 0.8 promote the entry, and teaching promotes at once.
+    at 0.8 promote the entry, and teaching promotes at once. The events of a key are held in one
+    row; for keys without bound there is the stream, which folds a key's events as they pass.
     """
     start = F.struct(F.lit(0.0).alias("n"), F.lit(0).alias("corrections"), F.lit(None).cast("double").alias("c"), F.lit(False).alias("promoted"))
-
-    def step(s: Column, e: Column) -> Column:
-        kind = e["kind"]
-        c = F.coalesce(s["c"], F.when(kind == "passive", 0.4).otherwise(0.5))
-        n = s["n"] + F.when(kind.isin("confirm", "taught"), 1.0).when(kind == "passive", 0.5).otherwise(0.0)
-        new = (
-            F.when(kind == "confirm", F.least(F.lit(0.99), c + (1 - c) * CONFIRM_GAIN))
-            .when(kind == "passive", F.least(F.lit(0.95), c + (1 - c) * PASSIVE_GAIN))
-            .when(kind == "taught", F.least(F.lit(0.99), c + TAUGHT_GAIN))
-            .otherwise(F.when(s["c"].isNotNull(), c * DECAY))
-        )
-        reached = ((kind == "confirm") & (n >= PROMOTE_AT)) | ((kind == "passive") & (n >= PROMOTE_PASSIVE_AT))
-        promoted = s["promoted"] | (kind == "taught") | (reached & (new >= PROMOTE_CONFIDENCE))
-        corrections = s["corrections"] + F.when((kind == "wrong") & s["c"].isNotNull(), 1).otherwise(0)
-        return F.struct(n.alias("n"), corrections.alias("corrections"), new.alias("c"), promoted.alias("promoted"))
-
     ordered = F.array_sort(F.collect_list(F.struct("ts", "seq", "kind")))
-    state = events.groupBy("type", "raw", "canonical").agg(F.aggregate(ordered, start, step).alias("s"))
+    state = events.groupBy("type", "raw", "canonical").agg(F.aggregate(ordered, start, fold_step).alias("s"))
     return state.select("type", "raw", "canonical", F.col("s.n").alias("confirmations"), "s.corrections", F.col("s.c").alias("confidence"), F.col("s.promoted").alias("promoted")).where("confidence is not null")
 
 

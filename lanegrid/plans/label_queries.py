@@ -117,6 +117,7 @@ def learn_events(rows):
         F.element_at(kinds, (e % 7 + 1).cast("int")).alias("kind"),
         "ts",
         e.alias("seq"),
+        *[c for c in ("part",) if c in rows.columns],
     )
 
 
@@ -175,12 +176,16 @@ def topk_uncertain(spark, d):
 
 @query("stream_learning_state", "SELECT type, raw, canonical, confirmations, corrections, round(confidence, 9) AS confidence, promoted FROM state", learn=LEARN, state=STATE)
 def stream_learning_state(spark, d):
-    """The stream over the events table, run to its end; its last state per key."""
-    source = f"{d}/events.parquet"
-    schema = spark.read.parquet(source).schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(source if not source.endswith(".parquet") else f"{d}/event[s].parquet")
+    """Events land in files of ten days each, but every third event in the file after its own, and are folded as a stream, a file a batch, by their times."""
     root = Scratch(spark).root
-    learning.write_states(learn_events(stream), f"{root}/states", f"{root}/stream").awaitTermination()
+    day = F.floor(F.unix_timestamp(F.col("ts").cast("timestamp")) / 864000)
+    rows = table(spark, d, "events").withColumn("part", day + F.when(F.col("event_id") % 3 == 0, 1).otherwise(0))
+    events = learn_events(rows)
+    for part in sorted(r[0] for r in events.select("part").distinct().collect()):
+        events.where(F.col("part") == part).drop("part").coalesce(1).write.mode("append").parquet(f"{root}/landing/{part}")
+    schema = events.drop("part").schema
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(f"{root}/landing")
+    learning.write_states(stream, f"{root}/states", f"{root}/stream", late="21 days").awaitTermination()
     return learning.last_states(spark, f"{root}/states").withColumn("confidence", F.round("confidence", 9))
 
 
