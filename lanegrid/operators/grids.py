@@ -11,19 +11,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lanegrid.functions.charges import parse_number, parse_vf
-from lanegrid.functions.pincodes import is_oda, is_refused, parse_pincode_cell, zone_hint
-from lanegrid.operators import labels
+from lanegrid.operators import labels, zone_sheets
 from lanegrid.operators.coverage import label_zones
+from lanegrid.operators.pin_sheets import pincode_list
 from lanegrid.operators.rates import money
+from lanegrid.operators.sheet_cells import KEY, cell, first_row, header_name, is_zone, position
+from lanegrid.operators.zone_sheets import long_matrix, wide_matrix
 from lanegrid.plans import dims
 
-KEY = ["vendor_id", "sheet"]
+__all__ = ["KEY", "long_matrix", "pincode_list", "wide_matrix"]
 
 # Fixed values ---------------------------------------------------------------------------------
-FROM_NAMES = ["from", "from zone", "origin", "origin zone", "source", "source zone", "o zone"]
-TO_NAMES = ["to", "to zone", "destination", "dest", "destination zone", "dest zone", "d zone"]
-RATE_NAMES = ["rate", "rate per kg", "rate per kg rs", "rate rs", "price", "price per kg", "freight rate", "rs per kg"]
-PIN_NAMES = ["pincode", "pin", "pin code", "postal code", "zip", "zipcode"]
 KV_WORDS = r"(?i)\b(?:dwb|docket|minimum|min|cod|dacc|fod|ngt|volumetric|fuel|handling|rov|fov|oda|insurance|topay|prepaid)\b"
 AIR = r"(?i)\bby\s*air\b|\bair\s*(?:freight|mode|rates?)\b"
 ROAD = r"(?i)\bby\s*(?:road|surface|ground)\b|\bsurface\s*(?:freight|mode|rates?)\b"
@@ -54,79 +52,10 @@ SHEET_CAPS = {"docketCharges": 2000, "daccCharges": 10000, "codCharges": 5000, "
 # ----------------------------------------------------------------------------------------------
 
 
-def header_name(cell: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(cell), "[-_ ]+", " "))
-
-
-def position(cells: Column, names: list[str]) -> Column:
-    """Index of the first cell with one of the names, or null."""
-    return F.nullif(F.array_position(F.transform(cells, lambda c: header_name(c).isin(names)), True), F.lit(0)) - 1
-
-
-def cell(cells: Column, at: Column) -> Column:
-    return F.trim(F.get(cells, at.cast("int")))
-
-
-def first_row(rows: DataFrame, condition: Column, within: int, keep: list[str]) -> DataFrame:
-    """(KEY, header_idx, keep): the first row of each sheet, among the first ``within``, where the condition holds."""
-    hits = rows.where((F.col("row_idx") < within) & condition)
-    return hits.groupBy(*KEY).agg(F.min("row_idx").alias("header_idx"), *[F.min_by(c, "row_idx").alias(c) for c in keep])
-
-
-def long_matrix(grid: DataFrame, least_origins: int = 3) -> DataFrame:
-    """Rates of sheets with from, to and rate columns: labels are expanded, later rows overwrite."""
-    named = grid.withColumns({n: position(F.col("cells"), names) for n, names in (("f", FROM_NAMES), ("t", TO_NAMES), ("r", RATE_NAMES))})
-    found = F.col("f").isNotNull() & F.col("t").isNotNull() & F.col("r").isNotNull() & (F.col("f") != F.col("t")) & ~F.get("cells", F.lit(0)).startswith("#")
-    head = first_row(named, found, 20, ["f", "t", "r"])
-    rows = grid.join(head, KEY).where("row_idx > header_idx")
-    rows = rows.select(*KEY, "row_idx", cell(F.col("cells"), F.col("f")).alias("from"), cell(F.col("cells"), F.col("t")).alias("to"), parse_number(cell(F.col("cells"), F.col("r"))).alias("rate")).where("rate > 0")
-    rows = label_zones(rows, "from").withColumn("origin", F.explode("zones")).drop("zones")
-    rows = label_zones(rows, "to").withColumn("dest", F.explode("zones"))
-    cells = rows.groupBy(*KEY, "origin", "dest").agg(F.max_by("rate", "row_idx").alias("rate"))
-    size = F.size(F.collect_set("origin").over(Window.partitionBy(*KEY)))
-    return cells.withColumn("_n", size).where(F.col("_n") >= least_origins).drop("_n")
-
-
-def is_zone(c: Column) -> Column:
-    return F.upper(F.trim(c)).isin(dims.ZONES + list(dims.LABEL_ZONES))
-
-
 def wide_header(grid: DataFrame) -> DataFrame:
-    """(KEY, header_idx, first_col, head): the last row of the first cluster (gaps of 3 at most) of rows with two or more zone names."""
-    flags = F.transform("cells", lambda c: is_zone(c))
-    hits = grid.where(F.col("row_idx") < 35).withColumn("z", F.size(F.filter(flags, lambda x: x))).where("z >= 2")
-    by = Window.partitionBy(*KEY).orderBy("row_idx")
-    gap = F.coalesce((F.col("row_idx") - F.lag("row_idx").over(by) > 3).cast("int"), F.lit(0))
-    cluster = hits.withColumn("_gap", gap).withColumn("_cluster", F.sum("_gap").over(by)).where("_cluster = 0")
-    last = cluster.where("z >= 3").groupBy(*KEY).agg(F.max("row_idx").alias("header_idx"), F.max_by("cells", "row_idx").alias("head"))
-    return last.withColumn("first_col", F.array_position(F.transform("head", lambda c: is_zone(c)), True) - 1)
-
-
-def wide_matrix(grid: DataFrame, least_origins: int = 3) -> DataFrame:
-    """Rates of sheets with zones across and down: the origin stands left of the first zone column; close samples take the highest, others the mean."""
-    head = wide_header(grid)
-    rows = grid.join(head, KEY).where("row_idx > header_idx")
-    long = rows.select(*KEY, cell(F.col("cells"), F.col("first_col") - 1).alias("from"), F.posexplode("cells").alias("col", "value"), "head", "first_col").where("col >= first_col")
-    long = long.select(*KEY, "from", F.get("head", F.col("col")).alias("to"), parse_number(F.col("value")).alias("rate")).where("rate > 0")
-    long = label_zones(long, "from").withColumn("origin", F.explode("zones")).drop("zones")
-    long = label_zones(long, "to").withColumn("dest", F.explode("zones"))
-    close = F.max("rate") - F.min("rate") < 3
-    cells = long.groupBy(*KEY, "origin", "dest").agg(money(F.when(close, F.max("rate")).otherwise(F.avg("rate"))).alias("rate"))
-    size = F.size(F.collect_set("origin").over(Window.partitionBy(*KEY)))
-    return cells.withColumn("_n", size).where(F.col("_n") >= least_origins).drop("_n")
-
-
-def pincode_list(grid: DataFrame, least: int = 3) -> DataFrame:
-    """(KEY, pincode, zone_label, oda) of sheets with a pincode column: flags are read, refused rows go unless they are marked as remote."""
-    roles = {"pin": PIN_NAMES, "zone": ["zone"], "state": ["state"], "oda": ["oda", "oda status"], "delivery": ["delivery", "delivery status", "status"]}
-    named = grid.withColumns({f"_{n}": position(F.col("cells"), names) for n, names in roles.items()})
-    head = first_row(named, F.col("_pin").isNotNull(), 20, [f"_{n}" for n in roles])
-    rows = grid.join(head, KEY).where("row_idx > header_idx")
-    get = lambda n: cell(F.col("cells"), F.col(f"_{n}"))
-    oda = is_oda(get("oda"))
-    zone = F.coalesce(zone_hint(get("zone"), get("state")), F.when(F.col("_zone").isNull(), zone_hint(None, get("state"))))
-    out = rows.select(*KEY, parse_pincode_cell(get("pin")).alias("pincode"), zone.alias("zone_label"), oda.alias("oda"), is_refused(get("delivery")).alias("_no")).where("pincode is not null and (oda or not _no)")
-    return out.withColumn("_n", F.count("*").over(Window.partitionBy(*KEY))).where(F.col("_n") >= least).drop("_n", "_no")
+    """(KEY, header_idx, first_col, head): a matrix's header whose zone columns are named as in the table."""
+    head = zone_sheets.wide_header(grid).where(F.size(F.filter("head", lambda c: is_zone(c))) >= 3)
+    return head.withColumn("first_col", F.array_position(F.transform("head", lambda c: is_zone(c)), True) - 1)
 
 
 def hub_key(grid: DataFrame, least: int = 3) -> DataFrame:

@@ -229,14 +229,7 @@ def match(labels: DataFrame, known: DataFrame, limits: Limits = CHARGES, learned
     asked = scratch.save(asked.join(exact, "n", "left").join(plain, "plain", "left"), "asked")
     open_ = asked.where("taught IS NULL AND same IS NULL AND bare IS NULL AND n <> ''").select("n").distinct()
     open_ = scratch.save(open_, "open")
-    layers = [
-        inside(open_, names, limits.inside).select("n", F.lit(3).alias("layer"), "known", F.lit(0.85).alias("confidence")),
-        by_words(open_, names, limits.common).select("n", F.lit(4).alias("layer"), "known", F.lit(limits.by_words).alias("confidence")),
-    ]
-    found = scratch.save(layers[0].unionByName(layers[1]).groupBy("n").agg(F.min(F.struct("layer", "known", "confidence")).alias("b")).select("n", "b.*"), "near")
-    left = open_.join(found.select("n"), "n", "left_anti")
-    spelt = by_spelling(left, names, limits).select("n", F.lit(5).alias("layer"), "known", "confidence")
-    found = found.unionByName(spelt)
+    found = _near(open_, names, limits, scratch)
     at = F.when(F.col("taught").isNotNull(), 0).when(F.col("same").isNotNull(), 1).when(F.col("bare").isNotNull(), 2).otherwise(F.col("layer"))
     sure = F.get(F.array(F.lit(1.0), F.lit(1.0), F.lit(0.95)), at)
     method = F.get(F.array(*map(F.lit, ["learned", "exact", "normalised", "substring", "token", "fuzzy"])), at)
@@ -246,6 +239,20 @@ def match(labels: DataFrame, known: DataFrame, limits: Limits = CHARGES, learned
     return rows.select("label", F.coalesce("taught", "value").alias("value"), "confidence", "method").where("value IS NOT NULL")
 
 
+def _near(open_: DataFrame, names: DataFrame, limits: Limits, scratch: Scratch) -> DataFrame:
+    """(n, layer, known, confidence) of labels that no name equals, by the layers of inside, words and spelling; no work if there are none."""
+    if open_.isEmpty():
+        return open_.select("n", F.lit(None).cast("int").alias("layer"), F.lit(None).cast("string").alias("known"), F.lit(None).cast("double").alias("confidence"))
+    layers = [
+        inside(open_, names, limits.inside).select("n", F.lit(3).alias("layer"), "known", F.lit(0.85).alias("confidence")),
+        by_words(open_, names, limits.common).select("n", F.lit(4).alias("layer"), "known", F.lit(limits.by_words).alias("confidence")),
+    ]
+    found = scratch.save(layers[0].unionByName(layers[1]).groupBy("n").agg(F.min(F.struct("layer", "known", "confidence")).alias("b")).select("n", "b.*"), "near")
+    left = open_.join(found.select("n"), "n", "left_anti")
+    spelt = by_spelling(left, names, limits).select("n", F.lit(5).alias("layer"), "known", "confidence")
+    return found.unionByName(spelt)
+
+
 def _plain(text: str) -> str:
     return " ".join("".join(c if c in _LETTERS else " " for c in text.lower()).split())
 
@@ -263,6 +270,8 @@ def match_zones(labels: DataFrame, least: float = ZONES.least, learned: DataFram
     spark = labels.sparkSession
     scratch = scratch or Scratch(spark)
     asked = scratch.save(labels.select("label").where(F.trim("label") != "").distinct(), "zone_labels")
+    if asked.isEmpty():
+        return asked.select("label", F.lit(None).cast("array<string>").alias("value"), F.lit(None).cast("double").alias("confidence"), F.lit(None).cast("string").alias("method"))
     code = F.upper(F.trim("label"))
     canonical = asked.where(code.isin(dims.ZONES)).select("label", F.array(code).alias("value"), F.lit(1.0).alias("confidence"), F.lit("exact").alias("method"))
     others = asked.where(~code.isin(dims.ZONES))

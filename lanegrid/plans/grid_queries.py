@@ -62,7 +62,7 @@ def pin_sheet(spark, d):
     oda = F.when(F.col("oda"), "Yes").otherwise("")
     delivery = F.when(F.col("pincode") % 11 == 0, "NS").otherwise("Y")
     cells = [F.col("pincode"), F.col("state"), F.when(F.col("pincode") % 9 == 0, "N/A").otherwise(F.col("claimed_zone")), oda, delivery]
-    return sheet(rows, "pincodes", ["pincode", "claimed_zone"], cells, [["Serviceable pincodes"], ["Pincode", "State", "Zone", "ODA", "Delivery Status"]])
+    return sheet(rows, "pincodes", ["pincode", "claimed_zone"], cells, [["Places that we serve, by pincode"], ["Pincode", "State", "Zone", "ODA", "Delivery Status"]])
 
 
 #: Sheets with fewer than three origins are no matrix.
