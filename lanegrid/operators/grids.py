@@ -5,14 +5,17 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lanegrid.functions.charges import parse_number, parse_vf
 from lanegrid.operators import labels, zone_sheets
 from lanegrid.operators.coverage import label_zones
+from lanegrid.operators.label_index import COMPANY, plain_label
 from lanegrid.operators.pin_sheets import pincode_list
 from lanegrid.operators.rates import money
 from lanegrid.operators.sheet_cells import KEY, cell, first_row, header_name, is_zone, position
@@ -37,11 +40,24 @@ RATE_UNITS = r"(?i)(?:rs\.?\s*|per\s*kg|/\s*kg)"
 STATION_RATES = [(6, ["out card"], []), (6, ["out_card"], []), (5, ["base", "rate"], []), (4, ["freight", "rate"], []), (3, ["surface"], []), (2, ["rate"], ["express", "topay", "to pay"]), (1, ["rate"], [])]
 DEFAULT_STATION = "OKL"
 COMPANY_FIELDS = {
-    "company": "name", "company name": "name", "transporter": "name", "transporter name": "name", "name": "name",
+    "company": "name", "company name": "name", "transporter": "name", "transporter name": "name", "carrier": "name", "carrier name": "name",
+    "vendor": "name", "vendor name": "name", "name": "name", "organisation": "name", "organization": "name", "firm": "name", "firm name": "name",
+    "party name": "name", "party": "name",
+    "gst": "gstNo", "gst no": "gstNo", "gst no.": "gstNo", "gst number": "gstNo", "gstin": "gstNo", "gst registration": "gstNo", "gst reg": "gstNo",
+    "gst registration no": "gstNo", "gst id": "gstNo", "gstn": "gstNo",
+    "pan": "panNo", "pan no": "panNo", "pan no.": "panNo", "pan number": "panNo", "pan card": "panNo", "permanent account number": "panNo",
+    "cin": "cin", "cin no": "cin", "company identification number": "cin",
+    "phone": "phone", "phone no": "phone", "phone number": "phone", "mobile": "phone", "mobile no": "phone", "mobile number": "phone", "contact": "phone",
+    "contact no": "phone", "contact number": "phone", "tel": "phone", "telephone": "phone", "landline": "phone",
+    "email": "email", "email id": "email", "email address": "email", "e-mail": "email", "e mail": "email",
+    "address": "address", "registered address": "address", "office address": "address", "branch address": "address", "head office": "address", "hq": "address",
+    "city": "city", "town": "city", "district": "city", "origin city": "city", "origin": "city", "hub city": "city", "hub": "city",
+    "state": "state", "state name": "state", "province": "state",
+    "pincode": "contact_pincode", "pin": "contact_pincode", "zip": "contact_pincode", "zip code": "contact_pincode", "postal code": "contact_pincode",
+    "website": "website", "url": "website", "web": "website",
+    "mode": "transportMode", "transport mode": "transportMode", "service type": "serviceType", "service": "serviceType", "category": "serviceType", "type": "serviceType",
+    "rating": "rating", "score": "rating", "approval": "approvalStatus", "approval status": "approvalStatus", "status": "status",
     "vendor code": "vendorCode", "vendor_code": "vendorCode", "vendor id": "vendorCode", "vendor no": "vendorCode", "carrier code": "vendorCode",
-    "origin city": "city", "origin": "city", "hub city": "city", "hub": "city", "city": "city", "state": "state", "pincode": "contact_pincode", "address": "address",
-    "gst": "gstNo", "gst no": "gstNo", "gst number": "gstNo", "gstin": "gstNo", "pan": "panNo", "pan no": "panNo",
-    "phone": "phone", "mobile": "phone", "contact": "phone", "email": "email", "mode": "transportMode", "transport mode": "transportMode", "service type": "serviceType",
 }
 CHARGE_WORDS = r"(?i)\b(rate|charge|freight|surcharge|oda|fuel|gst|tax|per\s*kg|minimum|slab|basic|zone|weight|transit|pickup|delivery|docket|consignment|insurance|rov|fov)\b"
 PLACEHOLDER = r"(?i)^[-–—na/]+$"
@@ -339,7 +355,7 @@ def company_rows(grid: DataFrame) -> DataFrame:
 
     rows = grid.where("size(cells) >= 2").select(*KEY, "row_idx", F.lower(cell(F.col("cells"), F.lit(0))).alias("label"), cell(F.col("cells"), F.lit(1)).alias("value"))
     rows = rows.where(~F.lower("value").isin(NO_VALUE)).withColumn("field", known[F.col("label")])
-    close = labels.match(rows.where("field is null and label <> ''"), labels.dictionary(grid.sparkSession, COMPANY_FIELDS), 0.7).where("confidence >= 0.7").select("label", F.col("value").alias("_close"))
+    close = labels.match(rows.where("field is null and label <> ''"), labels.dictionary(grid.sparkSession, {plain_label(k): v for k, v in COMPANY_FIELDS.items()}), replace(COMPANY, least=0.7)).where("confidence >= 0.7").select("label", F.col("value").alias("_close"))
     rows = rows.join(close, "label", "left").withColumn("field", F.coalesce("field", "_close")).where("field is not null")
     gst = F.upper(F.regexp_replace("value", r"\s+", ""))
     rows = rows.withColumn("value", F.when(F.col("field") != "gstNo", F.col("value")).when(gst.rlike(r"^\d{2}[A-Z]{5}\d{4}[A-Z]\d[A-Z0-9]{2}$"), gst)).where("value is not null")
@@ -422,16 +438,28 @@ def words_to_grid(words: DataFrame, by: list[str], row_height: float = 8.0, gap:
 def ocr_words_to_grid(words: DataFrame, by: list[str], least_confidence: float = 30.0) -> DataFrame:
     """(by, row, cells): recognised words (top, left, right, height, confidence, text) of confidence over a limit.
 
-    A new row starts where the top is further below the word before than 0.6 of the page's median
-    height (4 at least), a new cell after a gap of more than two median widths (8 at least). Rows are
-    chained from word to word. Pages with fewer than two rows or two cells have no grid.
+    Words are taken from the top. One that lies further below its row's first word than 0.6 of the page's median height
+    (4 at least) begins a new row, so that a row of a slanted page ends where it has drifted that far; a new cell
+    begins after a gap of more than two median widths (8 at least). Pages with fewer than two rows or two cells
+    have no grid. The tops of a page are held in one task.
     """
     sure = words.where(F.col("confidence") > least_confidence)
     sizes = sure.groupBy(*by).agg(F.median("height").alias("_h"), F.median(F.col("right") - F.col("left")).alias("_w"))
     rows = sure.join(sizes, by)
-    down = Window.partitionBy(*by).orderBy("top", "left", "right", "text")
-    fresh = F.coalesce((F.col("top") - F.lag("top").over(down) > F.greatest(F.lit(4.0), 0.6 * F.col("_h"))).cast("int"), F.lit(0))
-    rows = rows.withColumn("_f", fresh).withColumn("row", F.sum("_f").over(down.rowsBetween(Window.unboundedPreceding, 0)))
+    tops = rows.select(*by, "top", F.greatest(F.lit(4.0), 0.6 * F.col("_h")).alias("within")).distinct()
+
+    def anchored(page: pd.DataFrame) -> pd.DataFrame:
+        page = page.sort_values("top")
+        number, first, out = -1, None, []
+        for top, within in zip(page["top"], page["within"], strict=True):
+            if first is None or top - first > within:
+                number, first = number + 1, top
+            out.append(number)
+        return page[[*by, "top"]].assign(row=out)
+
+    schema = ", ".join([*(f"`{c}` {tops.schema[c].dataType.simpleString()}" for c in by), "top double, row long"])
+    numbered = tops.withColumn("top", F.col("top").cast("double")).groupBy(*by).applyInPandas(anchored, schema)
+    rows = rows.withColumn("top", F.col("top").cast("double")).join(numbered, [*by, "top"])
     across = Window.partitionBy(*by, "row").orderBy("left", "right", "top", "text")
     split = F.coalesce((F.col("left") - F.lag("right").over(across) > F.greatest(F.lit(8.0), 2 * F.col("_w"))).cast("int"), F.lit(0))
     rows = rows.withColumn("_s", split).withColumn("_cell", F.sum("_s").over(across.rowsBetween(Window.unboundedPreceding, 0)))

@@ -253,7 +253,8 @@ def _near(open_: DataFrame, names: DataFrame, limits: Limits, scratch: Scratch)
     return found.unionByName(spelt)
 
 
-def _plain(text: str) -> str:
+def plain_label(text: str) -> str:
+    """``normalise`` of a Python text."""
     return " ".join("".join(c if c in _LETTERS else " " for c in text.lower()).split())
 
 
@@ -261,7 +262,7 @@ def zone_names(spark) -> DataFrame:
     """The zone labels as a dictionary: a name keeps its first place and its last meaning."""
     names: dict[str, list[str]] = {}
     for label, zones in dims.LABEL_ZONES.items():
-        names[_plain(label)] = zones
+        names[plain_label(label)] = zones
     return spark.createDataFrame([(i, k, v) for i, (k, v) in enumerate(names.items())], "dim_order int, known string, value array<string>").coalesce(1)
 
 
@@ -277,7 +278,7 @@ def match_zones(labels: DataFrame, least: float = ZONES.least, learned: DataFram
     others = asked.where(~code.isin(dims.ZONES))
     near = scratch.save(match(others, zone_names(spark), replace(ZONES, least=least), learned, scratch), "zone_matches")
     unknown = others.join(near.select("label"), "label", "left_anti").withColumn("n", normalise(F.col("label")))
-    states = [(_plain(s), z) for s, z in dims.STATE_ZONES.items()]
+    states = [(plain_label(s), z) for s, z in dims.STATE_ZONES.items()]
     ordered = sorted(states, key=lambda x: -len(x[0]))
     hit = reduce(lambda w, s: w.when(F.contains("n", F.lit(s[0])), F.struct(F.array(*map(F.lit, s[1])).alias("value"), F.lit(min(GEO_MOST, GEO_BASE + GEO_PER_LETTER * len(s[0]))).alias("confidence"))), ordered[1:], F.when(F.contains("n", F.lit(ordered[0][0])), F.struct(F.array(*map(F.lit, ordered[0][1])).alias("value"), F.lit(min(GEO_MOST, GEO_BASE + GEO_PER_LETTER * len(ordered[0][0]))).alias("confidence"))))
     geo = unknown.withColumn("g", hit).where("g IS NOT NULL").select("label", "g.*", F.lit("geo").alias("method"))

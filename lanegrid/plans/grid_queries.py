@@ -399,9 +399,12 @@ OCR = """SELECT CAST(l_orderkey % 200 AS INT) AS page, CAST(l_linenumber * 9 + l
 @query(
     "ocr_words_to_grid",
     """SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY page) AS n_rows, max(n_cells) OVER (PARTITION BY page) AS most FROM (SELECT page, row, CAST(count(DISTINCT cell) AS INT) AS n_cells, string_agg(text, ' ' ORDER BY l, r, top, text) AS line FROM (SELECT *, sum(s) OVER (PARTITION BY page, row ORDER BY l, r, top, text ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cell FROM
-       (SELECT *, CASE WHEN l - lag(r) OVER (PARTITION BY page, row ORDER BY l, r, top, text) > greatest(8, 2 * w) THEN 1 ELSE 0 END AS s FROM (SELECT *, sum(f) OVER (PARTITION BY page ORDER BY top, l, r, text ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS row FROM
-       (SELECT *, CASE WHEN top - lag(top) OVER (PARTITION BY page ORDER BY top, l, r, text) > greatest(4, 0.6 * mh) THEN 1 ELSE 0 END AS f FROM ocr JOIN (SELECT page, median(h) AS mh, median(r - l) AS w FROM ocr GROUP BY page) USING (page))))) GROUP BY page, row)) WHERE n_rows >= 2 AND most >= 2""".replace("SELECT * FROM (SELECT *, count", "SELECT page, CAST(row AS BIGINT) AS row, n_cells, line FROM (SELECT *, count", 1),
+       (SELECT *, CASE WHEN l - lag(r) OVER (PARTITION BY page, row ORDER BY l, r, top, text) > greatest(8, 2 * w) THEN 1 ELSE 0 END AS s FROM
+       (SELECT o.*, w, (SELECT count(*) FROM anchors a WHERE a.page = o.page AND a.top <= o.top) - 1 AS row FROM ocr o JOIN ocr_sizes USING (page)))) GROUP BY page, row)) WHERE n_rows >= 2 AND most >= 2""".replace("SELECT * FROM (SELECT *, count", "SELECT page, CAST(row AS BIGINT) AS row, n_cells, line FROM (SELECT *, count", 1),
     ocr=OCR,
+    ocr_sizes="SELECT page, median(h) AS mh, median(r - l) AS w FROM ocr GROUP BY page",
+    anchors="""SELECT * FROM (WITH RECURSIVE first_words AS (SELECT page, min(top) AS top FROM ocr GROUP BY page
+        UNION ALL SELECT f.page, min(o.top) FROM first_words f JOIN ocr o ON o.page = f.page JOIN ocr_sizes s ON s.page = f.page AND o.top - f.top > greatest(4, 0.6 * s.mh) GROUP BY f.page, f.top) SELECT * FROM first_words)""",
 )
 def ocr_words_to_grid(spark, d):
     left = (F.col("l_partkey") % 60 * 10).cast("double")

@@ -101,7 +101,7 @@ def test_zones(spark):
     assert got["long haul route via Andhra Pradesh and then onwards"] == (["E2", "S2", "S3"], 0.88, "geo") and got["goa xyzzy route"] == (["W2"], 0.66, "geo")
     assert got["Westren India"][0] == ["W1", "W2"] and got["Westren India"][2] == "fuzzy"
     assert "zzz qqq" not in got and got["North-East"][0] == ["NE1", "NE2"]
-    names = [(k, "x") for k in dict.fromkeys(ix._plain(x) for x in dims.LABEL_ZONES)]
+    names = [(k, "x") for k in dict.fromkeys(ix.plain_label(x) for x in dims.LABEL_ZONES)]
     assert ladder("Westren India", names, ix.ZONES)[1] == got["Westren India"][1]
 
 

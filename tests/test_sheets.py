@@ -90,3 +90,18 @@ def test_pincode_lists_without_header(spark):
     assert [g[1] for g in got if g[0] == 2] == list(range(600001, 600012))
     assert [g for g in got if g[0] == 3] == [(3, p, None, True) for p in (500001, 500002, 500003)]
     assert not [g for g in got if g[0] > 3]
+
+
+def test_rows_of_a_slanted_page(spark):
+    """Words drift down by 3 each; a row ends where one lies over 6 below its first word, not where it leaves the word before."""
+    schema = "page int, top double, left double, right double, height double, confidence double, text string"
+    words = [(1, 3.0 * i, 60.0 * i, 60.0 * i + 10, 10.0, 90.0, f"w{i}") for i in range(7)] + [(1, 0.0, 500.0, 510.0, 10.0, 10.0, "unsure")]
+    got = {r["row"]: r["cells"] for r in grids.ocr_words_to_grid(spark.createDataFrame(words, schema), ["page"]).collect()}
+    assert got == {0: ["w0", "w1", "w2"], 1: ["w3", "w4", "w5"], 2: ["w6"]}
+
+
+def test_company_fields(spark):
+    """Names of the dictionary, spelt as in sheets, and one that is only like one of them."""
+    rows = [["Carrier Name", "Alpha Cargo"], ["E-Mail", "x@alpha.example"], ["CIN No", "U123"], ["Registered Adress", "Road 5"], ["Province", "Goa"]]
+    got = {r["field"]: r["value"] for r in grids.company_rows(grid(spark, {(1, "Company"): rows})).collect()}
+    assert got["name"] == "Alpha Cargo" and got["email"] == "x@alpha.example" and got["cin"] == "U123" and got["state"] == "Goa" and got["address"] == "Road 5"
