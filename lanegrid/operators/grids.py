@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lanegrid.functions.charges import parse_number, parse_vf
+from lanegrid.functions.pincodes import parse_pincode_cell
 from lanegrid.operators import labels, zone_sheets
 from lanegrid.operators.coverage import label_zones
 from lanegrid.operators.label_index import COMPANY, plain_label
