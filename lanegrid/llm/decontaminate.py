@@ -9,6 +9,9 @@ compared word by word. Items of fewer than 10 words are one window and are match
 Only fingerprints (id, text hash, place, hash) are joined; the benchmark's windows are broadcast
 if they are small enough, else both sides are shuffled with salted keys. Words are compared in a
 second pass over the documents that have a candidate, which a bitmap of fixed size picks out.
+A fingerprint that over MOST_SHARED windows have (a common phrase) is not paired with them: its places
+bring the WINDOW starts that they can stand for, and there the document's own 10 words are joined with
+the windows. Candidates thus grow with the places, not with places times windows.
 
 Defined results: words are lower-cased in A-Z only; a null or empty text has no words and no
 hit; an item without words is ignored; an item without an id marks words but is not listed;
@@ -32,6 +35,7 @@ from lanegrid.runtime import Scratch
 SPAN = 10
 GRAM = 5
 WINDOW = SPAN - GRAM + 1
+MOST_SHARED = 16
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -127,7 +131,13 @@ def find_hits(docs: DataFrame, items: DataFrame, scratch: Scratch, text: str = "
     sizes = sorted(r["size"] for r in windows.where(F.col("size") < SPAN).select("size").distinct().collect())  # nine at most
     distinct = windows.select("size", F.col("key").alias("fingerprint"), "offset", "content").distinct()
     bytes_of = F.octet_length("content") + 40
-    found = join_counted(marks(docs, sizes, text, key), distinct, ["size", "fingerprint"], spread="at", row_bytes=bytes_of)
+    # one row per place and window while few windows share a fingerprint; one row per place, with no window, where many do
+    mark = ["size", "fingerprint"]
+    shared = distinct.groupBy(*mark).agg((F.count("*") > MOST_SHARED).alias("many"))
+    few = distinct.join(shared.where("NOT many").drop("many"), mark)
+    many = shared.where("many").select(*mark, F.explode(F.sequence(F.lit(0), F.lit(WINDOW - 1))).alias("offset"), F.lit(None).cast("string").alias("content"))
+    sought = scratch.save(few.select(*mark, "offset", "content").unionByName(many), "sought")
+    found = join_counted(marks(docs, sizes, text, key), sought, mark, spread="at", row_bytes=F.coalesce(bytes_of, F.lit(40)))
     found = found.withColumn("start", F.col("at") - F.col("offset")).where("start >= 0").select(key, "text_hash", "start", "size", "content")
     found = scratch.save(found.groupBy(key, "text_hash").agg(F.collect_set(F.struct("start", "size", "content")).alias("candidates")), "candidates")
     found = found.withColumnsRenamed({key: "_id", "text_hash": "_hash"})
@@ -135,9 +145,12 @@ def find_hits(docs: DataFrame, items: DataFrame, scratch: Scratch, text: str = "
     on = own["_key"].eqNullSafe(found["_id"]) & (F.xxhash64(own["_text"]) == found["_hash"])
     read = maybe_listed(own, ["_key", F.xxhash64("_text")], found, ["_id", "_hash"]).join(found.hint("merge"), on)
     read = read.select(F.col("_id").alias(key), F.col("_hash").alias("text_hash"), words(F.col("_text")).alias("words"), "candidates")
-    same = lambda c: F.array_join(F.slice("words", c["start"] + 1, c["size"]), " ") == c["content"]
+    own_words = lambda c: F.array_join(F.slice("words", c["start"] + 1, c["size"]), " ")
     inside = lambda c: c["start"] + c["size"] <= F.size("words")
-    hits = read.select(key, "text_hash", F.filter("candidates", lambda c: inside(c) & same(c)).alias("hits")).select(key, "text_hash", F.inline_outer("hits")).where("start is not null")
+    met = F.filter("candidates", lambda c: inside(c) & (c["content"].isNull() | (own_words(c) == c["content"])))
+    # places of shared fingerprints bring their own words, which the join with the items' windows then tries
+    met = F.transform(met, lambda c: F.struct(c["start"].alias("start"), c["size"].alias("size"), F.coalesce(c["content"], own_words(c)).alias("content")))
+    hits = read.select(key, "text_hash", met.alias("hits")).select(key, "text_hash", F.inline_outer("hits")).where("start is not null")
     hits = hits.withColumn("stop", F.col("start") + F.col("size"))
     listed = windows.select("item_id", "content", "size")
     return join_counted(hits, listed, ["content", "size"], spread="start", row_bytes=bytes_of).drop("content", "size")
