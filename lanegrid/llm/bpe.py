@@ -27,7 +27,7 @@ import zlib
 from functools import cache
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lanegrid.llm.sizes import free
@@ -36,6 +36,8 @@ from lanegrid.runtime import Scratch
 SHORT = 64
 CACHED_WORDS = 200_000
 _SHIFT = 20
+_MASK = (1 << _SHIFT) - 1
+_NO_ROW = -(1 << 22)
 
 
 def load(path: str) -> dict[bytes, int]:
@@ -67,6 +69,32 @@ def displaced(keys: list[int], values: list[int]) -> tuple[list[int], list[int]]
     raise ValueError("no displacements found: two keys are equal")
 
 
+def shared_rows(entries: dict[int, dict[int, int]], rows: int) -> tuple[list[int], list[int]]:
+    """Starts s and slots t with t[s[a] + b] = a << 20 | value; any other slot names another row or is -1.
+
+    The rows of a sparse table are laid over each other, larger ones first, each where its slots are free; the search
+    goes on from the last row's place, and starts anew when rows get small enough to fill holes.
+    """
+    taken = np.zeros(1 << _SHIFT + 2, bool)
+    starts, filled, size, low = [_NO_ROW] * rows, {}, 0, 0
+    for a, row in sorted(entries.items(), key=lambda x: -len(x[1])):
+        at = np.array(sorted(row))
+        low = low if len(at) == size or len(at) > 4 else 0
+        size, first = len(at), low - int(at[0])
+        while True:
+            tried = np.arange(first, first + 256)
+            clear = ~taken[tried[:, None] + at].any(1)
+            if clear.any():
+                break
+            first += 256
+        start = int(tried[clear.argmax()])
+        low = start + int(at[0])
+        starts[a] = start
+        taken[start + at] = True
+        filled.update((start + b, a << _SHIFT | value) for b, value in row.items())
+    return starts, [filled.get(i, -1) for i in range(max(filled, default=-1) + 1)]
+
+
 def _word_key(piece: bytes) -> int:
     return zlib.crc32(piece) << 9 | min(len(piece), 511)
 
@@ -77,13 +105,13 @@ def _tables(path: str) -> tuple[str, str]:
     ranks = load(path)
     if max(ranks.values()) >= 1 << _SHIFT or any(bytes([b]) not in ranks for b in range(256)):
         raise ValueError("a vocabulary needs all single bytes, and ids under 2 ** 20")
-    pairs = {}
+    pairs: dict[int, dict[int, int]] = {}
     for piece, rank in ranks.items():
         for i in range(1, len(piece)):
             a, b = ranks.get(piece[:i]), ranks.get(piece[i:])
             if a is not None and b is not None:
-                pairs[a << _SHIFT | b] = rank
-    pair_d, pair_t = displaced(list(pairs), list(pairs.values()))
+                pairs.setdefault(a, {})[b] = rank
+    pair_s, pair_t = shared_rows(pairs, max(ranks.values()) + 1)
     words = {_word_key(piece): rank for piece, rank in ranks.items()}
     if len(words) < len(ranks):
         raise ValueError("two pieces have one checksum and length")
@@ -97,10 +125,10 @@ def _tables(path: str) -> tuple[str, str]:
         pieces[rank] = piece
     text = lambda b: base64.b64encode(b).decode()
     tables = {
-        "pair_d": pair_d, "pair_t": pair_t, "word_d": word_d, "word_t": [t & (1 << _SHIFT) - 1 if t >= 0 else -1 for t in word_t], "byte_t": bytes_t,
+        "pair_s": pair_s, "pair_t": pair_t, "word_d": word_d, "word_t": [t & _MASK if t >= 0 else -1 for t in word_t], "byte_t": bytes_t,
         "pieces": list(map(text, pieces)),
     }
-    schema = "struct<pair_d:array<bigint>,pair_t:array<bigint>,word_d:array<bigint>,word_t:array<int>,byte_t:array<int>,pieces:array<binary>>"
+    schema = "struct<pair_s:array<int>,pair_t:array<bigint>,word_d:array<bigint>,word_t:array<int>,byte_t:array<int>,pieces:array<binary>>"
     return json.dumps(tables, separators=(",", ":")), schema
 
 
@@ -134,9 +162,8 @@ class Codec:
 
     def _rank(self, t: Column, a: Column, b: Column) -> Column:
         """The id of the piece that the pieces ``a`` and ``b`` form, null if none."""
-        key = F.shiftleft(a.cast("long"), _SHIFT) + b
-        entry = _slot(key, t["pair_d"], t["pair_t"], self._n["pair_d"], self._n["pair_t"])
-        return F.when(F.shiftright(entry, _SHIFT) == key, entry.bitwiseAND(F.lit((1 << _SHIFT) - 1)).cast("int"))
+        own = lambda entry: F.when(F.shiftright(entry, _SHIFT) == a, entry.bitwiseAND(F.lit(_MASK)).cast("int"))
+        return _let(F.get(t["pair_t"], F.get(t["pair_s"], a) + b), own)
 
     def _whole(self, t: Column, raw: Column) -> Column:
         """The id of a word that is a piece, null if it is none."""
@@ -147,27 +174,33 @@ class Codec:
     def _fold(self, t: Column, raw: Column) -> Column:
         size = F.octet_length(raw)
         byte = lambda i: F.get(t["byte_t"], (F.crc32(F.substring(raw, i, F.lit(1))) % self._n["byte_t"]).cast("int"))
-        single = F.transform(F.sequence(F.lit(1), size), byte)
+        single, steps = F.transform(F.sequence(F.lit(1), size), byte), F.sequence(F.lit(1), size)
+        packed = lambda ids: F.transform(ids, lambda x, i: self._packed(self._rank(t, x, F.get(ids, i + 1)), F.shiftleft(i, _SHIFT), x))
+        unpacked = lambda acc: F.transform(acc, lambda x: x.bitwiseAND(F.lit(_MASK)).cast("int"))
+        one = _let(single, lambda ids: F.aggregate(steps, packed(ids), lambda acc, _: self._step(t, acc), unpacked))
         rank = lambda ids: F.transform(ids, lambda x, i: self._rank(t, x, F.get(ids, i + 1)))
-        start = lambda ids: F.struct(ids.alias("ids"), rank(ids).alias("ranks"), F.lit(None).cast("int").alias("at"))
-        steps = F.when(size > 1, F.sequence(F.lit(1), 2 * (size - 1))).otherwise(F.array().cast("array<int>"))
-        one = _let(single, lambda ids: F.aggregate(steps, start(ids), lambda acc, _: self._step(t, acc), lambda acc: acc["ids"]))
-        fewer = F.sequence(F.lit(1), size)
-        many = _let(single, lambda ids: F.aggregate(fewer, start(ids), lambda acc, _: self._wide_step(t, acc), lambda acc: acc["ids"]))
+        start = lambda ids: F.struct(ids.alias("ids"), rank(ids).alias("ranks"))
+        many = _let(single, lambda ids: F.aggregate(steps, start(ids), lambda acc, _: self._wide_step(t, acc), lambda acc: acc["ids"]))
         return F.when(size <= SHORT, one).otherwise(many)
 
+    @staticmethod
+    def _packed(rank: Column, place: Column, piece: Column) -> Column:
+        """Rank of a piece with the next one, place of its first byte, and id in one number, so that the least one is the leftmost of the lowest rank."""
+        return F.shiftleft(F.coalesce(rank, F.lit(_MASK)).cast("long"), _SHIFT + 10) + place + piece
+
     def _step(self, t: Column, acc: Column) -> Column:
-        """Finds the leftmost pair of the lowest rank, or merges the one that was found."""
-        ids, ranks, at = acc["ids"], acc["ranks"], acc["at"]
-        found = F.array_position(ranks, F.array_min(ranks)).cast("int")
-        new = F.get(ranks, at - 1)
-        rest = F.size(ids)
-        left = F.when(at > 1, F.array(self._rank(t, F.get(ids, at - 2), new))).otherwise(F.array().cast("array<int>"))
-        merged = F.concat(F.slice(ids, F.lit(1), at - 1), F.array(new), F.slice(ids, at + 2, rest))
-        changed = F.concat(F.slice(ranks, F.lit(1), F.greatest(at - 2, F.lit(0))), left, F.array(self._rank(t, new, F.get(ids, at + 1))), F.slice(ranks, at + 2, rest))
-        return F.when(at.isNull(), F.struct(ids.alias("ids"), ranks.alias("ranks"), found.alias("at"))).otherwise(
-            F.struct(merged.alias("ids"), changed.alias("ranks"), F.lit(None).cast("int").alias("at"))
-        )
+        """Merges the leftmost pair of the lowest rank; nothing if no pair has one."""
+        piece = lambda i: F.get(acc, i).bitwiseAND(F.lit(_MASK)).cast("int")
+        places = lambda x: x.bitwiseAND(F.lit(1023 << _SHIFT))
+
+        def merge(low, at, new):
+            left = lambda x: self._packed(self._rank(t, piece(at - 2), new), places(x), piece(at - 2))
+            middle = self._packed(self._rank(t, new, piece(at + 1)), places(low), new)
+            changed = F.when(at > 1, F.array(left(F.get(acc, at - 2)), middle)).otherwise(F.array(middle))
+            return F.flatten(F.array(F.slice(acc, F.lit(1), F.greatest(at - 2, F.lit(0))), changed, F.slice(acc, at + 2, SHORT)))
+
+        found = lambda low: _let(F.array_position(acc, low).cast("int"), lambda at: _let(F.shiftright(low, _SHIFT + 10).cast("int"), lambda new: merge(low, at, new)))
+        return _let(F.array_min(acc), lambda low: F.when(low < _MASK << _SHIFT + 10, found(low)).otherwise(acc))
 
     def _wide_step(self, t: Column, acc: Column) -> Column:
         """Merges all places of the lowest rank, each run of overlapping ones from its left; only the first place if any merge makes a lower rank."""
@@ -180,7 +213,7 @@ class Codec:
             return F.filter(F.transform(ids, lambda x, i: F.when(on(i), low).when(on(i - 1), F.lit(-1)).otherwise(x)), lambda x: x >= 0)
 
         ranked = lambda new: F.transform(new, lambda x, i: self._rank(t, x, F.get(new, i + 1)))
-        state = lambda new, r: F.struct(new.alias("ids"), r.alias("ranks"), F.lit(None).cast("int").alias("at"))
+        state = lambda new, r: F.struct(new.alias("ids"), r.alias("ranks"))
 
         def attempt(flags):
             between = F.array_min(F.transform(flags, lambda f, i: F.when(f == "1", self._rank(t, low, F.get(ids, i + 2)))))
@@ -200,8 +233,9 @@ class Codec:
             folded = _let(self._whole(t, raw), lambda whole: F.when(whole.isNotNull(), F.array(whole)).otherwise(self._fold(t, raw)))
             if known is None:
                 return folded
-            bucket = F.get(known, F.pmod(F.xxhash64(word), F.lit(buckets)).cast("int"))
-            return F.coalesce(F.get(F.filter(bucket, lambda e: e["word"] == word), F.lit(0))["ids"], folded)
+            own = lambda a, b: F.filter(F.when(a < b, F.sequence(a, b - 1)), lambda i: F.get(known["all"]["words"], i) == word)
+            at = lambda b: F.get(own(F.get(known["starts"], b), F.get(known["starts"], b + 1)), F.lit(0))
+            return F.coalesce(F.get(known["all"]["ids"], _let(F.pmod(F.xxhash64(word), F.lit(buckets)).cast("int"), at)), folded)
 
         return _let(self._literal(), lambda t: F.transform(words, lambda word: encode(t, word)))
 
@@ -220,24 +254,32 @@ class Codec:
         return scratch.save(chosen.select("word", F.get(self.encode_words(F.array("word")), F.lit(0)).alias("ids")), "folded")
 
     def known_words(self, folded: DataFrame, buckets: int) -> Column:
-        """The folded words as one array of ``buckets`` lists, a subquery that is worked out once and sent with the tasks."""
-        lists = folded.groupBy(F.pmod(F.xxhash64("word"), F.lit(buckets)).alias("bucket")).agg(F.collect_list(F.struct("word", "ids")).alias("entries"))
-        every = folded.sparkSession.range(buckets).withColumnRenamed("id", "bucket").join(lists, "bucket", "left")
-        one = every.agg(F.array_sort(F.collect_list(F.struct("bucket", F.coalesce("entries", F.array().cast(lists.schema["entries"].dataType)).alias("entries")))).alias("all"))
-        return one.select("all.entries").scalar()
+        """The folded words as arrays in the order of their buckets, as subqueries that are worked out once and sent with the tasks.
+
+        ``starts`` has the number of words in earlier buckets, for each bucket and beyond the last.
+        """
+        placed = folded.select(F.pmod(F.xxhash64("word"), F.lit(buckets)).cast("int").alias("bucket"), "word", "ids")
+        counts = placed.groupBy("bucket").agg(F.count("*").alias("n"))
+        every = folded.sparkSession.range(buckets + 1).select(F.col("id").cast("int").alias("bucket")).join(counts, "bucket", "left")
+        before = F.coalesce(F.sum("n").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("int").alias("before")
+        starts = every.select("bucket", before).agg(F.array_sort(F.collect_list(F.struct("bucket", "before"))).alias("s")).select(F.col("s.before").alias("starts"))
+        words = placed.agg(F.array_sort(F.collect_list(F.struct("bucket", "word", "ids"))).alias("w")).select(F.col("w.word").alias("words"), F.col("w.ids").alias("ids"))
+        return F.struct(starts.scalar().alias("starts"), words.select(F.struct("words", "ids").alias("all")).scalar().alias("all"))
 
     def encode(self, texts: DataFrame, scratch: Scratch, text: str = "text", ids: str = "ids", cached: int = CACHED_WORDS) -> DataFrame:
         """``texts`` with an array of token ids."""
         folded = self.frequent(texts.select(text), text, scratch, cached)
-        buckets = 2 * folded.count() | 1
+        buckets = folded.count() | 1
         name = free([*texts.columns, ids], "_known")
         known = texts.withColumn(name, self.known_words(folded, buckets))
-        return known.withColumn(ids, F.flatten(self.encode_words(self.words(F.col(text)), F.col(name), buckets))).drop(name)
+        # named once, so that the subquery stays an expression and is not copied into every row
+        coded = _let(F.col(name), lambda k: F.flatten(self.encode_words(self.words(F.col(text)), k, buckets)))
+        return known.withColumn(ids, coded).drop(name)
 
     def decode(self, ids: Column) -> Column:
         """The bytes of an array of ids."""
         pieces = self._literal()["pieces"].cast("array<string>")
-        return _let(pieces, lambda p: F.array_join(F.transform(ids, lambda i: F.coalesce(F.get(p, i), F.lit(""))), "")).cast("binary")
+        return _let(pieces, lambda p: F.array_join(F.transform(ids, lambda i: F.get(p, i)), "")).cast("binary")
 
 
 def little_endian(ids: Column, most: int = 1 << 16) -> Column:
