@@ -29,13 +29,13 @@ def codec():
 def odd_texts():
     rng = random.Random(4)
     pick = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
-    texts = [None, "", " ", "\n\n", "a" * 4000, "ab" * 2500, "x" * 64, "x" * 65, "aaa bbb\n\n  ccc\t\t x", "naïve café €𝄞 中文字符", " 　x  y\u0085z"]
+    texts = [None, "", " ", "\n\n", "a" * 1200, "ab" * 500, "x" * 64, "x" * 65, "aaa bbb\n\n  ccc\t\t x", "naïve café €𝄞 中文字符", " 　x  y\u0085z"]
     texts += ["<|endoftext|> it's we'LL 12345 !!??", "\x00\x01\x7f�", "é" * 300, pick("etaoin", 1500), pick("etaoinshrdlué中", 800)]
     texts += [pick("etaoinshrdlu", rng.randint(1, 90)) for _ in range(60)]
     return texts + [" ".join(texts[-60:]), texts[-1], texts[-1]]
 
 
-@pytest.mark.parametrize("cached", [0, 10, bpe.CACHED_WORDS])
+@pytest.mark.parametrize("cached", [0, bpe.CACHED_WORDS])
 def test_odd_texts(spark, codec, plain, cached):
     """Cached words or none: the same ids; nulls, long words, repeats, clashing names."""
     frame = spark.createDataFrame([(i, t, "own") for i, t in enumerate(odd_texts())], "doc_id long, text string, _known string")
@@ -63,7 +63,7 @@ def test_merges_that_make_lower_ranks(spark, tmp_path):
     path.write_text("\n".join(f"{base64.b64encode(p).decode()} {r}" for p, r in order.items()))
     own, check = bpe.Codec(str(path), vocabulary.PATTERN), tiktoken.Encoding("x", pat_str=vocabulary.PATTERN, mergeable_ranks=order, special_tokens={})
     rng = random.Random(8)
-    texts = ["".join(rng.choice("abc") for _ in range(n)) for n in (3, 9, 40, 64, 65, 200, 700)]
+    texts = ["".join(rng.choice("abc") for _ in range(n)) for n in (3, 9, 40, 64, 65, 250)]
     rows = own.encode(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), Scratch(spark)).collect()
     assert all(r["ids"] == check.encode_ordinary(r["text"]) for r in rows)
 
