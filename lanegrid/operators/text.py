@@ -166,8 +166,13 @@ COMPANY_PATTERNS = {
     "panNo": r"(?i)\b(?:PAN\s*[:\-]?\s*)?([A-Z]{5}\d{4}[A-Z])\b",
     "contactPhone": r"\b((?:0\d{2,4}[-\s]?\d{6,8}|\+?91[-\s]?\d{10}|\d{10}))\b",
     "contactEmail": r"\b([\w.+-]+@[\w-]+\.[\w.]+)\b",
+    "website": r"(?i)\b((?:https?://)?(?:www\.)?[\w-]+\.(?:com|in|co\.in|net|org)(?:/[\w/.-]*)?)\b",
+    "cinNo": r"(?i)\b([LUu]\d{5}[A-Z]{2}\d{4}[A-Z]{3}\d{6})\b",
+    "address": r"(?i)(?:address|regd\.?\s*office|registered\s*office|head\s*office)\s*[:\-]?\s*([A-Za-z0-9][A-Za-z0-9\s,/\-\.]{8,148}?)(?:\n|$)",
     "pincode": r"(?i)(?:pin(?:code)?|postal\s*code)\s*[:\-]?\s*([1-9]\d{5})\b",
 }
+#: A pincode inside an address, and one at its end with the signs before it.
+ADDRESS_PIN, ADDRESS_END = r"\b([1-9]\d{5})\b", r"[\s\-,]+[1-9]\d{5}\b\s*$"
 # ----------------------------------------------------------------------------------------------
 
 
@@ -305,9 +310,15 @@ def text_charges(rows: DataFrame, text: str = "text") -> DataFrame:
 
 
 def text_company(rows: DataFrame, text: str = "text") -> DataFrame:
-    """Adds company fields found by patterns: the first match of each, in its canonical form."""
+    """Adds company fields found by patterns: the first match of each, in its canonical form.
+
+    A pincode at the end of an address leaves it; one inside it counts if none is labelled.
+    """
     value = F.coalesce(F.col(text), F.lit(""))
     raw = {f: F.nullif(F.trim(F.regexp_extract(value, p, 1)), F.lit("")) for f, p in COMPANY_PATTERNS.items()}
     phone = F.regexp_replace(raw["contactPhone"], r"[\s\-+()]", "")
     phone = F.when(phone.startswith("0091") & (F.length(phone) == 14), F.substring(phone, 5, 10)).when(phone.startswith("91") & (F.length(phone) == 12), F.substring(phone, 3, 10)).otherwise(phone)
-    return rows.withColumns({**raw, "gstNo": F.upper(raw["gstNo"]), "contactPhone": phone, "contactEmail": F.lower(raw["contactEmail"])})
+    inside = F.nullif(F.regexp_extract(raw["address"], ADDRESS_PIN, 1), F.lit(""))
+    found = {"gstNo": F.upper(raw["gstNo"]), "contactPhone": phone, "contactEmail": F.lower(raw["contactEmail"]), "cinNo": F.upper(raw["cinNo"])}
+    placed = {"address": F.trim(F.regexp_replace(raw["address"], ADDRESS_END, "")), "pincode": F.coalesce(raw["pincode"], inside)}
+    return rows.withColumns({**raw, **found, **placed})

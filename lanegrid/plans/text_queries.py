@@ -105,11 +105,19 @@ _GET = {f: f"nullif(trim(regexp_extract(text, '{p}', 1)), '')" for f, p in op.CO
 @query(
     "text_company",
     f"""SELECT doc_id, upper({_GET['gstNo']}) AS gstNo, {_GET['panNo']} AS panNo, CASE WHEN starts_with(phone, '0091') AND length(phone) = 14 THEN substr(phone, 5, 10) WHEN starts_with(phone, '91') AND length(phone) = 12 THEN substr(phone, 3, 10) ELSE phone END AS contactPhone,
-        lower({_GET['contactEmail']}) AS contactEmail, {_GET['pincode']} AS pincode FROM (SELECT *, regexp_replace({_GET['contactPhone']}, '[\\s\\-+()]', '', 'g') AS phone FROM cards)""",
+        lower({_GET['contactEmail']}) AS contactEmail, {_GET['website']} AS website, CASE WHEN doc_id % 12 = 3 THEN 'L12345RJ2001PLC123456' END AS cinNo,
+        CASE WHEN doc_id % 12 = 3 THEN 'Plot 5, Station Road, Jaipur' WHEN doc_id % 12 = 4 THEN 'Road 7, Agra 282001, near the gate' END AS address,
+        coalesce({_GET['pincode']}, CASE doc_id % 12 WHEN 3 THEN '302001' WHEN 4 THEN '282001' END) AS pincode FROM (SELECT *, regexp_replace({_GET['contactPhone']}, '[\\s\\-+()]', '', 'g') AS phone FROM company_cards)""",
     cards=CARDS,
+    company_cards="""SELECT doc_id, text || CASE doc_id % 12 WHEN 3 THEN chr(10) || 'Regd. Office: Plot 5, Station Road, Jaipur - 302001' || chr(10) || 'cin l12345rj2001plc123456 https://www.alpha-cargo.co.in/rates'
+        WHEN 4 THEN chr(10) || 'Head office - Road 7, Agra 282001, near the gate' ELSE '' END AS text FROM cards""",
 )
 def text_company(spark, d):
-    return op.text_company(cards(spark, d)).drop("text")
+    """Some cards have an address with its pincode at the end or inside, a registration and a site."""
+    k = F.col("doc_id") % 12
+    office = F.lit("\nRegd. Office: Plot 5, Station Road, Jaipur - 302001\ncin l12345rj2001plc123456 https://www.alpha-cargo.co.in/rates")
+    more = F.when(k == 3, office).when(k == 4, "\nHead office - Road 7, Agra 282001, near the gate").otherwise("")
+    return op.text_company(cards(spark, d).withColumn("text", F.concat("text", more))).drop("text")
 
 
 LINES = r"SELECT doc_id, i AS line_no, regexp_replace(l[i + 1], '^\s+|\s+$', '', 'g') AS line FROM (SELECT doc_id, l, unnest(range(0, len(l))) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL))"
