@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -277,40 +278,50 @@ def _stem(name: Column) -> Column:
     return F.regexp_replace(F.lower(F.regexp_replace(name, r"\.[^.]*$", "")), "[-_.]", " ")
 
 
-def _scores(name: Column, loose: bool) -> dict[str, Column]:
-    """Two points per keyword inside the name, and one more per word that holds or is held by it."""
-    words = F.array_distinct(F.filter(F.split(name, r"\s+"), lambda w: w != ""))
-    out = {}
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of ``value``, which is computed once however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _scores(name: Column, words: Column | None = None) -> Column:
+    """A struct of two points per keyword inside the name, and one more per word that holds or is held by it."""
+    out = []
     for kind, keys in FILE_WORDS.items():
         table = F.array(*[F.lit(k.replace("_", " ")) for k in keys])
         hits = F.size(F.filter(table, lambda k: F.contains(name, k))) * 2
-        if loose:
+        if words is not None:
             hits = hits + F.aggregate(table, F.lit(0), lambda a, k: a + F.size(F.filter(words, lambda w: F.contains(w, k) | F.contains(k, w))))
-        out[kind] = hits
-    return out
+        out.append(hits.alias(kind))
+    return F.struct(*out)
+
+
+def _top(scores: Column) -> Column:
+    return F.greatest(*[scores[kind] for kind in FILE_WORDS])
 
 
 def classify_filename(name: Column) -> Column:
     """company_details, charges or zone_data by the words of a file name."""
-    stem = _stem(name)
-    words = F.split(stem, r"\s+")
-    s = _scores(stem, loose=True)
-    top = F.greatest(*s.values())
     ext = F.lower(F.regexp_extract(name, r"\.([^.]*)$", 1))
-    zone = F.lit(False)
-    for w in ("pincode", "serviceable", "serviceability", "coverage", "network"):
-        zone = zone | F.contains(stem, F.lit(w))
-    zone = zone | stem.rlike(RATE_CARD) | F.array_contains(words, "rate") | F.array_contains(words, "rates")
-    out = F.when(stem.rlike(PROPOSAL), "company_details").when(zone, "zone_data")
-    out = out.when(top == 0, F.when(ext.isin("png", "jpg", "jpeg"), "company_details").otherwise("charges"))
-    for kind, score in s.items():
-        out = out.when(score == top, kind)
-    return out
+
+    def by_score(s: Column) -> Column:
+        out = F.when(_top(s) == 0, F.when(ext.isin("png", "jpg", "jpeg"), "company_details").otherwise("charges"))
+        for kind in FILE_WORDS:
+            out = out.when(s[kind] == _top(s), kind)
+        return out
+
+    def by_words(stem: Column, words: Column) -> Column:
+        zone = F.lit(False)
+        for w in ("pincode", "serviceable", "serviceability", "coverage", "network"):
+            zone = zone | F.contains(stem, F.lit(w))
+        zone = zone | stem.rlike(RATE_CARD) | F.array_contains(words, "rate") | F.array_contains(words, "rates")
+        scored = _once(F.array_distinct(F.filter(words, lambda w: w != "")), lambda distinct: _once(_scores(stem, distinct), by_score))
+        return F.when(stem.rlike(PROPOSAL), "company_details").when(zone, "zone_data").otherwise(scored)
+
+    return _once(_stem(name), lambda stem: _once(F.split(stem, r"\s+"), lambda words: by_words(stem, words)))
 
 
 def filename_confidence(name: Column) -> Column:
-    top = F.greatest(*_scores(_stem(name), loose=False).values())
-    return F.least(F.lit(95), F.lit(40) + top * 10)
+    return _once(_stem(name), lambda stem: _once(_scores(stem), lambda s: F.least(F.lit(95), F.lit(40) + _top(s) * 10)))
 
 
 def filename_hint(name: Column) -> Column:

@@ -11,7 +11,7 @@ from lanegrid.plans import coverage_queries as cq
 
 from lanegrid.plans.fixtures import claims, master, rates, sql
 from lanegrid.plans.rate_queries import MATRIX
-from lanegrid.runtime import table
+from lanegrid.runtime import spread, table
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -357,7 +357,7 @@ NAMES = "SELECT p_partkey, p_name || CASE p_partkey % 8 WHEN 0 THEN ' rate card.
 def _names(spark, d):
     k = F.col("p_partkey") % 8
     tails = [" rate card.xlsx", "_fuel-surcharge.pdf", " pincode list.csv", ".png", " company profile.docx", " vendor gst address.pdf", " docket fees.xlsx", ".xlsx"]
-    return table(spark, d, "part").select("p_partkey", F.concat("p_name", F.element_at(F.array(*map(F.lit, tails)), (k + 1).cast("int"))).alias("name"))
+    return spread(table(spark, d, "part").select("p_partkey", "p_name")).select("p_partkey", F.concat("p_name", F.element_at(F.array(*map(F.lit, tails)), (k + 1).cast("int"))).alias("name"))
 
 
 _STEM = "replace(replace(replace(lower(regexp_replace(name, '\\.[^.]*$', '')), '-', ' '), '_', ' '), '.', ' ')"

@@ -101,6 +101,14 @@ def test_classify_filename(spark):
     assert {r["n"]: r["k"] for r in df.select("n", documents.classify_filename(F.col("n")).alias("k")).collect()} == names
 
 
+def test_classify_filename_cuts_a_name_once(spark):
+    """The words of a name were found again for every keyword and every comparison of scores."""
+    df = spark.createDataFrame([("Zone Network.xlsx",)], "n string")
+    for kind in (documents.classify_filename, documents.filename_confidence):
+        plan = df.select(kind(F.col("n")))._jdf.queryExecution().analyzed().toString()
+        assert plan.count("split(") <= 2 and plan.count("regexp_replace(") <= 4  # the expression and its name
+
+
 def test_empty_inputs(spark):
     empty = spark.createDataFrame([], "vendor_id int, pincode int, claimed_zone string, oda boolean, city string, state string")
     m = master(spark, SF)
