@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,23 +49,21 @@ def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(vendor_id, origin, dest, rate, seq): rate samples in steps of 0.25, in order of seq."""
     t = lambda n: table(spark, sf_dir, n)
-    m = master(spark, sf_dir).select("c_custkey", "zid", F.col("zone").alias("dest"))
-    joined = reduce(
-        lambda a, b: a.join(*b),
-        [
-            (t("supplier"), F.col("l_suppkey") == F.col("s_suppkey")),
-            (t("nation"), F.col("s_nationkey") == F.col("n_nationkey")),
-            (t("orders"), F.col("l_orderkey") == F.col("o_orderkey")),
-            (m, F.col("o_custkey") == F.col("c_custkey")),
-        ],
-        t("lineitem"),
-    )
-    o = F.col("n_nationkey") % 20
-    rate = 5 + o * 0.5 + F.col("zid") * 0.25 + F.col("l_partkey") % (1 + F.col("zid") % 9)
+    # orders and suppliers are joined with their small tables first, and of a line only what the rate needs is shuffled
+    m = master(spark, sf_dir).select("c_custkey", "zid")
+    placed = t("orders").join(m, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", F.col("zid").cast("byte").alias("zid"))
+    sold = t("supplier").join(t("nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    sold = sold.select("s_suppkey", (F.col("s_suppkey") % 4).cast("byte").alias("vendor"), (F.col("n_nationkey") % 20).cast("byte").alias("o"))
+    lines = t("lineitem").join(sold, F.col("l_suppkey") == F.col("s_suppkey"))
+    # the remainders by 1 to 9 are those of the remainder by their common multiple
+    lines = lines.select("l_orderkey", "l_linenumber", (F.col("l_partkey") % 2520).cast("short").alias("part"), "vendor", "o")
+    joined = lines.join(placed, F.col("l_orderkey") == F.col("o_orderkey"))
+    o, zid = F.col("o").cast("int"), F.col("zid").cast("int")
+    rate = 5 + o * 0.5 + zid * 0.25 + F.col("part").cast("long") % (1 + zid % 9)
     return joined.select(
-        (F.col("s_suppkey") % 4).cast("int").alias("vendor_id"),
-        _zone(o.cast("int")).alias("origin"),
-        "dest",
+        F.col("vendor").cast("int").alias("vendor_id"),
+        _zone(o).alias("origin"),
+        _zone(zid).alias("dest"),
         rate.cast("double").alias("rate"),
         (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"),
     )

@@ -16,7 +16,7 @@ from lanegrid.plans import dims
 from lanegrid.plans.fixtures import claims, master, rates, sql
 from lanegrid.plans.rate_queries import MATRIX
 from lanegrid.plans.text_queries import CLASSIFIED
-from lanegrid.runtime import table
+from lanegrid.runtime import Scratch, spread, table
 
 SPREAD = "round2(CASE WHEN max(rate) - min(rate) <= 5 THEN max(rate) ELSE avg(rate) END)"
 
@@ -46,13 +46,13 @@ def sheet(rows, sheet: str, order: list[str], cells: list, heads: list[list[str]
     return top.unionByName(body)
 
 
-def long_sheet(spark, d):
-    return sheet(_matrix(spark, d), "rates", ["origin", "dest"], [F.col("origin"), F.col("dest"), F.concat(F.lit("Rs. "), F.col("rate"))], [["# vendor sheet", "", ""], ["From Zone", "To-Zone", "rate_per_kg"]])
+def long_sheet(spark, d, matrix=None):
+    return sheet(matrix or _matrix(spark, d), "rates", ["origin", "dest"], [F.col("origin"), F.col("dest"), F.concat(F.lit("Rs. "), F.col("rate"))], [["# vendor sheet", "", ""], ["From Zone", "To-Zone", "rate_per_kg"]])
 
 
-def wide_sheet(spark, d):
+def wide_sheet(spark, d, matrix=None):
     """Origins down and all twenty zones across; a cell without a rate is NIL."""
-    wide = _matrix(spark, d).groupBy("vendor_id", "origin").pivot("dest", dims.ZONES).agg(F.first("rate"))
+    wide = (matrix or _matrix(spark, d)).groupBy("vendor_id", "origin").pivot("dest", dims.ZONES).agg(F.first("rate"))
     cells = [F.col("origin"), *[F.coalesce(F.col(z).cast("string"), F.lit("NIL")) for z in dims.ZONES]]
     return sheet(wide, "zone matrix", ["origin"], cells, [["Rate card"], ["Origin", *dims.ZONES]])
 
@@ -315,14 +315,15 @@ def extract_charge_sheet(spark, d):
     n = k % 5
     value = F.when(n == 0, F.concat(F.lit("Rs "), size + 200)).when(n == 1, F.concat(size, F.lit("%"))).when(n == 2, F.concat(size, F.lit("% or Rs "), size * 10)).otherwise(size.cast("string"))
     cells = F.when(k % 3 == 0, F.array(F.lit(""), label, F.lit(""), value)).otherwise(F.array(label, F.lit(""), value))
-    rows = table(spark, d, "part").select(F.floor(k / 40).cast("int").alias("vendor_id"), F.lit("charges").alias("sheet"), k.alias("row_idx"), cells.alias("cells"))
+    rows = spread(table(spark, d, "part").select("p_partkey", "p_size")).select(F.floor(k / 40).cast("int").alias("vendor_id"), F.lit("charges").alias("sheet"), k.alias("row_idx"), cells.alias("cells"))
     return op.charge_values(rows, labels.dictionary(spark)).drop("sheet")
 
 
 @query("sheet_dispatch", "SELECT vendor_id, 'zone matrix' AS sheet, 1 AS detector, origin, dest, rate FROM many", matrix=MATRIX, many=MANY)
 def sheet_dispatch(spark, d):
-    wide = op.wide_matrix(wide_sheet(spark, d)).withColumn("detector", F.lit(1))
-    return op.dispatch(wide.unionByName(op.long_matrix(long_sheet(spark, d)).withColumn("detector", F.lit(0))))
+    matrix = Scratch(spark).save(_matrix(spark, d), "matrix")  # both sheets are made from it
+    wide = op.wide_matrix(wide_sheet(spark, d, matrix)).withColumn("detector", F.lit(1))
+    return op.dispatch(wide.unionByName(op.long_matrix(long_sheet(spark, d, matrix)).withColumn("detector", F.lit(0))))
 
 
 @query(
@@ -336,15 +337,16 @@ def sheet_dispatch(spark, d):
 def sheet_dispatch_all(spark, d):
     """Four detectors over sheets of equal priority: station sheets before long, pincode-grounded and wide ones."""
     known = master(spark, d)
+    matrix = Scratch(spark).save(_matrix(spark, d), "matrix")  # the long and the wide sheet are made from it
     renamed = lambda grid, most, name: grid.where(F.col("vendor_id") <= most).withColumn("sheet", F.lit(name))
     pins = claims(spark, d).select("vendor_id", "pincode").distinct()
     grounded = sheet(pins, "pin matrix", ["pincode"], [F.col("pincode"), *[5 + i * 0.5 + F.col("pincode") % 7 for i in range(4)]], [["Pin", *dims.ZONES[:4]]])
     stations = spark.createDataFrame([("OKL", "E1")], "code string, zone string")
     found = [
         op.station_rates(renamed(station_sheet(spark, d), 0, "matrix d"), places(spark, d), stations, known),
-        op.long_matrix(renamed(long_sheet(spark, d), 1, "matrix a")),
+        op.long_matrix(renamed(long_sheet(spark, d, matrix), 1, "matrix a")),
         op.grounded_matrix(renamed(grounded, 2, "pin matrix"), known),
-        op.wide_matrix(wide_sheet(spark, d)),
+        op.wide_matrix(wide_sheet(spark, d, matrix)),
     ]
     ranked = [f.select(*op.KEY, F.lit(i).alias("detector"), "origin", "dest", "rate") for i, f in enumerate(found)]
     return op.dispatch(reduce(lambda a, b: a.unionByName(b), ranked))

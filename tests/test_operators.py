@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lanegrid.functions import charges, pincodes
 from lanegrid.operators import coverage, documents, grids, labels, rates, text
 from lanegrid.plans.fixtures import claims, master
+from lanegrid.plans.fixtures import rates as rates_view
 from lanegrid.streaming import learning
 from lanegrid.streaming.learning import step
 from tests.conftest import SF
@@ -190,3 +191,18 @@ def test_city_rate_card_sections(spark):
     places = spark.createDataFrame([("AGRA", "N2", 0)], "name string, zone string, dim_order int")
     pins = spark.createDataFrame([(110001, "N3")], "pincode int, zone string")
     assert [tuple(r)[2:] for r in grids.city_rate_card(grid, places, pins).collect()] == [("W1", "N2", 13.0)]
+
+
+def test_charge_values_parse_a_value_once(spark):
+    """Every use of a value's pair and number parsed it again."""
+    rows = spark.createDataFrame([(1, "charges", 3, ["Fuel Surcharge", "12%"])], "vendor_id int, sheet string, row_idx long, cells array<string>")
+    out = grids.charge_values(rows, labels.dictionary(spark))
+    assert [(r["field"], r["scalar"], r["row_idx"]) for r in out.collect()] == [("fuel", 12.0, 3)]
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("consignment") <= 16
+
+
+def test_rates_shuffle_what_they_need(spark):
+    """Orders meet customers before lines do, and a line carries its part's remainder only."""
+    plan = rates_view(spark, SF).groupBy("vendor_id", "origin", "dest").agg(F.max("rate"))._jdf.queryExecution().optimizedPlan().toString()
+    last = plan.index("(l_orderkey")
+    assert "o_custkey" not in plan[:last].split("Join Inner")[1] and "as smallint" in plan
