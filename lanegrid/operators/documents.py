@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lanegrid.functions.charges import gst_number
+from lanegrid.functions.charges import gst_number, let
 from lanegrid.plans import dims
 
 # Fixed values ---------------------------------------------------------------------------------
@@ -278,11 +277,6 @@ def _stem(name: Column) -> Column:
     return F.regexp_replace(F.lower(F.regexp_replace(name, r"\.[^.]*$", "")), "[-_.]", " ")
 
 
-def _once(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use`` of ``value``, which is computed once however often it is used."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def _scores(name: Column, words: Column | None = None) -> Column:
     """A struct of two points per keyword inside the name, and one more per word that holds or is held by it."""
     out = []
@@ -314,14 +308,14 @@ def classify_filename(name: Column) -> Column:
         for w in ("pincode", "serviceable", "serviceability", "coverage", "network"):
             zone = zone | F.contains(stem, F.lit(w))
         zone = zone | stem.rlike(RATE_CARD) | F.array_contains(words, "rate") | F.array_contains(words, "rates")
-        scored = _once(F.array_distinct(F.filter(words, lambda w: w != "")), lambda distinct: _once(_scores(stem, distinct), by_score))
+        scored = let(F.array_distinct(F.filter(words, lambda w: w != "")), lambda distinct: let(_scores(stem, distinct), by_score))
         return F.when(stem.rlike(PROPOSAL), "company_details").when(zone, "zone_data").otherwise(scored)
 
-    return _once(_stem(name), lambda stem: _once(F.split(stem, r"\s+"), lambda words: by_words(stem, words)))
+    return let(_stem(name), lambda stem: let(F.split(stem, r"\s+"), lambda words: by_words(stem, words)))
 
 
 def filename_confidence(name: Column) -> Column:
-    return _once(_stem(name), lambda stem: _once(_scores(stem), lambda s: F.least(F.lit(95), F.lit(40) + _top(s) * 10)))
+    return let(_stem(name), lambda stem: let(_scores(stem), lambda s: F.least(F.lit(95), F.lit(40) + _top(s) * 10)))
 
 
 def filename_hint(name: Column) -> Column:

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lanegrid.functions.charges import parse_number, parse_vf
+from lanegrid.functions.charges import let, parse_number, parse_vf
 from lanegrid.functions.pincodes import parse_pincode_cell
 from lanegrid.operators import labels, zone_sheets
 from lanegrid.operators.coverage import label_zones
@@ -387,28 +387,33 @@ def charge_values(grid: DataFrame, known: DataFrame) -> DataFrame:
     whole = F.contains(F.concat(F.lit(" "), "n", F.lit(" ")), F.concat(F.lit(" "), "known", F.lit(" "))) & ((F.length("known") >= 3) | (F.col("n") == F.col("known")))
     held = asked.join(names, whole).groupBy("label").agg(F.min_by(F.struct("value"), F.struct(-F.length("known"), "dim_order")).alias("held"))
     rest = labels.match(asked.join(held, "label", "left_anti").select("label"), known, 0.65).where("confidence >= 0.65").select("label", F.struct(F.col("value")).alias("held"))
-    rows = rows.join(held.unionByName(rest), "label").withColumn("field", F.col("held.value")).where("field is not null")
+    # each value is parsed once, and before the join, whose few labels meet in few tasks
     joined = F.array_join("_v", " ")
-    rows = rows.withColumns({"_text": joined, "_vf": parse_vf(joined), "_number": F.get(F.filter(F.transform("_v", parse_number), lambda x: x.isNotNull()), F.lit(0))})
+    number = F.get(F.filter(F.transform("_v", parse_number), lambda x: x.isNotNull()), F.lit(0))
+    rows = rows.withColumn("_p", F.struct(joined.alias("text"), let(joined, parse_vf).alias("vf"), number.alias("number")))
+    rows = rows.join(held.unionByName(rest), "label").withColumn("field", F.col("held.value")).where("field is not null")
     cft = (F.col("field") == "divisor") & F.col("label").rlike("cft|cfactor|k factor")
-    v, f = F.col("_vf.v"), F.col("_vf.f")
-    both = v.isNotNull() & f.isNotNull()
-    fixed = F.col("field").isin(ALWAYS_FIXED) & v.isNotNull() & f.isNull()
-    percent = F.contains("_text", F.lit("%"))
-    divisor = F.when((F.col("_number") > 0) & (F.col("_number") < 200), F.round(28316.8 / F.col("_number"), 0))
-    plain = F.col("field").isin("fuel", "divisor", "minWeight")
-    out = rows.select(
-        *KEY,
-        "row_idx",
-        "field",
-        F.when(cft, None).when(both, v).when(fixed, F.when(percent, v).otherwise(0.0)).when(f.isNotNull() & ~plain, None).alias("v"),
-        F.when(cft, None).when(both, f).when(fixed, F.when(percent, 0.0).otherwise(v)).when(f.isNotNull() & ~plain, f).alias("f"),
-        F.when(cft, divisor).when(both | fixed | (f.isNotNull() & ~plain), None).otherwise(F.coalesce(v, f, F.col("_number"))).alias("scalar"),
-    )
     cap = F.create_map(*[F.lit(x) for pair in SHEET_CAPS.items() for x in pair])[F.col("field")]
-    out = out.where(F.coalesce("v", "f", "scalar").isNotNull() & ~F.coalesce(F.coalesce("f", "scalar") > cap, F.lit(False)))
-    value = F.struct("v", "f", "scalar", "row_idx")
-    best = out.groupBy(*KEY, "field").agg(F.min_by(value, F.struct(F.col("scalar").isNotNull(), F.col("row_idx"))).alias("b"))
+    plain = F.col("field").isin("fuel", "divisor", "minWeight")
+
+    def charge(p: Column) -> Column:
+        v, f, number = p["vf"]["v"], p["vf"]["f"], p["number"]
+        both = v.isNotNull() & f.isNotNull()
+        fixed = F.col("field").isin(ALWAYS_FIXED) & v.isNotNull() & f.isNull()
+        percent = F.contains(p["text"], F.lit("%"))
+        divisor = F.when((number > 0) & (number < 200), F.round(28316.8 / number, 0))
+        return F.struct(
+            F.when(cft, None).when(both, v).when(fixed, F.when(percent, v).otherwise(0.0)).when(f.isNotNull() & ~plain, None).alias("v"),
+            F.when(cft, None).when(both, f).when(fixed, F.when(percent, 0.0).otherwise(v)).when(f.isNotNull() & ~plain, f).alias("f"),
+            F.when(cft, divisor).when(both | fixed | (f.isNotNull() & ~plain), None).otherwise(F.coalesce(v, f, number)).alias("scalar"),
+            F.col("row_idx").alias("row_idx"),
+        )
+
+    def counted(c: Column) -> Column:
+        return F.when(F.coalesce(c["v"], c["f"], c["scalar"]).isNotNull() & ~F.coalesce(F.coalesce(c["f"], c["scalar"]) > cap, F.lit(False)), c)
+
+    out = rows.select(*KEY, "field", let(F.col("_p"), lambda p: let(charge(p), counted)).alias("_b")).where("_b is not null")
+    best = out.groupBy(*KEY, "field").agg(F.min_by("_b", F.struct(F.col("_b.scalar").isNotNull(), F.col("_b.row_idx"))).alias("b"))
     return best.select(*KEY, "field", "b.*")
 
 
