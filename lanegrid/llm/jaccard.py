@@ -18,7 +18,9 @@ link changes nothing.
 3. All remaining pairs that share a prefix shingle. Of these only those go on whose parity bitmaps
    (1024 bits, each shingle flips one) differ in few enough places: sets differ in at least as many
    shingles as their bitmaps in bits, so no linked pair is dropped. The join is on written tables,
-   so that Spark splits the rows of a hot shingle over tasks.
+   so that Spark splits the rows of a hot shingle over tasks. Where classes have many such partners,
+   each is first compared with the one that has the most itself, as long as the merges of
+   a round settle at least half of the pairs; then what is left is compared.
 
 A comparison is vertical: the global order is cut between its segments into fragments, overlaps
 are counted for each fragment apart, and summed per pair.
@@ -61,6 +63,7 @@ SAMPLE_ONE_IN = 64
 BLOCK_BYTES = 2 << 20
 MOST_HOT = 1_000_000  # a number each
 BITMAP_LONGS = 16
+FEW_PARTNERS = 8  # on average; so many are compared at once
 _FIRST = np.uint64(int(FIRST_SHARE * 2**64))
 _FIRST_SIGNED = int(_FIRST) - 2**63
 _SIGN = np.uint64(1 << 63)
@@ -123,12 +126,18 @@ def _parts(batches: Iterator[pa.RecordBatch], text: str):
         yield from flat.blocks(batch, text, BLOCK_BYTES)
 
 
+def _inside(own: np.ndarray, hashes: np.ndarray, n: int) -> np.ndarray:
+    """How many shingles of each set are in the first segment."""
+    return np.bincount(own[hashes < _FIRST], minlength=n)
+
+
 def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in _parts(batches, "text"):
         own, hashes, n = shingle_sets(part.column("text"))
         size, name = signatures(own, hashes, n)
         yield pa.RecordBatch.from_arrays(
-            [part.column("doc_id"), part.column("text_hash"), pa.array(size), pa.array(name), bitmaps(own, hashes, n)], ["doc_id", "text_hash", "n_shingles", "name", "bits"]
+            [part.column("doc_id"), part.column("text_hash"), pa.array(size), pa.array(_inside(own, hashes, n)), pa.array(name), bitmaps(own, hashes, n)],
+            ["doc_id", "text_hash", "n_shingles", "inside", "name", "bits"],
         )
 
 
@@ -143,14 +152,12 @@ def _emitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if x not in sent:
                 sent.add(x)
                 fresh[i] = True
-        inside = np.bincount(own[hashes < _FIRST], minlength=n)
+        inside = _inside(own, hashes, n)
         start = np.zeros(n + 1, np.int64)
         np.cumsum(size, out=start[1:])
         wanted = fresh[own] & (np.arange(len(own)) - start[own] < np.maximum(inside, _prefix(size))[own])
         own, hashes = own[wanted], hashes[wanted]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(_ordered(hashes)), pa.array(name[own]), pa.array((size[own] << 32) | inside[own])], ["h", "name", "sizes"]
-        )
+        yield pa.RecordBatch.from_arrays([pa.array(_ordered(hashes)), pa.array(name[own])], ["h", "name"])
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,18 +183,21 @@ class Join:
         small_batches(docs.sparkSession)
         kind = self.docs.schema["doc_id"].dataType.simpleString()
         hashed = self.docs.withColumn("text_hash", F.xxhash64("text"))
-        self.named = scratch.save(hashed.mapInArrow(_named, f"doc_id {kind}, text_hash long, n_shingles long, name long, bits array<long>"), "named")
+        self.named = scratch.save(hashed.mapInArrow(_named, f"doc_id {kind}, text_hash long, n_shingles long, inside long, name long, bits array<long>"), "named")
+        self.labels = scratch.spark.createDataFrame([], "node long, label long")
+        self.links: list[DataFrame] = []
+        self.tried: list[DataFrame] = []
 
     def hot_shingles(self) -> DataFrame:
         """(h): shingles of at least one in 2000 sampled documents, and eight of them; some hundred thousand at most, however large the corpus."""
         sample = self.docs.where(F.col("doc_id").isNotNull() & (F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(SAMPLE_ONE_IN)) == 0))
         least = max(8, sample.count() // 2000)
-        rows = sample.mapInArrow(_emitted, "h long, name long, sizes long").groupBy("h").agg(F.count("*").alias("n"))
+        rows = sample.mapInArrow(_emitted, "h long, name long").groupBy("h").agg(F.count("*").alias("n"))
         return self.scratch.save(rows.where(F.col("n") >= least).select("h"), "hot")
 
     def prefixes(self) -> DataFrame:
         """(h, name, size, own): prefix shingles that other classes have too; own: the class's number of unshared ones."""
-        rows = self.docs.where("doc_id is not null").mapInArrow(_emitted, "h long, name long, sizes long")
+        rows = self.docs.where("doc_id is not null").mapInArrow(_emitted, "h long, name long")
         hot = self.hot_shingles().withColumn("hot", F.lit(True))
         cold = F.lit(-1)
         if hot.limit(MOST_HOT + 1).count() <= MOST_HOT:
@@ -195,9 +205,11 @@ class Join:
             rows = rows.withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("name"), F.lit(SALTS)).cast("int")).otherwise(cold)).drop("hot")
         else:
             rows = rows.withColumn("salt", cold)
-        rows = rows.repartition(self.parts, "h", "salt").groupBy("h", "salt", "name", "sizes").agg(F.lit(1).alias("_"))
+        rows = rows.repartition(self.parts, "h", "salt").groupBy("h", "salt", "name").agg(F.lit(1).alias("_"))
         rows = rows.withColumn("df", F.when(F.col("salt") >= 0, 1 << 62).otherwise(F.count("*").over(Window.partitionBy("h", "salt")))).where("df > 1")
-        rows = rows.select("h", "name", "df", F.shiftright("sizes", 32).alias("size"), F.col("sizes").bitwiseAND(F.lit((1 << 32) - 1)).alias("inside"))
+        # a class's sizes come to its rows here, so that the shuffle of all shingles does not carry them
+        classes = self.named.where("doc_id is not null and n_shingles > 0").groupBy("name").agg(F.max("n_shingles").alias("size"), F.max("inside").alias("inside"))
+        rows = rows.select("h", "name", "df").join(classes, "name")
         rows = rows.withColumn("first", F.col("h") < F.lit(_FIRST_SIGNED))
         by = Window.partitionBy("name")
         rows = rows.withColumns(
@@ -282,34 +294,45 @@ class Join:
         total = shared.groupBy("a", "b", "size_a", "size_b").agg(F.sum("n").alias("n"))
         return total.where(f"100 * n >= {PER_CENT} * (size_a + size_b - n)").select("a", "b")
 
+    def compare(self, pairs: DataFrame, name: str) -> None:
+        """Compares the pairs that were not compared yet and merges what links."""
+        pairs = self.scratch.save(self.untried(pairs, reduce(DataFrame.unionByName, self.tried)) if self.tried else pairs, f"{name}_pairs")
+        if not pairs.isEmpty():
+            self.tried.append(pairs)
+            self.links.append(self.scratch.save(self.linked(pairs, name), f"{name}_links"))
+            self.scratch.drop(f"{name}_cut", f"{name}_ids")
+            self.labels = components(reduce(DataFrame.unionByName, self.links), self.scratch, name)
+
+    def compare_open(self, pairs: DataFrame, name: str) -> None:
+        """Compares pairs (a < b) of which a class can have many, each class with its partner of most pairs first."""
+        before, i = None, 0
+        while True:
+            pairs = self.scratch.save(self.untried(pairs, reduce(DataFrame.unionByName, self.tried)) if self.tried else pairs, f"{name}_open{i}")
+            sides = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("x"), F.col("b").alias("y")), F.struct(F.col("b").alias("x"), F.col("a").alias("y")))).alias("s")).select("s.*")
+            degree = self.scratch.save(sides.groupBy("y").agg(F.count("*").alias("n")), f"{name}_degree{i}")
+            n, classes = pairs.count(), degree.count()
+            if n <= FEW_PARTNERS * classes // 2 or (before is not None and 2 * n > before):
+                self.compare(pairs, name)
+                return
+            best = sides.join(degree, "y").groupBy("x").agg(F.max(F.struct("n", "y")).alias("p"))
+            best = best.select(F.least("x", "p.y").alias("a"), F.greatest("x", "p.y").alias("b")).distinct()
+            self.compare(pairs.join(best, ["a", "b"], "left_semi"), f"{name}{i}")
+            pairs, before, i = self.apart(pairs, self.labels), n, i + 1
+
     def run(self) -> DataFrame:
         """(doc_id, n_shingles, component_id) of every row."""
         scratch = self.scratch
-        labels = scratch.spark.createDataFrame([], "node long, label long")
-        links: list[DataFrame] = []
-        tried: list[DataFrame] = []
-
-        def compare(pairs: DataFrame, name: str) -> None:
-            """Compares the pairs that were not compared yet and merges what links."""
-            nonlocal labels
-            pairs = scratch.save(self.untried(pairs, reduce(DataFrame.unionByName, tried)) if tried else pairs, f"{name}_pairs")
-            if not pairs.isEmpty():
-                tried.append(pairs)
-                links.append(scratch.save(self.linked(pairs, name), f"{name}_links"))
-                scratch.drop(f"{name}_cut", f"{name}_ids")
-                labels = components(reduce(DataFrame.unionByName, links), scratch, name)
-
         rows = self.prefixes()
         pivots = scratch.save(self.pivot_pairs(rows), "pivot_pairs")
         best = pivots.groupBy("b").agg(F.max(F.struct("shared", "a", "size_a", "size_b")).alias("p"))
-        compare(best.select("p.a", "b", "p.size_a", "p.size_b"), "first")
-        compare(self.apart(pivots, labels), "second")
-        rows = self.mixed(rows.drop("own"), labels)
+        self.compare(best.select("p.a", "b", "p.size_a", "p.size_b"), "first")
+        self.compare(self.apart(pivots, self.labels), "second")
+        rows = self.mixed(rows.drop("own"), self.labels)
         scratch.drop("prefixes", "pivots", "pivot_pairs", "hot")
-        compare(self.open_pairs(rows), "third")
+        self.compare_open(self.open_pairs(rows), "third")
         scratch.drop("mixed", "open", "bits")
         classes = self.named.where("n_shingles > 0 and doc_id is not null").groupBy("name").agg(F.min("doc_id").alias("least"))
-        classes = self._labelled(classes, labels)
+        classes = self._labelled(classes, self.labels)
         least = classes.groupBy("label").agg(F.min("least").alias("component_id"))
         by_name = scratch.save(classes.join(least, "label").select("name", "component_id"), "classes")
         rows = self.named.select("doc_id", "n_shingles", "name").join(by_name, "name", "left")

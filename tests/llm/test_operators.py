@@ -129,6 +129,21 @@ def test_jaccard_near_copies_whose_pivot_is_a_copy(spark):
     assert got == brute.jaccard_components(dict(enumerate(texts)))
 
 
+def test_jaccard_hot_group_is_not_compared_in_all_pairs(spark, monkeypatch):
+    """Of 60 linked near copies the open pairs are settled by comparing far fewer than all 1770."""
+    rng = random.Random(21)
+    base = prose(rng, 150).split()
+    texts = [" ".join([*base[:i], f"other{i}", *base[i + 1 :]]) for i in range(20, 140, 2)]
+    compared, linked = [], jaccard.Join.linked
+    monkeypatch.setattr(jaccard.Join, "linked", lambda self, pairs, name: compared.append(pairs.count()) or linked(self, pairs, name))
+    run = jaccard.Join(frame(spark, texts), Scratch(spark))
+    of = run.named.select(F.col("name").alias("a"), F.col("n_shingles").alias("size_a"))
+    run.compare_open(of.join(of.select(F.col("a").alias("b"), F.col("size_a").alias("size_b")), F.expr("a < b")), "open")
+    assert sum(compared) < 240
+    assert {r["label"] for r in run.labels.collect()} == {min(r["a"] for r in of.collect())}
+    assert run.labels.count() == len(texts)
+
+
 def test_jaccard_links_of_repeated_rows(spark):
     """Equal rows, and one id with several texts, make no pair more alike than its texts are."""
     rng = random.Random(11)
