@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lanegrid.runtime import small_batches
+
 # Signals by category as (name, pattern, weight, counted by distinct matches). ------
 
 SIGNALS: dict[str, list[tuple[str, str, float, bool]]] = {
@@ -181,15 +185,35 @@ def has_charge_evidence(text: Column) -> Column:
     return F.lower(F.coalesce(text, F.lit(""))).rlike("|".join(p.replace(".", r"\.") for p in EVIDENCE))
 
 
+#: The patterns of all signals, each once.
+_PATTERNS = list(dict.fromkeys(pattern for signals in SIGNALS.values() for _, pattern, _, _ in signals))
+
+
+def _plain_counts(text: pa.Array) -> pa.Array:
+    """Matches of every pattern by Arrow's automata; null for texts with signs that these read otherwise than Spark (beyond ASCII, \\r and \\v)."""
+    counts = [pc.count_substring_regex(text, p).cast(pa.int32()) for p in _PATTERNS]
+    return pa.StructArray.from_arrays(counts, [f"p{i}" for i in range(len(_PATTERNS))], mask=pc.match_substring_regex(text, r"[^\x00-\x7F]|[\r\x0B]"))
+
+
 def signal_counts(rows: DataFrame, text: str = "text") -> DataFrame:
-    """Adds a column per signal: hits, or distinct matches for numbers and codes."""
+    """Adds a column per signal: hits, or distinct matches for numbers and codes.
+
+    Hits in plain texts are counted by automata, whose time per character is small and does not
+    depend on the pattern; distinct matches are taken by Spark where there is a hit.
+    """
+    small_batches(rows.sparkSession)
     value = F.coalesce(F.col(text), F.lit(""))
+    counted = F.arrow_udf(_plain_counts, "struct<" + ", ".join(f"p{i}: int" for i in range(len(_PATTERNS))) + ">")
     columns = {}
     for category, signals in SIGNALS.items():
         for name, pattern, _, distinct in signals:
-            hits = F.size(F.array_distinct(F.regexp_extract_all(value, F.lit(pattern), F.lit(0)))) if distinct else F.regexp_count(value, F.lit(pattern))
+            plain = F.col("_plain")[f"p{_PATTERNS.index(pattern)}"]
+            if distinct:
+                hits = F.when(plain == 0, 0).otherwise(F.size(F.array_distinct(F.regexp_extract_all(value, F.lit(pattern), F.lit(0)))))
+            else:
+                hits = F.when(plain.isNotNull(), plain).otherwise(F.regexp_count(value, F.lit(pattern)))
             columns[f"{category}.{name}"] = hits
-    return rows.withColumns(columns)
+    return rows.withColumn("_plain", counted(value)).withColumns(columns).drop("_plain")
 
 
 def classify(rows: DataFrame, text: str = "text") -> DataFrame:

@@ -1,5 +1,6 @@
 """Worked examples and invariants."""
 
+import random
 import time
 
 import pytest
@@ -206,3 +207,25 @@ def test_rates_shuffle_what_they_need(spark):
     plan = rates_view(spark, SF).groupBy("vendor_id", "origin", "dest").agg(F.max("rate"))._jdf.queryExecution().optimizedPlan().toString()
     last = plan.index("(l_orderkey")
     assert "o_custkey" not in plan[:last].split("Join Inner")[1] and "as smallint" in plan
+
+
+def test_signals_of_odd_texts_are_counted_as_spark_counts(spark):
+    """Plain texts go through Arrow, others through Spark; both count alike."""
+    rng = random.Random(4)
+    parts = ["air", "freight", "awb", "1 cft = 8", "1cft:9kg", "l x b x h", "N1", "NE2", "zone", "rs.", "Rs", "per kg", "5%", "3/-", "110001", "9876543210", "+919876543210", "a@b.co", ".d@e.f"]
+    parts += ["gst no", "29ABCDE1234F1Z5", "ABCDE1234F", "oda", "10-20 kg", "5+ kg", "clause 4", "t & c", "1 2 3 4 ", "1.5 2. 3 ", "=5%", ": 7 rs", "y", "_", "\t", "\n", "\f"]
+    odd = ["é", "\r", "\x0b", "×", "–", "K", "non\rserviceable"]  # the Kelvin sign is a k where case is folded beyond ASCII
+    rows = [(i, "".join(rng.choice(parts + (odd if i % 3 == 0 else [])) + rng.choice(["", " "]) for _ in range(rng.randint(0, 50)))) for i in range(600)] + [(600, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    value = F.coalesce("text", F.lit(""))
+    of = lambda p, distinct: F.size(F.array_distinct(F.regexp_extract_all(value, F.lit(p), F.lit(0)))) if distinct else F.regexp_count(value, F.lit(p))
+    expected = df.withColumns({f"{c}.{n}": of(p, distinct) for c, signals in text.SIGNALS.items() for n, p, _, distinct in signals})
+    got = text.signal_counts(df)
+    assert got.columns == expected.columns
+    assert sorted(got.drop("text").collect()) == sorted(expected.drop("text").collect())
+
+
+def test_signals_of_a_long_column_of_numbers(spark):
+    """A grid of 100,000 numbers in one text, on which a pattern that backtracks ran out of its stack."""
+    df = spark.createDataFrame([("12.5 " * 100_000,)], "text string")
+    assert text.signal_counts(df).select("`ZONE_MATRIX.numeric_grid`").collect()[0][0] == 1
