@@ -303,3 +303,22 @@ def test_repeated_and_null_ids(spark):
     kept = exact_substrings.dedup(df, Scratch(spark))
     assert kept.count() == 6 and kept.where("doc_id = 1 and spans is null").count() == 0
     assert hashlib.sha256(b"").hexdigest() == hashlib.sha256(bytes(kept.where("doc_id = 2").collect()[0]["kept"])).hexdigest()
+
+
+def test_line_suffix_array(spark):
+    """All suffixes in order, equal ranks for equal suffixes only, and the common prefix of every two neighbours, beyond the 20 words."""
+    rng = random.Random(15)
+    texts = ["\n".join(rng.choice(["", "a", "b", "c d"]) for _ in range(rng.randint(1, 40))) for _ in range(30)] + ["a\n" * 70, "a\n" * 70, "b\n" + "a\n" * 50, None, ""]
+    rows = [(i if i else None, t) for i, t in enumerate(texts)] + [(3, texts[3])]
+    array, common = line_dedup.suffix_array(spark.createDataFrame(rows, "doc_id long, text string"), Scratch(spark), min_words=2)
+    lcp = {(r["name"], r["rank"]): r["lcp"] for r in common.collect()}
+    lines = [(t or "").split("\n") for t in texts]
+    got = sorted(((r["name"], r["rank"], r["doc"] or 0, r["line"], r["left"]) for r in array.collect()))
+    assert sorted(x[2:4] for x in got) == [(i, k) for i, t in enumerate(texts) if t is not None for k in range(len(lines[i]))]
+    name = {lines[x[2]][x[3]]: x[0] for x in got}
+    suffix = [[name[s] for s in lines[x[2]][x[3] :]] for x in got]
+    assert suffix == sorted(suffix) and [len(s) for s in suffix] == [x[4] for x in got]
+    for (a, x), (b, y) in zip(zip(got, suffix, strict=True), list(zip(got, suffix, strict=True))[1:], strict=False):
+        shared = next((i for i, (p, q) in enumerate(zip(x, y, strict=False)) if p != q), min(len(x), len(y)))
+        assert (a[:2] == b[:2]) == (x == y)
+        assert x == y or lcp.get(b[:2], 0) == shared
