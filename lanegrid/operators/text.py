@@ -247,14 +247,35 @@ def is_boundary(line: Column, previous: Column) -> Column:
     return line.rlike(r"(?i)^---\s*Page\s+\d+") | line.rlike(r"^[\-=_*~.]{4,}$") | (blank & (F.coalesce(previous, F.lit("x")) == "")) | (~blank & capital)
 
 
+#: What ``\\s`` stands for in patterns.
+_WHITE = " \t\n\x0b\f\r"
+
+
+def _let(value: Column, body) -> Column:
+    """``body`` of ``value``, which is worked out once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def segment(rows: DataFrame, key: str = "doc_id", text: str = "text", least_chars: int = 40) -> DataFrame:
-    """(key, start_line, end_line, text): blocks of lines between boundaries with at least ``least_chars`` characters."""
-    by = Window.partitionBy(key).orderBy("line_no")
-    marked = lines(rows, key, text).withColumn("_cut", is_boundary(F.col("line"), F.lag("line").over(by)))
-    numbered = marked.withColumn("_block", F.sum(F.col("_cut").cast("int")).over(by.rowsBetween(Window.unboundedPreceding, 0))).where("not _cut")
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n")
-    blocks = numbered.groupBy(key, "_block").agg(F.min("line_no").alias("start_line"), (F.max("line_no") + 1).alias("end_line"), F.regexp_replace(joined, r"^\s+|\s+$", "").alias("text"))
-    return blocks.where(F.length("text") >= least_chars).drop("_block")
+    """(key, start_line, end_line, text): blocks of lines between boundaries with at least ``least_chars`` characters.
+
+    Every row is cut for itself, where it stands; rows of one key are texts of their own, and a null text has no blocks.
+    """
+    trim = lambda x: F.trim(x, F.lit(_WHITE))
+
+    def between(all_lines: Column, ends: Column) -> Column:
+        """The lines between every two neighbours of ``ends``."""
+        gaps = F.transform(F.slice(ends, F.lit(2), F.size(ends) - 1), lambda end, i: F.struct((F.get(ends, i) + 1).alias("start_line"), end.alias("end_line")))
+        block = lambda g: F.array_join(F.slice(all_lines, g["start_line"] + 1, g["end_line"] - g["start_line"]), "\n")
+        return F.transform(F.filter(gaps, lambda g: g["end_line"] > g["start_line"]), lambda g: F.struct(g["start_line"], g["end_line"], trim(block(g)).alias("text")))
+
+    def blocks(all_lines: Column) -> Column:
+        cuts = F.filter(F.sequence(F.lit(0), F.size(all_lines) - 1), lambda i: _let(F.get(all_lines, i), lambda x: is_boundary(x, F.get(all_lines, i - 1))))
+        return _let(F.concat(F.array(F.lit(-1)), cuts, F.array(F.size(all_lines))), lambda ends: between(all_lines, ends))
+
+    found = _let(F.transform(F.split(F.col(text), "\n", -1), trim), blocks)
+    cut = rows.where(F.col(text).isNotNull()).select(key, F.explode(found).alias("_block")).select(key, "_block.*")
+    return cut.where(F.length("text") >= least_chars)
 
 
 def categorize(blocks: DataFrame, text: str = "text") -> DataFrame:
@@ -264,7 +285,7 @@ def categorize(blocks: DataFrame, text: str = "text") -> DataFrame:
     first 300 characters (0.88); else the classification of the first 2000 characters, which any
     phrase overrules (0.75) where its confidence is under 0.55.
     """
-    line = lambda i: F.regexp_replace(F.coalesce(F.get(F.split(text, "\n", -1), F.lit(i)), F.lit("")), r"^\s+|\s+$", "")
+    line = lambda i: F.trim(F.coalesce(F.get(F.split(text, "\n", 4), F.lit(i)), F.lit("")), F.lit(_WHITE))
     heading_of = lambda x: F.when((x != "") & (F.length(x) <= 120), F.coalesce(*[F.when(x.rlike(p), c) for c, p in HEADINGS]))
     rows = blocks.withColumns({f"_line{i}": line(i) for i in range(3)})
     rows = rows.withColumns({f"_head{i}": heading_of(F.col(f"_line{i}")) for i in range(3)})

@@ -229,3 +229,27 @@ def test_signals_of_a_long_column_of_numbers(spark):
     """A grid of 100,000 numbers in one text, on which a pattern that backtracks ran out of its stack."""
     df = spark.createDataFrame([("12.5 " * 100_000,)], "text string")
     assert text.signal_counts(df).select("`ZONE_MATRIX.numeric_grid`").collect()[0][0] == 1
+
+
+def test_rows_of_one_key_are_cut_apart(spark):
+    """Blocks do not mix the lines of several texts, and follow line by line from the rule."""
+    import re
+
+    rng = random.Random(9)
+    pool = ["a plain line of words", "  x  ", "", "", "-----", "--- Page 3", "RATE CARD", "ÄÖ ß", "\tTOTAL", "rates for 12 kg", "N1 N2", "....", "\x0b\r"]
+    texts = ["\n".join(rng.choice(pool) for _ in range(rng.randint(1, 30))) for _ in range(60)] + ["", None, "\n\n", "plain words", "RATE CARD"]
+    trim = lambda x: re.sub(r"^[ \t-\r]+|[ \t-\r]+$", "", x)
+    expected = []
+    for key, value in enumerate(texts):
+        own, block, before = [trim(x) for x in value.split("\n")] if value is not None else [], [], None
+        for i, line in enumerate([*own, None]):
+            short = line is not None and line != "" and len(line) < 80 and not re.search("[a-zß-ÿ]", line) and len(re.split(r"[ \t-\r]+", line)) >= 2
+            if line is None or short or re.match(r"(?i)---[ \t-\r]*Page[ \t-\r]+\d", line) or re.fullmatch(r"[\-=_*~.]{4,}", line) or (line == "" and before == ""):
+                body = trim("\n".join(own[j] for j in block))
+                expected += [(key % 3, block[0], block[-1] + 1, body)] if block and len(body) >= 5 else []
+                block = []
+            else:
+                block.append(i)
+            before = line
+    rows = spark.createDataFrame([(i % 3, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert sorted(map(tuple, text.segment(rows, least_chars=5).collect())) == sorted(expected)
