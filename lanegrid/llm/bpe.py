@@ -38,6 +38,8 @@ CACHED_WORDS = 200_000
 _SHIFT = 20
 _MASK = (1 << _SHIFT) - 1
 _NO_ROW = -(1 << 22)
+_LOW = _SHIFT + 10
+_TRIED = 6
 
 
 def load(path: str) -> dict[bytes, int]:
@@ -103,8 +105,8 @@ def _word_key(piece: bytes) -> int:
 def _tables(path: str) -> tuple[str, str]:
     """The rank map, whole pieces and bytes of a vocabulary as JSON, and its type."""
     ranks = load(path)
-    if max(ranks.values()) >= 1 << _SHIFT or any(bytes([b]) not in ranks for b in range(256)):
-        raise ValueError("a vocabulary needs all single bytes, and ids under 2 ** 20")
+    if max(ranks.values()) >= _MASK or any(bytes([b]) not in ranks for b in range(256)):
+        raise ValueError("a vocabulary needs all single bytes, and ids under 2 ** 20 - 1")
     pairs: dict[int, dict[int, int]] = {}
     for piece, rank in ranks.items():
         for i in range(1, len(piece)):
@@ -138,8 +140,11 @@ def _sizes(path: str) -> dict[str, int]:
 
 
 def _let(value: Column, body) -> Column:
-    """``body`` of ``value``, which is worked out once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+    """``body`` of ``value``, which is worked out once: the last step of a fold over nothing.
+
+    Getting the only item of a transformed array would do the same, but Spark works out the type of ``body`` anew for each item it gets.
+    """
+    return F.aggregate(F.array().cast("array<int>"), value, lambda x, _: x, body)
 
 
 def _slot(key: Column, d: Column, t: Column, groups: int, slots: int) -> Column:
@@ -175,32 +180,43 @@ class Codec:
         size = F.octet_length(raw)
         byte = lambda i: F.get(t["byte_t"], (F.crc32(F.substring(raw, i, F.lit(1))) % self._n["byte_t"]).cast("int"))
         single, steps = F.transform(F.sequence(F.lit(1), size), byte), F.sequence(F.lit(1), size)
-        packed = lambda ids: F.transform(ids, lambda x, i: self._packed(self._rank(t, x, F.get(ids, i + 1)), F.shiftleft(i, _SHIFT), x))
-        unpacked = lambda acc: F.transform(acc, lambda x: x.bitwiseAND(F.lit(_MASK)).cast("int"))
+        entry = lambda ids, x, i: F.shiftleft(self._order(t, x, F.get(ids, i + 1)), _LOW) + F.shiftleft(i, _SHIFT) + x
+        edge = F.array(F.lit(_MASK << _LOW | _MASK))  # a first entry that forms no piece, so that each other one has a left neighbour
+        packed = lambda ids: F.struct(F.concat(edge, F.transform(ids, lambda x, i: entry(ids, x, i))).alias("all"), F.lit(-1).cast("long").alias("starts"))
+        unpacked = lambda acc: F.transform(F.slice(acc["all"], F.lit(2), SHORT), lambda x: x.bitwiseAND(F.lit(_MASK)).cast("int"))
         one = _let(single, lambda ids: F.aggregate(steps, packed(ids), lambda acc, _: self._step(t, acc), unpacked))
         rank = lambda ids: F.transform(ids, lambda x, i: self._rank(t, x, F.get(ids, i + 1)))
         start = lambda ids: F.struct(ids.alias("ids"), rank(ids).alias("ranks"))
         many = _let(single, lambda ids: F.aggregate(steps, start(ids), lambda acc, _: self._wide_step(t, acc), lambda acc: acc["ids"]))
         return F.when(size <= SHORT, one).otherwise(many)
 
-    @staticmethod
-    def _packed(rank: Column, place: Column, piece: Column) -> Column:
-        """Rank of a piece with the next one, place of its first byte, and id in one number, so that the least one is the leftmost of the lowest rank."""
-        return F.shiftleft(F.coalesce(rank, F.lit(_MASK)).cast("long"), _SHIFT + 10) + place + piece
+    def _order(self, t: Column, a: Column, b: Column) -> Column:
+        """The id of the piece that the pieces ``a`` and ``b`` form as a long, _MASK if none."""
+        other = F.get(t["pair_t"], F.get(t["pair_s"], a.cast("int")) + b) - F.shiftleft(a.cast("long"), _SHIFT)
+        return F.least(other.bitwiseAND(F.lit((1 << 62) - 1)), F.lit(_MASK).cast("long"))  # another row's entry is negative or too large
 
     def _step(self, t: Column, acc: Column) -> Column:
-        """Merges the leftmost pair of the lowest rank; nothing if no pair has one."""
-        piece = lambda i: F.get(acc, i).bitwiseAND(F.lit(_MASK)).cast("int")
-        places = lambda x: x.bitwiseAND(F.lit(1023 << _SHIFT))
+        """Merges the leftmost pair of the lowest rank; nothing if no pair has one.
+
+        An entry has the rank of a piece with the next one, the place of its first byte, and its id, so that the least one is the leftmost of the lowest
+        rank. ``starts`` has a bit for each place where a piece starts, so that an entry's number follows from its place.
+        """
+        every, piece = acc["all"], lambda x: x.bitwiseAND(F.lit(_MASK))
+        place = lambda x: F.shiftright(x, _SHIFT).bitwiseAND(F.lit(1023)).cast("int")
+        bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("long"), place(x))
 
         def merge(low, at, new):
-            left = lambda x: self._packed(self._rank(t, piece(at - 2), new), places(x), piece(at - 2))
-            middle = self._packed(self._rank(t, new, piece(at + 1)), places(low), new)
-            changed = F.when(at > 1, F.array(left(F.get(acc, at - 2)), middle)).otherwise(F.array(middle))
-            return F.flatten(F.array(F.slice(acc, F.lit(1), F.greatest(at - 2, F.lit(0))), changed, F.slice(acc, at + 2, SHORT)))
+            left, right = F.get(every, at - 1), F.get(every, at + 1)
+            before = F.shiftleft(self._order(t, piece(left), new.cast("int")), _LOW) + left.bitwiseAND(F.lit((1 << _LOW) - 1))
+            middle = F.shiftleft(self._order(t, new, piece(F.get(every, at + 2)).cast("int")), _LOW) + low.bitwiseAND(F.lit(1023 << _SHIFT)) + new
+            made = F.concat(F.slice(every, F.lit(1), at - 1), F.array(before, middle), F.slice(every, at + 3, SHORT))
+            return F.struct(made.alias("all"), acc["starts"].bitwiseXOR(bit(right)).alias("starts"))
 
-        found = lambda low: _let(F.array_position(acc, low).cast("int"), lambda at: _let(F.shiftright(low, _SHIFT + 10).cast("int"), lambda new: merge(low, at, new)))
-        return _let(F.array_min(acc), lambda low: F.when(low < _MASK << _SHIFT + 10, found(low)).otherwise(acc))
+        def found(low):
+            at = F.bit_count(acc["starts"].bitwiseAND(bit(low) - 1)) + 1
+            return _let(at, lambda at: _let(F.shiftright(low, _LOW), lambda new: merge(low, at, new)))
+
+        return _let(F.array_min(every), lambda low: F.when(low < _MASK << _LOW, found(low)).otherwise(acc))
 
     def _wide_step(self, t: Column, acc: Column) -> Column:
         """Merges all places of the lowest rank, each run of overlapping ones from its left; only the first place if any merge makes a lower rank."""
@@ -230,17 +246,28 @@ class Codec:
 
         def encode(t, word):
             raw = word.cast("binary")
-            folded = _let(self._whole(t, raw), lambda whole: F.when(whole.isNotNull(), F.array(whole)).otherwise(self._fold(t, raw)))
-            if known is None:
-                return folded
-            own = lambda a, b: F.filter(F.when(a < b, F.sequence(a, b - 1)), lambda i: F.get(known["all"]["words"], i) == word)
-            at = lambda b: F.get(own(F.get(known["starts"], b), F.get(known["starts"], b + 1)), F.lit(0))
-            return F.coalesce(F.get(known["all"]["ids"], _let(F.pmod(F.xxhash64(word), F.lit(buckets)).cast("int"), at)), folded)
+            return _let(self._whole(t, raw), lambda whole: F.when(whole.isNotNull(), F.array(whole)).otherwise(self._fold(t, raw)))
+
+        def look_up(t, every, held, ids, first):
+            def one(word, i):
+                at = [F.get(first, i), *(F.get(first, i) + k for k in range(1, _TRIED))]
+                found = F.when(word == F.get(held, at[0]), F.get(ids, at[0]))
+                for x in at[1:]:
+                    found = found.when(word == F.get(held, x), F.get(ids, x))
+                return found.otherwise(encode(t, word))
+
+            return F.transform(every, one)
+
+        def with_known(t, every):
+            first = F.transform(every, lambda word: F.get(known["starts"], F.pmod(F.hash(word), F.lit(buckets))))
+            return _let(known["all"], lambda both: _let(both["words"], lambda held: _let(both["ids"], lambda ids: _let(first, lambda at: look_up(t, every, held, ids, at)))))
 
-        return _let(self._literal(), lambda t: F.transform(words, lambda word: encode(t, word)))
+        if known is None:
+            return _let(self._literal(), lambda t: F.transform(words, lambda word: encode(t, word)))
+        return _let(self._literal(), lambda t: _let(words, lambda every: with_known(t, every)))
 
     def frequent(self, texts: DataFrame, text: str, scratch: Scratch, cached: int = CACHED_WORDS) -> DataFrame:
-        """(word, ids) of the most frequent words of up to SHORT bytes, at most ``cached``; all words of a count are in or out."""
+        """(word, n, ids) of the most frequent words of up to SHORT bytes, at most ``cached``; all words of a count are in or out."""
         words = texts.select(F.explode(self.words(F.col(text))).alias("word")).where(F.octet_length("word") <= SHORT)
         counts = scratch.save(words.groupBy("word").agg(F.count("*").alias("n")).where("n > 1"), "words")
         step = F.floor(F.log2("n") * 32).cast("int")
@@ -251,19 +278,20 @@ class Codec:
                 break
             least = at
         chosen = counts.where(step >= least)
-        return scratch.save(chosen.select("word", F.get(self.encode_words(F.array("word")), F.lit(0)).alias("ids")), "folded")
+        return scratch.save(chosen.select("word", "n", F.get(self.encode_words(F.array("word")), F.lit(0)).alias("ids")), "folded")
 
     def known_words(self, folded: DataFrame, buckets: int) -> Column:
         """The folded words as arrays in the order of their buckets, as subqueries that are worked out once and sent with the tasks.
 
-        ``starts`` has the number of words in earlier buckets, for each bucket and beyond the last.
+        ``starts`` has the number of words in earlier buckets. A bucket's words stand from the most frequent one on. A look-up tries _TRIED places
+        from the start; a word beyond them, one in some ten thousand, is folded where it stands.
         """
-        placed = folded.select(F.pmod(F.xxhash64("word"), F.lit(buckets)).cast("int").alias("bucket"), "word", "ids")
+        placed = folded.select(F.pmod(F.hash("word"), F.lit(buckets)).alias("bucket"), (-F.col("n")).alias("n"), "word", "ids")
         counts = placed.groupBy("bucket").agg(F.count("*").alias("n"))
-        every = folded.sparkSession.range(buckets + 1).select(F.col("id").cast("int").alias("bucket")).join(counts, "bucket", "left")
+        every = folded.sparkSession.range(buckets).select(F.col("id").cast("int").alias("bucket")).join(counts, "bucket", "left")
         before = F.coalesce(F.sum("n").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("int").alias("before")
         starts = every.select("bucket", before).agg(F.array_sort(F.collect_list(F.struct("bucket", "before"))).alias("s")).select(F.col("s.before").alias("starts"))
-        words = placed.agg(F.array_sort(F.collect_list(F.struct("bucket", "word", "ids"))).alias("w")).select(F.col("w.word").alias("words"), F.col("w.ids").alias("ids"))
+        words = placed.agg(F.array_sort(F.collect_list(F.struct("bucket", "n", "word", "ids"))).alias("w")).select(F.col("w.word").alias("words"), F.col("w.ids").alias("ids"))
         return F.struct(starts.scalar().alias("starts"), words.select(F.struct("words", "ids").alias("all")).scalar().alias("all"))
 
     def encode(self, texts: DataFrame, scratch: Scratch, text: str = "text", ids: str = "ids", cached: int = CACHED_WORDS) -> DataFrame:

@@ -68,6 +68,27 @@ def test_merges_that_make_lower_ranks(spark, tmp_path):
     assert all(r["ids"] == check.encode_ordinary(r["text"]) for r in rows)
 
 
+def test_full_buckets(spark, codec, plain):
+    """All known words in one bucket: the most frequent ones are found, those beyond the tried places are folded."""
+    words = ["oronthan", "zzqar", "ileandor", "rathonwe", "ouxelqu", "tzefgro", "wholnde", "essarnt", "beqiln", "gnurrof"]
+    frame = spark.createDataFrame([(" ".join(w for i, w in enumerate(words) for _ in range(i + 2)),)], "text string")
+    folded = codec.frequent(frame, "text", Scratch(spark))
+    known = frame.withColumn("k", codec.known_words(folded, 1)).cache()
+    kept = known.select("k.all.words").collect()[0]["words"]
+    assert [w.strip() for w in kept[:2]] == ["gnurrof", "beqiln"]
+    ids = known.select(F.flatten(codec.encode_words(codec.words(F.col("text")), F.col("k"), 1)).alias("ids")).collect()[0]["ids"]
+    assert ids == plain.encode_ordinary(frame.collect()[0]["text"])
+
+
+def test_steps_without_costly_forms(spark, codec):
+    """No step of a fold looks for a number by value, which Spark ends by an exception, or gets a transformed array's item, whose type it works out each time."""
+    state = F.struct(F.array("id").alias("all"), F.col("id").alias("starts"))
+    step = spark.range(1).select(codec._step(codec._literal(), state))._jdf.queryExecution().analyzed().toString()
+    narrow = spark.range(1).select(bpe._let(F.col("id"), lambda x: x + x))._jdf.queryExecution().analyzed().toString()
+    assert "aggregate(" in narrow and "transform(" not in narrow
+    assert "array_position(" not in step and "transform(" not in step
+
+
 def test_query(spark, plain):
     texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     rows = queries.op12_bpe(spark, SF).collect()
